@@ -1,0 +1,7 @@
+"""Streaming.
+
+The reports are computed over full table snapshots; the source application
+has no streams, watermarks or state, so nothing is built here.  Incremental
+refresh is a matter of re-running :func:`innsight.plans.job.build_marts` on a
+schedule, which overwrites each tenant's partition of the written marts.
+"""
