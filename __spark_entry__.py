@@ -237,9 +237,8 @@ c AS (
 _EMAIL = """, m AS (
   SELECT * FROM mail_notifications
   QUALIFY row_number() OVER (PARTITION BY DATA_ID ORDER BY DATA_TS_DATE ASC NULLS LAST,
-      CLICKS NULLS FIRST, DATA_CLICKS NULLS FIRST, DATA_OPENS NULLS FIRST, DATA_STATE NULLS FIRST,
-      DATA_SUBJECT NULLS FIRST, DATA_TS_DATE NULLS FIRST, NOTIFICATION_TAG NULLS FIRST, OPEN NULLS FIRST,
-      SENT NULLS FIRST) = 1),
+      SENT NULLS FIRST, OPEN NULLS FIRST, CLICKS NULLS FIRST, DATA_CLICKS NULLS FIRST, DATA_OPENS NULLS FIRST,
+      DATA_STATE NULLS FIRST, NOTIFICATION_TAG NULLS FIRST, DATA_SUBJECT NULLS FIRST) = 1),
 s AS (
   SELECT DATA_ID, DATA_TS_DATE, """ + _num0("SENT") + """ AS SENT, coalesce(OPEN, 0) AS OPEN,
          coalesce(CLICKS, 0) AS CLICKS, coalesce(DATA_CLICKS, 0) AS DATA_CLICKS,

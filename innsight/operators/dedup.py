@@ -30,17 +30,20 @@ def _orderable(df: DataFrame, exclude: Sequence[str]) -> list[Column]:
     ]
 
 
-def keep_first(df: DataFrame, keys: Sequence[str], order: Sequence[Column] = ()) -> DataFrame:
-    """One row per key: the first by ``order``, ties broken by every other column.
+def keep_first(
+    df: DataFrame, keys: Sequence[str], order: Sequence[Column] = (), order_names: Sequence[str] = ()
+) -> DataFrame:
+    """One row per key: the first by ``order``, ties broken by every other column
+    (``order_names`` are the columns ``order`` already covers).
 
     NULL keys form one group, as in a dictionary keyed by value.  The tie-break
     makes the choice deterministic where the source order is not.
     """
-    tie_break = _orderable(df, list(keys))
+    tie_break = _orderable(df, list(keys) + list(order_names))
     w = Window.partitionBy(*[F.col(f"`{k}`") for k in keys]).orderBy(*order, *tie_break)
     return df.withColumn(_RN, F.row_number().over(w)).filter(F.col(_RN) == 1).drop(_RN)
 
 
 def keep_last(df: DataFrame, keys: Sequence[str], order_col: str) -> DataFrame:
     """One row per key: the latest by ``order_col`` (last write wins)."""
-    return keep_first(df, keys, [F.col(f"`{order_col}`").desc_nulls_last()])
+    return keep_first(df, keys, [F.col(f"`{order_col}`").desc_nulls_last()], [order_col])

@@ -32,7 +32,7 @@ def email_scope(raw: DataFrame, cfg: EmailConfig, date_range: tuple[DateLike, Da
     which keeps every message that has a timestamp; no extra pass is needed
     to find those days.
     """
-    df = keep_first(raw, ["DATA_ID"], [F.col(TS).asc_nulls_last()])
+    df = keep_first(raw, ["DATA_ID"], [F.col(TS).asc_nulls_last()], [TS])
     df = to_number0(df, EMAIL_NUMERIC)
     df = df.withColumn(TS, wall_clock(F.col(TS)))
     if cfg.subject_match:
