@@ -13,6 +13,7 @@ tables; column names match the Spark results.
 
 from __future__ import annotations
 
+import functools
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -60,11 +61,15 @@ def registry(spark: SparkSession, sf_dir: str) -> DataFrame:
     return load_registry(fixture(spark, sf_dir, "dashboard_customers"))
 
 
+@functools.lru_cache(maxsize=16)
+def _tenants(spark: SparkSession, sf_dir: str) -> dict[str, TenantConfig]:
+    # Configuration is read once per session and data folder, like the
+    # application's registry cache; reports then use the config objects.
+    return {cfg.customer: cfg for cfg in tenant_configs(registry(spark, sf_dir))}
+
+
 def tenant(spark: SparkSession, sf_dir: str, key: str = TENANT) -> TenantConfig:
-    for cfg in tenant_configs(registry(spark, sf_dir)):
-        if cfg.customer == key:
-            return cfg
-    raise KeyError(key)
+    return _tenants(spark, sf_dir)[key]
 
 
 def _tx(spark, sf):
@@ -83,18 +88,9 @@ def _email(spark, sf):
 def _ga4(spark, sf, *grains):
     """Cleaned GA4 grains of the tenant, restricted to DAILY's first..last day."""
     cat, cfg = catalog(spark, sf), tenant(spark, sf)
-    daily = ga4.ga4_clean(scan_grain(cat, cfg, "DAILY"))
-    rng = ga4.ga4_range(daily)
-    out = []
-    for g in grains:
-        if g == "DAILY":
-            frame = daily
-        elif g == "ITEMS":  # items are not traffic-filtered
-            frame = ga4.ga4_grain(scan_grain(cat, cfg, g))
-        else:
-            frame = ga4.ga4_clean(scan_grain(cat, cfg, g))
-        out.append(ga4.in_range(frame, rng))
-    return out
+    others = {g: scan_grain(cat, cfg, g) for g in grains if g != "DAILY"}
+    frames = ga4.page_frames(scan_grain(cat, cfg, "DAILY"), others, rules=cfg.traffic)
+    return [frames[g] for g in grains]
 
 
 def _ga4_long(spark, sf):

@@ -57,6 +57,34 @@ def in_range(df: DataFrame, rng: DateRange | None) -> DataFrame:
     return closed_range(df, "DATE", *rng) if rng else df
 
 
+def page_frames(
+    daily_raw: DataFrame,
+    others: dict[str, DataFrame] | None = None,
+    date_range: DateRange | None = None,
+    rules: TrafficRules = TrafficRules(),
+) -> dict[str, DataFrame]:
+    """Cleaned grains of a GA4 page, each restricted to the page's date range.
+
+    ``others`` maps grain name to raw frame; ``ITEMS`` is range-filtered only,
+    every other grain is also traffic-filtered.  Without a selected range the
+    default is DAILY's own first..last day: on DAILY itself that keeps every
+    dated row, so the bounds are computed (one small action) only when other
+    grains need them.
+    """
+    daily = ga4_clean(daily_raw, rules)
+    out = {}
+    if date_range is not None:
+        rng = date_range
+        out["DAILY"] = in_range(daily, rng)
+    else:
+        out["DAILY"] = daily.filter(F.col("DATE").isNotNull())
+        rng = date_bounds(daily, "DATE") if others else None
+    for grain, raw in (others or {}).items():
+        frame = ga4_grain(raw) if grain == "ITEMS" else ga4_clean(raw, rules)
+        out[grain] = in_range(frame, rng) if rng else frame.filter(F.lit(False))
+    return out
+
+
 # ---------------------------------------------------------------- guest portal
 def guest_kpis(daily: DataFrame) -> DataFrame:
     """Sessions, key events, conversion rate, engaged sessions, average engagement (s)."""

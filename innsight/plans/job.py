@@ -57,16 +57,10 @@ def _email(cat: TableCatalog, cfg: TenantConfig) -> Reports:
 
 
 def _ga4_frames(cat: TableCatalog, cfg: TenantConfig, grains: Sequence[str]):
-    # Cleaned DAILY feeds the range and several reports: materialise it once
-    # in the shared checkpoint directory.
-    daily = cut_lineage(ga4.ga4_clean(scan_grain(cat, cfg, "DAILY"), cfg.traffic))
-    rng = ga4.ga4_range(daily)
-    out = {"DAILY": ga4.in_range(daily, rng)}
-    for g in grains:
-        raw = scan_grain(cat, cfg, g)
-        frame = ga4.ga4_grain(raw) if g == "ITEMS" else ga4.ga4_clean(raw, cfg.traffic)
-        out[g] = ga4.in_range(frame, rng)
-    return out
+    # DAILY feeds the range and several reports: materialise it once in the
+    # shared checkpoint directory, so the reports and the range read it there.
+    daily = cut_lineage(scan_grain(cat, cfg, "DAILY"))
+    return ga4.page_frames(daily, {g: scan_grain(cat, cfg, g) for g in grains}, rules=cfg.traffic)
 
 
 def _guest_portal(cat: TableCatalog, cfg: TenantConfig) -> Reports:
