@@ -51,6 +51,7 @@ def catalog(spark: SparkSession, sf_dir: str) -> TableCatalog:
         "AURORA_REPORT_ITEMS": fx("report_items"),
         "AURORA_UVE_TRANSACTIONS_GROUPED": fx("transactions_grouped"),
         "mail_notifications": fx("mail_notifications"),
+        "EMAIL_ANALYSIS": fx("mail_notifications"),  # the legacy search page's table
     }
     for grain in ("DAILY", "EVENTS", "ITEMS", "DEVICE", "LOCATION", "SLIDES"):
         tables[f"AURORA_GA4_{grain}"] = fx(f"ga4_{grain.lower()}")
@@ -139,7 +140,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "top_locations": lambda s, d: ga4.top_locations(*_ga4(s, d, "LOCATION")),
         # long view, legacy search, tenants
         "ga4_long": _ga4_long,
-        "search_rows": lambda s, d: search_rows(fixture(s, d, "mail_notifications"), SEARCH_PATTERN),
+        "search_rows": lambda s, d: search_rows(catalog(s, d).table("EMAIL_ANALYSIS"), SEARCH_PATTERN),
         "resolve_tenants": _resolved,
         "entitled_pages": lambda s, d: entitled_pages(_resolved(s, d), registry(s, d)),
         "top_items_by_tenant": lambda s, d: ga4.top_items_by_tenant(fixture(s, d, "ga4_items_by_tenant")),

@@ -18,7 +18,7 @@ from pyspark.sql import types as T
 from innsight.config import UNKNOWN
 from innsight.functions.clean import fill_unknown, lenient_timestamp, to_number0, transaction_status, value_or
 from innsight.operators.filters import DateLike, closed_range, facet_filter, facet_options, facet_predicate
-from innsight.operators.measures import grand_total, money, sum0
+from innsight.operators.measures import grand_total, money, sum0, with_total_row
 
 # Source column -> report column.
 RENAME = {
@@ -103,3 +103,15 @@ def book_date(raw: DataFrame, date_range: DateRange = None, picks: Picks | None
 
 def event_date(raw: DataFrame, date_range: DateRange = None, picks: Picks | None = None) -> DataFrame:
     return attendance_summary(raw, EVENT_DATE, date_range, picks)
+
+
+def attendance_export(raw: DataFrame, date_col: str, date_range: DateRange = None, picks: Picks | None = None) -> DataFrame:
+    """The CSV download: summary rows, then the grand-total row (blank labels).
+
+    The total is computed from the same grouped rows, so Spark reuses the one
+    shuffle for both parts.
+    """
+    grouped = _summary(attendance_rows(raw, date_col, date_range, picks))
+    detail = grouped.withColumn("Net Value", money(F.col("Net Value")))
+    total = grand_total(grouped, ["Net Attendance", "Net Value"])
+    return with_total_row(detail, total, [F.desc_nulls_last("Net Attendance"), F.col("Item"), F.col("Department")])

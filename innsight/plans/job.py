@@ -37,6 +37,7 @@ def _product(cat: TableCatalog, cfg: TenantConfig) -> Reports:
     raw = scan_report_items(cat, cfg)
     yield "detail", prod.product_performance(raw)
     yield "total", prod.product_total(raw)
+    yield "export", prod.product_export(raw)
 
 
 def _attendance(date_col: str) -> Callable[[TableCatalog, TenantConfig], Reports]:
@@ -44,6 +45,7 @@ def _attendance(date_col: str) -> Callable[[TableCatalog, TenantConfig], Reports
         raw = scan_transactions(cat, cfg)
         yield "summary", att.attendance_summary(raw, date_col)
         yield "total", att.attendance_total(raw, date_col)
+        yield "export", att.attendance_export(raw, date_col)
     return build
 
 

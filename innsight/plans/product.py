@@ -18,7 +18,7 @@ from innsight.config import UNKNOWN
 from innsight.functions.clean import fill_unknown, month_key, month_label, value_or
 from innsight.operators.dedup import distinct_rows
 from innsight.operators.filters import facet_filter, facet_options, facet_predicate
-from innsight.operators.measures import ratio, sum0
+from innsight.operators.measures import ratio, sum0, with_total_row
 
 # Source column -> report column, and the report's column order.
 RENAME = {
@@ -100,3 +100,15 @@ def product_total(raw: DataFrame, picks: Picks | None = None, on_bad_month: str
 def product_options(raw: DataFrame, picks: Picks | None = None, on_bad_month: str = "fail") -> DataFrame:
     """Cascading option lists of month, item and department."""
     return facet_options(clean_report_items(raw, on_bad_month), FACETS, picks)
+
+
+def product_export(raw: DataFrame, picks: Picks | None = None, on_bad_month: str = "fail") -> DataFrame:
+    """The CSV download: detail rows, then the total row.
+
+    As in the application's file, the total's labels are blank, its ratio sits
+    in an extra last column ``Overall Conversion`` and its ``Conversion`` is
+    blank.
+    """
+    detail = product_performance(raw, picks, on_bad_month)
+    order = [F.desc_nulls_last("View"), F.col("`Booked Year Month`"), F.col("`Item Name`"), F.col("Department")]
+    return with_total_row(detail, product_total(raw, picks, on_bad_month), order)

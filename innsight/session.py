@@ -34,18 +34,26 @@ def local_session(cores: int | str = "*", shuffle_partitions: int = 8, app: str
     return spark
 
 
+class CheckpointDirUnset(RuntimeError):
+    """A cluster session has no shared ``spark.checkpoint.dir``."""
+
+
 def ensure_checkpoint_dir(spark: SparkSession) -> str:
-    """Return the session's checkpoint directory, creating a scratch one only if unset.
+    """Return the session's checkpoint directory.
 
     On a cluster ``spark.checkpoint.dir`` names a shared folder and is used as
-    is; the scratch fallback exists for local tests only.
+    is; if it is unset there, this raises rather than fall back to a
+    machine-local folder.  Only a local-mode session (tests) gets a scratch
+    folder of its own.
     """
     sc = spark.sparkContext
-    current = sc.getCheckpointDir() or spark.conf.get("spark.checkpoint.dir", None)
+    current = sc.getCheckpointDir() or sc.getConf().get("spark.checkpoint.dir", None)
     if current:
         if not sc.getCheckpointDir():
             sc.setCheckpointDir(current)
         return current
+    if not sc.master.startswith("local"):
+        raise CheckpointDirUnset("set spark.checkpoint.dir to a shared folder (e.g. on the cluster's file system)")
     path = tempfile.mkdtemp(prefix="innsight-ckpt-")
     sc.setCheckpointDir(path)
     return path

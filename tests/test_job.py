@@ -43,3 +43,39 @@ def test_smoke_values(spark):
     tx = clean_transactions(fixture(spark, sf, "transactions_grouped"))
     counts = {r["Transaction Status"]: r["count"] for r in tx.groupBy("Transaction Status").count().collect()}
     assert counts == {"Charged": 38852, "Refunded": 21148}
+
+
+def test_exports_append_total_row(spark, sf_dir):
+    from innsight.plans import attendance as att
+    from innsight.plans import product as prod
+
+    items = fixture(spark, sf_dir, "report_items")
+    rows = prod.product_export(items).collect()
+    detail, total = rows[:-1], rows[-1]
+    assert total["Booked Year Month"] is None and total.Conversion is None
+    assert total["Overall Conversion"] is not None and all(r["Overall Conversion"] is None for r in detail)
+    assert total.View == sum(r.View for r in detail)
+    tx = fixture(spark, sf_dir, "transactions_grouped")
+    out = att.attendance_export(tx, att.BOOK_DATE).collect()
+    assert out[-1].Item is None
+    assert out[-1]["Net Attendance"] == sum(r["Net Attendance"] for r in out[:-1])
+
+
+def test_empty_source_gives_zero_reports(spark, sf_dir):
+    from innsight.plans import ga4
+
+    daily = fixture(spark, sf_dir, "ga4_daily").filter("false")
+    frames = ga4.page_frames(daily, {"EVENTS": fixture(spark, sf_dir, "ga4_events")})
+    k = ga4.guest_kpis(frames["DAILY"]).first()
+    assert (k.Sessions, k["Conversion Rate"]) == (0, 0.0)
+    assert [r.Events for r in ga4.funnel(frames["EVENTS"]).collect()] == [0] * 6
+
+
+def test_new_tenant_is_an_append(spark, scratch):
+    from innsight.config import TenantConfig
+    from innsight.sources.registry import load_registry, seed_customers
+
+    path = f"{scratch}/customers"
+    seed_customers(spark, [TenantConfig("a", "A", "A", ("book_date",))]).write.parquet(path)
+    seed_customers(spark, [TenantConfig("b", "B", "B", ("audience",))]).write.mode("append").parquet(path)
+    assert sorted(r.customer for r in load_registry(spark.read.parquet(path)).collect()) == ["a", "b"]
