@@ -50,14 +50,16 @@ def facet_filter(
     return df.filter(reduce(lambda a, b: a & b, preds)) if preds else df
 
 
-def facet_options(df: DataFrame, facets: Sequence[str], picks: Mapping[str, Sequence] | None = None) -> DataFrame:
+def facet_options(
+    df: DataFrame, facets: Sequence[str], picks: Mapping[str, Sequence] | None = None, by: Sequence[str] = ()
+) -> DataFrame:
     """Cascading option lists: distinct non-NULL values of each facet, after the
     picks of the facets before it.
 
     One scan for all facets: every row emits one ``(position, facet, value)``
     entry per facet it is eligible for, then a single distinct (partially
     aggregated map-side) collapses them.  Result is long, ordered by facet
-    position then value.
+    position then value (within each ``by`` group).
     """
     picks = picks or {}
     entries = []
@@ -74,11 +76,11 @@ def facet_options(df: DataFrame, facets: Sequence[str], picks: Mapping[str, Sequ
         if picks.get(facet):
             passed = passed & facet_predicate(facet, picks[facet])
     return (
-        df.select(F.inline(F.array(*entries)))
+        df.select(*by, F.inline(F.array(*entries)))
         .filter(F.col("eligible") & F.col("value").isNotNull())
-        .select("position", "facet", "value")
+        .select(*by, "position", "facet", "value")
         .distinct()
-        .orderBy("position", "value")
+        .orderBy(*by, "position", "value")
     )
 
 

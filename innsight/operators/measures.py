@@ -10,7 +10,7 @@ from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -54,29 +54,34 @@ def _all_not_null(keys: Sequence[str]) -> Column:
     return pred
 
 
-def group_sizes(df: DataFrame, key: str, name: str = "Total") -> DataFrame:
-    """Rows per key value, NULL key dropped, ordered by key."""
+def group_sizes(df: DataFrame, key: str, name: str = "Total", by: Sequence[str] = ()) -> DataFrame:
+    """Rows per key value (per ``by`` group), NULL key dropped, ordered by key."""
     return (
         df.filter(F.col(key).isNotNull())
-        .groupBy(key)
+        .groupBy(*by, key)
         .agg(F.count(F.lit(1)).alias(name))
-        .orderBy(key)
+        .orderBy(*by, key)
     )
 
 
-def daily_series(df: DataFrame, ts_col: str, measures: Mapping[str, str | Column], out_col: str = "DATE") -> DataFrame:
+def daily_series(
+    df: DataFrame, ts_col: str, measures: Mapping[str, str | Column], out_col: str = "DATE", by: Sequence[str] = ()
+) -> DataFrame:
     """Sums per calendar day of ``ts_col`` (NULL days dropped), in day order; no gap filling."""
     day = F.to_date(F.col(ts_col))
     return (
         df.filter(F.col(ts_col).isNotNull())
-        .groupBy(day.alias(out_col))
+        .groupBy(*by, day.alias(out_col))
         .agg(*[sum0(c).alias(name) for name, c in measures.items()])
-        .orderBy(out_col)
+        .orderBy(*by, out_col)
     )
 
 
-def top_k(df: DataFrame, order: Sequence[Column], k: int) -> DataFrame:
-    """First ``k`` rows by ``order`` (planned as ``TakeOrderedAndProject``)."""
+def top_k(df: DataFrame, order: Sequence[Column], k: int, by: Sequence[str] = ()) -> DataFrame:
+    """First ``k`` rows by ``order`` (planned as ``TakeOrderedAndProject``);
+    with ``by``, the first ``k`` of each group (see :func:`top_k_per_group`)."""
+    if by:
+        return top_k_per_group(df, by, order, k).orderBy(*by, *order)
     return df.orderBy(*order).limit(k)
 
 
@@ -92,19 +97,22 @@ def top_k_per_group(df: DataFrame, groups: Sequence[str], order: Sequence[Column
     return out if rank_col else out.drop(_RN)
 
 
-def grand_total(df: DataFrame, columns: Sequence[str], digits: int | None = 2) -> DataFrame:
-    """One row: the sum of each of ``columns`` (rounded half-even to ``digits``)."""
+def grand_total(df: DataFrame, columns: Sequence[str], digits: int | None = 2, by: Sequence[str] = ()) -> DataFrame:
+    """One row (per ``by`` group): the sum of each of ``columns``, floating sums
+    rounded half-even to ``digits``."""
     aggs = []
     for c in columns:
         s = sum0(f"`{c}`")
         if digits is not None and isinstance(df.schema[c].dataType, (T.FloatType, T.DoubleType, T.DecimalType)):
             s = F.bround(s, digits)
         aggs.append(s.alias(c))
-    return df.agg(*aggs)
+    return df.groupBy(*by).agg(*aggs)
 
 
-def with_total_row(detail: DataFrame, total: DataFrame, order: Sequence[Column] = ()) -> DataFrame:
-    """Detail rows followed by the total row (missing columns NULL).
+def with_total_row(
+    detail: DataFrame, total: DataFrame, order: Sequence[Column] = (), by: Sequence[str] = ()
+) -> DataFrame:
+    """Detail rows followed by the total row (missing columns NULL), per ``by`` group.
 
     When ``total`` is computed from ``detail`` the two branches share one
     shuffle (Spark reuses the exchange), so the source is read once.
@@ -113,7 +121,7 @@ def with_total_row(detail: DataFrame, total: DataFrame, order: Sequence[Column]
     d = detail.withColumn(marker, F.lit(0))
     t = total.withColumn(marker, F.lit(1))
     both = d.unionByName(t, allowMissingColumns=True)
-    return both.orderBy(F.col(marker), *order).drop(marker)
+    return both.orderBy(*by, F.col(marker), *order).drop(marker)
 
 
 def conditional_segments(
@@ -121,13 +129,16 @@ def conditional_segments(
     segments: Sequence[tuple[str, Column | None]],
     counts: Mapping[str, str],
     sums: Mapping[str, str],
+    by: Sequence[str] = (),
 ) -> DataFrame:
     """Metrics of possibly overlapping row segments in one pass.
 
     ``segments`` is ``[(label, predicate or None for all rows), ...]``; each
     segment gets ``count(col)`` for ``counts`` and ``sum(col)`` for ``sums``
-    as conditional aggregates of a single global aggregation, then the one
-    wide row is turned into one row per segment (``position``, ``label``).
+    as conditional aggregates of a single aggregation (global, or per ``by``
+    group), then each wide row is turned into one row per segment
+    (``position``, ``label``).  Segments need no join and no extra scan, and
+    an empty segment still yields its row.
     """
     aggs = []
     for i, (_, cond) in enumerate(segments):
@@ -137,7 +148,7 @@ def conditional_segments(
         for name, c in sums.items():
             x = F.col(c) if cond is None else F.when(cond, F.col(c))
             aggs.append(sum0(x).alias(f"s{i}__{name}"))
-    wide = df.agg(*aggs)
+    wide = df.groupBy(*by).agg(*aggs)
     rows = [
         F.struct(
             F.lit(i).alias("position"),
@@ -146,32 +157,4 @@ def conditional_segments(
         )
         for i, (label, _) in enumerate(segments)
     ]
-    return wide.select(F.inline(F.array(*rows)))
-
-
-def ordered_lookup(
-    spark: SparkSession,
-    steps: Sequence[tuple[str, str]],
-    totals: DataFrame,
-    key: str,
-    value: str,
-    key_label: str,
-    value_label: str,
-) -> DataFrame:
-    """Fixed ordered steps left-joined to per-key totals; missing steps get 0.
-
-    ``totals`` must already be restricted to the step keys, so it holds at most
-    ``len(steps)`` rows and is safe to broadcast.
-    """
-    schema = T.StructType([
-        T.StructField("position", T.IntegerType(), False),
-        T.StructField(key, T.StringType(), False),
-        T.StructField(key_label, T.StringType(), False),
-    ])
-    frame = spark.createDataFrame([(i, k, lbl) for i, (k, lbl) in enumerate(steps)], schema)
-    joined = frame.join(F.broadcast(totals), on=key, how="left")
-    return joined.select(
-        "position",
-        F.col(key_label),
-        F.coalesce(F.col(value), F.lit(0)).cast("bigint").alias(value_label),
-    ).orderBy("position").drop("position")
+    return wide.select(*by, F.inline(F.array(*rows)))

@@ -72,29 +72,38 @@ def attendance_rows(raw: DataFrame, date_col: str, date_range: DateRange = None,
     return facet_filter(attendance_base(raw, date_col, date_range), rest)
 
 
-def _summary(rows: DataFrame) -> DataFrame:
-    return rows.groupBy("Item", "Department").agg(
+def _summary(rows: DataFrame, by: Sequence[str] = ()) -> DataFrame:
+    return rows.groupBy(*by, "Item", "Department").agg(
         sum0("Net Attendance").alias("Net Attendance"),
         sum0("Net Value").alias("Net Value"),
     )
 
 
-def attendance_summary(raw: DataFrame, date_col: str, date_range: DateRange = None, picks: Picks | None = None) -> DataFrame:
-    """Net attendance and net value per (Item, Department), largest attendance first."""
-    s = _summary(attendance_rows(raw, date_col, date_range, picks))
-    return s.withColumn("Net Value", money(F.col("Net Value"))).orderBy(
-        F.desc_nulls_last("Net Attendance"), "Item", "Department"
-    )
+def _order() -> list:
+    return [F.desc_nulls_last("Net Attendance"), F.col("Item"), F.col("Department")]
+
+
+def attendance_summary(raw: DataFrame, date_col: str, date_range: DateRange = None, picks: Picks | None = None,
+                       by: Sequence[str] = ()) -> DataFrame:
+    """Net attendance and net value per (Item, Department), largest attendance first.
+
+    ``by`` adds leading group keys (e.g. ``tenant`` when tenants share a table).
+    """
+    s = _summary(attendance_rows(raw, date_col, date_range, picks), by)
+    return s.withColumn("Net Value", money(F.col("Net Value"))).orderBy(*by, *_order())
 
 
-def attendance_total(raw: DataFrame, date_col: str, date_range: DateRange = None, picks: Picks | None = None) -> DataFrame:
-    """Grand total of the summary (one row), rounded half-even to 2 decimals."""
-    return grand_total(_summary(attendance_rows(raw, date_col, date_range, picks)), ["Net Attendance", "Net Value"])
+def attendance_total(raw: DataFrame, date_col: str, date_range: DateRange = None, picks: Picks | None = None,
+                     by: Sequence[str] = ()) -> DataFrame:
+    """Grand total of the summary (one row per ``by`` group), rounded half-even to 2 decimals."""
+    return grand_total(_summary(attendance_rows(raw, date_col, date_range, picks), by),
+                       ["Net Attendance", "Net Value"], by=by)
 
 
-def attendance_options(raw: DataFrame, date_col: str, date_range: DateRange = None, picks: Picks | None = None) -> DataFrame:
+def attendance_options(raw: DataFrame, date_col: str, date_range: DateRange = None, picks: Picks | None = None,
+                       by: Sequence[str] = ()) -> DataFrame:
     """Cascading option lists of the seven facets (after the date range)."""
-    return facet_options(attendance_base(raw, date_col, date_range), FACETS, picks)
+    return facet_options(attendance_base(raw, date_col, date_range), FACETS, picks, by)
 
 
 def book_date(raw: DataFrame, date_range: DateRange = None, picks: Picks | None = None) -> DataFrame:
@@ -105,13 +114,14 @@ def event_date(raw: DataFrame, date_range: DateRange = None, picks: Picks | None
     return attendance_summary(raw, EVENT_DATE, date_range, picks)
 
 
-def attendance_export(raw: DataFrame, date_col: str, date_range: DateRange = None, picks: Picks | None = None) -> DataFrame:
+def attendance_export(raw: DataFrame, date_col: str, date_range: DateRange = None, picks: Picks | None = None,
+                      by: Sequence[str] = ()) -> DataFrame:
     """The CSV download: summary rows, then the grand-total row (blank labels).
 
     The total is computed from the same grouped rows, so Spark reuses the one
     shuffle for both parts.
     """
-    grouped = _summary(attendance_rows(raw, date_col, date_range, picks))
+    grouped = _summary(attendance_rows(raw, date_col, date_range, picks), by)
     detail = grouped.withColumn("Net Value", money(F.col("Net Value")))
-    total = grand_total(grouped, ["Net Attendance", "Net Value"])
-    return with_total_row(detail, total, [F.desc_nulls_last("Net Attendance"), F.col("Item"), F.col("Department")])
+    total = grand_total(grouped, ["Net Attendance", "Net Value"], by=by)
+    return with_total_row(detail, total, _order(), by)

@@ -25,16 +25,28 @@ SUMMARY_COLUMNS = (
 )
 
 
+def email_base(raw: DataFrame) -> DataFrame:
+    """One row per ``DATA_ID`` (first by timestamp), measures as numbers,
+    wall-clock timestamps.  Independent of the tenant: when several tenants
+    read the same source it is computed once and shared."""
+    df = keep_first(raw, ["DATA_ID"], [F.col(TS).asc_nulls_last()], [TS])
+    df = to_number0(df, EMAIL_NUMERIC)
+    return df.withColumn(TS, wall_clock(F.col(TS)))
+
+
 def email_scope(raw: DataFrame, cfg: EmailConfig, date_range: tuple[DateLike, DateLike] | None = None) -> DataFrame:
-    """Messages of this property within the date range, one row per ``DATA_ID``.
+    """Messages of this property within the date range, one row per ``DATA_ID``."""
+    return email_in_scope(email_base(raw), cfg, date_range)
+
+
+def email_in_scope(base: DataFrame, cfg: EmailConfig, date_range: tuple[DateLike, DateLike] | None = None) -> DataFrame:
+    """Subject scope and date range over :func:`email_base` rows.
 
     Without a range the default is the first..last day of the scoped data,
     which keeps every message that has a timestamp; no extra pass is needed
     to find those days.
     """
-    df = keep_first(raw, ["DATA_ID"], [F.col(TS).asc_nulls_last()], [TS])
-    df = to_number0(df, EMAIL_NUMERIC)
-    df = df.withColumn(TS, wall_clock(F.col(TS)))
+    df = base
     if cfg.subject_match:
         df = subject_scope(df, cfg.subject_field, cfg.subject_match)
     if date_range is None:

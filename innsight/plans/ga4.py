@@ -22,8 +22,9 @@ from innsight.config import (
 from innsight.functions.clean import lenient_timestamp, to_number0, truncate_int
 from innsight.functions.formats import one_decimal_pct
 from innsight.operators.filters import DateLike, closed_range, date_bounds, not_equal_keep_null, traffic_filter
+from innsight.operators.joins import bounded_broadcast
 from innsight.operators.measures import (
-    daily_series, keyed_sums, ordered_lookup, ratio, sum0, top_k, top_k_per_group,
+    conditional_segments, daily_series, keyed_sums, ratio, sum0, top_k, top_k_per_group,
 )
 from innsight.operators.union import conform, union_all_by_name
 
@@ -62,39 +63,59 @@ def page_frames(
     others: dict[str, DataFrame] | None = None,
     date_range: DateRange | None = None,
     rules: TrafficRules = TrafficRules(),
+    by: Sequence[str] = (),
+    max_broadcast_groups: int = 100_000,
 ) -> dict[str, DataFrame]:
     """Cleaned grains of a GA4 page, each restricted to the page's date range.
 
     ``others`` maps grain name to raw frame; ``ITEMS`` is range-filtered only,
     every other grain is also traffic-filtered.  Without a selected range the
     default is DAILY's own first..last day: on DAILY itself that keeps every
-    dated row, so the bounds are computed (one small action) only when other
-    grains need them.
+    dated row, so the bounds are computed only when other grains need them.
+    For one tenant they are two literals (one small action, then pushed into
+    the scans); with ``by`` (tenants sharing tables) each group gets its own
+    bounds, joined to the other grains on the group keys (one row per group,
+    broadcast only when the group count is checked small).
     """
     daily = ga4_clean(daily_raw, rules)
     out = {}
     if date_range is not None:
-        rng = date_range
-        out["DAILY"] = in_range(daily, rng)
+        out["DAILY"] = in_range(daily, date_range)
     else:
         out["DAILY"] = daily.filter(F.col("DATE").isNotNull())
-        rng = date_bounds(daily, "DATE") if others else None
-    for grain, raw in (others or {}).items():
+    if not others:
+        return out
+    if date_range is not None:
+        rng = date_range
+    elif by:
+        bounds = daily.filter(F.col("DATE").isNotNull()).groupBy(*by).agg(
+            F.min("DATE").alias("__lo"), F.max("DATE").alias("__hi"))
+        bounds = bounded_broadcast(bounds, max_broadcast_groups)
+    else:
+        rng = date_bounds(daily, "DATE")
+    for grain, raw in others.items():
         frame = ga4_grain(raw) if grain == "ITEMS" else ga4_clean(raw, rules)
-        out[grain] = in_range(frame, rng) if rng else frame.filter(F.lit(False))
+        if date_range is None and by:
+            d = F.col("DATE")
+            frame = frame.join(bounds, on=list(by), how="inner").filter(
+                (d >= F.col("__lo")) & (d <= F.col("__hi"))).drop("__lo", "__hi")
+        else:
+            frame = in_range(frame, rng) if rng else frame.filter(F.lit(False))
+        out[grain] = frame
     return out
 
 
 # ---------------------------------------------------------------- guest portal
-def guest_kpis(daily: DataFrame) -> DataFrame:
+def guest_kpis(daily: DataFrame, by: Sequence[str] = ()) -> DataFrame:
     """Sessions, key events, conversion rate, engaged sessions, average engagement (s)."""
-    s = daily.agg(
+    s = daily.groupBy(*by).agg(
         sum0("SESSIONS").alias("s"),
         sum0("KEYEVENTS").alias("k"),
         sum0("ENGAGEDSESSIONS").alias("e"),
         sum0("USERENGAGEMENTDURATION").alias("d"),
     )
     return s.select(
+        *by,
         truncate_int(F.col("s")).alias("Sessions"),
         truncate_int(F.col("k")).alias("Key Events"),
         ratio(F.col("k"), F.col("s")).alias("Conversion Rate"),
@@ -103,36 +124,52 @@ def guest_kpis(daily: DataFrame) -> DataFrame:
     )
 
 
-def sessions_over_time(daily: DataFrame) -> DataFrame:
+def sessions_over_time(daily: DataFrame, by: Sequence[str] = ()) -> DataFrame:
     """Sessions per calendar day."""
-    return daily_series(daily, "DATE", {"Sessions": "SESSIONS"})
+    return daily_series(daily, "DATE", {"Sessions": "SESSIONS"}, by=by)
 
 
-def funnel(events: DataFrame, steps: Sequence[tuple[str, str]] = FUNNEL_STEPS) -> DataFrame:
+def funnel(events: DataFrame, steps: Sequence[tuple[str, str]] = FUNNEL_STEPS, by: Sequence[str] = ()) -> DataFrame:
     """Event counts of the ordered funnel steps; a step with no events shows 0.
 
-    The events are restricted to the step names first (a pushed-down IN
-    filter), so the per-step totals are at most ``len(steps)`` rows.
+    One conditional aggregate: each step is ``sum(EVENTCOUNT)`` over its event
+    name, so every step gets a row even without events, with no join.  The
+    events are first restricted to the step names (an IN filter that reaches
+    the scan).
     """
     names = [k for k, _ in steps]
-    totals = keyed_sums(events.filter(F.col("EVENTNAME").isin(names)), ["EVENTNAME"], {"total": "EVENTCOUNT"})
-    return ordered_lookup(events.sparkSession, steps, totals, "EVENTNAME", "total", "Step", "Events")
+    name = F.col("EVENTNAME")
+    seg = conditional_segments(
+        events.filter(name.isin(names)),
+        [(label, name == F.lit(k)) for k, label in steps],
+        counts={},
+        sums={"Events": "EVENTCOUNT"},
+        by=by,
+    )
+    return seg.select(
+        *by, "position", F.col("label").alias("Step"), F.col("Events").cast("bigint").alias("Events")
+    ).orderBy(*by, "position").drop("position")
+
+
+def _item_sums(items: DataFrame, by: Sequence[str] = ()) -> DataFrame:
+    return keyed_sums(items, [*by, "ITEMNAME"], {"v": "ITEMSVIEWED", "p": "ITEMSPURCHASED"})
 
 
-def _item_sums(items: DataFrame) -> DataFrame:
-    return keyed_sums(items, ["ITEMNAME"], {"v": "ITEMSVIEWED", "p": "ITEMSPURCHASED"})
+def _item_order() -> list:
+    return [F.desc_nulls_last("v"), F.asc("ITEMNAME")]
 
 
-def top_items(items: DataFrame, k: int = TOP_ITEMS_K) -> DataFrame:
+def top_items(items: DataFrame, k: int = TOP_ITEMS_K, by: Sequence[str] = ()) -> DataFrame:
     """Items with the most views (viewed and purchased)."""
-    top = top_k(_item_sums(items), [F.desc_nulls_last("v"), F.asc("ITEMNAME")], k)
-    return top.select(F.col("ITEMNAME").alias("Item"), F.col("v").alias("Viewed"), F.col("p").alias("Purchased"))
+    top = top_k(_item_sums(items, by), _item_order(), k, by)
+    return top.select(*by, F.col("ITEMNAME").alias("Item"), F.col("v").alias("Viewed"), F.col("p").alias("Purchased"))
 
 
-def most_visited(items: DataFrame, k: int = MOST_VISITED_K) -> DataFrame:
+def most_visited(items: DataFrame, k: int = MOST_VISITED_K, by: Sequence[str] = ()) -> DataFrame:
     """Most-viewed experiences with their conversion (purchased / viewed) as text."""
-    top = top_k(_item_sums(items), [F.desc_nulls_last("v"), F.asc("ITEMNAME")], k)
+    top = top_k(_item_sums(items, by), _item_order(), k, by)
     return top.select(
+        *by,
         F.col("ITEMNAME").alias("Experience"),
         F.col("v").alias("Views"),
         F.col("p").alias("Purchased"),
@@ -142,9 +179,8 @@ def most_visited(items: DataFrame, k: int = MOST_VISITED_K) -> DataFrame:
 
 def top_items_by_tenant(items: DataFrame, k: int = TOP_ITEMS_K, tenant_col: str = "TENANT") -> DataFrame:
     """:func:`top_items` for every tenant of a shared table at once, with the rank."""
-    sums = keyed_sums(items.filter(F.col(tenant_col).isNotNull()), [tenant_col, "ITEMNAME"],
-                      {"v": "ITEMSVIEWED", "p": "ITEMSPURCHASED"})
-    ranked = top_k_per_group(sums, [tenant_col], [F.desc_nulls_last("v"), F.asc("ITEMNAME")], k, rank_col="Rank")
+    sums = _item_sums(items.filter(F.col(tenant_col).isNotNull()), [tenant_col])
+    ranked = top_k_per_group(sums, [tenant_col], _item_order(), k, rank_col="Rank")
     return ranked.select(
         F.col(tenant_col).alias("Tenant"),
         "Rank",
@@ -155,15 +191,16 @@ def top_items_by_tenant(items: DataFrame, k: int = TOP_ITEMS_K, tenant_col: str
 
 
 # ---------------------------------------------------------------- audience
-def audience_kpis(daily: DataFrame) -> DataFrame:
+def audience_kpis(daily: DataFrame, by: Sequence[str] = ()) -> DataFrame:
     """Total users, new users, share of new users, sessions per user, bounce rate."""
-    s = daily.agg(
+    s = daily.groupBy(*by).agg(
         sum0("TOTALUSERS").alias("t"),
         sum0("NEWUSERS").alias("n"),
         sum0("SESSIONS").alias("s"),
         sum0("ENGAGEDSESSIONS").alias("e"),
     )
     return s.select(
+        *by,
         truncate_int(F.col("t")).alias("Total Users"),
         truncate_int(F.col("n")).alias("New Users"),
         ratio(F.col("n"), F.col("t")).alias("% New Users"),
@@ -172,29 +209,30 @@ def audience_kpis(daily: DataFrame) -> DataFrame:
     )
 
 
-def users_over_time(daily: DataFrame) -> DataFrame:
+def users_over_time(daily: DataFrame, by: Sequence[str] = ()) -> DataFrame:
     """Total and new users per calendar day."""
-    return daily_series(daily, "DATE", {"Total Users": "TOTALUSERS", "New Users": "NEWUSERS"})
+    return daily_series(daily, "DATE", {"Total Users": "TOTALUSERS", "New Users": "NEWUSERS"}, by=by)
 
 
-def devices(device: DataFrame) -> DataFrame:
+def devices(device: DataFrame, by: Sequence[str] = ()) -> DataFrame:
     """Sessions per device category, most first (no limit)."""
-    sums = keyed_sums(device, ["DEVICECATEGORY"], {"Sessions": "SESSIONS"})
-    return sums.orderBy(F.desc_nulls_last("Sessions"), "DEVICECATEGORY")
+    sums = keyed_sums(device, [*by, "DEVICECATEGORY"], {"Sessions": "SESSIONS"})
+    return sums.orderBy(*by, F.desc_nulls_last("Sessions"), "DEVICECATEGORY")
 
 
-def acquisition(daily: DataFrame, k: int = ACQUISITION_K) -> DataFrame:
+def acquisition(daily: DataFrame, k: int = ACQUISITION_K, by: Sequence[str] = ()) -> DataFrame:
     """Sessions of the top session sources (NULL source dropped)."""
-    sums = keyed_sums(daily, ["SESSIONSOURCE"], {"Sessions": "SESSIONS"})
-    return top_k(sums, [F.desc_nulls_last("Sessions"), F.asc("SESSIONSOURCE")], k)
+    sums = keyed_sums(daily, [*by, "SESSIONSOURCE"], {"Sessions": "SESSIONS"})
+    return top_k(sums, [F.desc_nulls_last("Sessions"), F.asc("SESSIONSOURCE")], k, by)
 
 
-def top_locations(location: DataFrame, rules: TrafficRules = TrafficRules(), k: int = TOP_LOCATIONS_K) -> DataFrame:
+def top_locations(location: DataFrame, rules: TrafficRules = TrafficRules(), k: int = TOP_LOCATIONS_K,
+                  by: Sequence[str] = ()) -> DataFrame:
     """Sessions of the top (city, country) pairs, one city left out."""
     kept = location.filter(not_equal_keep_null("CITY", rules.excluded_city))
-    sums = keyed_sums(kept, ["CITY", "COUNTRY"], {"Sessions": "SESSIONS"})
-    top = top_k(sums, [F.desc_nulls_last("Sessions"), F.asc("CITY"), F.asc("COUNTRY")], k)
-    return top.select(F.col("CITY").alias("City"), F.col("COUNTRY").alias("Country"), "Sessions")
+    sums = keyed_sums(kept, [*by, "CITY", "COUNTRY"], {"Sessions": "SESSIONS"})
+    top = top_k(sums, [F.desc_nulls_last("Sessions"), F.asc("CITY"), F.asc("COUNTRY")], k, by)
+    return top.select(*by, F.col("CITY").alias("City"), F.col("COUNTRY").alias("Country"), "Sessions")
 
 
 # ---------------------------------------------------------------- long view

@@ -18,7 +18,7 @@ from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from innsight.config import TenantConfig
+from innsight.config import PAGE_TITLES, TenantConfig
 from innsight.plans import attendance as att
 from innsight.plans import email as em
 from innsight.plans import ga4
@@ -139,3 +139,92 @@ def build_marts(
             except (UnknownTable, AnalysisException) as e:
                 results.append(BuildResult(cfg.customer, page, "", "failed", f"missing source: {e}"))
     return results
+
+
+# ---------------------------------------------------------------- shared tables
+# When tenants share one table per source (a leading tenant column), each
+# report is computed once for every entitled tenant, grouped by tenant: one
+# job per report instead of one per tenant and report.
+
+SHARED_SOURCES = ("REPORT_ITEMS", "UVE_TRANSACTIONS_GROUPED", "GA4_DAILY", "GA4_EVENTS", "GA4_ITEMS",
+                  "GA4_DEVICE", "GA4_LOCATION")
+
+
+def _shared_reports(page: str, t: dict[str, DataFrame], by: list[str]) -> Reports:
+    if page == "product_performance":
+        raw = t["REPORT_ITEMS"]
+        yield "detail", prod.product_performance(raw, by=by)
+        yield "total", prod.product_total(raw, by=by)
+    elif page in ("book_date", "event_date"):
+        raw, col = t["UVE_TRANSACTIONS_GROUPED"], att.BOOK_DATE if page == "book_date" else att.EVENT_DATE
+        yield "summary", att.attendance_summary(raw, col, by=by)
+        yield "total", att.attendance_total(raw, col, by=by)
+    elif page == "guest_portal":
+        f = ga4.page_frames(cut_lineage(t["GA4_DAILY"]), {"EVENTS": t["GA4_EVENTS"], "ITEMS": t["GA4_ITEMS"]}, by=by)
+        yield "kpis", ga4.guest_kpis(f["DAILY"], by)
+        yield "sessions", ga4.sessions_over_time(f["DAILY"], by)
+        yield "funnel", ga4.funnel(f["EVENTS"], by=by)
+        yield "top_items", ga4.top_items(f["ITEMS"], by=by)
+        yield "most_visited", ga4.most_visited(f["ITEMS"], by=by)
+    elif page == "audience":
+        f = ga4.page_frames(cut_lineage(t["GA4_DAILY"]), {"DEVICE": t["GA4_DEVICE"], "LOCATION": t["GA4_LOCATION"]},
+                            by=by)
+        yield "kpis", ga4.audience_kpis(f["DAILY"], by)
+        yield "users", ga4.users_over_time(f["DAILY"], by)
+        yield "devices", ga4.devices(f["DEVICE"], by)
+        yield "acquisition", ga4.acquisition(f["DAILY"], by=by)
+        yield "locations", ga4.top_locations(f["LOCATION"], by=by)
+
+
+def build_shared_marts(
+    registry: DataFrame,
+    tables: dict[str, DataFrame],
+    email_tables: dict[str, DataFrame] | None,
+    out_dir: str,
+    tenant_col: str = "tenant",
+) -> list[BuildResult]:
+    """Every entitled report of every tenant, from tables shared by all tenants.
+
+    ``tables`` maps a source suffix (``SHARED_SOURCES``) to the shared table,
+    whose ``tenant_col`` holds the customer key.  Each report is one Spark
+    job over the tenants entitled to its page (an IN filter on the tenant
+    column, pushed into the scan or its partition pruning).  ``email_tables``
+    maps an email table name to its frame: its keyed de-duplication runs once
+    per table, then each tenant applies its own subject scope and buckets.
+    """
+    configs = tenant_configs(registry)
+    results: list[BuildResult] = []
+    out = out_dir.rstrip("/")
+    for page in PAGE_TITLES:
+        tenants = [c.customer for c in configs if page in c.pages]
+        if not tenants:
+            continue
+        if page == "email_campaigns":
+            results += _shared_email(configs, tenants, email_tables or {}, out)
+            continue
+        scoped = {k: df.filter(F.col(tenant_col).isin(tenants)) for k, df in tables.items()}
+        for report, df in _shared_reports(page, scoped, [tenant_col]):
+            write_parquet(df, f"{out}/{page}/{report}", (tenant_col,))
+            results += [BuildResult(t, page, report, "ok") for t in tenants]
+    return results
+
+
+def _shared_email(configs, tenants, email_tables, out) -> list[BuildResult]:
+    results = []
+    bases: dict[str, DataFrame] = {}
+    for cfg in configs:
+        if cfg.customer not in tenants or cfg.email is None:
+            continue
+        name = cfg.email.table
+        if name not in email_tables:
+            results.append(BuildResult(cfg.customer, "email_campaigns", "", "failed", f"missing source: {name}"))
+            continue
+        if name not in bases:  # de-duplicate each shared source once
+            bases[name] = cut_lineage(em.email_base(email_tables[name]))
+        scoped = em.email_in_scope(bases[name], cfg.email)
+        for report, df in (("summary", em.email_summary(scoped, cfg.email)),
+                           ("by_state", em.email_by_state(scoped)),
+                           ("open_frequency", em.email_open_frequency(scoped))):
+            write_parquet(df.withColumn("tenant", F.lit(cfg.customer)), f"{out}/email_campaigns/{report}")
+            results.append(BuildResult(cfg.customer, "email_campaigns", report, "ok"))
+    return results

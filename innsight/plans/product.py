@@ -68,17 +68,24 @@ def product_rows(raw: DataFrame, picks: Picks | None = None, on_bad_month: str =
     return facet_filter(clean_report_items(raw, on_bad_month), rest)
 
 
-def product_performance(raw: DataFrame, picks: Picks | None = None, on_bad_month: str = "fail") -> DataFrame:
-    """The detail table, most-viewed first."""
-    rows = product_rows(raw, picks, on_bad_month).select(*[F.col(f"`{c}`") for c in COLUMNS])
-    return rows.orderBy(F.desc_nulls_last("View"), "Booked Year Month", "Item Name", "Department")
+def _order() -> list:
+    return [F.desc_nulls_last("View"), F.col("`Booked Year Month`"), F.col("`Item Name`"), F.col("Department")]
 
 
-def product_total(raw: DataFrame, picks: Picks | None = None, on_bad_month: str = "fail") -> DataFrame:
-    """One row: sums of the numeric columns; ``Overall Conversion`` =
-    Gross Booked / View * 100 (0 when no views); money and ratio rounded to 2."""
+def product_performance(raw: DataFrame, picks: Picks | None = None, on_bad_month: str = "fail",
+                        by: Sequence[str] = ()) -> DataFrame:
+    """The detail table, most-viewed first (within each ``by`` group)."""
+    rows = product_rows(raw, picks, on_bad_month).select(*by, *[F.col(f"`{c}`") for c in COLUMNS])
+    return rows.orderBy(*by, *_order())
+
+
+def product_total(raw: DataFrame, picks: Picks | None = None, on_bad_month: str = "fail",
+                  by: Sequence[str] = ()) -> DataFrame:
+    """One row (per ``by`` group): sums of the numeric columns; ``Overall
+    Conversion`` = Gross Booked / View * 100 (0 when no views); money and
+    ratio rounded to 2."""
     rows = product_rows(raw, picks, on_bad_month)
-    sums = rows.agg(
+    sums = rows.groupBy(*by).agg(
         sum0("View").alias("View"),
         sum0("`Gross Booked`").alias("Gross Booked"),
         sum0("`Net Attendance`").alias("Net Attendance"),
@@ -87,6 +94,7 @@ def product_total(raw: DataFrame, picks: Picks | None = None, on_bad_month: str
         sum0("`Gross Quantity`").alias("Gross Quantity"),
     )
     return sums.select(
+        *by,
         "View",
         "Gross Booked",
         F.bround(ratio(F.col("`Gross Booked`"), F.col("View")) * F.lit(100.0), 2).alias("Overall Conversion"),
@@ -97,18 +105,19 @@ def product_total(raw: DataFrame, picks: Picks | None = None, on_bad_month: str
     )
 
 
-def product_options(raw: DataFrame, picks: Picks | None = None, on_bad_month: str = "fail") -> DataFrame:
+def product_options(raw: DataFrame, picks: Picks | None = None, on_bad_month: str = "fail",
+                    by: Sequence[str] = ()) -> DataFrame:
     """Cascading option lists of month, item and department."""
-    return facet_options(clean_report_items(raw, on_bad_month), FACETS, picks)
+    return facet_options(clean_report_items(raw, on_bad_month), FACETS, picks, by)
 
 
-def product_export(raw: DataFrame, picks: Picks | None = None, on_bad_month: str = "fail") -> DataFrame:
+def product_export(raw: DataFrame, picks: Picks | None = None, on_bad_month: str = "fail",
+                   by: Sequence[str] = ()) -> DataFrame:
     """The CSV download: detail rows, then the total row.
 
     As in the application's file, the total's labels are blank, its ratio sits
     in an extra last column ``Overall Conversion`` and its ``Conversion`` is
     blank.
     """
-    detail = product_performance(raw, picks, on_bad_month)
-    order = [F.desc_nulls_last("View"), F.col("`Booked Year Month`"), F.col("`Item Name`"), F.col("Department")]
-    return with_total_row(detail, product_total(raw, picks, on_bad_month), order)
+    detail = product_performance(raw, picks, on_bad_month, by)
+    return with_total_row(detail, product_total(raw, picks, on_bad_month, by), _order(), by)

@@ -73,7 +73,9 @@ def decode_json(df: DataFrame, column: str, dtype: T.DataType) -> "F.Column":
         return F.lit(None).cast(dtype)
     src = df.schema[column].dataType
     if isinstance(src, T.StringType):
-        return F.from_json(F.col(column), dtype, {"mode": "PERMISSIVE"})
+        text = F.col(column)
+        # from_json alone turns malformed text into a struct of NULLs
+        return F.when(F.try_parse_json(text).isNotNull(), F.from_json(text, dtype))
     if isinstance(src, T.VariantType):
         return F.try_variant_get(F.col(column), "$", dtype.simpleString())
     return F.col(column).cast(dtype)
