@@ -58,7 +58,9 @@ def catalog(spark: SparkSession, sf_dir: str) -> TableCatalog:
     return TableCatalog(spark, tables)
 
 
+@functools.lru_cache(maxsize=16)
 def registry(spark: SparkSession, sf_dir: str) -> DataFrame:
+    # Loaded (and checked for duplicate keys) once per session and data folder.
     return load_registry(fixture(spark, sf_dir, "dashboard_customers"))
 
 
