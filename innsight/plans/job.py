@@ -12,6 +12,7 @@ only.
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator, Sequence
+from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass
 
 from pyspark.errors import AnalysisException
@@ -97,7 +98,7 @@ PAGE_BUILDERS: dict[str, Callable[[TableCatalog, TenantConfig], Reports]] = {
 }
 
 
-@dataclass(frozen=True)
+@dataclass(frozen=True, order=True)
 class BuildResult:
     tenant: str
     page: str
@@ -106,39 +107,52 @@ class BuildResult:
     detail: str = ""
 
 
+def _build_page(catalog: TableCatalog, cfg: TenantConfig, page: str, out: str, fmt: str) -> list[BuildResult]:
+    builder = PAGE_BUILDERS.get(page)
+    if builder is None:
+        return [BuildResult(cfg.customer, page, "", "skipped", "unknown page")]
+    results = []
+    try:
+        for report, df in builder(catalog, cfg):
+            path = f"{out}/{page}/{report}"
+            if fmt == "csv":
+                write_csv(df, f"{path}/tenant={cfg.customer}")
+            else:
+                write_parquet(df.withColumn("tenant", F.lit(cfg.customer)), path)
+            results.append(BuildResult(cfg.customer, page, report, "ok"))
+    except (UnknownTable, AnalysisException) as e:
+        results.append(BuildResult(cfg.customer, page, "", "failed", f"missing source: {e}"))
+    return results
+
+
 def build_marts(
     registry: DataFrame,
     catalog: TableCatalog,
     out_dir: str,
     fmt: str = "parquet",
     tenants: Sequence[str] | None = None,
+    parallelism: int = 1,
 ) -> list[BuildResult]:
     """Build and write every entitled report; returns one status line per report.
 
     ``fmt`` is ``parquet`` (partitioned by ``tenant``) or ``csv`` (one
-    directory per tenant, the application's CSV conventions).
+    directory per tenant, the application's CSV conventions).  With
+    ``parallelism`` > 1, that many (tenant, page) units submit their Spark jobs
+    concurrently from driver threads, so many small tenants keep a large
+    cluster busy; each unit writes only its own tenant partition.
     """
-    results: list[BuildResult] = []
-    for cfg in tenant_configs(registry):
-        if tenants is not None and cfg.customer not in tenants:
-            continue
-        for page in cfg.pages:
-            builder = PAGE_BUILDERS.get(page)
-            if builder is None:
-                results.append(BuildResult(cfg.customer, page, "", "skipped", "unknown page"))
-                continue
-            try:
-                for report, df in builder(catalog, cfg):
-                    path = f"{out_dir.rstrip('/')}/{page}/{report}"
-                    tagged = df.withColumn("tenant", F.lit(cfg.customer))
-                    if fmt == "csv":
-                        write_csv(df, f"{path}/tenant={cfg.customer}", single_file=False)
-                    else:
-                        write_parquet(tagged, path)
-                    results.append(BuildResult(cfg.customer, page, report, "ok"))
-            except (UnknownTable, AnalysisException) as e:
-                results.append(BuildResult(cfg.customer, page, "", "failed", f"missing source: {e}"))
-    return results
+    out = out_dir.rstrip("/")
+    units = [
+        (cfg, page)
+        for cfg in tenant_configs(registry)
+        if tenants is None or cfg.customer in tenants
+        for page in cfg.pages
+    ]
+    if parallelism <= 1:
+        return [r for cfg, page in units for r in _build_page(catalog, cfg, page, out, fmt)]
+    with ThreadPoolExecutor(max_workers=parallelism) as pool:
+        done = pool.map(lambda u: _build_page(catalog, u[0], u[1], out, fmt), units)
+        return [r for rs in done for r in rs]
 
 
 # ---------------------------------------------------------------- shared tables

@@ -79,3 +79,13 @@ def test_new_tenant_is_an_append(spark, scratch):
     seed_customers(spark, [TenantConfig("a", "A", "A", ("book_date",))]).write.parquet(path)
     seed_customers(spark, [TenantConfig("b", "B", "B", ("audience",))]).write.mode("append").parquet(path)
     assert sorted(r.customer for r in load_registry(spark.read.parquet(path)).collect()) == ["a", "b"]
+
+
+def test_build_marts_in_parallel_matches_serial(spark, sf_dir, scratch):
+    reg, cat = entry.registry(spark, sf_dir), entry.catalog(spark, sf_dir)
+    serial = build_marts(reg, cat, f"{scratch}/serial", tenants=["aurora"])
+    par = build_marts(reg, cat, f"{scratch}/par", tenants=["aurora"], parallelism=4)
+    assert sorted(serial) == sorted(par)
+    a = spark.read.parquet(f"{scratch}/serial/audience/locations").collect()
+    b = spark.read.parquet(f"{scratch}/par/audience/locations").collect()
+    assert sorted(map(tuple, a)) == sorted(map(tuple, b))
