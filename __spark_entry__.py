@@ -126,6 +126,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "product_facets": lambda s, d: prod.product_options(_items(s, d), PRODUCT_PICKS),
         # email campaigns
         "email_summary": lambda s, d: em.email_summary(*_email(s, d)),
+        "email_sections": lambda s, d: em.email_sections(*_email(s, d)),
         "email_by_state": lambda s, d: em.email_by_state(_email(s, d)[0]),
         "email_open_frequency": lambda s, d: em.email_open_frequency(_email(s, d)[0]),
         # guest portal
@@ -264,6 +265,22 @@ def _email_summary_sql() -> str:
             f'{_pct(_ratio("opened", "sent"))} AS "Open Rate", {_pct(_ratio("clicks", "sent"))} AS "CTR" FROM seg')
 
 
+def _email_sections_sql() -> str:
+    segs = [(f"coalesce(NOTIFICATION_TAG, '') = '{v}'", lbl) for v, lbl in _EMAIL_BUCKETS] + [("TRUE", "Total Emails")]
+    branches = " UNION ALL ".join(
+        f"SELECT '{lbl}' AS Section, count(DATA_ID) AS rec, coalesce(sum(SENT), 0) AS sent, "
+        f"coalesce(sum(OPEN), 0) AS opened, coalesce(sum(CLICKS), 0) AS clicks, coalesce(sum(DATA_CLICKS), 0) AS dclicks "
+        f"FROM s WHERE {cond}"
+        for cond, lbl in segs
+    )
+    return (fixture_ctes(["mail_notifications"]) + _EMAIL + f", seg AS ({branches})\n"
+            'SELECT Section, rec AS "Email Sent", CAST(trunc(sent) AS BIGINT) AS "Emails Delivered", '
+            'CAST(trunc(opened) AS BIGINT) AS "Emails Opened", '
+            f'{_ratio("sent", "rec")} AS "AVG Delivery Rate", CAST(trunc(dclicks) AS BIGINT) AS "Data Clicks", '
+            'CAST(trunc(clicks) AS BIGINT) AS "Email With at Least 1 Click", '
+            f'{_ratio("clicks", "sent")} AS "Click Rate (CTR)", {_ratio("opened", "sent")} AS "AVG Open Rate" FROM seg')
+
+
 _SOURCE_RE = "|".join(SOURCE_EXCLUDE)
 _HOST_OK = "regexp_matches(coalesce(HOSTNAME, ''), 'booketing', 'i')"
 _SOURCE_OK = f"NOT regexp_matches(lower(coalesce(SESSIONSOURCE, '')), '{_SOURCE_RE}')"
@@ -375,6 +392,7 @@ FROM c""",
         "product_facets": fixture_ctes(["report_items"]) + _PRODUCT
         + _options_sql("c", prod.FACETS, PRODUCT_PICKS),
         "email_summary": _email_summary_sql(),
+        "email_sections": _email_sections_sql(),
         "email_by_state": fixture_ctes(["mail_notifications"]) + _EMAIL
         + "SELECT DATA_STATE, count(*) AS Total FROM s WHERE DATA_STATE IS NOT NULL GROUP BY DATA_STATE",
         "email_open_frequency": fixture_ctes(["mail_notifications"]) + _EMAIL

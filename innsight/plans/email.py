@@ -54,6 +54,43 @@ def email_in_scope(base: DataFrame, cfg: EmailConfig, date_range: tuple[DateLike
     return half_open_range(df, TS, *date_range)
 
 
+def _segments(scoped: DataFrame, cfg: EmailConfig, total_label: str) -> DataFrame:
+    """Count and sums of every bucket (tag equality, NULL tag as '') and of all
+    messages, in one conditional aggregate."""
+    tag = F.coalesce(F.col(cfg.tag_field), F.lit(""))
+    segments = [(label, tag == F.lit(value)) for value, label in cfg.buckets] + [(total_label, None)]
+    return conditional_segments(
+        scoped,
+        segments,
+        counts={"rec": "DATA_ID"},
+        sums={"sent": "SENT", "opened": "OPEN", "clicks": "CLICKS", "data_clicks": "DATA_CLICKS"},
+    )
+
+
+def email_sections(scoped: DataFrame, cfg: EmailConfig) -> DataFrame:
+    """The page's metric sections: one per bucket and ``Total Emails``.
+
+    Counts are shown as integers; the rates are fractions of the untruncated
+    sums (delivered / sent, clicks / delivered, opened / delivered).
+    """
+    seg = _segments(scoped, cfg, "Total Emails")
+    rec, sent, opened = F.col("rec"), F.col("sent"), F.col("opened")
+    clicks, data_clicks = F.col("clicks"), F.col("data_clicks")
+    out = seg.select(
+        "position",
+        F.col("label").alias("Section"),
+        rec.alias("Email Sent"),
+        truncate_int(sent).alias("Emails Delivered"),
+        truncate_int(opened).alias("Emails Opened"),
+        ratio(sent, rec).alias("AVG Delivery Rate"),
+        truncate_int(data_clicks).alias("Data Clicks"),
+        truncate_int(clicks).alias("Email With at Least 1 Click"),
+        ratio(clicks, sent).alias("Click Rate (CTR)"),
+        ratio(opened, sent).alias("AVG Open Rate"),
+    )
+    return out.orderBy("position").drop("position")
+
+
 def email_summary(scoped: DataFrame, cfg: EmailConfig) -> DataFrame:
     """One row per configured bucket (in order) and a ``Total`` of every scoped message.
 
@@ -61,14 +98,7 @@ def email_summary(scoped: DataFrame, cfg: EmailConfig) -> DataFrame:
     no bucket still counts in the total.  Counts are integers (truncated sums)
     and the rates are computed from those integers, as text like ``12.34%``.
     """
-    tag = F.coalesce(F.col(cfg.tag_field), F.lit(""))
-    segments = [(label, tag == F.lit(value)) for value, label in cfg.buckets] + [("Total", None)]
-    seg = conditional_segments(
-        scoped,
-        segments,
-        counts={"rec": "DATA_ID"},
-        sums={"sent": "SENT", "opened": "OPEN", "clicks": "CLICKS", "data_clicks": "DATA_CLICKS"},
-    )
+    seg = _segments(scoped, cfg, "Total")
     rec = F.col("rec")
     sent, opened = truncate_int(F.col("sent")), truncate_int(F.col("opened"))
     clicks, data_clicks = truncate_int(F.col("clicks")), truncate_int(F.col("data_clicks"))

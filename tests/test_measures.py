@@ -96,3 +96,25 @@ def test_funnel_has_every_step_in_order(spark):
     assert [r.Step for r in got] == [lbl for _, lbl in FUNNEL_STEPS]
     assert dict((r.Step, r.Events) for r in got)["Viewed Item"] == 5
     assert dict((r.Step, r.Events) for r in got)["Checkout"] == 0
+
+
+def test_most_visited_zero_views_and_null_items(spark):
+    items = spark.createDataFrame(
+        [("A", 0, 3), ("B", 4, 1), (None, 9, 9), ("B", 4, 0)], "ITEMNAME string, ITEMSVIEWED bigint, ITEMSPURCHASED bigint"
+    )
+    got = [(r.Experience, r.Views, r.Purchased, r.Conversion) for r in ga4.most_visited(items).collect()]
+    assert got == [("B", 8, 1, "12.5%"), ("A", 0, 3, "0.0%")]
+
+
+def test_email_sections_use_untruncated_sums(spark):
+    cfg = EmailConfig("t", subject_match="", buckets=(("x", "X"),))
+    df = spark.createDataFrame(
+        [("1", "0.5", 1, 1, 1, "x"), ("2", "0.5", 0, 0, 0, "x"), ("3", "1", 1, 0, 0, "y")],
+        "DATA_ID string, SENT string, OPEN int, CLICKS int, DATA_CLICKS int, NOTIFICATION_TAG string",
+    ).withColumn("DATA_TS_DATE", F.lit("2024-01-01 00:00:00").cast("timestamp_ntz"))
+    scoped = em.email_scope(df, cfg)
+    x, total = em.email_sections(scoped, cfg).collect()
+    assert (x.Section, x["Emails Delivered"], x["AVG Delivery Rate"]) == ("X", 1, 0.5)
+    assert total.Section == "Total Emails" and total["AVG Open Rate"] == 2 / 2.0
+    xs = em.email_summary(scoped, cfg).collect()[0]
+    assert (xs.Delivered, xs["Delivery Rate"]) == (1, "50.00%")
