@@ -72,6 +72,26 @@ def attendance_rows(raw: DataFrame, date_col: str, date_range: DateRange = None,
     return facet_filter(attendance_base(raw, date_col, date_range), rest)
 
 
+def attendance_grouped(raw: DataFrame, date_col: str, date_range: DateRange = None, picks: Picks | None = None,
+                       by: Sequence[str] = ()) -> DataFrame:
+    """Unrounded sums per (Item, Department): the one aggregate behind the
+    summary, the total and the export (small: one row per group)."""
+    return _summary(attendance_rows(raw, date_col, date_range, picks), by)
+
+
+def summary_of(grouped: DataFrame, by: Sequence[str] = ()) -> DataFrame:
+    return grouped.withColumn("Net Value", money(F.col("Net Value"))).orderBy(*by, *_order())
+
+
+def total_of(grouped: DataFrame, by: Sequence[str] = ()) -> DataFrame:
+    return grand_total(grouped, ["Net Attendance", "Net Value"], by=by)
+
+
+def export_of(grouped: DataFrame, by: Sequence[str] = ()) -> DataFrame:
+    detail = grouped.withColumn("Net Value", money(F.col("Net Value")))
+    return with_total_row(detail, total_of(grouped, by), _order(), by)
+
+
 def _summary(rows: DataFrame, by: Sequence[str] = ()) -> DataFrame:
     return rows.groupBy(*by, "Item", "Department").agg(
         sum0("Net Attendance").alias("Net Attendance"),
@@ -89,15 +109,13 @@ def attendance_summary(raw: DataFrame, date_col: str, date_range: DateRange = No
 
     ``by`` adds leading group keys (e.g. ``tenant`` when tenants share a table).
     """
-    s = _summary(attendance_rows(raw, date_col, date_range, picks), by)
-    return s.withColumn("Net Value", money(F.col("Net Value"))).orderBy(*by, *_order())
+    return summary_of(attendance_grouped(raw, date_col, date_range, picks, by), by)
 
 
 def attendance_total(raw: DataFrame, date_col: str, date_range: DateRange = None, picks: Picks | None = None,
                      by: Sequence[str] = ()) -> DataFrame:
     """Grand total of the summary (one row per ``by`` group), rounded half-even to 2 decimals."""
-    return grand_total(_summary(attendance_rows(raw, date_col, date_range, picks), by),
-                       ["Net Attendance", "Net Value"], by=by)
+    return total_of(attendance_grouped(raw, date_col, date_range, picks, by), by)
 
 
 def attendance_options(raw: DataFrame, date_col: str, date_range: DateRange = None, picks: Picks | None = None,
@@ -121,7 +139,4 @@ def attendance_export(raw: DataFrame, date_col: str, date_range: DateRange = Non
     The total is computed from the same grouped rows, so Spark reuses the one
     shuffle for both parts.
     """
-    grouped = _summary(attendance_rows(raw, date_col, date_range, picks), by)
-    detail = grouped.withColumn("Net Value", money(F.col("Net Value")))
-    total = grand_total(grouped, ["Net Attendance", "Net Value"], by=by)
-    return with_total_row(detail, total, _order(), by)
+    return export_of(attendance_grouped(raw, date_col, date_range, picks, by), by)

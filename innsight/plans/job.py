@@ -1,17 +1,31 @@
-"""Batch job: every entitled report of every active tenant.
+"""Batch jobs: every entitled report of every active tenant.
 
 Replaces the application's per-request page rendering: for each tenant of the
 registry and each page it is entitled to, the page's reports are computed on
-Spark and written under ``{out}/{page}/{report}/tenant={customer}``.  The loop
-runs over configuration (tenants x pages, a bounded control table); all data
-work is in Spark jobs.  A page that cannot load its source is recorded as
-failed and the job goes on, as the application shows an error for that page
-only.
+Spark and written under ``{out}/{page}/{report}/tenant={customer}``.
+
+Each page reads its source once.  A report that feeds others is written
+first and the others are computed from what was written (a table in the
+shared output folder, which also cuts the lineage): the product total and
+CSV export come from the written detail, the attendance summary, total and
+export from one small grouped frame, the GA4 reports from one checkpointed
+DAILY grain, the email reports from one de-duplicated message table.
+
+Two layouts:
+
+* :func:`build_marts` - one table per tenant (the application's layout).  The
+  loop runs over configuration (tenants x pages, a bounded control table);
+  with ``parallelism`` several tenants' jobs are submitted at once.
+* :func:`build_shared_marts` - tenants share one table per source.  Each
+  report is one job for every entitled tenant, grouped by tenant.
+
+A page that cannot load its source is recorded as failed and the job goes on,
+as the application shows an error for that page only.
 """
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator, Sequence
+from collections.abc import Callable, Sequence
 from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass
 
@@ -31,95 +45,112 @@ from innsight.sources.tables import (
     TableCatalog, UnknownTable, scan_email, scan_grain, scan_report_items, scan_transactions,
 )
 
-Reports = Iterator[tuple[str, DataFrame]]
+# write(report, df) writes one report and returns it as written (for reuse).
+Write = Callable[[str, DataFrame], DataFrame]
+Source = Callable[[str], DataFrame]
 
 
-def _product(cat: TableCatalog, cfg: TenantConfig) -> Reports:
-    raw = scan_report_items(cat, cfg)
-    yield "detail", prod.product_performance(raw)
-    yield "total", prod.product_total(raw)
-    yield "export", prod.product_export(raw)
+@dataclass(frozen=True, order=True)
+class BuildResult:
+    tenant: str
+    page: str
+    report: str
+    status: str  # "ok" | "failed" | "skipped"
+    detail: str = ""
 
 
-def _attendance(date_col: str) -> Callable[[TableCatalog, TenantConfig], Reports]:
-    def build(cat: TableCatalog, cfg: TenantConfig) -> Reports:
-        raw = scan_transactions(cat, cfg)
-        yield "summary", att.attendance_summary(raw, date_col)
-        yield "total", att.attendance_total(raw, date_col)
-        yield "export", att.attendance_export(raw, date_col)
-    return build
+# ---------------------------------------------------------------- page builders
+def _product(src: Source, write: Write, by: Sequence[str] = ()) -> None:
+    detail = write("detail", prod.product_performance(src("REPORT_ITEMS"), by=by))
+    total = write("total", prod.total_of(detail, by))
+    write("export", prod.export_of(detail, total, by))
 
 
-def _email(cat: TableCatalog, cfg: TenantConfig) -> Reports:
-    if cfg.email is None:
-        return
-    scoped = em.email_scope(scan_email(cat, cfg), cfg.email)
-    yield "summary", em.email_summary(scoped, cfg.email)
-    yield "by_state", em.email_by_state(scoped)
-    yield "open_frequency", em.email_open_frequency(scoped)
+def _attendance(date_col: str):
+    def build(src: Source, write: Write, by: Sequence[str] = ()) -> None:
+        grouped = cut_lineage(att.attendance_grouped(src("UVE_TRANSACTIONS_GROUPED"), date_col, by=by))
+        write("summary", att.summary_of(grouped, by))
+        write("total", att.total_of(grouped, by))
+        write("export", att.export_of(grouped, by))
+    return build
 
 
-def _ga4_frames(cat: TableCatalog, cfg: TenantConfig, grains: Sequence[str]):
-    # DAILY feeds the range and several reports: materialise it once in the
-    # shared checkpoint directory, so the reports and the range read it there.
-    daily = cut_lineage(scan_grain(cat, cfg, "DAILY"))
-    return ga4.page_frames(daily, {g: scan_grain(cat, cfg, g) for g in grains}, rules=cfg.traffic)
+def _guest_portal(src: Source, write: Write, by: Sequence[str] = ()) -> None:
+    f = ga4.page_frames(cut_lineage(src("GA4_DAILY")), {"EVENTS": src("GA4_EVENTS"), "ITEMS": src("GA4_ITEMS")},
+                        by=by)
+    write("kpis", ga4.guest_kpis(f["DAILY"], by))
+    write("sessions", ga4.sessions_over_time(f["DAILY"], by))
+    write("funnel", ga4.funnel(f["EVENTS"], by=by))
+    write("top_items", ga4.top_items(f["ITEMS"], by=by))
+    write("most_visited", ga4.most_visited(f["ITEMS"], by=by))
 
 
-def _guest_portal(cat: TableCatalog, cfg: TenantConfig) -> Reports:
-    if cfg.ga4 is None:  # not configured: nothing to build, not an error
-        return
-    f = _ga4_frames(cat, cfg, ["EVENTS", "ITEMS"])
-    yield "kpis", ga4.guest_kpis(f["DAILY"])
-    yield "sessions", ga4.sessions_over_time(f["DAILY"])
-    yield "funnel", ga4.funnel(f["EVENTS"])
-    yield "top_items", ga4.top_items(f["ITEMS"])
-    yield "most_visited", ga4.most_visited(f["ITEMS"])
+def _audience(src: Source, write: Write, by: Sequence[str] = ()) -> None:
+    f = ga4.page_frames(cut_lineage(src("GA4_DAILY")), {"DEVICE": src("GA4_DEVICE"), "LOCATION": src("GA4_LOCATION")},
+                        by=by)
+    write("kpis", ga4.audience_kpis(f["DAILY"], by))
+    write("users", ga4.users_over_time(f["DAILY"], by))
+    write("devices", ga4.devices(f["DEVICE"], by))
+    write("acquisition", ga4.acquisition(f["DAILY"], by=by))
+    write("locations", ga4.top_locations(f["LOCATION"], by=by))
 
 
-def _audience(cat: TableCatalog, cfg: TenantConfig) -> Reports:
-    if cfg.ga4 is None:
-        return
-    f = _ga4_frames(cat, cfg, ["DEVICE", "LOCATION"])
-    yield "kpis", ga4.audience_kpis(f["DAILY"])
-    yield "users", ga4.users_over_time(f["DAILY"])
-    yield "devices", ga4.devices(f["DEVICE"])
-    yield "acquisition", ga4.acquisition(f["DAILY"])
-    yield "locations", ga4.top_locations(f["LOCATION"], cfg.traffic)
+def _email_reports(base: DataFrame, cfg: TenantConfig, write: Write) -> None:
+    scoped = em.email_in_scope(base, cfg.email)
+    write("summary", em.email_summary(scoped, cfg.email))
+    write("sections", em.email_sections(scoped, cfg.email))
+    write("by_state", em.email_by_state(scoped))
+    write("open_frequency", em.email_open_frequency(scoped))
 
 
-PAGE_BUILDERS: dict[str, Callable[[TableCatalog, TenantConfig], Reports]] = {
+_DATA_PAGES = {
     "product_performance": _product,
     "book_date": _attendance(att.BOOK_DATE),
     "event_date": _attendance(att.EVENT_DATE),
-    "email_campaigns": _email,
     "guest_portal": _guest_portal,
     "audience": _audience,
 }
-
-
-@dataclass(frozen=True, order=True)
-class BuildResult:
-    tenant: str
-    page: str
-    report: str
-    status: str  # "ok" | "failed" | "skipped"
-    detail: str = ""
+_GA4_PAGES = ("guest_portal", "audience")
+
+
+# ---------------------------------------------------------------- one table per tenant
+def _tenant_source(catalog: TableCatalog, cfg: TenantConfig) -> Source:
+    def src(name: str) -> DataFrame:
+        if name == "REPORT_ITEMS":
+            return scan_report_items(catalog, cfg)
+        if name == "UVE_TRANSACTIONS_GROUPED":
+            return scan_transactions(catalog, cfg)
+        return scan_grain(catalog, cfg, name.removeprefix("GA4_"))
+    return src
+
+
+def _tenant_writer(out: str, page: str, cfg: TenantConfig, fmt: str, results: list[BuildResult]) -> Write:
+    def write(report: str, df: DataFrame) -> DataFrame:
+        path = f"{out}/{page}/{report}"
+        if fmt == "csv":
+            write_csv(df, f"{path}/tenant={cfg.customer}")
+            back = df
+        else:
+            write_parquet(df.withColumn("tenant", F.lit(cfg.customer)), path)
+            back = df.sparkSession.read.parquet(path).filter(F.col("tenant") == cfg.customer).drop("tenant")
+        results.append(BuildResult(cfg.customer, page, report, "ok"))
+        return back
+    return write
 
 
 def _build_page(catalog: TableCatalog, cfg: TenantConfig, page: str, out: str, fmt: str) -> list[BuildResult]:
-    builder = PAGE_BUILDERS.get(page)
-    if builder is None:
-        return [BuildResult(cfg.customer, page, "", "skipped", "unknown page")]
-    results = []
+    results: list[BuildResult] = []
+    write = _tenant_writer(out, page, cfg, fmt, results)
     try:
-        for report, df in builder(catalog, cfg):
-            path = f"{out}/{page}/{report}"
-            if fmt == "csv":
-                write_csv(df, f"{path}/tenant={cfg.customer}")
-            else:
-                write_parquet(df.withColumn("tenant", F.lit(cfg.customer)), path)
-            results.append(BuildResult(cfg.customer, page, report, "ok"))
+        if page == "email_campaigns":
+            if cfg.email is not None:
+                _email_reports(cut_lineage(em.email_base(scan_email(catalog, cfg))), cfg, write)
+        elif page in _GA4_PAGES and cfg.ga4 is None:
+            pass  # not configured: nothing to build, not an error
+        elif page in _DATA_PAGES:
+            _DATA_PAGES[page](_tenant_source(catalog, cfg), write)
+        else:
+            results.append(BuildResult(cfg.customer, page, "", "skipped", "unknown page"))
     except (UnknownTable, AnalysisException) as e:
         results.append(BuildResult(cfg.customer, page, "", "failed", f"missing source: {e}"))
     return results
@@ -156,40 +187,10 @@ def build_marts(
 
 
 # ---------------------------------------------------------------- shared tables
-# When tenants share one table per source (a leading tenant column), each
-# report is computed once for every entitled tenant, grouped by tenant: one
-# job per report instead of one per tenant and report.
-
 SHARED_SOURCES = ("REPORT_ITEMS", "UVE_TRANSACTIONS_GROUPED", "GA4_DAILY", "GA4_EVENTS", "GA4_ITEMS",
                   "GA4_DEVICE", "GA4_LOCATION")
 
 
-def _shared_reports(page: str, t: dict[str, DataFrame], by: list[str]) -> Reports:
-    if page == "product_performance":
-        raw = t["REPORT_ITEMS"]
-        yield "detail", prod.product_performance(raw, by=by)
-        yield "total", prod.product_total(raw, by=by)
-    elif page in ("book_date", "event_date"):
-        raw, col = t["UVE_TRANSACTIONS_GROUPED"], att.BOOK_DATE if page == "book_date" else att.EVENT_DATE
-        yield "summary", att.attendance_summary(raw, col, by=by)
-        yield "total", att.attendance_total(raw, col, by=by)
-    elif page == "guest_portal":
-        f = ga4.page_frames(cut_lineage(t["GA4_DAILY"]), {"EVENTS": t["GA4_EVENTS"], "ITEMS": t["GA4_ITEMS"]}, by=by)
-        yield "kpis", ga4.guest_kpis(f["DAILY"], by)
-        yield "sessions", ga4.sessions_over_time(f["DAILY"], by)
-        yield "funnel", ga4.funnel(f["EVENTS"], by=by)
-        yield "top_items", ga4.top_items(f["ITEMS"], by=by)
-        yield "most_visited", ga4.most_visited(f["ITEMS"], by=by)
-    elif page == "audience":
-        f = ga4.page_frames(cut_lineage(t["GA4_DAILY"]), {"DEVICE": t["GA4_DEVICE"], "LOCATION": t["GA4_LOCATION"]},
-                            by=by)
-        yield "kpis", ga4.audience_kpis(f["DAILY"], by)
-        yield "users", ga4.users_over_time(f["DAILY"], by)
-        yield "devices", ga4.devices(f["DEVICE"], by)
-        yield "acquisition", ga4.acquisition(f["DAILY"], by=by)
-        yield "locations", ga4.top_locations(f["LOCATION"], by=by)
-
-
 def build_shared_marts(
     registry: DataFrame,
     tables: dict[str, DataFrame],
@@ -202,32 +203,43 @@ def build_shared_marts(
     ``tables`` maps a source suffix (``SHARED_SOURCES``) to the shared table,
     whose ``tenant_col`` holds the customer key.  Each report is one Spark
     job over the tenants entitled to its page (an IN filter on the tenant
-    column, pushed into the scan or its partition pruning).  ``email_tables``
-    maps an email table name to its frame: its keyed de-duplication runs once
-    per table, then each tenant applies its own subject scope and buckets.
+    column, pushed into the scan or its partition pruning), grouped by tenant.
+    ``email_tables`` maps an email table name to its frame: its keyed
+    de-duplication runs once per table, then each tenant applies its own
+    subject scope and buckets.
     """
     configs = tenant_configs(registry)
     results: list[BuildResult] = []
     out = out_dir.rstrip("/")
+    by = [tenant_col]
     for page in PAGE_TITLES:
-        tenants = [c.customer for c in configs if page in c.pages]
-        if not tenants:
+        entitled = [c for c in configs if page in c.pages and (page not in _GA4_PAGES or c.ga4 is not None)]
+        if not entitled:
             continue
         if page == "email_campaigns":
-            results += _shared_email(configs, tenants, email_tables or {}, out)
+            results += _shared_email(entitled, email_tables or {}, out, tenant_col)
             continue
-        scoped = {k: df.filter(F.col(tenant_col).isin(tenants)) for k, df in tables.items()}
-        for report, df in _shared_reports(page, scoped, [tenant_col]):
-            write_parquet(df, f"{out}/{page}/{report}", (tenant_col,))
-            results += [BuildResult(t, page, report, "ok") for t in tenants]
+        keys = [c.customer for c in entitled]
+
+        def src(name: str, keys=keys) -> DataFrame:
+            return tables[name].filter(F.col(tenant_col).isin(keys))
+
+        def write(report: str, df: DataFrame, page=page, keys=keys) -> DataFrame:
+            path = f"{out}/{page}/{report}"
+            write_parquet(df, path, (tenant_col,))
+            results.extend(BuildResult(k, page, report, "ok") for k in keys)
+            return df.sparkSession.read.parquet(path).filter(F.col(tenant_col).isin(keys))
+
+        _DATA_PAGES[page](src, write, by)
     return results
 
 
-def _shared_email(configs, tenants, email_tables, out) -> list[BuildResult]:
-    results = []
+def _shared_email(configs: Sequence[TenantConfig], email_tables: dict[str, DataFrame], out: str,
+                  tenant_col: str) -> list[BuildResult]:
+    results: list[BuildResult] = []
     bases: dict[str, DataFrame] = {}
     for cfg in configs:
-        if cfg.customer not in tenants or cfg.email is None:
+        if cfg.email is None:
             continue
         name = cfg.email.table
         if name not in email_tables:
@@ -235,10 +247,12 @@ def _shared_email(configs, tenants, email_tables, out) -> list[BuildResult]:
             continue
         if name not in bases:  # de-duplicate each shared source once
             bases[name] = cut_lineage(em.email_base(email_tables[name]))
-        scoped = em.email_in_scope(bases[name], cfg.email)
-        for report, df in (("summary", em.email_summary(scoped, cfg.email)),
-                           ("by_state", em.email_by_state(scoped)),
-                           ("open_frequency", em.email_open_frequency(scoped))):
-            write_parquet(df.withColumn("tenant", F.lit(cfg.customer)), f"{out}/email_campaigns/{report}")
+
+        def write(report: str, df: DataFrame, cfg=cfg) -> DataFrame:
+            write_parquet(df.withColumn(tenant_col, F.lit(cfg.customer)), f"{out}/email_campaigns/{report}",
+                          (tenant_col,))
             results.append(BuildResult(cfg.customer, "email_campaigns", report, "ok"))
+            return df
+
+        _email_reports(bases[name], cfg, write)
     return results

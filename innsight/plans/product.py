@@ -84,7 +84,11 @@ def product_total(raw: DataFrame, picks: Picks | None = None, on_bad_month: str
     """One row (per ``by`` group): sums of the numeric columns; ``Overall
     Conversion`` = Gross Booked / View * 100 (0 when no views); money and
     ratio rounded to 2."""
-    rows = product_rows(raw, picks, on_bad_month)
+    return total_of(product_rows(raw, picks, on_bad_month), by)
+
+
+def total_of(rows: DataFrame, by: Sequence[str] = ()) -> DataFrame:
+    """:func:`product_total` of already-cleaned rows, e.g. a written detail table."""
     sums = rows.groupBy(*by).agg(
         sum0("View").alias("View"),
         sum0("`Gross Booked`").alias("Gross Booked"),
@@ -120,4 +124,9 @@ def product_export(raw: DataFrame, picks: Picks | None = None, on_bad_month: str
     blank.
     """
     detail = product_performance(raw, picks, on_bad_month, by)
-    return with_total_row(detail, product_total(raw, picks, on_bad_month, by), _order(), by)
+    return export_of(detail, product_total(raw, picks, on_bad_month, by), by)
+
+
+def export_of(detail: DataFrame, total: DataFrame, by: Sequence[str] = ()) -> DataFrame:
+    """Detail rows then the total row, as in the CSV download."""
+    return with_total_row(detail, total, _order(), by)
