@@ -285,15 +285,16 @@ _SOURCE_RE = "|".join(SOURCE_EXCLUDE)
 _HOST_OK = "regexp_matches(coalesce(HOSTNAME, ''), 'booketing', 'i')"
 _SOURCE_OK = f"NOT regexp_matches(lower(coalesce(SESSIONSOURCE, '')), '{_SOURCE_RE}')"
 
+_IN_RANGE = "DATE BETWEEN (SELECT lo FROM r) AND (SELECT hi FROM r)"
 _GA4 = f""", d0 AS (SELECT * FROM ga4_daily WHERE {_HOST_OK} AND {_SOURCE_OK}),
 r AS (SELECT min(DATE) AS lo, max(DATE) AS hi FROM d0),
 d AS (SELECT DATE, SESSIONSOURCE, SESSIONS, TOTALUSERS, NEWUSERS, ENGAGEDSESSIONS,
              {_num0('KEYEVENTS')} AS KEYEVENTS, {_num0('USERENGAGEMENTDURATION')} AS DUR
-      FROM d0, r WHERE DATE BETWEEN r.lo AND r.hi),
-e AS (SELECT g.* FROM ga4_events g, r WHERE {_HOST_OK} AND {_SOURCE_OK} AND DATE BETWEEN r.lo AND r.hi),
-i AS (SELECT g.* FROM ga4_items g, r WHERE DATE BETWEEN r.lo AND r.hi),
-dev AS (SELECT g.* FROM ga4_device g, r WHERE {_HOST_OK} AND DATE BETWEEN r.lo AND r.hi),
-loc AS (SELECT g.* FROM ga4_location g, r WHERE {_HOST_OK} AND {_SOURCE_OK} AND DATE BETWEEN r.lo AND r.hi)
+      FROM d0 WHERE {_IN_RANGE}),
+e AS (SELECT * FROM ga4_events WHERE {_HOST_OK} AND {_SOURCE_OK} AND {_IN_RANGE}),
+i AS (SELECT * FROM ga4_items WHERE {_IN_RANGE}),
+dev AS (SELECT * FROM ga4_device WHERE {_HOST_OK} AND {_IN_RANGE}),
+loc AS (SELECT * FROM ga4_location WHERE {_HOST_OK} AND {_SOURCE_OK} AND {_IN_RANGE})
 """
 _GA4_FIX = ["ga4_daily", "ga4_events", "ga4_items", "ga4_device", "ga4_location"]
 
