@@ -42,26 +42,47 @@ SEARCH_PATTERN = "borealis|days:3"
 
 
 # ---------------------------------------------------------------- wiring
+# Table name (as the registry and the application name it) -> fixture.
+SOURCE_TABLES = {
+    "AURORA_REPORT_ITEMS": "report_items",
+    "AURORA_UVE_TRANSACTIONS_GROUPED": "transactions_grouped",
+    "mail_notifications": "mail_notifications",
+    "EMAIL_ANALYSIS": "mail_notifications",  # the legacy search page's table
+    **{f"AURORA_GA4_{g}": f"ga4_{g.lower()}" for g in ("DAILY", "EVENTS", "ITEMS", "DEVICE", "LOCATION", "SLIDES")},
+    "DASHBOARD_USERS": "dashboard_users",
+    "DASHBOARD_CUSTOMERS": "dashboard_customers",
+    "GA4_ITEMS_BY_TENANT": "ga4_items_by_tenant",
+}
+_LANDED: dict[str, str] = {}  # key -> folder of fixtures written as Parquet
+
+
 def catalog(spark: SparkSession, sf_dir: str) -> TableCatalog:
-    """Source tables of the test world, under the names the registry points at."""
-    def fx(name):
-        return lambda: fixture(spark, sf_dir, name)
-
-    tables = {
-        "AURORA_REPORT_ITEMS": fx("report_items"),
-        "AURORA_UVE_TRANSACTIONS_GROUPED": fx("transactions_grouped"),
-        "mail_notifications": fx("mail_notifications"),
-        "EMAIL_ANALYSIS": fx("mail_notifications"),  # the legacy search page's table
-    }
-    for grain in ("DAILY", "EVENTS", "ITEMS", "DEVICE", "LOCATION", "SLIDES"):
-        tables[f"AURORA_GA4_{grain}"] = fx(f"ga4_{grain.lower()}")
-    return TableCatalog(spark, tables)
+    """Source tables of the test world, under the names the registry points at.
+
+    Normally each table is its fixture, derived from the driver's tables on
+    every use; after :func:`land_fixtures` the key it returns resolves to the
+    written copies instead (as a warehouse would hold them).
+    """
+    landed = _LANDED.get(sf_dir)
+    if landed:
+        return TableCatalog(spark, {t: f"{landed}/{f}" for t, f in SOURCE_TABLES.items()})
+    return TableCatalog(spark, {t: (lambda f=f: fixture(spark, sf_dir, f)) for t, f in SOURCE_TABLES.items()})
+
+
+def land_fixtures(spark: SparkSession, sf_dir: str, out_dir: str) -> str:
+    """Write every fixture once as Parquet under ``out_dir``; returns the key to
+    pass to the query callables instead of ``sf_dir``."""
+    for f in sorted(set(SOURCE_TABLES.values())):
+        fixture(spark, sf_dir, f).write.mode("overwrite").parquet(f"{out_dir}/{f}")
+    key = f"{sf_dir}#landed:{out_dir}"
+    _LANDED[key] = out_dir
+    return key
 
 
 @functools.lru_cache(maxsize=16)
 def registry(spark: SparkSession, sf_dir: str) -> DataFrame:
     # Loaded (and checked for duplicate keys) once per session and data folder.
-    return load_registry(fixture(spark, sf_dir, "dashboard_customers"))
+    return load_registry(catalog(spark, sf_dir).table("DASHBOARD_CUSTOMERS"))
 
 
 @functools.lru_cache(maxsize=16)
@@ -102,7 +123,7 @@ def _ga4_long(spark, sf):
 
 
 def _resolved(spark, sf):
-    users = load_users(fixture(spark, sf, "dashboard_users"))
+    users = load_users(catalog(spark, sf).table("DASHBOARD_USERS"))
     return resolve_tenants(users, registry(spark, sf))
 
 
@@ -146,7 +167,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "search_rows": lambda s, d: search_rows(catalog(s, d).table("EMAIL_ANALYSIS"), SEARCH_PATTERN),
         "resolve_tenants": _resolved,
         "entitled_pages": lambda s, d: entitled_pages(_resolved(s, d), registry(s, d)),
-        "top_items_by_tenant": lambda s, d: ga4.top_items_by_tenant(fixture(s, d, "ga4_items_by_tenant")),
+        "top_items_by_tenant": lambda s, d: ga4.top_items_by_tenant(catalog(s, d).table("GA4_ITEMS_BY_TENANT")),
     }
 
 
