@@ -1,6 +1,5 @@
 import datetime as dt
 
-from pyspark.sql import functions as F
 
 from innsight.config import SOURCE_EXCLUDE, TrafficRules
 from innsight.operators.filters import (
