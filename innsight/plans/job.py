@@ -61,7 +61,8 @@ class BuildResult:
 
 # ---------------------------------------------------------------- page builders
 def _product(src: Source, write: Write, by: Sequence[str] = ()) -> None:
-    detail = write("detail", prod.product_performance(src("REPORT_ITEMS"), by=by))
+    # The written detail is unordered (Parquet keeps no order); the CSV export is ordered.
+    detail = write("detail", prod.product_performance(src("REPORT_ITEMS"), by=by, ordered=False))
     total = write("total", prod.total_of(detail, by))
     write("export", prod.export_of(detail, total, by))
 
@@ -226,7 +227,7 @@ def build_shared_marts(
 
         def write(report: str, df: DataFrame, page=page, keys=keys) -> DataFrame:
             path = f"{out}/{page}/{report}"
-            write_parquet(df, path, (tenant_col,))
+            write_parquet(df, path, (tenant_col,), rebalance=True)
             results.extend(BuildResult(k, page, report, "ok") for k in keys)
             return df.sparkSession.read.parquet(path).filter(F.col(tenant_col).isin(keys))
 

@@ -73,10 +73,14 @@ def _order() -> list:
 
 
 def product_performance(raw: DataFrame, picks: Picks | None = None, on_bad_month: str = "fail",
-                        by: Sequence[str] = ()) -> DataFrame:
-    """The detail table, most-viewed first (within each ``by`` group)."""
+                        by: Sequence[str] = (), ordered: bool = True) -> DataFrame:
+    """The detail table, most-viewed first (within each ``by`` group).
+
+    ``ordered=False`` skips the global sort (a full range shuffle of the
+    table) where the order is not kept anyway, e.g. when written as Parquet.
+    """
     rows = product_rows(raw, picks, on_bad_month).select(*by, *[F.col(f"`{c}`") for c in COLUMNS])
-    return rows.orderBy(*by, *_order())
+    return rows.orderBy(*by, *_order()) if ordered else rows
 
 
 def product_total(raw: DataFrame, picks: Picks | None = None, on_bad_month: str = "fail",

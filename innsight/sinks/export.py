@@ -36,12 +36,18 @@ def write_csv(df: DataFrame, path: str, mode: str = "overwrite", single_file: bo
     w.csv(path)
 
 
-def write_parquet(df: DataFrame, path: str, partition_by: Sequence[str] = ("tenant",)) -> None:
+def write_parquet(df: DataFrame, path: str, partition_by: Sequence[str] = ("tenant",), rebalance: bool = False) -> None:
     """Write ``df`` as Parquet, replacing only the partitions present in ``df``.
 
     Dynamic partition overwrite (a per-write option, safe with concurrent
     writers of other tenants) leaves the other tenants' partitions in place,
-    and a rerun of one tenant is idempotent.
+    and a rerun of one tenant is idempotent.  ``rebalance`` (for frames that
+    hold many tenants) groups rows by the partition columns before writing,
+    so each task writes few tenant directories; adaptive execution splits a
+    tenant too large for one task, so a hot tenant does not become one huge
+    task either.
     """
+    if rebalance and partition_by:
+        df = df.hint("rebalance", *partition_by)
     (df.write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
        .partitionBy(*partition_by).parquet(path))
