@@ -78,11 +78,14 @@ def month_key(c: Column, source_type: T.DataType, on_bad: str = "fail") -> Colum
     if isinstance(source_type, (T.FloatType, T.DoubleType, T.DecimalType)):
         c = c.cast("bigint")
     text = F.concat(c.cast("string"), F.lit("01"))
+    parsed = F.to_date(F.try_to_timestamp(text, F.lit("yyyyMMdd")))
     if on_bad == "null":
-        return F.to_date(F.try_to_timestamp(text, F.lit("yyyyMMdd")))
+        return parsed
     if on_bad != "fail":
         raise ValueError("on_bad must be 'fail' or 'null'")
-    return F.when(c.isNull(), F.raise_error(F.lit("NULL month key"))).otherwise(F.to_date(text, "yyyyMMdd"))
+    # explicit, so it fails whether or not the session runs in ANSI mode
+    bad = F.concat(F.lit("bad month key: "), F.coalesce(c.cast("string"), F.lit("NULL")))
+    return F.when(parsed.isNull(), F.raise_error(bad)).otherwise(parsed)
 
 
 def month_label(c: Column) -> Column:

@@ -251,7 +251,7 @@ LONG_SCHEMA = T.StructType([
     T.StructField("SESSION_SOURCE", T.StringType()),
     T.StructField("HOST_NAME", T.StringType()),
     T.StructField("SESSIONS", T.LongType()),
-    T.StructField("KEY_EVENTS", T.DecimalType(38, 0)),
+    T.StructField("KEY_EVENTS", T.LongType()),
     T.StructField("ITEMS_VIEWED", T.LongType()),
     T.StructField("ITEMS_PURCHASED", T.LongType()),
     T.StructField("EVENT_COUNT", T.LongType()),
@@ -260,7 +260,7 @@ LONG_SCHEMA = T.StructType([
     T.StructField("NEW_USERS", T.LongType()),
     T.StructField("SCREEN_PAGE_VIEWS", T.LongType()),
     T.StructField("ENGAGED_SESSIONS", T.LongType()),
-    T.StructField("USER_ENGAGEMENT_DURATION", T.DecimalType(38, 0)),
+    T.StructField("USER_ENGAGEMENT_DURATION", T.LongType()),
 ])
 LONG_BRANCHES: dict[str, dict[str, str]] = {
     "items": {"DATE": "DATE", "ITEMNAME": "ITEM_NAME", "ITEMSVIEWED": "ITEMS_VIEWED", "ITEMSPURCHASED": "ITEMS_PURCHASED"},
@@ -277,7 +277,8 @@ LONG_BRANCHES: dict[str, dict[str, str]] = {
     "slides": {"DATE": "DATE", "EVENTNAME": "EVENT_NAME", "LINKURL": "LINK_URL", "LINKTEXT": "LINK_TEXT",
                "EVENTCOUNT": "EVENT_COUNT"},
 }
-# Text measures parsed like TRY_TO_NUMBER: whole numbers, NULL when unparsable.
+# Text measures parsed like TRY_TO_NUMBER: rounded to whole numbers (as a
+# NUMBER(38,0)), kept as BIGINT; NULL when unparsable or out of range.
 _TRY_NUMBER = {"KEY_EVENTS", "USER_ENGAGEMENT_DURATION"}
 
 
@@ -297,7 +298,7 @@ def ga4_long(grains: dict[str, DataFrame]) -> DataFrame:
         for src, dst in mapping.items():
             c = F.col(src)
             if dst in _TRY_NUMBER:
-                c = c.try_cast(T.DecimalType(38, 0))
+                c = c.try_cast(T.DecimalType(38, 0)).try_cast(T.LongType())
             cols.append(c.alias(dst))
         frames.append(g.select(*cols))
     return conform(union_all_by_name(frames), LONG_SCHEMA)
