@@ -8,6 +8,8 @@ and last day) -> one conditional aggregate for every bucket and the total.
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -25,10 +27,25 @@ SUMMARY_COLUMNS = (
 )
 
 
-def email_base(raw: DataFrame) -> DataFrame:
+def used_columns(cfgs: Sequence[EmailConfig]) -> list[str]:
+    """Columns the email reports read (for every config in ``cfgs``)."""
+    cols = ["DATA_ID", TS, *EMAIL_NUMERIC, "DATA_STATE"]
+    for c in cfgs:
+        cols += [c.tag_field, c.subject_field]
+    return list(dict.fromkeys(cols))
+
+
+def email_base(raw: DataFrame, keep: Sequence[str] | None = None) -> DataFrame:
     """One row per ``DATA_ID`` (first by timestamp), measures as numbers,
     wall-clock timestamps.  Independent of the tenant: when several tenants
-    read the same source it is computed once and shared."""
+    read the same source it is computed once and shared.
+
+    ``keep`` projects the source to the columns the reports read before the
+    de-duplication shuffle (the tie-break then covers those columns only:
+    rows that tie on all of them give the same reports whichever is kept).
+    """
+    if keep is not None:
+        raw = raw.select(*[F.col(f"`{c}`") for c in keep if c in raw.columns])
     df = keep_first(raw, ["DATA_ID"], [F.col(TS).asc_nulls_last()], [TS])
     df = to_number0(df, EMAIL_NUMERIC)
     return df.withColumn(TS, wall_clock(F.col(TS)))
@@ -36,7 +53,7 @@ def email_base(raw: DataFrame) -> DataFrame:
 
 def email_scope(raw: DataFrame, cfg: EmailConfig, date_range: tuple[DateLike, DateLike] | None = None) -> DataFrame:
     """Messages of this property within the date range, one row per ``DATA_ID``."""
-    return email_in_scope(email_base(raw), cfg, date_range)
+    return email_in_scope(email_base(raw, used_columns([cfg])), cfg, date_range)
 
 
 def email_in_scope(base: DataFrame, cfg: EmailConfig, date_range: tuple[DateLike, DateLike] | None = None) -> DataFrame:

@@ -145,7 +145,8 @@ def _build_page(catalog: TableCatalog, cfg: TenantConfig, page: str, out: str, f
     try:
         if page == "email_campaigns":
             if cfg.email is not None:
-                _email_reports(cut_lineage(em.email_base(scan_email(catalog, cfg))), cfg, write)
+                base = em.email_base(scan_email(catalog, cfg), em.used_columns([cfg.email]))
+                _email_reports(cut_lineage(base), cfg, write)
         elif page in _GA4_PAGES and cfg.ga4 is None:
             pass  # not configured: nothing to build, not an error
         elif page in _DATA_PAGES:
@@ -239,6 +240,10 @@ def _shared_email(configs: Sequence[TenantConfig], email_tables: dict[str, DataF
                   tenant_col: str) -> list[BuildResult]:
     results: list[BuildResult] = []
     bases: dict[str, DataFrame] = {}
+    readers: dict[str, list] = {}
+    for cfg in configs:
+        if cfg.email is not None:
+            readers.setdefault(cfg.email.table, []).append(cfg.email)
     for cfg in configs:
         if cfg.email is None:
             continue
@@ -247,7 +252,7 @@ def _shared_email(configs: Sequence[TenantConfig], email_tables: dict[str, DataF
             results.append(BuildResult(cfg.customer, "email_campaigns", "", "failed", f"missing source: {name}"))
             continue
         if name not in bases:  # de-duplicate each shared source once
-            bases[name] = cut_lineage(em.email_base(email_tables[name]))
+            bases[name] = cut_lineage(em.email_base(email_tables[name], em.used_columns(readers[name])))
 
         def write(report: str, df: DataFrame, cfg=cfg) -> DataFrame:
             write_parquet(df.withColumn(tenant_col, F.lit(cfg.customer)), f"{out}/email_campaigns/{report}",

@@ -75,3 +75,12 @@ def test_detail_and_total_one_scan(spark, sf_dir, scratch):
     tx = _landed(spark, sf_dir, scratch, "transactions_grouped")
     plan = plan_text(att.attendance_options(tx, att.BOOK_DATE, None, {"Source": ["1-URGENT"]}))
     assert plan.split("\n\n")[0].count("Scan parquet") == 1
+
+
+def test_email_dedup_reads_only_used_columns(spark, sf_dir, scratch):
+    path = f"{scratch}/mail_wide"
+    fixture(spark, sf_dir, "mail_notifications").withColumn("BODY", F.lit("x" * 100)).write.parquet(path)
+    cfg = EmailConfig("m", subject_match="aurora", buckets=(("days:15", "15"),))
+    plan = plan_text(em.email_summary(em.email_scope(spark.read.parquet(path), cfg), cfg))
+    read_schema = plan.split("ReadSchema:")[1].split("\n")[0]
+    assert "BODY" not in read_schema and "DATA_ID" in read_schema
