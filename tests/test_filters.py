@@ -75,3 +75,15 @@ def test_active_only(spark):
     df = spark.createDataFrame([(True,), (None,), (False,)], "ACTIVE boolean")
     assert active_only(df).count() == 2
     assert active_only(df.withColumnRenamed("ACTIVE", "x")).count() == 3
+
+
+def test_facet_options_are_values_of_the_data(spark, sf_dir):
+    from innsight.plans import attendance as att
+    from innsight.sources.fixtures import fixture
+
+    tx = fixture(spark, sf_dir, "transactions_grouped")
+    opts = att.attendance_options(tx, att.BOOK_DATE, None, {"Source": ["1-URGENT"]}).collect()
+    clean = att.attendance_base(tx, att.BOOK_DATE)
+    for facet in att.FACETS:
+        have = {r[0] for r in clean.select(facet).distinct().collect()}
+        assert {o.value for o in opts if o.facet == facet} <= have

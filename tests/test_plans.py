@@ -84,3 +84,11 @@ def test_email_dedup_reads_only_used_columns(spark, sf_dir, scratch):
     plan = plan_text(em.email_summary(em.email_scope(spark.read.parquet(path), cfg), cfg))
     read_schema = plan.split("ReadSchema:")[1].split("\n")[0]
     assert "BODY" not in read_schema and "DATA_ID" in read_schema
+
+
+def test_detail_and_total_share_one_shuffle(spark, sf_dir, scratch):
+    tx = _landed(spark, sf_dir, scratch, "transactions_grouped")
+    df = att.attendance_export(tx, att.BOOK_DATE)
+    df.collect()  # the adaptive plan is final once this DataFrame has run
+    plan = plan_text(df)
+    assert "isFinalPlan=true" in plan and "ReusedExchange" in plan  # the total reads the detail's shuffle
