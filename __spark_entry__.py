@@ -52,6 +52,10 @@ SOURCE_TABLES = {
     "DASHBOARD_USERS": "dashboard_users",
     "DASHBOARD_CUSTOMERS": "dashboard_customers",
     "GA4_ITEMS_BY_TENANT": "ga4_items_by_tenant",
+    # the same sources shared by all tenants (leading TENANT column)
+    "SHARED_UVE_TRANSACTIONS_GROUPED": "transactions_by_tenant",
+    "SHARED_GA4_DAILY": "ga4_daily_by_tenant",
+    "SHARED_GA4_EVENTS": "ga4_events_by_tenant",
 }
 _LANDED: dict[str, str] = {}  # key -> folder of fixtures written as Parquet
 
@@ -127,6 +131,14 @@ def _resolved(spark, sf):
     return resolve_tenants(users, registry(spark, sf))
 
 
+def _shared_funnel(spark, sf):
+    """Funnel of every tenant from shared tables; each tenant's default range
+    comes from its own DAILY rows."""
+    cat = catalog(spark, sf)
+    f = ga4.page_frames(cat.table("SHARED_GA4_DAILY"), {"EVENTS": cat.table("SHARED_GA4_EVENTS")}, by=["TENANT"])
+    return ga4.funnel(f["EVENTS"], by=["TENANT"])
+
+
 def entry(spark: SparkSession) -> DataFrame:
     """Flagship: Book Date attendance summary on sf0.001."""
     return att.book_date(_tx(spark, SMOKE_DIR))
@@ -168,6 +180,10 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "resolve_tenants": _resolved,
         "entitled_pages": lambda s, d: entitled_pages(_resolved(s, d), registry(s, d)),
         "top_items_by_tenant": lambda s, d: ga4.top_items_by_tenant(catalog(s, d).table("GA4_ITEMS_BY_TENANT")),
+        # tenants sharing tables: one job for all tenants, grouped by tenant
+        "book_date_by_tenant": lambda s, d: att.book_date(catalog(s, d).table("SHARED_UVE_TRANSACTIONS_GROUPED"),
+                                                          by=["TENANT"]),
+        "funnel_by_tenant": _shared_funnel,
     }
 
 
@@ -219,7 +235,13 @@ def _tx_where(date_col: str | None, rng, picks) -> str:
     return " AND ".join(conds)
 
 
-def _att_sql(date_col=None, rng=None, picks=None) -> str:
+def _att_sql(date_col=None, rng=None, picks=None, shared=False) -> str:
+    if shared:
+        tx = _TX.replace("SELECT coalesce(TI_ITEMNAME", "SELECT TENANT, coalesce(TI_ITEMNAME").replace(
+            "FROM transactions_grouped", "FROM transactions_by_tenant")
+        return (fixture_ctes(["transactions_by_tenant"]) + tx +
+                'SELECT TENANT, Item, Department, sum(na) AS "Net Attendance", round_even(sum(nv), 2) AS "Net Value" '
+                "FROM t GROUP BY TENANT, Item, Department")
     return (fixture_ctes(["transactions_grouped"]) + _TX +
             'SELECT Item, Department, sum(na) AS "Net Attendance", round_even(sum(nv), 2) AS "Net Value" '
             f"FROM t WHERE {_tx_where(date_col, rng, picks)} GROUP BY Item, Department")
@@ -380,6 +402,22 @@ res AS (SELECT us.email, us.name, us.customer, reg.label, reg.prefix, reg.custom
 """
 
 
+def _shared_funnel_sql() -> str:
+    names = ", ".join(f"'{k}'" for k, _ in FUNNEL_STEPS)
+    sums = ", ".join(f"sum(CASE WHEN EVENTNAME = '{k}' THEN EVENTCOUNT ELSE 0 END) AS s{i}"
+                     for i, (k, _) in enumerate(FUNNEL_STEPS))
+    slots = ", ".join(f"s{i}" for i in range(len(FUNNEL_STEPS)))
+    labels = " ".join(f"WHEN 's{i}' THEN '{lbl}'" for i, (_, lbl) in enumerate(FUNNEL_STEPS))
+    return fixture_ctes(["ga4_daily_by_tenant", "ga4_events_by_tenant"]) + f"""
+, d0 AS (SELECT * FROM ga4_daily_by_tenant WHERE {_HOST_OK} AND {_SOURCE_OK}),
+r AS (SELECT TENANT, min(DATE) AS lo, max(DATE) AS hi FROM d0 WHERE DATE IS NOT NULL GROUP BY TENANT),
+e AS (SELECT g.* FROM ga4_events_by_tenant g JOIN r ON g.TENANT = r.TENANT
+      WHERE {_HOST_OK} AND {_SOURCE_OK} AND g.DATE BETWEEN r.lo AND r.hi),
+w AS (SELECT TENANT, {sums} FROM e WHERE EVENTNAME IN ({names}) GROUP BY TENANT),
+u AS (UNPIVOT w ON {slots} INTO NAME slot VALUE total)
+SELECT TENANT, CASE slot {labels} END AS Step, CAST(total AS BIGINT) AS "Events" FROM u"""
+
+
 def _entitled_sql() -> str:
     cat = ", ".join(f"('{k}', '{v}')" for k, v in PAGE_TITLES.items())
     return (fixture_ctes(["dashboard_users", "dashboard_customers"]) + _USERS +
@@ -461,6 +499,8 @@ FROM c""",
         "resolve_tenants": fixture_ctes(["dashboard_users", "dashboard_customers"]) + _USERS
         + "SELECT email, name, customer, label, prefix, authorized FROM res",
         "entitled_pages": _entitled_sql(),
+        "book_date_by_tenant": _att_sql(shared=True),
+        "funnel_by_tenant": _shared_funnel_sql(),
         "top_items_by_tenant": fixture_ctes(["ga4_items_by_tenant"]) + """
 , s AS (SELECT TENANT, ITEMNAME, CAST(sum(ITEMSVIEWED) AS BIGINT) AS v, CAST(sum(ITEMSPURCHASED) AS BIGINT) AS p
         FROM ga4_items_by_tenant WHERE TENANT IS NOT NULL AND ITEMNAME IS NOT NULL GROUP BY TENANT, ITEMNAME)

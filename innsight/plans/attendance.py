@@ -124,12 +124,14 @@ def attendance_options(raw: DataFrame, date_col: str, date_range: DateRange = No
     return facet_options(attendance_base(raw, date_col, date_range), FACETS, picks, by)
 
 
-def book_date(raw: DataFrame, date_range: DateRange = None, picks: Picks | None = None) -> DataFrame:
-    return attendance_summary(raw, BOOK_DATE, date_range, picks)
+def book_date(raw: DataFrame, date_range: DateRange = None, picks: Picks | None = None,
+              by: Sequence[str] = ()) -> DataFrame:
+    return attendance_summary(raw, BOOK_DATE, date_range, picks, by)
 
 
-def event_date(raw: DataFrame, date_range: DateRange = None, picks: Picks | None = None) -> DataFrame:
-    return attendance_summary(raw, EVENT_DATE, date_range, picks)
+def event_date(raw: DataFrame, date_range: DateRange = None, picks: Picks | None = None,
+               by: Sequence[str] = ()) -> DataFrame:
+    return attendance_summary(raw, EVENT_DATE, date_range, picks, by)
 
 
 def attendance_export(raw: DataFrame, date_col: str, date_range: DateRange = None, picks: Picks | None = None,

@@ -157,6 +157,37 @@ SELECT * FROM (VALUES
 }
 
 
+# Tenants sharing one table per source: the same sources with a leading
+# TENANT column; one tenant holds half of the rows (skew).
+_TENANT_OF_CUSTOMER = "CASE WHEN c_custkey % 2 = 0 THEN 'aurora' WHEN c_custkey % 4 = 1 THEN 'borealis' ELSE 'closed' END"
+_TENANT_OF_USER = "CASE WHEN user_id % 2 = 0 THEN 'aurora' WHEN user_id % 4 = 1 THEN 'borealis' ELSE 'closed' END"
+FIXTURES["transactions_by_tenant"] = (
+    FIXTURES["transactions_grouped"][0].replace(
+        "SELECT CASE WHEN l_partkey % 29", f"SELECT {_TENANT_OF_CUSTOMER} AS TENANT,\n       CASE WHEN l_partkey % 29", 1),
+    FIXTURES["transactions_grouped"][1],
+)
+FIXTURES["ga4_daily_by_tenant"] = ("""
+WITH b AS (SELECT *, """ + _TENANT_OF_USER + """ AS TENANT FROM {ga4_base})
+SELECT TENANT, DATE, SESSIONSOURCE, HOSTNAME, count(*) AS SESSIONS,
+       count(DISTINCT user_id) AS ACTIVEUSERS, count(DISTINCT user_id) AS TOTALUSERS,
+       CAST(sum(CASE WHEN event_type = 'signup' THEN 1 ELSE 0 END) AS BIGINT) AS NEWUSERS,
+       CAST(sum(CASE WHEN event_type = 'view' THEN 1 ELSE 0 END) AS BIGINT) AS SCREENPAGEVIEWS,
+       CAST(sum(CASE WHEN event_type IN ('click', 'purchase') THEN 1 ELSE 0 END) AS BIGINT) AS ENGAGEDSESSIONS,
+       CAST(sum(v) AS STRING) AS USERENGAGEMENTDURATION,
+       CAST(sum(CASE WHEN event_type = 'purchase' THEN 1 ELSE 0 END) AS STRING) AS KEYEVENTS
+FROM b GROUP BY TENANT, DATE, SESSIONSOURCE, HOSTNAME
+""", ("ga4_base",))
+FIXTURES["ga4_events_by_tenant"] = ("""
+WITH b AS (SELECT *, """ + _TENANT_OF_USER + """ AS TENANT,
+                  CASE event_type WHEN 'signup' THEN 'guest_portal_loaded' WHEN 'view' THEN 'view_item'
+                  WHEN 'click' THEN CASE WHEN k < 30 THEN 'add_to_cart' ELSE 'select_item' END
+                  WHEN 'purchase' THEN 'purchase' ELSE NULL END AS EVENTNAME FROM {ga4_base})
+SELECT TENANT, DATE, EVENTNAME, SESSIONSOURCE, HOSTNAME, count(DISTINCT user_id) AS SESSIONS,
+       count(*) AS EVENTCOUNT, '0' AS KEYEVENTS
+FROM b GROUP BY TENANT, DATE, EVENTNAME, SESSIONSOURCE, HOSTNAME
+""", ("ga4_base",))
+
+
 def read_base(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """One of the driver's Parquet tables."""
     return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
