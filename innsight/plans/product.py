@@ -8,6 +8,7 @@ conversion with the ratio of sums.
 
 from __future__ import annotations
 
+import re
 from collections.abc import Mapping, Sequence
 
 from pyspark.sql import DataFrame
@@ -54,8 +55,9 @@ def _push_picks(raw: DataFrame, picks: Picks) -> tuple[DataFrame, dict]:
             raw = raw.filter(facet_predicate("ITEM_NAME", vals, UNKNOWN))
         elif label == "Department":
             raw = raw.filter(facet_predicate("PRODUCT_CATEGORY", vals, UNKNOWN))
-        elif label == "Booked Year Month" and isinstance(raw.schema["BOOKED_MONTH"].dataType, T.IntegralType):
-            months = [int(v.replace("-", "")) for v in vals]
+        elif (label == "Booked Year Month" and isinstance(raw.schema["BOOKED_MONTH"].dataType, T.IntegralType)
+              and all(re.fullmatch(r"\d{4}-\d{2}", str(v)) for v in vals)):
+            months = [int(str(v).replace("-", "")) for v in vals]
             raw = raw.filter(F.col("BOOKED_MONTH").isin(months))
         else:
             rest[label] = vals
