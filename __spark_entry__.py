@@ -70,7 +70,14 @@ def catalog(spark: SparkSession, sf_dir: str) -> TableCatalog:
     landed = _LANDED.get(sf_dir)
     if landed:
         return TableCatalog(spark, {t: f"{landed}/{f}" for t, f in SOURCE_TABLES.items()})
-    return TableCatalog(spark, {t: (lambda f=f: fixture(spark, sf_dir, f)) for t, f in SOURCE_TABLES.items()})
+    return TableCatalog(spark, {t: (lambda f=f: _view(spark, sf_dir, f)) for t, f in SOURCE_TABLES.items()})
+
+
+@functools.lru_cache(maxsize=256)
+def _view(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    # A fixture is the test world's view definition: its (lazy, analysed) plan is
+    # kept per session; every query still reads and computes it in full.
+    return fixture(spark, sf_dir, name)
 
 
 def land_fixtures(spark: SparkSession, sf_dir: str, out_dir: str) -> str:
