@@ -27,3 +27,27 @@ def test_numeric0_agrees_with_pandas(spark, values):
         if math.isinf(w) and not v.strip().lower().lstrip("+-").startswith("inf"):
             w = 0.0  # overflow: pandas keeps inf only for spelled-out infinity in our reading
         assert g == w or math.isclose(g, w, rel_tol=1e-12), (v, g, w)
+
+
+_counts = st.lists(
+    st.tuples(st.integers(min_value=0, max_value=10**7), st.integers(min_value=1, max_value=10**7)),
+    min_size=50, max_size=200,
+)
+
+
+@settings(max_examples=5, deadline=None)
+@given(_counts)
+def test_percent_text_agrees_with_python(spark, pairs):
+    """Rates of counts rendered as the application renders them."""
+    import numpy as np
+
+    from innsight.functions.formats import one_decimal_pct, pct
+    from innsight.operators.measures import ratio
+
+    df = spark.createDataFrame(pairs, "a bigint, b bigint")
+    r = ratio(F.col("a"), F.col("b"))
+    got = [(row.p, row.q) for row in df.select(pct(r).alias("p"), one_decimal_pct(r).alias("q")).collect()]
+    for (a, b), (p, q) in zip(pairs, got):
+        x = a / b
+        assert p == f"{x:.2%}", (a, b, p)
+        assert q == str(np.round(x * 100, 1)) + "%", (a, b, q)
