@@ -8,6 +8,7 @@ dimensions whose NULLs are shown as ``Unknown`` by testing the raw column.
 from __future__ import annotations
 
 import datetime as _dt
+import re
 from collections.abc import Iterable, Mapping, Sequence
 from functools import reduce
 
@@ -136,10 +137,26 @@ def _ci(pattern: str) -> str:
     return "(?iu)" + pattern
 
 
+_REGEX_META = re.compile(r"[.^$*+?{}\[\]\\|()]")
+
+
+def is_literal(pattern: str) -> bool:
+    """True when ``pattern`` has no regular-expression metacharacter."""
+    return not _REGEX_META.search(pattern)
+
+
 def matches_ci(column: str | Column, pattern: str) -> Column:
-    """Case-insensitive regular-expression containment; NULL counts as ``''``."""
+    """Case-insensitive regular-expression containment; NULL counts as ``''``.
+
+    A pattern without metacharacters (the usual subject or host fragment) is
+    tested as a lower-cased substring, which gives the same answer without
+    running the regex engine on every row.
+    """
     c = F.col(column) if isinstance(column, str) else column
-    return F.coalesce(c.cast("string"), F.lit("")).rlike(_ci(pattern))
+    text = F.coalesce(c.cast("string"), F.lit(""))
+    if is_literal(pattern):
+        return F.lower(text).contains(pattern.lower())
+    return text.rlike(_ci(pattern))
 
 
 def subject_scope(df: DataFrame, column: str, pattern: str) -> DataFrame:
@@ -182,7 +199,7 @@ def search_rows(df: DataFrame, pattern: str) -> DataFrame:
     if not pattern:
         return df
     preds = [
-        F.coalesce(df[f"`{f.name}`"].cast("string"), F.lit("")).rlike(_ci(pattern))
+        matches_ci(df[f"`{f.name}`"], pattern)
         for f in df.schema.fields
         if not isinstance(f.dataType, (T.MapType, T.BinaryType))
     ]

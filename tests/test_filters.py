@@ -87,3 +87,19 @@ def test_facet_options_are_values_of_the_data(spark, sf_dir):
     for facet in att.FACETS:
         have = {r[0] for r in clean.select(facet).distinct().collect()}
         assert {o.value for o in opts if o.facet == facet} <= have
+
+
+def test_literal_fast_path_equals_regex(spark):
+    from pyspark.sql import functions as F
+
+    from innsight.operators.filters import _ci, is_literal, matches_ci
+
+    texts = ["Hotel Aurora", "HOTEL AURORA - reminder", "hôtel aurora", "Séjour ABBÉ", "", None,
+             "www.Booketing.COM", "x-y z", "ÉTÉ", "straße"]
+    df = spark.createDataFrame([(t,) for t in texts], "s string")
+    for pat in ["hotel aurora", "booketing", "abbé", "été", "x-y", "STRASSE", "straße"]:
+        assert is_literal(pat)
+        fast = [r[0] for r in df.select(matches_ci("s", pat)).collect()]
+        slow = [r[0] for r in df.select(F.coalesce(F.col("s"), F.lit("")).rlike(_ci(pat))).collect()]
+        assert fast == slow, pat
+    assert not is_literal("a|b") and not is_literal("s.jour")
