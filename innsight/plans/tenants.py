@@ -48,9 +48,10 @@ def entitled_pages(
     titles: Mapping[str, str] = PAGE_TITLES,
     max_broadcast_rows: int = MAX_BROADCAST_TENANTS,
 ) -> DataFrame:
-    """Per authorized user: the pages they see, in the tenant's configured order."""
+    """Per authorized user: the pages they see; ``position`` is the tenant's
+    configured order.  No global sort: the output has one row per user and
+    page (millions of rows for many users), and the order travels in
+    ``position`` for whoever renders it."""
     pages = bounded_broadcast(tenant_pages(registry, titles), max_broadcast_rows)
     users = resolved.filter(F.col("authorized")).select("email", "customer")
-    return users.join(pages, "customer", "inner").select(
-        "email", "customer", "position", "page", "title"
-    ).orderBy("email", "position")
+    return users.join(pages, "customer", "inner").select("email", "customer", "position", "page", "title")

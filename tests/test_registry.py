@@ -76,5 +76,6 @@ def test_users_and_resolution(spark):
 def test_entitled_pages_order_and_unknown_dropped(spark):
     users = spark.createDataFrame([("u@x", "u", "aurora")], "email string, name string, customer string")
     reg = load_registry(spark.createDataFrame(CUSTOMERS, CUST_SCHEMA))
-    pages = entitled_pages(resolve_tenants(users, reg), reg).collect()
+    pages = entitled_pages(resolve_tenants(users, reg), reg).orderBy("position").collect()
     assert [(p.page, p.title) for p in pages] == [("book_date", "Book Date"), ("audience", "Audience")]
+    assert [p.position for p in pages] == [0, 2]  # configured order; the unknown page is dropped
