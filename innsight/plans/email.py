@@ -8,17 +8,18 @@ and last day) -> one conditional aggregate for every bucket and the total.
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Mapping, Sequence
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from innsight.config import EMAIL_NUMERIC, EmailConfig
 from innsight.functions.clean import to_number0, truncate_int, wall_clock
 from innsight.functions.formats import pct
 from innsight.operators.dedup import keep_first
-from innsight.operators.filters import DateLike, half_open_range, subject_scope
-from innsight.operators.measures import conditional_segments, group_sizes, ratio
+from innsight.operators.filters import DateLike, half_open_range, matches_ci, subject_scope
+from innsight.operators.measures import conditional_segments, group_sizes, ratio, sum0
 
 TS = "DATA_TS_DATE"
 SUMMARY_COLUMNS = (
@@ -84,16 +85,11 @@ def _segments(scoped: DataFrame, cfg: EmailConfig, total_label: str) -> DataFram
     )
 
 
-def email_sections(scoped: DataFrame, cfg: EmailConfig) -> DataFrame:
-    """The page's metric sections: one per bucket and ``Total Emails``.
-
-    Counts are shown as integers; the rates are fractions of the untruncated
-    sums (delivered / sent, clicks / delivered, opened / delivered).
-    """
-    seg = _segments(scoped, cfg, "Total Emails")
+def _section_columns(seg: DataFrame, by: Sequence[str] = ()) -> DataFrame:
     rec, sent, opened = F.col("rec"), F.col("sent"), F.col("opened")
     clicks, data_clicks = F.col("clicks"), F.col("data_clicks")
     out = seg.select(
+        *by,
         "position",
         F.col("label").alias("Section"),
         rec.alias("Email Sent"),
@@ -105,21 +101,15 @@ def email_sections(scoped: DataFrame, cfg: EmailConfig) -> DataFrame:
         ratio(clicks, sent).alias("Click Rate (CTR)"),
         ratio(opened, sent).alias("AVG Open Rate"),
     )
-    return out.orderBy("position").drop("position")
+    return out.orderBy(*by, "position").drop("position")
 
 
-def email_summary(scoped: DataFrame, cfg: EmailConfig) -> DataFrame:
-    """One row per configured bucket (in order) and a ``Total`` of every scoped message.
-
-    Buckets may overlap or be empty (an empty bucket shows zeros); a message in
-    no bucket still counts in the total.  Counts are integers (truncated sums)
-    and the rates are computed from those integers, as text like ``12.34%``.
-    """
-    seg = _segments(scoped, cfg, "Total")
+def _summary_columns(seg: DataFrame, by: Sequence[str] = ()) -> DataFrame:
     rec = F.col("rec")
     sent, opened = truncate_int(F.col("sent")), truncate_int(F.col("opened"))
     clicks, data_clicks = truncate_int(F.col("clicks")), truncate_int(F.col("data_clicks"))
     out = seg.select(
+        *by,
         "position",
         F.col("label").alias("Segment"),
         rec.alias("Emails Sent"),
@@ -131,14 +121,93 @@ def email_summary(scoped: DataFrame, cfg: EmailConfig) -> DataFrame:
         pct(ratio(opened, sent)).alias("Open Rate"),
         pct(ratio(clicks, sent)).alias("CTR"),
     )
-    return out.orderBy("position").drop("position")
+    return out.orderBy(*by, "position").drop("position")
+
+
+def email_sections(scoped: DataFrame, cfg: EmailConfig) -> DataFrame:
+    """The page's metric sections: one per bucket and ``Total Emails``.
+
+    Counts are shown as integers; the rates are fractions of the untruncated
+    sums (delivered / sent, clicks / delivered, opened / delivered).
+    """
+    return _section_columns(_segments(scoped, cfg, "Total Emails"))
+
+
+def email_summary(scoped: DataFrame, cfg: EmailConfig) -> DataFrame:
+    """One row per configured bucket (in order) and a ``Total`` of every scoped message.
+
+    Buckets may overlap or be empty (an empty bucket shows zeros); a message in
+    no bucket still counts in the total.  Counts are integers (truncated sums)
+    and the rates are computed from those integers, as text like ``12.34%``.
+    """
+    return _summary_columns(_segments(scoped, cfg, "Total"))
+
+
+# ---------------------------------------------------------------- many tenants, one source
+TAG = "__tag"
+
+
+def scope_tenants(base: DataFrame, cfgs: Mapping[str, EmailConfig], tenant_col: str = "tenant") -> DataFrame:
+    """Messages of every tenant reading ``base``, in one pass.
+
+    Each message gets one row per tenant whose subject pattern it matches (a
+    message may belong to several, as when each tenant scopes the source on
+    its own), with that tenant's tag value.  Every pattern is a literal
+    expression, compiled once.  The default date range keeps every dated
+    message, as for one tenant.
+    """
+    entries = []
+    for tenant, cfg in cfgs.items():
+        match = matches_ci(cfg.subject_field, cfg.subject_match) if cfg.subject_match else F.lit(True)
+        tag = F.coalesce(F.col(cfg.tag_field).cast("string"), F.lit(""))
+        entries.append(F.when(match, F.struct(F.lit(tenant).alias(tenant_col), tag.alias(TAG))))
+    tagged = base.filter(F.col(TS).isNotNull()).withColumn("__scope", F.explode(F.array_compact(F.array(*entries))))
+    return tagged.select("*", f"__scope.{tenant_col}", f"__scope.{TAG}").drop("__scope")
+
+
+def _tenant_segments(scoped: DataFrame, cfgs: Mapping[str, EmailConfig], total_label: str,
+                     tenant_col: str) -> DataFrame:
+    """Bucket and total segments of every tenant.
+
+    Sums per (tenant, tag) first (a few rows per tenant), then each tenant's
+    configured buckets - a small table built from configuration - are joined
+    to them, so an empty bucket still yields its row; the total sums all tags.
+    """
+    per_tag = scoped.groupBy(tenant_col, TAG).agg(
+        F.count("DATA_ID").alias("rec"), sum0("SENT").alias("sent"), sum0("OPEN").alias("opened"),
+        sum0("CLICKS").alias("clicks"), sum0("DATA_CLICKS").alias("data_clicks"))
+    measures = ["rec", "sent", "opened", "clicks", "data_clicks"]
+    spark = scoped.sparkSession
+    schema = T.StructType([T.StructField(tenant_col, T.StringType()), T.StructField("position", T.IntegerType()),
+                           T.StructField("label", T.StringType()), T.StructField(TAG, T.StringType())])
+    buckets = spark.createDataFrame(
+        [(t, i, label, value) for t, c in cfgs.items() for i, (value, label) in enumerate(c.buckets)], schema)
+    present = per_tag.select(tenant_col).distinct()
+    bucket_rows = (
+        buckets.join(present, tenant_col, "inner")
+        .join(per_tag, [tenant_col, TAG], "left")
+        .select(tenant_col, "position", "label", *[F.coalesce(F.col(m), F.lit(0)).alias(m) for m in measures])
+    )
+    totals = per_tag.groupBy(tenant_col).agg(*[sum0(m).alias(m) for m in measures]).select(
+        tenant_col, F.lit(1 << 30).alias("position"), F.lit(total_label).alias("label"), *measures)
+    return bucket_rows.unionByName(totals)
+
+
+def email_summary_by_tenant(scoped: DataFrame, cfgs: Mapping[str, EmailConfig], tenant_col: str = "tenant") -> DataFrame:
+    """:func:`email_summary` of every tenant of :func:`scope_tenants` rows."""
+    return _summary_columns(_tenant_segments(scoped, cfgs, "Total", tenant_col), [tenant_col])
+
+
+def email_sections_by_tenant(scoped: DataFrame, cfgs: Mapping[str, EmailConfig], tenant_col: str = "tenant") -> DataFrame:
+    """:func:`email_sections` of every tenant of :func:`scope_tenants` rows."""
+    return _section_columns(_tenant_segments(scoped, cfgs, "Total Emails", tenant_col), [tenant_col])
 
 
-def email_by_state(scoped: DataFrame) -> DataFrame:
+def email_by_state(scoped: DataFrame, by: Sequence[str] = ()) -> DataFrame:
     """Messages per delivery state (NULL state dropped), by state."""
-    return group_sizes(scoped, "DATA_STATE")
+    return group_sizes(scoped, "DATA_STATE", by=by)
 
 
-def email_open_frequency(scoped: DataFrame) -> DataFrame:
+def email_open_frequency(scoped: DataFrame, by: Sequence[str] = ()) -> DataFrame:
     """Messages per number of opens (missing opens count as 0), by opens."""
-    return group_sizes(scoped, "DATA_OPENS")
+    return group_sizes(scoped, "DATA_OPENS", by=by)

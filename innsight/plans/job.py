@@ -238,27 +238,27 @@ def build_shared_marts(
 
 def _shared_email(configs: Sequence[TenantConfig], email_tables: dict[str, DataFrame], out: str,
                   tenant_col: str) -> list[BuildResult]:
+    """Email reports of every tenant: per source table one de-duplication, one
+    pass that scopes every message to the tenants whose subject it matches, and
+    one job per report for all of them."""
     results: list[BuildResult] = []
-    bases: dict[str, DataFrame] = {}
-    readers: dict[str, list] = {}
-    for cfg in configs:
-        if cfg.email is not None:
-            readers.setdefault(cfg.email.table, []).append(cfg.email)
+    readers: dict[str, dict[str, object]] = {}
     for cfg in configs:
         if cfg.email is None:
             continue
-        name = cfg.email.table
-        if name not in email_tables:
-            results.append(BuildResult(cfg.customer, "email_campaigns", "", "failed", f"missing source: {name}"))
+        if cfg.email.table not in email_tables:
+            results.append(BuildResult(cfg.customer, "email_campaigns", "", "failed",
+                                       f"missing source: {cfg.email.table}"))
             continue
-        if name not in bases:  # de-duplicate each shared source once
-            bases[name] = cut_lineage(em.email_base(email_tables[name], em.used_columns(readers[name])))
-
-        def write(report: str, df: DataFrame, cfg=cfg) -> DataFrame:
-            write_parquet(df.withColumn(tenant_col, F.lit(cfg.customer)), f"{out}/email_campaigns/{report}",
-                          (tenant_col,))
-            results.append(BuildResult(cfg.customer, "email_campaigns", report, "ok"))
-            return df
-
-        _email_reports(bases[name], cfg, write)
+        readers.setdefault(cfg.email.table, {})[cfg.customer] = cfg.email
+    for name, cfgs in readers.items():
+        base = cut_lineage(em.email_base(email_tables[name], em.used_columns(list(cfgs.values()))))
+        scoped = cut_lineage(em.scope_tenants(base, cfgs, tenant_col))
+        by = [tenant_col]
+        for report, df in (("summary", em.email_summary_by_tenant(scoped, cfgs, tenant_col)),
+                           ("sections", em.email_sections_by_tenant(scoped, cfgs, tenant_col)),
+                           ("by_state", em.email_by_state(scoped, by)),
+                           ("open_frequency", em.email_open_frequency(scoped, by))):
+            write_parquet(df, f"{out}/email_campaigns/{report}", (tenant_col,), rebalance=True)
+            results.extend(BuildResult(t, "email_campaigns", report, "ok") for t in cfgs)
     return results

@@ -71,3 +71,27 @@ def test_build_shared_marts(spark, sf_dir, scratch):
     assert funnel.select("tenant").distinct().collect()[0].tenant == "aurora" and funnel.count() == 6
     summ = spark.read.parquet(f"{out}/email_campaigns/summary")
     assert {r.tenant for r in summ.collect()} == {"aurora", "borealis"}
+
+
+def test_email_all_tenants_in_one_pass(spark, sf_dir):
+    from innsight.config import EmailConfig
+    from innsight.plans import email as em
+
+    cfgs = {
+        "aurora": EmailConfig("m", subject_match="hotel aurora",
+                              buckets=(("days:15", "15 days"), ("days:0", "0 days"), ("days:99", "99 days"))),
+        "borealis": EmailConfig("m", subject_match="Hotel Borealis", buckets=(("days:30", "30 days"),)),
+        "nobody": EmailConfig("m", subject_match="no such hotel", buckets=(("days:15", "15"),)),
+    }
+    mail = fixture(spark, sf_dir, "mail_notifications")
+    base = em.email_base(mail, em.used_columns(list(cfgs.values())))
+    scoped = em.scope_tenants(base, cfgs)
+    summary = em.email_summary_by_tenant(scoped, cfgs)
+    sections = em.email_sections_by_tenant(scoped, cfgs)
+    states = em.email_by_state(scoped, by=["tenant"])
+    assert summary.filter("tenant = 'nobody'").count() == 0  # no messages: nothing shown
+    for t in ("aurora", "borealis"):
+        alone = em.email_in_scope(base, cfgs[t])
+        assert summary.filter(F.col("tenant") == t).drop("tenant").collect() == em.email_summary(alone, cfgs[t]).collect()
+        assert sections.filter(F.col("tenant") == t).drop("tenant").collect() == em.email_sections(alone, cfgs[t]).collect()
+        assert _rows(states.filter(F.col("tenant") == t).drop("tenant")) == _rows(em.email_by_state(alone))
