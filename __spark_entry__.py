@@ -146,6 +146,13 @@ def _shared_funnel(spark, sf):
     return ga4.funnel(f["EVENTS"], by=["TENANT"])
 
 
+def _email_by_tenant(spark, sf):
+    """Email summary of every tenant reading the shared notifications table, in one pass."""
+    cfgs = {c.customer: c.email for c in _tenants(spark, sf).values() if c.email and "email_campaigns" in c.pages}
+    base = em.email_base(catalog(spark, sf).table("mail_notifications"), em.used_columns(list(cfgs.values())))
+    return em.email_summary_by_tenant(em.scope_tenants(base, cfgs, "TENANT"), cfgs, "TENANT")
+
+
 def entry(spark: SparkSession) -> DataFrame:
     """Flagship: Book Date attendance summary on sf0.001."""
     return att.book_date(_tx(spark, SMOKE_DIR))
@@ -191,6 +198,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "book_date_by_tenant": lambda s, d: att.book_date(catalog(s, d).table("SHARED_UVE_TRANSACTIONS_GROUPED"),
                                                           by=["TENANT"]),
         "funnel_by_tenant": _shared_funnel,
+        "email_summary_by_tenant": _email_by_tenant,
     }
 
 
@@ -315,6 +323,36 @@ def _email_summary_sql() -> str:
             f'{_pct(_ratio("opened", "sent"))} AS "Open Rate", {_pct(_ratio("clicks", "sent"))} AS "CTR" FROM seg')
 
 
+# Email configuration of the two active tenants in the registry fixture.
+_EMAIL_TENANTS = {
+    "aurora": ("hotel aurora", _EMAIL_BUCKETS),
+    "borealis": ("Hotel Borealis", [("days:30", "30 days")]),
+}
+
+
+def _email_summary_by_tenant_sql() -> str:
+    dedup = _EMAIL.split(",\ns AS (")[0]  # the keyed de-duplication CTE
+    scoped, finals = [], []
+    for t, (pattern, buckets) in _EMAIL_TENANTS.items():
+        scoped.append(f"""s_{t} AS (
+  SELECT DATA_ID, {_num0('SENT')} AS SENT, coalesce(OPEN, 0) AS OPEN, coalesce(CLICKS, 0) AS CLICKS,
+         coalesce(DATA_CLICKS, 0) AS DATA_CLICKS, NOTIFICATION_TAG FROM m
+  WHERE regexp_matches(coalesce(DATA_SUBJECT, ''), '{pattern}', 'i') AND DATA_TS_DATE IS NOT NULL)""")
+        segs = [(f"coalesce(NOTIFICATION_TAG, '') = '{v}'", lbl) for v, lbl in buckets] + [("TRUE", "Total")]
+        for cond, lbl in segs:
+            finals.append(
+                f"SELECT '{t}' AS TENANT, '{lbl}' AS Segment, count(DATA_ID) AS rec, "
+                f"CAST(trunc(coalesce(sum(SENT), 0)) AS BIGINT) AS sent, CAST(coalesce(sum(OPEN), 0) AS BIGINT) AS opened, "
+                f"CAST(coalesce(sum(CLICKS), 0) AS BIGINT) AS clicks, CAST(coalesce(sum(DATA_CLICKS), 0) AS BIGINT) AS dclicks "
+                f"FROM s_{t} WHERE {cond} HAVING (SELECT count(*) FROM s_{t}) > 0")
+    return (fixture_ctes(["mail_notifications"]) + dedup + ",\n" + ",\n".join(scoped)
+            + ",\nseg AS (" + " UNION ALL ".join(finals) + ")\n"
+            'SELECT TENANT, Segment, rec AS "Emails Sent", sent AS "Delivered", opened AS "Opened", '
+            'dclicks AS "Data Clicks", clicks AS "Emails w/ >=1 Click", '
+            f'{_pct(_ratio("sent", "rec"))} AS "Delivery Rate", {_pct(_ratio("opened", "sent"))} AS "Open Rate", '
+            f'{_pct(_ratio("clicks", "sent"))} AS "CTR" FROM seg')
+
+
 def _email_sections_sql() -> str:
     segs = [(f"coalesce(NOTIFICATION_TAG, '') = '{v}'", lbl) for v, lbl in _EMAIL_BUCKETS] + [("TRUE", "Total Emails")]
     branches = " UNION ALL ".join(
@@ -508,6 +546,7 @@ FROM c""",
         "entitled_pages": _entitled_sql(),
         "book_date_by_tenant": _att_sql(shared=True),
         "funnel_by_tenant": _shared_funnel_sql(),
+        "email_summary_by_tenant": _email_summary_by_tenant_sql(),
         "top_items_by_tenant": fixture_ctes(["ga4_items_by_tenant"]) + """
 , s AS (SELECT TENANT, ITEMNAME, CAST(sum(ITEMSVIEWED) AS BIGINT) AS v, CAST(sum(ITEMSPURCHASED) AS BIGINT) AS p
         FROM ga4_items_by_tenant WHERE TENANT IS NOT NULL AND ITEMNAME IS NOT NULL GROUP BY TENANT, ITEMNAME)
