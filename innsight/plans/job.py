@@ -181,11 +181,26 @@ def build_marts(
         if tenants is None or cfg.customer in tenants
         for page in cfg.pages
     ]
+    results: list[BuildResult] = []
+    if fmt == "parquet":
+        # Email sources are often shared by several properties (each scoped by
+        # subject): one de-duplication and one scoping pass per source table.
+        email_cfgs = [cfg for cfg, page in units if page == "email_campaigns" and cfg.email is not None]
+        tables = {}
+        for cfg in email_cfgs:
+            name = cfg.email.table
+            if name not in tables:
+                try:
+                    tables[name] = scan_email(catalog, cfg)
+                except (UnknownTable, AnalysisException):
+                    pass
+        results += _shared_email(email_cfgs, tables, out, "tenant")
+        units = [(cfg, page) for cfg, page in units if page != "email_campaigns"]
     if parallelism <= 1:
-        return [r for cfg, page in units for r in _build_page(catalog, cfg, page, out, fmt)]
+        return results + [r for cfg, page in units for r in _build_page(catalog, cfg, page, out, fmt)]
     with ThreadPoolExecutor(max_workers=parallelism) as pool:
         done = pool.map(lambda u: _build_page(catalog, u[0], u[1], out, fmt), units)
-        return [r for rs in done for r in rs]
+        return results + [r for rs in done for r in rs]
 
 
 # ---------------------------------------------------------------- shared tables
