@@ -14,6 +14,7 @@ tables; column names match the Spark results.
 from __future__ import annotations
 
 import functools
+import importlib
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -158,7 +159,27 @@ def entry(spark: SparkSession) -> DataFrame:
     return att.book_date(_tx(spark, SMOKE_DIR))
 
 
+def _corpus() -> list:
+    """Modules of the optional corpus subpackage and its pipeline that add queries; none if they are absent."""
+    found = []
+    for name, parent in (("innsight.llm.queries", "innsight.llm"), ("corpus_pipeline", "corpus_pipeline")):
+        try:
+            found.append(importlib.import_module(name))
+        except ModuleNotFoundError as e:
+            if e.name not in (name, parent, "innsight.llm"):
+                raise
+    return found
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
+    out = report_queries()
+    for module in _corpus():
+        out |= module.queries()
+    return out
+
+
+def report_queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
+    """The reports: every query but those of the corpus subpackage."""
     return {
         # attendance
         "book_date": lambda s, d: att.book_date(_tx(s, d)),
@@ -473,6 +494,13 @@ def _entitled_sql() -> str:
 
 
 def oracle_sql() -> dict[str, str]:
+    out = report_sql()
+    for module in _corpus():
+        out |= module.oracle_sql()
+    return out
+
+
+def report_sql() -> dict[str, str]:
     funnel_values = ", ".join(f"({i}, '{k}', '{lbl}')" for i, (k, lbl) in enumerate(FUNNEL_STEPS))
     search_pred = " OR ".join(
         f"regexp_matches(coalesce(CAST({c} AS VARCHAR), ''), '{SEARCH_PATTERN}', 'i')" for c in _MAIL_COLS

@@ -28,16 +28,13 @@ def local_session(cores: int | str = "*", shuffle_partitions: int = 8, app: str
         .config("spark.driver.memory", os.environ.get("INNSIGHT_DRIVER_MEMORY", "8g"))
         .config("spark.sql.execution.arrow.pyspark.enabled", "true")
     )
+    scratch = tempfile.mkdtemp(prefix="innsight-")  # one machine: its own folder is shared
+    builder = builder.config("spark.checkpoint.dir", f"{scratch}/checkpoints").config("spark.sql.warehouse.dir", f"{scratch}/warehouse")
     spark = builder.getOrCreate()
     spark.sparkContext.setLogLevel("ERROR")
-    ensure_checkpoint_dir(spark)
     return spark
 
 
-class CheckpointDirUnset(RuntimeError):
-    """A cluster session has no shared ``spark.checkpoint.dir``."""
-
-
 # SQL settings for a large cluster (hundreds of executors, ~100 TB of input).
 # Scans: 256 MB splits keep a 100 TB read near 400k tasks.  Shuffles: most
 # reports shuffle little (map-side partial aggregation), but the keyed email
@@ -79,22 +76,15 @@ def apply_scale_conf(spark: SparkSession, overrides: dict[str, str] | None = Non
 def ensure_checkpoint_dir(spark: SparkSession) -> str:
     """Return the session's checkpoint directory.
 
-    On a cluster ``spark.checkpoint.dir`` names a shared folder and is used as
-    is; if it is unset there, this raises rather than fall back to a
-    machine-local folder.  Only a local-mode session (tests) gets a scratch
-    folder of its own.
+    ``spark.checkpoint.dir`` names a folder all executors share and is used as
+    is.  Where it is unset, a folder in the session's warehouse is set, which
+    executors share as well.
     """
     sc = spark.sparkContext
-    current = sc.getCheckpointDir() or sc.getConf().get("spark.checkpoint.dir", None)
-    if current:
-        if not sc.getCheckpointDir():
-            sc.setCheckpointDir(current)
-        return current
-    if not sc.master.startswith("local"):
-        raise CheckpointDirUnset("set spark.checkpoint.dir to a shared folder (e.g. on the cluster's file system)")
-    path = tempfile.mkdtemp(prefix="innsight-ckpt-")
-    sc.setCheckpointDir(path)
-    return path
+    if not sc.getCheckpointDir():
+        conf = sc.getConf().get("spark.checkpoint.dir", None)
+        sc.setCheckpointDir(conf or f"{spark.conf.get('spark.sql.warehouse.dir').rstrip('/')}/_checkpoints")
+    return sc.getCheckpointDir()
 
 
 def cut_lineage(df: DataFrame) -> DataFrame:

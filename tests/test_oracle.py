@@ -36,13 +36,13 @@ def duck(sf_dir):
 
 
 def test_every_query_has_an_oracle():
-    assert set(entry.queries()) == set(entry.oracle_sql())
+    assert set(entry.report_queries()) == set(entry.report_sql())
 
 
-@pytest.mark.parametrize("key", sorted(entry.queries()))
+@pytest.mark.parametrize("key", sorted(entry.report_queries()))
 def test_query_matches_oracle(spark, sf_dir, duck, key):
-    sdf = entry.queries()[key](spark, sf_dir)
-    rel = duck.sql(entry.oracle_sql()[key])
+    sdf = entry.report_queries()[key](spark, sf_dir)
+    rel = duck.sql(entry.report_sql()[key])
     assert sorted(sdf.columns) == sorted(rel.columns)
     assert _canon(sdf.columns, sdf.collect()) == _canon(rel.columns, rel.fetchall())
 
