@@ -8,13 +8,22 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from innsight.llm.decontaminate import find_items
 from innsight.llm.exact_dedup import exact_groups
 from innsight.llm.language_id import fit_dictionaries, identify
+from innsight.llm.ngram_join import jaccard_components
 from innsight.llm.packing import pack, token_pieces
+from innsight.llm.pii import pseudonymise
 from innsight.llm.token_counts import token_counts
+from innsight.llm.url_filter import filter_urls
+from innsight.llm.warc import archive_pages
 
 TOKENIZER = public_tokenizers.path("byte_bpe_50k.json")
 RANKS = public_tokenizers.path("byte_bpe_50k.tiktoken")
+PSEUDONYM_KEY = "registered-query-key"  # a deployment passes its own secret
+URL_RULES = [
+    ("allow", "com", "/"), ("block", "example.com", "/en/"), ("allow", "www.example.com", "/en/"), ("block", "net", "/es/"), ("block", "net", "/fr/"),
+]
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -30,10 +39,32 @@ def op2_packing(spark, sf_dir):
     return packed.select("doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset")
 
 
+def op3_ngram_join(spark, sf_dir):
+    found = jaccard_components(table(spark, sf_dir, "documents"))
+    return found.select("doc_id", "n_shingles", "component_id")
+
+
+def op4_pii(spark, sf_dir):
+    return pseudonymise(table(spark, sf_dir, "documents").select("doc_id", "text"), PSEUDONYM_KEY)
+
+
 def op6_exact_dedup(spark, sf_dir):
     return exact_groups(table(spark, sf_dir, "documents"))
 
 
+def op7_url_filter(spark, sf_dir):
+    # A page shows the document whose id its path holds; the document's labels are the page's.
+    labels = table(spark, sf_dir, "labels")
+    bad = labels.select(F.col("doc_id").alias("key"), ((F.coalesce("toxic", F.lit(0)) == 1) | (F.coalesce("quality", F.lit(1)) == 0)).cast("int").alias("bad"))
+    shown = F.regexp_extract(F.col("url"), r"://[^/?#]*[^?#]*/(\d+)", 1).try_cast("long")
+    return filter_urls(table(spark, sf_dir, "pages"), URL_RULES, bad, label_key=shown)
+
+
+def op8_warc(spark, sf_dir):
+    captures = archive_pages(table(spark, sf_dir, "pages"))
+    return captures.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
 def op9_language_id(spark, sf_dir):
     docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
     docs = docs.withColumn("held_out", F.crc32(F.col("doc_id").cast("string")) % 4 == 2)
@@ -41,12 +72,21 @@ def op9_language_id(spark, sf_dir):
     return identify(docs, dictionaries, keep=["doc_id", "held_out"])
 
 
+def op10_decontaminate(spark, sf_dir):
+    return find_items(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_token_counts": op1_token_counts,
         "op2_packing": op2_packing,
+        "op3_ngram_join": op3_ngram_join,
+        "op4_pii": op4_pii,
         "op6_exact_dedup": op6_exact_dedup,
+        "op7_url_filter": op7_url_filter,
+        "op8_warc": op8_warc,
         "op9_language_id": op9_language_id,
+        "op10_decontaminate": op10_decontaminate,
     }
 
 
@@ -57,5 +97,37 @@ FROM n WINDOW w AS (PARTITION BY text_sha256)
 """
 
 
+_OP3 = r"""
+WITH RECURSIVE t AS (
+  SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS w FROM documents),
+s AS (
+  SELECT DISTINCT doc_id, unnest(CASE WHEN len(w) = 0 THEN [] WHEN len(w) < 5 THEN [array_to_string(w, ' ')]
+    ELSE list_transform(range(1, len(w) - 3), lambda i: array_to_string(w[i:i + 4], ' ')) END) AS g FROM t),
+n AS (SELECT doc_id, count(*) AS n FROM s GROUP BY doc_id),
+c AS (SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS k FROM s a JOIN s b ON a.g = b.g AND a.doc_id <> b.doc_id GROUP BY 1, 2),
+l AS (SELECT a, b FROM c JOIN n x ON x.doc_id = a JOIN n y ON y.doc_id = b WHERE 100 * k >= 80 * (x.n + y.n - k)),
+r AS (SELECT doc_id AS a, doc_id AS b FROM t UNION SELECT r.a, l.b FROM r JOIN l ON r.b = l.a)
+SELECT t.doc_id, coalesce(n.n, 0) AS n_shingles, (SELECT min(b) FROM r WHERE r.a = t.doc_id) AS component_id FROM t LEFT JOIN n USING (doc_id)
+"""
+
+_OP8 = r"""
+WITH p AS (SELECT page_id, octet_length(encode(coalesce(html, ''))) AS n, sha256(coalesce(html, '')) AS d FROM pages),
+q AS (SELECT *, CASE WHEN n >= 100 THEN min(page_id) OVER (PARTITION BY d) ELSE page_id END AS f FROM p)
+SELECT page_id, CAST(n AS BIGINT) AS payload_bytes, d AS payload_digest, CASE WHEN f = page_id THEN 'response' ELSE 'revisit' END AS record_type,
+  CASE WHEN f <> page_id THEN f END AS refers_to FROM q
+"""
+
+_OP10 = r"""
+WITH i AS (SELECT item_id, list_filter(string_split_regex(lower(coalesce(text, '')), '[^\p{L}\p{N}]+'), lambda x: x <> '') AS w FROM benchmark),
+z AS (SELECT DISTINCT least(len(w), 5) AS z FROM i WHERE len(w) > 0),
+q AS (SELECT DISTINCT item_id, z, unnest(list_transform(range(1, len(w) - z + 2), lambda k: array_to_string(w[k:k + z - 1], ' '))) AS g FROM i JOIN z ON z = least(len(w), 5)),
+m AS (SELECT item_id, z, count(*) AS m FROM q GROUP BY ALL),
+d AS (SELECT doc_id, list_filter(string_split_regex(lower(coalesce(text, '')), '[^\p{L}\p{N}]+'), lambda x: x <> '') AS w FROM documents),
+s AS (SELECT DISTINCT doc_id, z, unnest(list_transform(range(1, len(w) - z + 2), lambda k: array_to_string(w[k:k + z - 1], ' '))) AS g FROM d, z WHERE len(w) >= z),
+h AS (SELECT doc_id, item_id, z, count(*) AS n FROM s JOIN q USING (z, g) GROUP BY ALL)
+SELECT doc_id, item_id, m AS item_shingles, n AS shared, n / m AS containment FROM h JOIN m USING (item_id, z) WHERE 100 * n >= 80 * m
+"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {"op6_exact_dedup": _OP6}
+    return {"op3_ngram_join": _OP3, "op6_exact_dedup": _OP6, "op8_warc": _OP8, "op10_decontaminate": _OP10}
