@@ -15,8 +15,9 @@ dictionary's; all blocks of a text count.
 
 Defined results: a null text, or one without a letter, is ``und`` with score 0
 and rejected; with no labelled row at all every text is ``und``; equal sizes
-go to the language first in the alphabet, with score 0; an empty table gives an
-empty result; other columns pass through :func:`keep_identified` unchanged.
+go to the language with more labelled rows, with score 0; a text of fewer than
+``MIN_LETTERS`` bytes is never rejected for its margin, as its encodings differ
+by a byte or two at most; an empty table gives an empty result; other columns pass through :func:`keep_identified` unchanged.
 """
 
 from __future__ import annotations
@@ -34,18 +35,20 @@ DICT_BYTES = 64 << 10
 BLOCK_BYTES = 1024
 LEVEL = 6
 MIN_MARGIN = 0.002
+MIN_LETTERS = 100  # encoded bytes below which no margin can be told
 UNKNOWN = "und"
 
 
 def fit_dictionaries(labelled: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> dict[str, bytes]:
-    """Per language a raw dictionary from a bounded sample of ``labelled``."""
+    """Per language, the most frequent first, a raw dictionary from a bounded sample of ``labelled``."""
     from pyspark.sql import Window
 
     rows = labelled.select(F.col(id_col).alias("_id"), F.col(lang_col).alias("_lang"), F.col(text_col).alias("_text")).where("_lang IS NOT NULL AND _text IS NOT NULL")
     order = Window.partitionBy("_lang").orderBy(F.xxhash64("_id"), F.col("_id"), F.xxhash64("_text"))
     sample = rows.select("_lang", "_id", F.substring("_text", 1, SAMPLE_CHARS).alias("_text")).withColumn("_n", F.row_number().over(order)).where(F.col("_n") <= SAMPLE_ROWS)
-    texts: dict[str, bytes] = {}
-    for r in sorted(sample.collect(), key=lambda r: (r["_lang"], r["_n"])):  # at most SAMPLE_ROWS x SAMPLE_CHARS a language
+    often = {r["_lang"]: r["count"] for r in rows.groupBy("_lang").count().collect()}
+    texts: dict[str, list[bytes]] = {}
+    for r in sorted(sample.collect(), key=lambda r: (-often[r["_lang"]], r["_lang"], r["_n"])):  # at most SAMPLE_ROWS x SAMPLE_CHARS a language
         texts.setdefault(r["_lang"], []).append(_letters(r["_text"]))
     return {lang: b" ".join(t)[:DICT_BYTES] for lang, t in texts.items()}
 
@@ -62,7 +65,7 @@ def _compressors(dictionaries: dict[str, bytes]):
     import zstandard as zstd
 
     out = []
-    for lang, raw in sorted(dictionaries.items()):
+    for lang, raw in dictionaries.items():
         if len(raw) >= 8:  # zstandard's least content
             d = zstd.ZstdCompressionDict(raw, dict_type=zstd.DICT_TYPE_RAWCONTENT)
             d.precompute_compress(level=LEVEL)
@@ -94,7 +97,7 @@ def identify(docs: DataFrame, dictionaries: dict[str, bytes], text_col: str = "t
                 best = min(range(len(sizes)), key=sizes.__getitem__)
                 second = min((s for i, s in enumerate(sizes) if i != best), default=2 * sizes[best])
                 margin = (second - sizes[best]) / second
-                pred.append(languages[best][0]), score.append(margin), rejected.append(margin < MIN_MARGIN)
+                pred.append(languages[best][0]), score.append(margin), rejected.append(margin < MIN_MARGIN and len(raw) >= MIN_LETTERS)
             yield pa.RecordBatch.from_arrays([*b.columns[:-1], pa.array(pred, pa.string()), pa.array(score, pa.float64()), pa.array(rejected, pa.bool_())],
                                              [*b.schema.names[:-1], "_pred", "_score", "_rejected"])
 

@@ -14,6 +14,7 @@ from innsight.llm.language_id import fit_dictionaries, identify
 from innsight.llm.ngram_join import jaccard_components
 from innsight.llm.packing import pack, token_pieces
 from innsight.llm.pii import pseudonymise
+from innsight.llm.suffix_dedup import remove_repeats
 from innsight.llm.token_counts import token_counts
 from innsight.llm.url_filter import filter_urls
 from innsight.llm.warc import archive_pages
@@ -48,6 +49,10 @@ def op4_pii(spark, sf_dir):
     return pseudonymise(table(spark, sf_dir, "documents").select("doc_id", "text"), PSEUDONYM_KEY)
 
 
+def op5_suffix_dedup(spark, sf_dir):
+    return remove_repeats(table(spark, sf_dir, "documents"), digest_only=True)
+
+
 def op6_exact_dedup(spark, sf_dir):
     return exact_groups(table(spark, sf_dir, "documents"))
 
@@ -82,6 +87,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op2_packing": op2_packing,
         "op3_ngram_join": op3_ngram_join,
         "op4_pii": op4_pii,
+        "op5_suffix_dedup": op5_suffix_dedup,
         "op6_exact_dedup": op6_exact_dedup,
         "op7_url_filter": op7_url_filter,
         "op8_warc": op8_warc,
