@@ -11,8 +11,9 @@ or more are linked, and linked documents share a component.
    by hash): a passage that a third of all documents share hardly ever makes a
    block.  The counts only steer the order.
 2. *Stars.*  Each block names one of its classes, by a hash of block and class,
-   its centre; a class and its centres are candidates.  First one star link of
-   each class is verified, then those that still connect different components.
+   its centre; a class and its centres are candidates, unless their bitmaps rule
+   a link out.  First one star link of each class is verified, then those that
+   still connect different components.
    A group of thousands of near copies is connected by a link a copy, never by
    all of its pairs.
 3. *Signature trees.*  Blocks that still hold several components (any two of
@@ -159,21 +160,60 @@ def _width(n: int) -> int:
     return max(64, 1 << int(2 * n - 1).bit_length())
 
 
-def _full_sets(batches: Iterator) -> Iterator:
-    """Class, size, bitmap and shingles of each document."""
-    import pyarrow as pa
+def _bitmap(shingle: np.ndarray) -> bytes:
+    bits = np.zeros(_width(len(shingle)), bool)
+    bits[(shingle % np.uint64(len(bits))).astype(np.int64)] = True
+    return np.packbits(bits).tobytes()
 
-    for b in batches_of_bytes(batches, "_text", 4 << 20):
-        _, shingle, first, size, name = _sets(b)
-        maps = []
-        for f, n in zip(first.tolist(), size.tolist()):
-            bits = np.zeros(_width(n), bool)
-            bits[(shingle[f:f + n] % np.uint64(len(bits))).astype(np.int64)] = True
-            maps.append(np.packbits(bits).tobytes())
-        cut = pa.array(np.append(first, len(shingle)), pa.int32())
-        yield pa.RecordBatch.from_arrays(
-            [pa.array(name), pa.array(size), pa.array(maps, pa.binary()), pa.ListArray.from_arrays(cut, pa.array(shingle.view(np.int64)))],
-            ["class", "size", "bitmap", "shingles"])
+
+def _contents(bitmaps: bool):
+    """Rows (class, where it is needed, text) -> (class, size, bitmap or shingles, where)."""
+
+    def run(batches: Iterator) -> Iterator:
+        import pyarrow as pa
+
+        for b in batches_of_bytes(batches, "_text", 4 << 20):
+            _, shingle, first, size, name = _sets(b)
+            same = name == b.column(0).to_numpy()  # other rows of the same id may have come along
+            spans = list(zip(first[same].tolist(), size[same].tolist()))
+            if bitmaps:
+                content = pa.array([_bitmap(shingle[f:f + n]) for f, n in spans], pa.binary())
+            else:
+                content = pa.array([shingle[f:f + n].tobytes() for f, n in spans], pa.binary())
+            keep = pa.array(same)
+            yield pa.RecordBatch.from_arrays([b.column(0).filter(keep), pa.array(size[same]), content, b.column(1).filter(keep)], ["class", "size", "content", "at"])
+
+    return run
+
+
+def _meet(bitmaps: bool):
+    """Members against the centre of their meeting (rows sorted by meeting, the centre first): the pairs that (may) link."""
+
+    def run(batches: Iterator) -> Iterator:
+        import pyarrow as pa
+
+        centre = None
+        for b in batches:
+            members, centres = [], []
+            for cls, meeting, n, content in zip(*(c.to_pylist() for c in b.columns)):
+                if cls == meeting:
+                    centre = (cls, n, content, None if bitmaps else np.frombuffer(content, np.uint64))
+                elif centre is not None and centre[0] == meeting:
+                    if bitmaps:
+                        x, y = (np.frombuffer(c, np.uint8)[None] for c in (content, centre[2]))
+                        width = min(x.shape[1], y.shape[1])
+                        x, y = _fold(x, width).copy().view(np.uint64), _fold(y, width).copy().view(np.uint64)
+                        ok = _may_link(_count(x & y), n - _count(x), centre[1] - _count(y), n, centre[1], n, centre[1])[0]
+                    else:
+                        common = len(np.intersect1d(np.frombuffer(content, np.uint64), centre[3], assume_unique=True))
+                        ok = 100 * common >= 80 * (n + centre[1] - common)
+                    if ok:
+                        members.append(cls)
+                        centres.append(meeting)
+            if members:
+                yield pa.RecordBatch.from_arrays([pa.array(members, pa.int64()), pa.array(centres, pa.int64())], ["a", "b"])
+
+    return run
 
 
 # ------------------------------------------------------------------ signature trees
@@ -304,26 +344,22 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     sent = source.select("_text").mapInArrow(_postings(ranges, order), "part long, keys array<long>, classes array<long>, sizes array<int>")
     blocks = written(sent.repartition(ranges, "part").mapInArrow(_blocks, "key long, centre long, centre_size int, classes array<long>, sizes array<int>"), "blocks")
 
-    # Shingle sets of the classes that share a block, each taken from one document.
+    # One document of each class that shares a block.
     shared = blocks.select(F.explode("classes").alias("class")).distinct()
-    one = written(rows.where("size > 0").groupBy("class").agg(F.min("_id").alias("_one")).join(shared, "class").where("_one IS NOT NULL").select("_one").distinct(), "shared")
-    some = F.broadcast(one) if one.count() <= BROADCAST_ROWS else one
-    # Other rows of the same id may come along; a class is the same set wherever it comes from.
-    sets = source.where("_id IS NULL").unionAll(source.join(some, F.col("_id") == F.col("_one"), "left_semi")).select("_text")
-    sets = sets.mapInArrow(_full_sets, "class long, size long, bitmap binary, shingles array<long>").where("size > 0")
-    sets = written(sets.dropDuplicates(["class"]), "full")
+    one = rows.where("size > 0").groupBy("class").agg(F.min(F.struct(F.col("_id").isNull().alias("n"), F.col("_id").alias("i"))).alias("_one"))
+    one = written(one.join(shared, "class").select("class", F.col("_one.i").alias("_one")), "shared")
 
     star = blocks.select("centre", "centre_size", F.explode(F.arrays_zip("classes", "sizes")).alias("o")).where("centre <> o.classes")
     star = star.where((F.col("centre_size") * 5 >= F.col("o.sizes") * 4) & (F.col("o.sizes") * 5 >= F.col("centre_size") * 4))
-    star = star.select(F.least("centre", "o.classes").alias("a"), F.greatest("centre", "o.classes").alias("b"), F.col("o.classes").alias("of")).distinct()
-    star = written(star, "stars")
-    first = star.groupBy("of").agg(F.min_by(F.struct("a", "b"), F.xxhash64("a", "b")).alias("p")).select("p.a", "p.b").distinct()
-    links = written(_verified(first, sets), "verified")
+    star = written(star.select(F.col("o.classes").alias("a"), F.col("centre").alias("b")).distinct(), "stars")
+    star = written(_verified(source, one, star, bitmaps=True), "possible")
+    first = star.groupBy("a").agg(F.min_by("b", F.xxhash64("a", "b")).alias("b"))
+    links = written(_verified(source, one, first), "verified")
     roots = components(links)
-    rest = _apart(star.select("a", "b").distinct(), roots)
-    links = links.unionAll(written(_verified(rest, sets), "verified"))
+    links = links.unionAll(written(_verified(source, one, _apart(star, roots)), "verified"))
     roots = components(links)
-    links = links.unionAll(written(_verified(_tree_pairs(blocks, sets, roots), sets), "verified"))
+    pairs = written(_tree_pairs(source, one, blocks, roots), "tree")
+    links = links.unionAll(written(_verified(source, one, pairs), "verified"))
     roots = components(links)
 
     degree = links.distinct().select(F.explode(F.array("a", "b")).alias("class")).groupBy("class").agg(F.count(F.lit(1)).alias("spanning_links"))
@@ -356,12 +392,31 @@ def keep_one_of_each_group(docs: DataFrame, id_col: str = "doc_id", text_col: st
     return once.select(*[F.col(f"c{i}").alias(c) for i, c in enumerate(names)])
 
 
-def _verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
-    """The pairs (a, b) of classes whose sets reach 80 %."""
-    a, b = (sets.select(F.col("class").alias(f"class_{x}"), F.col("size").alias(f"size_{x}"), F.col("shingles").alias(f"set_{x}")) for x in "ab")
-    both = pairs.join(a, F.col("a") == F.col("class_a")).join(b, F.col("b") == F.col("class_b"))
-    common = F.size(F.array_intersect("set_a", "set_b"))
-    return both.where(common * 100 >= 80 * (F.col("size_a") + F.col("size_b") - common)).select("a", "b")
+def _fetched(source: DataFrame, one: DataFrame, needed: DataFrame, bitmaps: bool) -> DataFrame:
+    """(class, size, content, at) for the classes of ``needed`` (class, at: an array), from one document each."""
+    rows = written(needed.join(one, "class").select("class", "at", "_one"), "needed")
+    rows = F.broadcast(rows) if rows.count() <= BROADCAST_ROWS else rows
+    texts = source.join(rows, F.col("_id").eqNullSafe(F.col("_one"))).select("class", "at", "_text")
+    at = next(f for f in texts.schema.fields if f.name == "at")
+    schema = T.StructType([T.StructField("class", T.LongType()), T.StructField("size", T.LongType()), T.StructField("content", T.BinaryType()), at])
+    return texts.mapInArrow(_contents(bitmaps), schema)
+
+
+def _verified(source: DataFrame, one: DataFrame, pairs: DataFrame, bitmaps: bool = False) -> DataFrame:
+    """The pairs (a, b) of classes whose sets reach 80 % (``bitmaps``: may reach it, by their bitmaps).
+
+    The sets of ``a`` meet that of ``b`` where it is sent: one copy of each set
+    a pair.  A ``b`` of many pairs holds several meetings of at most about
+    ``CHUNK``.
+    """
+    sizes = pairs.groupBy("b").agg(F.ceil(F.count(F.lit(1)) / CHUNK).alias("meetings"))
+    members = pairs.join(sizes, "b").select(F.col("a").alias("class"), F.col("b").alias("meeting"), F.pmod(F.xxhash64("a"), F.col("meetings")).alias("room"))
+    centres = sizes.select(F.col("b").alias("class"), F.col("b").alias("meeting"), F.explode(F.sequence(F.lit(0).cast("long"), F.col("meetings") - 1)).alias("room"))
+    needed = members.unionAll(centres).groupBy("class").agg(F.collect_list(F.struct("meeting", "room")).alias("at"))
+    sent = _fetched(source, one, needed, bitmaps).select("class", "size", "content", F.explode("at").alias("at"))
+    sent = sent.select("class", F.col("at.meeting").alias("meeting"), F.col("at.room").alias("room"), "size", "content")
+    met = sent.repartition("meeting", "room").sortWithinPartitions("meeting", "room", F.col("class") != F.col("meeting"))
+    return met.select("class", "meeting", "size", "content").mapInArrow(_meet(bitmaps), "a long, b long").distinct()
 
 
 def _apart(pairs: DataFrame, roots: DataFrame) -> DataFrame:
@@ -372,13 +427,15 @@ def _apart(pairs: DataFrame, roots: DataFrame) -> DataFrame:
     return pairs.where(F.coalesce("_a", "a") != F.coalesce("_b", "b")).select("a", "b")
 
 
-def _tree_pairs(blocks: DataFrame, sets: DataFrame, roots: DataFrame) -> DataFrame:
+def _tree_pairs(source: DataFrame, one: DataFrame, blocks: DataFrame, roots: DataFrame) -> DataFrame:
     """Pairs of classes in a block, of different components, that may link."""
     members = blocks.where(F.size("classes") > 2).select("key", F.explode("classes").alias("class"))  # a pair is its star
     members = members.join(roots, F.col("class") == F.col("node"), "left").select("key", "class", F.coalesce("root", "class").alias("root"))
     open_keys = members.groupBy("key").agg(F.min("root").alias("lo"), F.max("root").alias("hi"), F.count(F.lit(1)).alias("n")).where("lo <> hi").select("key", "n")
-    members = members.join(open_keys, "key").join(sets.select("class", "size", "bitmap"), "class")
-    members = members.withColumn("chunk", F.pmod(F.xxhash64("class"), F.ceil(F.col("n") / CHUNK)))
+    members = members.join(open_keys, "key").withColumn("chunk", F.pmod(F.xxhash64("class"), F.ceil(F.col("n") / CHUNK)))
+    needed = members.groupBy("class").agg(F.collect_list(F.struct("key", "chunk", "root")).alias("at"))
+    members = _fetched(source, one, needed, bitmaps=True).select("class", "size", F.col("content").alias("bitmap"), F.explode("at").alias("at"))
+    members = members.select("at.key", "at.chunk", "class", "size", "at.root", "bitmap")
     chunks = written(members.groupBy("key", "chunk").agg(F.collect_list(F.struct("class", "size", "root", "bitmap")).alias("rows")), "chunks")
     alone = chunks.select("rows", F.lit(None).cast(chunks.schema["rows"].dataType).alias("other"))
     left, right = chunks.select("key", "chunk", "rows"), chunks.select(F.col("key").alias("k"), F.col("chunk").alias("c"), F.col("rows").alias("other"))
