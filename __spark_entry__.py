@@ -3,7 +3,7 @@
 ``entry(spark)`` runs the flagship report (Book Date) on sf0.001.
 ``queries()`` maps every implemented report/operator to a callable
 ``(spark, sf_dir) -> DataFrame``; each reads the driver's tables whole,
-through the fixtures of ``innsight.sources.fixtures`` (the application's
+through the fixtures of ``report_fixtures`` (the application's
 source tables derived from them).  Tenant configuration comes from the
 registry fixture, table names are resolved through a :class:`TableCatalog`,
 exactly as the batch job does it.
@@ -18,6 +18,7 @@ import importlib
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from innsight.config import FUNNEL_STEPS, PAGE_TITLES, SOURCE_EXCLUDE, TenantConfig
 from innsight.operators.filters import search_rows
@@ -26,7 +27,7 @@ from innsight.plans import email as em
 from innsight.plans import ga4
 from innsight.plans import product as prod
 from innsight.plans.tenants import entitled_pages, resolve_tenants
-from innsight.sources.fixtures import fixture, fixture_ctes
+from report_fixtures import fixture, fixture_ctes
 from innsight.sources.registry import load_registry, load_users, tenant_configs
 from innsight.sources.tables import TableCatalog, scan_email, scan_grain, scan_report_items, scan_transactions
 
@@ -40,6 +41,8 @@ STATUS_PICKS = {"Transaction Status": ["Refunded"]}
 FACET_PICKS = {"Source": ["1-URGENT", "2-HIGH", "Unknown"], "Booking Status": ["reserved"]}
 PRODUCT_PICKS = {"Booked Year Month": ["1996-01", "1996-02", "1996-03"], "Item Name": ["red widget", "Unknown"]}
 SEARCH_PATTERN = "borealis|days:3"
+MAIL_RANGE = ("2024-01-05", "2024-01-12")
+GA4_RANGE = ("2024-01-03", "2024-01-20")
 
 
 # ---------------------------------------------------------------- wiring
@@ -52,11 +55,17 @@ SOURCE_TABLES = {
     **{f"AURORA_GA4_{g}": f"ga4_{g.lower()}" for g in ("DAILY", "EVENTS", "ITEMS", "DEVICE", "LOCATION", "SLIDES")},
     "DASHBOARD_USERS": "dashboard_users",
     "DASHBOARD_CUSTOMERS": "dashboard_customers",
-    "GA4_ITEMS_BY_TENANT": "ga4_items_by_tenant",
     # the same sources shared by all tenants (leading TENANT column)
     "SHARED_UVE_TRANSACTIONS_GROUPED": "transactions_by_tenant",
     "SHARED_GA4_DAILY": "ga4_daily_by_tenant",
     "SHARED_GA4_EVENTS": "ga4_events_by_tenant",
+    "SHARED_GA4_ITEMS": "ga4_items_by_tenant",
+    "SHARED_GA4_DEVICE": "ga4_device_by_tenant",
+    "SHARED_GA4_LOCATION": "ga4_location_by_tenant",
+    # sources in other forms: DAILY with a time of day, dates as text, a long registry
+    "TIMED_GA4_DAILY": "ga4_daily_timed",
+    "TEXT_UVE_TRANSACTIONS_GROUPED": "transactions_text_dates",
+    "MANY_CUSTOMERS": "many_customers",
 }
 _LANDED: dict[str, str] = {}  # key -> folder of fixtures written as Parquet
 
@@ -116,22 +125,30 @@ def _items(spark, sf):
     return scan_report_items(catalog(spark, sf), tenant(spark, sf))
 
 
-def _email(spark, sf):
+def _email(spark, sf, date_range=None):
     cfg = tenant(spark, sf)
-    return em.email_scope(scan_email(catalog(spark, sf), cfg), cfg.email), cfg.email
+    return em.email_scope(scan_email(catalog(spark, sf), cfg), cfg.email, date_range), cfg.email
 
 
-def _ga4(spark, sf, *grains):
-    """Cleaned GA4 grains of the tenant, restricted to DAILY's first..last day."""
+def _ga4(spark, sf, *grains, date_range=None):
+    """Cleaned GA4 grains of the tenant, restricted to DAILY's first..last day or a selected range."""
     cat, cfg = catalog(spark, sf), tenant(spark, sf)
     others = {g: scan_grain(cat, cfg, g) for g in grains if g != "DAILY"}
-    frames = ga4.page_frames(scan_grain(cat, cfg, "DAILY"), others, rules=cfg.traffic)
+    frames = ga4.page_frames(scan_grain(cat, cfg, "DAILY"), others, date_range, cfg.traffic)
     return [frames[g] for g in grains]
 
 
 def _ga4_long(spark, sf):
     cat, cfg = catalog(spark, sf), tenant(spark, sf)
-    return ga4.ga4_long({g.lower(): scan_grain(cat, cfg, g) for g in ("ITEMS", "EVENTS", "DAILY", "DEVICE", "LOCATION", "SLIDES")})
+    long = ga4.ga4_long({g.lower(): scan_grain(cat, cfg, g) for g in ("ITEMS", "EVENTS", "DAILY", "DEVICE", "LOCATION", "SLIDES")})
+    # the 38-digit measures as text, so that every digit is compared
+    return long.withColumns({c: long[c].cast("string") for c in ("KEY_EVENTS", "USER_ENGAGEMENT_DURATION")})
+
+
+def _many_tenants(spark, sf):
+    reg = load_registry(catalog(spark, sf).table("MANY_CUSTOMERS"))
+    return reg.select("customer", "label", "prefix", F.array_join("pages", ",").alias("pages"), F.col("email.subject_match").alias("subject_match"),
+                      F.size("email.buckets").alias("n_buckets"), F.col("ga4.report").alias("ga4_report"))
 
 
 def _resolved(spark, sf):
@@ -139,12 +156,23 @@ def _resolved(spark, sf):
     return resolve_tenants(users, registry(spark, sf))
 
 
-def _shared_funnel(spark, sf):
-    """Funnel of every tenant from shared tables; each tenant's default range
-    comes from its own DAILY rows."""
+def _shared(spark, sf, *grains, date_range=None):
+    """Cleaned GA4 grains shared by all tenants; each tenant's default range comes from its own DAILY rows."""
     cat = catalog(spark, sf)
-    f = ga4.page_frames(cat.table("SHARED_GA4_DAILY"), {"EVENTS": cat.table("SHARED_GA4_EVENTS")}, by=["TENANT"])
-    return ga4.funnel(f["EVENTS"], by=["TENANT"])
+    others = {g: cat.table(f"SHARED_GA4_{g}") for g in grains if g != "DAILY"}
+    return ga4.page_frames(cat.table("SHARED_GA4_DAILY"), others, date_range, by=["TENANT"])
+
+
+def _shared_funnel(spark, sf):
+    f = _shared(spark, sf, "EVENTS")
+    return ga4.funnel(f["EVENTS"], by=["TENANT"], groups=f[ga4.GROUPS])
+
+
+def _shared_kpis(kpis):
+    def run(spark, sf):
+        f = _shared(spark, sf, "DAILY")
+        return kpis(f["DAILY"], ["TENANT"], f[ga4.GROUPS])
+    return run
 
 
 def _email_by_tenant(spark, sf):
@@ -214,11 +242,25 @@ def report_queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "search_rows": lambda s, d: search_rows(catalog(s, d).table("EMAIL_ANALYSIS"), SEARCH_PATTERN),
         "resolve_tenants": _resolved,
         "entitled_pages": lambda s, d: entitled_pages(_resolved(s, d), registry(s, d)),
-        "top_items_by_tenant": lambda s, d: ga4.top_items_by_tenant(catalog(s, d).table("GA4_ITEMS_BY_TENANT")),
+        "registry_rows": _many_tenants,
+        # downloads, selected ranges, other forms of the sources
+        "product_export": lambda s, d: prod.product_export(_items(s, d)),
+        "book_date_export": lambda s, d: att.attendance_export(_tx(s, d), att.BOOK_DATE),
+        "book_date_text_range": lambda s, d: att.book_date(catalog(s, d).table("TEXT_UVE_TRANSACTIONS_GROUPED"), EVENT_RANGE),
+        "email_summary_range": lambda s, d: em.email_summary(*_email(s, d, MAIL_RANGE)),
+        "guest_kpis_range": lambda s, d: ga4.guest_kpis(*_ga4(s, d, "DAILY", date_range=GA4_RANGE)),
+        "funnel_range": lambda s, d: ga4.funnel(*_ga4(s, d, "EVENTS", date_range=GA4_RANGE)),
+        "guest_kpis_timed": lambda s, d: ga4.guest_kpis(ga4.page_frames(catalog(s, d).table("TIMED_GA4_DAILY"))["DAILY"]),
         # tenants sharing tables: one job for all tenants, grouped by tenant
         "book_date_by_tenant": lambda s, d: att.book_date(catalog(s, d).table("SHARED_UVE_TRANSACTIONS_GROUPED"),
                                                           by=["TENANT"]),
         "funnel_by_tenant": _shared_funnel,
+        "guest_kpis_by_tenant": _shared_kpis(ga4.guest_kpis),
+        "audience_kpis_by_tenant": _shared_kpis(ga4.audience_kpis),
+        "sessions_by_tenant": lambda s, d: ga4.sessions_over_time(_shared(s, d, "DAILY")["DAILY"], ["TENANT"]),
+        "top_items_by_tenant": lambda s, d: ga4.top_items(_shared(s, d, "ITEMS")["ITEMS"], by=["TENANT"]),
+        "devices_by_tenant": lambda s, d: ga4.devices(_shared(s, d, "DEVICE")["DEVICE"], ["TENANT"]),
+        "top_locations_by_tenant": lambda s, d: ga4.top_locations(_shared(s, d, "LOCATION")["LOCATION"], by=["TENANT"]),
         "email_summary_by_tenant": _email_by_tenant,
     }
 
@@ -262,6 +304,10 @@ _TX = """, t AS (
 """
 
 
+# Money with two decimals, added exactly.
+_EXACT = "CAST(sum(CAST(nv AS DECIMAL(38, 4))) AS DOUBLE)"
+
+
 def _tx_where(date_col: str | None, rng, picks) -> str:
     conds = ["TRUE"]
     if rng:
@@ -271,22 +317,22 @@ def _tx_where(date_col: str | None, rng, picks) -> str:
     return " AND ".join(conds)
 
 
-def _att_sql(date_col=None, rng=None, picks=None, shared=False) -> str:
+def _att_sql(date_col=None, rng=None, picks=None, shared=False, table="transactions_grouped") -> str:
     if shared:
         tx = _TX.replace("SELECT coalesce(TI_ITEMNAME", "SELECT TENANT, coalesce(TI_ITEMNAME").replace(
             "FROM transactions_grouped", "FROM transactions_by_tenant")
         return (fixture_ctes(["transactions_by_tenant"]) + tx +
-                'SELECT TENANT, Item, Department, sum(na) AS "Net Attendance", round_even(sum(nv), 2) AS "Net Value" '
+                'SELECT TENANT, Item, Department, sum(na) AS "Net Attendance", ' + _EXACT + ' AS "Net Value" '
                 "FROM t GROUP BY TENANT, Item, Department")
-    return (fixture_ctes(["transactions_grouped"]) + _TX +
-            'SELECT Item, Department, sum(na) AS "Net Attendance", round_even(sum(nv), 2) AS "Net Value" '
+    return (fixture_ctes([table]) + _TX.replace("FROM transactions_grouped", f"FROM {table}") +
+            'SELECT Item, Department, sum(na) AS "Net Attendance", ' + _EXACT + ' AS "Net Value" '
             f"FROM t WHERE {_tx_where(date_col, rng, picks)} GROUP BY Item, Department")
 
 
 def _att_total_sql(date_col=None, rng=None, picks=None) -> str:
     return (fixture_ctes(["transactions_grouped"]) + _TX +
             'SELECT round_even(coalesce(sum(na), 0), 2) AS "Net Attendance", '
-            'round_even(coalesce(sum(nv), 0), 2) AS "Net Value" '
+            'round_even(coalesce(CAST(sum(CAST(nv AS DECIMAL(38, 4))) AS DOUBLE), 0), 2) AS "Net Value" '
             f"FROM t WHERE {_tx_where(date_col, rng, picks)}")
 
 
@@ -307,7 +353,7 @@ c AS (
          coalesce(ITEM_NAME, 'Unknown') AS "Item Name", coalesce(PRODUCT_CATEGORY, 'Unknown') AS Department,
          VIEWED AS "View", TRANSACTIONS AS "Gross Booked", CONVERSION AS Conversion,
          ATTENDANCE AS "Net Attendance",
-         CASE WHEN coalesce(CASE WHEN isnan(VALUE) THEN 0 ELSE VALUE END, 0) = 0 THEN VALUE_ADDED ELSE VALUE END
+         CASE WHEN coalesce(CASE WHEN isnan(VALUE) THEN 0 ELSE VALUE END, 0) = 0 THEN CASE WHEN isnan(VALUE_ADDED) THEN NULL ELSE VALUE_ADDED END ELSE VALUE END
            AS "Net Value",
          CANCELLED AS Cancelled, ITEMSPURCHASED AS "Gross Quantity"
   FROM p)
@@ -326,20 +372,24 @@ s AS (
   WHERE regexp_matches(coalesce(DATA_SUBJECT, ''), 'hotel aurora', 'i') AND DATA_TS_DATE IS NOT NULL)
 """
 
+def _mail_where(rng) -> str:
+    return f" AND DATA_TS_DATE >= TIMESTAMP '{rng[0]}' AND DATA_TS_DATE < TIMESTAMP '{rng[1]}' + INTERVAL 1 DAY" if rng else ""
+
+
 _EMAIL_BUCKETS = [("days:15", "15 days"), ("days:0", "0 days"), ("days:99", "99 days")]
 
 
-def _email_summary_sql() -> str:
+def _email_summary_sql(rng=None) -> str:
     segs = [(f"coalesce(NOTIFICATION_TAG, '') = '{v}'", lbl) for v, lbl in _EMAIL_BUCKETS] + [("TRUE", "Total")]
     branches = " UNION ALL ".join(
         f"SELECT {i} AS position, '{lbl}' AS Segment, count(DATA_ID) AS rec, "
         f"CAST(trunc(coalesce(sum(SENT), 0)) AS BIGINT) AS sent, CAST(coalesce(sum(OPEN), 0) AS BIGINT) AS opened, "
         f"CAST(coalesce(sum(CLICKS), 0) AS BIGINT) AS clicks, CAST(coalesce(sum(DATA_CLICKS), 0) AS BIGINT) AS dclicks "
-        f"FROM s WHERE {cond}"
+        f"FROM s WHERE {cond}{_mail_where(rng)}"
         for i, (cond, lbl) in enumerate(segs)
     )
     return (fixture_ctes(["mail_notifications"]) + _EMAIL + f", seg AS ({branches})\n"
-            'SELECT Segment, rec AS "Emails Sent", sent AS "Delivered", opened AS "Opened", dclicks AS "Data Clicks", '
+            'SELECT CAST(position AS INTEGER) AS position, Segment, rec AS "Emails Sent", sent AS "Delivered", opened AS "Opened", dclicks AS "Data Clicks", '
             f'clicks AS "Emails w/ >=1 Click", {_pct(_ratio("sent", "rec"))} AS "Delivery Rate", '
             f'{_pct(_ratio("opened", "sent"))} AS "Open Rate", {_pct(_ratio("clicks", "sent"))} AS "CTR" FROM seg')
 
@@ -360,15 +410,15 @@ def _email_summary_by_tenant_sql() -> str:
          coalesce(DATA_CLICKS, 0) AS DATA_CLICKS, NOTIFICATION_TAG FROM m
   WHERE regexp_matches(coalesce(DATA_SUBJECT, ''), '{pattern}', 'i') AND DATA_TS_DATE IS NOT NULL)""")
         segs = [(f"coalesce(NOTIFICATION_TAG, '') = '{v}'", lbl) for v, lbl in buckets] + [("TRUE", "Total")]
-        for cond, lbl in segs:
+        for i, (cond, lbl) in enumerate(segs):
             finals.append(
-                f"SELECT '{t}' AS TENANT, '{lbl}' AS Segment, count(DATA_ID) AS rec, "
+                f"SELECT '{t}' AS TENANT, {i} AS position, '{lbl}' AS Segment, count(DATA_ID) AS rec, "
                 f"CAST(trunc(coalesce(sum(SENT), 0)) AS BIGINT) AS sent, CAST(coalesce(sum(OPEN), 0) AS BIGINT) AS opened, "
                 f"CAST(coalesce(sum(CLICKS), 0) AS BIGINT) AS clicks, CAST(coalesce(sum(DATA_CLICKS), 0) AS BIGINT) AS dclicks "
                 f"FROM s_{t} WHERE {cond} HAVING (SELECT count(*) FROM s_{t}) > 0")
     return (fixture_ctes(["mail_notifications"]) + dedup + ",\n" + ",\n".join(scoped)
             + ",\nseg AS (" + " UNION ALL ".join(finals) + ")\n"
-            'SELECT TENANT, Segment, rec AS "Emails Sent", sent AS "Delivered", opened AS "Opened", '
+            'SELECT TENANT, CAST(position AS INTEGER) AS position, Segment, rec AS "Emails Sent", sent AS "Delivered", opened AS "Opened", '
             'dclicks AS "Data Clicks", clicks AS "Emails w/ >=1 Click", '
             f'{_pct(_ratio("sent", "rec"))} AS "Delivery Rate", {_pct(_ratio("opened", "sent"))} AS "Open Rate", '
             f'{_pct(_ratio("clicks", "sent"))} AS "CTR" FROM seg')
@@ -377,13 +427,13 @@ def _email_summary_by_tenant_sql() -> str:
 def _email_sections_sql() -> str:
     segs = [(f"coalesce(NOTIFICATION_TAG, '') = '{v}'", lbl) for v, lbl in _EMAIL_BUCKETS] + [("TRUE", "Total Emails")]
     branches = " UNION ALL ".join(
-        f"SELECT '{lbl}' AS Section, count(DATA_ID) AS rec, coalesce(sum(SENT), 0) AS sent, "
+        f"SELECT {i} AS position, '{lbl}' AS Section, count(DATA_ID) AS rec, coalesce(sum(SENT), 0) AS sent, "
         f"coalesce(sum(OPEN), 0) AS opened, coalesce(sum(CLICKS), 0) AS clicks, coalesce(sum(DATA_CLICKS), 0) AS dclicks "
         f"FROM s WHERE {cond}"
-        for cond, lbl in segs
+        for i, (cond, lbl) in enumerate(segs)
     )
     return (fixture_ctes(["mail_notifications"]) + _EMAIL + f", seg AS ({branches})\n"
-            'SELECT Section, rec AS "Email Sent", CAST(trunc(sent) AS BIGINT) AS "Emails Delivered", '
+            'SELECT CAST(position AS INTEGER) AS position, Section, rec AS "Email Sent", CAST(trunc(sent) AS BIGINT) AS "Emails Delivered", '
             'CAST(trunc(opened) AS BIGINT) AS "Emails Opened", '
             f'{_ratio("sent", "rec")} AS "AVG Delivery Rate", CAST(trunc(dclicks) AS BIGINT) AS "Data Clicks", '
             'CAST(trunc(clicks) AS BIGINT) AS "Email With at Least 1 Click", '
@@ -413,50 +463,51 @@ def _ga4_sql(body: str) -> str:
 
 
 def _item_sums(limit: int, extra: str = "") -> str:
-    return ("SELECT ITEMNAME, CAST(sum(ITEMSVIEWED) AS BIGINT) AS v, CAST(sum(ITEMSPURCHASED) AS BIGINT) AS p "
+    return ("SELECT ITEMNAME, CAST(sum(ITEMSVIEWED) AS BIGINT) AS v, CAST(sum(ITEMSPURCHASED) AS BIGINT) AS p, "
+            'CAST(row_number() OVER (ORDER BY sum(ITEMSVIEWED) DESC, ITEMNAME) AS INTEGER) AS "Rank" '
             "FROM i WHERE ITEMNAME IS NOT NULL GROUP BY ITEMNAME ORDER BY v DESC, ITEMNAME LIMIT " + str(limit))
 
 
+# The long view's contract: its columns and types, and what each report fills (long name: source expression).
+_LONG_TYPES = {
+    **dict.fromkeys(("ITEM_NAME", "EVENT_NAME", "DEVICE_CATEGORY", "CITY", "COUNTRY", "REGION", "LINK_URL", "LINK_TEXT",
+                     "SESSION_SOURCE", "HOST_NAME", "KEY_EVENTS", "USER_ENGAGEMENT_DURATION"), "VARCHAR"),
+    **dict.fromkeys(("SESSIONS", "ITEMS_VIEWED", "ITEMS_PURCHASED", "EVENT_COUNT", "ACTIVE_USERS", "TOTAL_USERS", "NEW_USERS",
+                     "SCREEN_PAGE_VIEWS", "ENGAGED_SESSIONS"), "BIGINT"),
+}
+
+
 def _ga4_long_sql() -> str:
-    dec = "BIGINT"
-    return fixture_ctes(["ga4_items", "ga4_events", "ga4_daily", "ga4_device", "ga4_location", "ga4_slides"]) + f"""
-SELECT 'items' AS REPORT, DATE, ITEMNAME AS ITEM_NAME, NULL::VARCHAR AS EVENT_NAME, NULL::VARCHAR AS DEVICE_CATEGORY,
-       NULL::VARCHAR AS CITY, NULL::VARCHAR AS COUNTRY, NULL::VARCHAR AS REGION, NULL::VARCHAR AS LINK_URL,
-       NULL::VARCHAR AS LINK_TEXT, NULL::VARCHAR AS SESSION_SOURCE, NULL::VARCHAR AS HOST_NAME,
-       NULL::BIGINT AS SESSIONS, NULL::{dec} AS KEY_EVENTS, ITEMSVIEWED AS ITEMS_VIEWED, ITEMSPURCHASED AS ITEMS_PURCHASED,
-       NULL::BIGINT AS EVENT_COUNT, NULL::BIGINT AS ACTIVE_USERS, NULL::BIGINT AS TOTAL_USERS, NULL::BIGINT AS NEW_USERS,
-       NULL::BIGINT AS SCREEN_PAGE_VIEWS, NULL::BIGINT AS ENGAGED_SESSIONS, NULL::{dec} AS USER_ENGAGEMENT_DURATION
-FROM ga4_items
-UNION ALL
-SELECT 'events', DATE, NULL, EVENTNAME, NULL, NULL, NULL, NULL, NULL, NULL, SESSIONSOURCE, HOSTNAME,
-       SESSIONS, TRY_CAST(TRY_CAST(KEYEVENTS AS DECIMAL(38,0)) AS {dec}), NULL, NULL, EVENTCOUNT, NULL, NULL, NULL, NULL, NULL, NULL
-FROM ga4_events
-UNION ALL
-SELECT 'daily', DATE, NULL, NULL, NULL, NULL, NULL, NULL, NULL, NULL, SESSIONSOURCE, HOSTNAME,
-       SESSIONS, TRY_CAST(TRY_CAST(KEYEVENTS AS DECIMAL(38,0)) AS {dec}), NULL, NULL, NULL, ACTIVEUSERS, TOTALUSERS, NEWUSERS,
-       SCREENPAGEVIEWS, ENGAGEDSESSIONS, TRY_CAST(TRY_CAST(USERENGAGEMENTDURATION AS DECIMAL(38,0)) AS {dec})
-FROM ga4_daily
-UNION ALL
-SELECT 'device', DATE, NULL, NULL, DEVICECATEGORY, NULL, NULL, NULL, NULL, NULL, NULL, HOSTNAME,
-       SESSIONS, NULL, NULL, NULL, NULL, NULL, NULL, NULL, NULL, NULL, NULL
-FROM ga4_device
-UNION ALL
-SELECT 'location', DATE, NULL, NULL, NULL, CITY, COUNTRY, REGION, NULL, NULL, SESSIONSOURCE, HOSTNAME,
-       SESSIONS, TRY_CAST(TRY_CAST(KEYEVENTS AS DECIMAL(38,0)) AS {dec}), NULL, NULL, NULL, NULL, NULL, NULL, NULL, NULL, NULL
-FROM ga4_location
-UNION ALL
-SELECT 'slides', DATE, NULL, EVENTNAME, NULL, NULL, NULL, NULL, LINKURL, LINKTEXT, NULL, NULL,
-       NULL, NULL, NULL, NULL, EVENTCOUNT, NULL, NULL, NULL, NULL, NULL, NULL
-FROM ga4_slides"""
+    def whole(c: str) -> str:
+        return f"CAST(TRY_CAST({c} AS DECIMAL(38, 0)) AS VARCHAR)"
+
+    def same(*columns: str) -> dict[str, str]:
+        """Long names whose source has the same name without underscores."""
+        return {c: c.replace("_", "") for c in columns}
+
+    keys = {"KEY_EVENTS": whole("KEYEVENTS")}
+    traffic = same("SESSION_SOURCE") | {"HOST_NAME": "HOSTNAME", "SESSIONS": "SESSIONS"}
+    filled = {
+        "slides": same("EVENT_NAME", "LINK_URL", "LINK_TEXT", "EVENT_COUNT"),
+        "location": same("CITY", "COUNTRY", "REGION") | traffic | keys,
+        "device": same("DEVICE_CATEGORY") | {"HOST_NAME": "HOSTNAME", "SESSIONS": "SESSIONS"},
+        "daily": same("ACTIVE_USERS", "TOTAL_USERS", "NEW_USERS", "SCREEN_PAGE_VIEWS", "ENGAGED_SESSIONS") | traffic | keys
+        | {"USER_ENGAGEMENT_DURATION": whole("USERENGAGEMENTDURATION")},
+        "events": same("EVENT_NAME", "EVENT_COUNT") | traffic | keys,
+        "items": same("ITEM_NAME", "ITEMS_VIEWED", "ITEMS_PURCHASED"),
+    }
+    empty = "SELECT NULL::VARCHAR AS REPORT, NULL::DATE AS DATE, " + ", ".join(f"NULL::{t} AS {c}" for c, t in _LONG_TYPES.items()) + " WHERE FALSE"
+    parts = [f"SELECT '{r}' AS REPORT, DATE, " + ", ".join(f"{e} AS {c}" for c, e in cols.items()) + f" FROM ga4_{r}" for r, cols in filled.items()]
+    return fixture_ctes([f"ga4_{r}" for r in filled]) + "\nUNION ALL BY NAME\n".join([empty, *parts])
 
 
 _MAIL_COLS = ("DATA_ID", "DATA_TS_DATE", "SENT", "OPEN", "CLICKS", "DATA_CLICKS", "DATA_OPENS",
               "DATA_STATE", "NOTIFICATION_TAG", "DATA_SUBJECT")
 
 _USERS = """, u AS (
-  SELECT lower(trim(EMAIL)) AS email, NAME, CUSTOMER, CREATED_SEQ FROM dashboard_users
+  SELECT lower(trim(EMAIL)) AS email, NAME, CUSTOMER, CREATED_AT FROM dashboard_users
   WHERE coalesce(ACTIVE, TRUE) AND coalesce(lower(trim(EMAIL)), '') <> ''
-  QUALIFY row_number() OVER (PARTITION BY lower(trim(EMAIL)) ORDER BY CREATED_SEQ DESC NULLS LAST,
+  QUALIFY row_number() OVER (PARTITION BY lower(trim(EMAIL)) ORDER BY CREATED_AT DESC NULLS LAST,
       NAME NULLS FIRST, CUSTOMER NULLS FIRST) = 1),
 us AS (SELECT email, coalesce(nullif(NAME, ''), email) AS name,
               CASE WHEN coalesce(CUSTOMER, '') = '' THEN NULL ELSE lower(trim(CUSTOMER)) END AS customer FROM u),
@@ -468,20 +519,31 @@ res AS (SELECT us.email, us.name, us.customer, reg.label, reg.prefix, reg.custom
 """
 
 
-def _shared_funnel_sql() -> str:
-    names = ", ".join(f"'{k}'" for k, _ in FUNNEL_STEPS)
-    sums = ", ".join(f"sum(CASE WHEN EVENTNAME = '{k}' THEN EVENTCOUNT ELSE 0 END) AS s{i}"
-                     for i, (k, _) in enumerate(FUNNEL_STEPS))
-    slots = ", ".join(f"s{i}" for i in range(len(FUNNEL_STEPS)))
-    labels = " ".join(f"WHEN 's{i}' THEN '{lbl}'" for i, (_, lbl) in enumerate(FUNNEL_STEPS))
-    return fixture_ctes(["ga4_daily_by_tenant", "ga4_events_by_tenant"]) + f"""
+def _shared_sql(grain: str, body: str) -> str:
+    """SQL over a shared grain: ``g`` its cleaned rows in each tenant's own DAILY range, ``r`` the ranges."""
+    dep = f"ga4_{grain}_by_tenant"
+    traffic = {"items": "TRUE", "device": _HOST_OK}.get(grain, f"{_HOST_OK} AND {_SOURCE_OK}")
+    return fixture_ctes(list(dict.fromkeys(["ga4_daily_by_tenant", dep]))) + f"""
 , d0 AS (SELECT * FROM ga4_daily_by_tenant WHERE {_HOST_OK} AND {_SOURCE_OK}),
 r AS (SELECT TENANT, min(DATE) AS lo, max(DATE) AS hi FROM d0 WHERE DATE IS NOT NULL GROUP BY TENANT),
-e AS (SELECT g.* FROM ga4_events_by_tenant g JOIN r ON g.TENANT = r.TENANT
-      WHERE {_HOST_OK} AND {_SOURCE_OK} AND g.DATE BETWEEN r.lo AND r.hi),
-w AS (SELECT TENANT, {sums} FROM e WHERE EVENTNAME IN ({names}) GROUP BY TENANT),
-u AS (UNPIVOT w ON {slots} INTO NAME slot VALUE total)
-SELECT TENANT, CASE slot {labels} END AS Step, CAST(total AS BIGINT) AS "Events" FROM u"""
+g AS (SELECT x.* FROM {dep} x JOIN r ON x.TENANT = r.TENANT WHERE {traffic} AND x.DATE BETWEEN r.lo AND r.hi)
+""" + body
+
+
+def _shared_top_sql(grain: str, keys: dict[str, str], measures: dict[str, str], k: int, where: str) -> str:
+    order = f"sum({next(iter(measures.values()))}) DESC, " + ", ".join(keys.values())
+    return _shared_sql(grain, "SELECT TENANT, CAST(row_number() OVER (PARTITION BY TENANT ORDER BY " + order + ') AS INTEGER) AS "Rank", '
+                       + ", ".join(f'{c} AS "{n}"' for n, c in keys.items()) + ", "
+                       + ", ".join(f'CAST(sum({c}) AS BIGINT) AS "{n}"' for n, c in measures.items())
+                       + f" FROM g WHERE {where} GROUP BY TENANT, " + ", ".join(keys.values()) + f' QUALIFY "Rank" <= {k}')
+
+
+def _shared_funnel_sql() -> str:
+    steps = ", ".join(f"({i}, '{k}', '{lbl}')" for i, (k, lbl) in enumerate(FUNNEL_STEPS))
+    return _shared_sql("events", f""", f AS (SELECT * FROM (VALUES {steps}) v(position, EVENTNAME, Step)),
+n AS (SELECT TENANT, EVENTNAME, sum(EVENTCOUNT) AS n FROM g GROUP BY TENANT, EVENTNAME)
+SELECT r.TENANT, CAST(f.position AS INTEGER) AS position, f.Step, CAST(coalesce(n.n, 0) AS BIGINT) AS "Events"
+FROM r CROSS JOIN f LEFT JOIN n ON n.TENANT = r.TENANT AND n.EVENTNAME = f.EVENTNAME""")
 
 
 def _entitled_sql() -> str:
@@ -500,6 +562,33 @@ def oracle_sql() -> dict[str, str]:
     return out
 
 
+_KPIS = {
+    "guest": 'SELECT CAST(coalesce(sum(SESSIONS), 0) AS BIGINT) AS "Sessions", '
+            'CAST(trunc(coalesce(sum(KEYEVENTS), 0)) AS BIGINT) AS "Key Events", '
+            f'{_ratio("sum(KEYEVENTS)", "sum(SESSIONS)")} AS "Conversion Rate", '
+            'CAST(coalesce(sum(ENGAGEDSESSIONS), 0) AS BIGINT) AS "Engaged Sessions", '
+            f'{_ratio("sum(DUR)", "sum(SESSIONS)")} AS "Avg Engagement" FROM d',
+    "audience": 'SELECT CAST(coalesce(sum(TOTALUSERS), 0) AS BIGINT) AS "Total Users", '
+            'CAST(coalesce(sum(NEWUSERS), 0) AS BIGINT) AS "New Users", '
+            f'{_ratio("sum(NEWUSERS)", "sum(TOTALUSERS)")} AS "% New Users", '
+            f'{_ratio("sum(SESSIONS)", "sum(TOTALUSERS)")} AS "Sessions / User", '
+            f'{_ratio("sum(SESSIONS) - sum(ENGAGEDSESSIONS)", "sum(SESSIONS)")} AS "Bounce Rate" FROM d',
+}
+_NUMBERS = f", k AS (SELECT * REPLACE ({_num0('KEYEVENTS')} AS KEYEVENTS), {_num0('USERENGAGEMENTDURATION')} AS DUR FROM g)\n"
+_PRODUCT_TOTAL = """
+SELECT CAST(coalesce(sum("View"), 0) AS BIGINT) AS "View", CAST(coalesce(sum("Gross Booked"), 0) AS BIGINT) AS "Gross Booked",
+       round_even(""" + _ratio('sum("Gross Booked")', 'sum("View")') + """ * 100, 2) AS "Overall Conversion",
+       CAST(coalesce(sum("Net Attendance"), 0) AS BIGINT) AS "Net Attendance",
+       round_even(coalesce(CAST(sum(CAST("Net Value" AS DECIMAL(38, 4))) AS DOUBLE), 0), 2) AS "Net Value",
+       CAST(coalesce(sum(Cancelled), 0) AS BIGINT) AS Cancelled,
+       CAST(coalesce(sum("Gross Quantity"), 0) AS BIGINT) AS "Gross Quantity"
+FROM c"""
+
+
+def _by_tenant(kpis: str) -> str:
+    return kpis.replace("SELECT ", "SELECT TENANT, ", 1).replace("FROM d", "FROM k GROUP BY TENANT")
+
+
 def report_sql() -> dict[str, str]:
     funnel_values = ", ".join(f"({i}, '{k}', '{lbl}')" for i, (k, lbl) in enumerate(FUNNEL_STEPS))
     search_pred = " OR ".join(
@@ -514,14 +603,7 @@ def report_sql() -> dict[str, str]:
         "attendance_facets": fixture_ctes(["transactions_grouped"]) + _TX
         + _options_sql("t", att.FACETS, FACET_PICKS),
         "product_performance": fixture_ctes(["report_items"]) + _PRODUCT + "SELECT * FROM c",
-        "product_total": fixture_ctes(["report_items"]) + _PRODUCT + """
-SELECT CAST(coalesce(sum("View"), 0) AS BIGINT) AS "View", CAST(coalesce(sum("Gross Booked"), 0) AS BIGINT) AS "Gross Booked",
-       round_even(""" + _ratio('sum("Gross Booked")', 'sum("View")') + """ * 100, 2) AS "Overall Conversion",
-       CAST(coalesce(sum("Net Attendance"), 0) AS BIGINT) AS "Net Attendance",
-       round_even(coalesce(sum("Net Value"), 0), 2) AS "Net Value",
-       CAST(coalesce(sum(Cancelled), 0) AS BIGINT) AS Cancelled,
-       CAST(coalesce(sum("Gross Quantity"), 0) AS BIGINT) AS "Gross Quantity"
-FROM c""",
+        "product_total": fixture_ctes(["report_items"]) + _PRODUCT + _PRODUCT_TOTAL,
         "product_facets": fixture_ctes(["report_items"]) + _PRODUCT
         + _options_sql("c", prod.FACETS, PRODUCT_PICKS),
         "email_summary": _email_summary_sql(),
@@ -530,30 +612,20 @@ FROM c""",
         + "SELECT DATA_STATE, count(*) AS Total FROM s WHERE DATA_STATE IS NOT NULL GROUP BY DATA_STATE",
         "email_open_frequency": fixture_ctes(["mail_notifications"]) + _EMAIL
         + "SELECT DATA_OPENS, count(*) AS Total FROM s GROUP BY DATA_OPENS",
-        "guest_kpis": _ga4_sql(
-            'SELECT CAST(coalesce(sum(SESSIONS), 0) AS BIGINT) AS "Sessions", '
-            'CAST(trunc(coalesce(sum(KEYEVENTS), 0)) AS BIGINT) AS "Key Events", '
-            f'{_ratio("sum(KEYEVENTS)", "sum(SESSIONS)")} AS "Conversion Rate", '
-            'CAST(coalesce(sum(ENGAGEDSESSIONS), 0) AS BIGINT) AS "Engaged Sessions", '
-            f'{_ratio("sum(DUR)", "sum(SESSIONS)")} AS "Avg Engagement" FROM d'),
+        "guest_kpis": _ga4_sql(_KPIS["guest"]),
         "sessions_over_time": _ga4_sql(
             'SELECT DATE, CAST(sum(SESSIONS) AS BIGINT) AS "Sessions" FROM d WHERE DATE IS NOT NULL GROUP BY DATE'),
         "funnel": _ga4_sql(
             ", tot AS (SELECT EVENTNAME, sum(EVENTCOUNT) AS total FROM e WHERE EVENTNAME IS NOT NULL GROUP BY EVENTNAME),\n"
             f"steps AS (SELECT * FROM (VALUES {funnel_values}) v(position, EVENTNAME, Step))\n"
-            'SELECT Step, CAST(coalesce(total, 0) AS BIGINT) AS "Events" FROM steps LEFT JOIN tot USING (EVENTNAME)'
+            'SELECT CAST(position AS INTEGER) AS position, Step, CAST(coalesce(total, 0) AS BIGINT) AS "Events" FROM steps LEFT JOIN tot USING (EVENTNAME)'
         ).replace("\n, tot AS", ", tot AS"),
         "top_items": _ga4_sql(
-            f'SELECT ITEMNAME AS "Item", v AS "Viewed", p AS "Purchased" FROM ({_item_sums(15)})'),
+            f'SELECT "Rank", ITEMNAME AS "Item", v AS "Viewed", p AS "Purchased" FROM ({_item_sums(15)})'),
         "most_visited": _ga4_sql(
-            f'SELECT ITEMNAME AS "Experience", v AS "Views", p AS "Purchased", '
+            f'SELECT "Rank", ITEMNAME AS "Experience", v AS "Views", p AS "Purchased", '
             f"printf('%.1f%%', round_even({_ratio('p', 'v')} * 100, 1)) AS \"Conversion\" FROM ({_item_sums(20)})"),
-        "audience_kpis": _ga4_sql(
-            'SELECT CAST(coalesce(sum(TOTALUSERS), 0) AS BIGINT) AS "Total Users", '
-            'CAST(coalesce(sum(NEWUSERS), 0) AS BIGINT) AS "New Users", '
-            f'{_ratio("sum(NEWUSERS)", "sum(TOTALUSERS)")} AS "% New Users", '
-            f'{_ratio("sum(SESSIONS)", "sum(TOTALUSERS)")} AS "Sessions / User", '
-            f'{_ratio("sum(SESSIONS) - sum(ENGAGEDSESSIONS)", "sum(SESSIONS)")} AS "Bounce Rate" FROM d'),
+        "audience_kpis": _ga4_sql(_KPIS["audience"]),
         "users_over_time": _ga4_sql(
             'SELECT DATE, CAST(sum(TOTALUSERS) AS BIGINT) AS "Total Users", CAST(sum(NEWUSERS) AS BIGINT) AS "New Users" '
             "FROM d WHERE DATE IS NOT NULL GROUP BY DATE"),
@@ -561,10 +633,12 @@ FROM c""",
             'SELECT DEVICECATEGORY, CAST(sum(SESSIONS) AS BIGINT) AS "Sessions" FROM dev '
             "WHERE DEVICECATEGORY IS NOT NULL GROUP BY DEVICECATEGORY"),
         "acquisition": _ga4_sql(
-            'SELECT SESSIONSOURCE, CAST(sum(SESSIONS) AS BIGINT) AS "Sessions" FROM d WHERE SESSIONSOURCE IS NOT NULL '
+            'SELECT SESSIONSOURCE, CAST(sum(SESSIONS) AS BIGINT) AS "Sessions", '
+            'CAST(row_number() OVER (ORDER BY sum(SESSIONS) DESC, SESSIONSOURCE) AS INTEGER) AS "Rank" FROM d WHERE SESSIONSOURCE IS NOT NULL '
             'GROUP BY SESSIONSOURCE ORDER BY "Sessions" DESC, SESSIONSOURCE LIMIT 10'),
         "top_locations": _ga4_sql(
-            'SELECT CITY AS "City", COUNTRY AS "Country", CAST(sum(SESSIONS) AS BIGINT) AS "Sessions" FROM loc '
+            'SELECT CITY AS "City", COUNTRY AS "Country", CAST(sum(SESSIONS) AS BIGINT) AS "Sessions", '
+            'CAST(row_number() OVER (ORDER BY sum(SESSIONS) DESC, CITY, COUNTRY) AS INTEGER) AS "Rank" FROM loc '
             "WHERE coalesce(CITY, '') <> 'Morelia' AND CITY IS NOT NULL AND COUNTRY IS NOT NULL "
             'GROUP BY CITY, COUNTRY ORDER BY "Sessions" DESC, CITY, COUNTRY LIMIT 20'),
         "ga4_long": _ga4_long_sql(),
@@ -575,10 +649,39 @@ FROM c""",
         "book_date_by_tenant": _att_sql(shared=True),
         "funnel_by_tenant": _shared_funnel_sql(),
         "email_summary_by_tenant": _email_summary_by_tenant_sql(),
-        "top_items_by_tenant": fixture_ctes(["ga4_items_by_tenant"]) + """
-, s AS (SELECT TENANT, ITEMNAME, CAST(sum(ITEMSVIEWED) AS BIGINT) AS v, CAST(sum(ITEMSPURCHASED) AS BIGINT) AS p
-        FROM ga4_items_by_tenant WHERE TENANT IS NOT NULL AND ITEMNAME IS NOT NULL GROUP BY TENANT, ITEMNAME)
-SELECT TENANT AS "Tenant", CAST(row_number() OVER (PARTITION BY TENANT ORDER BY v DESC, ITEMNAME) AS INTEGER) AS "Rank",
-       ITEMNAME AS "Item", v AS "Viewed", p AS "Purchased"
-FROM s QUALIFY "Rank" <= 15""",
+        "top_items_by_tenant": _shared_top_sql("items", {"Item": "ITEMNAME"}, {"Viewed": "ITEMSVIEWED", "Purchased": "ITEMSPURCHASED"}, 15,
+                                               "ITEMNAME IS NOT NULL"),
+        "top_locations_by_tenant": _shared_top_sql("location", {"City": "CITY", "Country": "COUNTRY"}, {"Sessions": "SESSIONS"}, 20,
+                                                   "coalesce(CITY, '') <> 'Morelia' AND CITY IS NOT NULL AND COUNTRY IS NOT NULL"),
+        "devices_by_tenant": _shared_sql("device", 'SELECT TENANT, DEVICECATEGORY, CAST(sum(SESSIONS) AS BIGINT) AS "Sessions" FROM g '
+                                         "WHERE DEVICECATEGORY IS NOT NULL GROUP BY ALL"),
+        "sessions_by_tenant": _shared_sql("daily", 'SELECT TENANT, DATE, CAST(sum(SESSIONS) AS BIGINT) AS "Sessions" FROM g GROUP BY ALL'),
+        "guest_kpis_by_tenant": _shared_sql("daily", _NUMBERS + _by_tenant(_KPIS["guest"])),
+        "audience_kpis_by_tenant": _shared_sql("daily", _NUMBERS + _by_tenant(_KPIS["audience"])),
+        "guest_kpis_range": _ga4_sql(_KPIS["guest"] + f" WHERE DATE BETWEEN DATE '{GA4_RANGE[0]}' AND DATE '{GA4_RANGE[1]}'"),
+        "guest_kpis_timed": fixture_ctes(["ga4_daily_timed"]) + f""", d0 AS (SELECT * FROM ga4_daily_timed WHERE {_HOST_OK} AND {_SOURCE_OK}),
+r AS (SELECT CAST(CAST(min(DATE) AS DATE) AS TIMESTAMP) AS lo, CAST(CAST(max(DATE) AS DATE) AS TIMESTAMP) AS hi FROM d0),
+d AS (SELECT SESSIONS, ENGAGEDSESSIONS, {_num0('KEYEVENTS')} AS KEYEVENTS, {_num0('USERENGAGEMENTDURATION')} AS DUR FROM d0, r
+      WHERE DATE BETWEEN lo AND hi)
+""" + _KPIS["guest"],
+        "funnel_range": _ga4_sql(
+            f", tot AS (SELECT EVENTNAME, sum(EVENTCOUNT) AS total FROM ga4_events WHERE {_HOST_OK} AND {_SOURCE_OK} "
+            f"AND DATE BETWEEN DATE '{GA4_RANGE[0]}' AND DATE '{GA4_RANGE[1]}' GROUP BY EVENTNAME),\n"
+            f"steps AS (SELECT * FROM (VALUES {funnel_values}) v(position, EVENTNAME, Step))\n"
+            'SELECT CAST(position AS INTEGER) AS position, Step, CAST(coalesce(total, 0) AS BIGINT) AS "Events" FROM steps LEFT JOIN tot USING (EVENTNAME)'
+        ).replace("\n, tot AS", ", tot AS"),
+        "email_summary_range": _email_summary_sql(MAIL_RANGE),
+        "book_date_text_range": _att_sql("TRY_CAST(T_TRANSDATE AS TIMESTAMP)", EVENT_RANGE, table="transactions_text_dates"),
+        "book_date_export": _att_sql().replace("SELECT Item, Department, sum(na)", ", a AS (SELECT Item, Department, sum(na)") + """)
+SELECT *, FALSE AS is_total FROM a UNION ALL
+SELECT NULL, NULL, round_even(sum("Net Attendance"), 2), round_even(CAST(sum(CAST("Net Value" AS DECIMAL(38, 4))) AS DOUBLE), 2), TRUE FROM a""",
+        "product_export": fixture_ctes(["report_items"]) + _PRODUCT + ", g AS (" + _PRODUCT_TOTAL + """)
+SELECT *, FALSE AS is_total FROM c UNION ALL BY NAME SELECT *, TRUE AS is_total FROM g""",
+        "registry_rows": fixture_ctes(["many_customers"]) + """
+SELECT lower(trim(CUSTOMER)) AS customer, coalesce(nullif(LABEL, ''), lower(trim(CUSTOMER))) AS label, upper(trim(PREFIX)) AS prefix,
+       coalesce(array_to_string(from_json(PAGES, '["VARCHAR"]'), ','), '') AS pages,
+       CASE WHEN json_valid(EMAIL_CONFIG) THEN json_extract_string(CASE WHEN json_valid(EMAIL_CONFIG) THEN EMAIL_CONFIG END, '$.subject_match') END AS subject_match,
+       CASE WHEN json_valid(EMAIL_CONFIG) THEN CAST(json_array_length(CASE WHEN json_valid(EMAIL_CONFIG) THEN EMAIL_CONFIG END, '$.buckets') AS INTEGER) END AS n_buckets,
+       json_extract_string(GA4_CONFIG, '$.report') AS ga4_report
+FROM many_customers WHERE coalesce(ACTIVE, TRUE)""",
     }

@@ -37,8 +37,7 @@ def main(argv: list[str] | None = None) -> int:
     args = ap.parse_args(argv)
 
     spark = SparkSession.builder.appName("innsight-marts").getOrCreate()
-    if not spark.sparkContext.master.startswith("local"):
-        apply_scale_conf(spark)  # cluster settings; a local run keeps its own
+    apply_scale_conf(spark)  # what the session sets itself is kept
     ensure_checkpoint_dir(spark)
     registry = load_registry(spark.table(check_identifier(args.registry)))
     if args.shared:

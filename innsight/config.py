@@ -115,6 +115,14 @@ class TrafficRules:
     source_exclude: tuple[str, ...] = SOURCE_EXCLUDE
     excluded_city: str = EXCLUDED_CITY
 
+    @classmethod
+    def from_dict(cls, d: dict | None) -> "TrafficRules":
+        """Rules given for a tenant; what is left out keeps its default."""
+        d = {k: v for k, v in (d or {}).items() if v is not None}
+        if "source_exclude" in d:
+            d["source_exclude"] = tuple(d["source_exclude"])
+        return cls(**d)
+
 
 @dataclass(frozen=True)
 class TenantConfig:
@@ -139,4 +147,5 @@ class TenantConfig:
             pages=tuple(d.get("pages") or ()),
             email=EmailConfig.from_dict(d.get("email")),
             ga4=Ga4Config.from_dict(d.get("ga4")),
+            traffic=TrafficRules.from_dict(d.get("traffic")),
         )

@@ -63,29 +63,37 @@ def to_number0(df: DataFrame, cols: Iterable[str], only_present: bool = True) ->
     return df.withColumns(todo) if todo else df
 
 
+def nan_to_null(df: DataFrame) -> DataFrame:
+    """NaN becomes NULL in every floating column, so that sums and orders skip it."""
+    floating = [f.name for f in df.schema.fields if isinstance(f.dataType, (T.FloatType, T.DoubleType))]
+    return df.withColumns({c: F.nanvl(F.col(f"`{c}`"), F.lit(None)) for c in floating}) if floating else df
+
+
 def value_or(primary: Column, fallback: Column) -> Column:
     """``fallback`` where ``primary`` is NULL, NaN or zero, else ``primary``."""
     as_double = F.coalesce(F.nanvl(primary.cast("double"), F.lit(0.0)), F.lit(0.0))
     return F.when(as_double == 0.0, fallback).otherwise(primary)
 
 
-def month_key(c: Column, source_type: T.DataType, on_bad: str = "fail") -> Column:
-    """``YYYYMM`` (integer or text) to the first day of that month.
-
-    ``on_bad="fail"`` raises on a malformed or NULL month, as the application
-    fails its whole page; ``"null"`` turns such months into NULL instead.
-    """
+def month_key(c: Column, source_type: T.DataType) -> Column:
+    """``YYYYMM`` (integer or text) to the first day of that month; NULL if malformed."""
     if isinstance(source_type, (T.FloatType, T.DoubleType, T.DecimalType)):
         c = c.cast("bigint")
     text = F.concat(c.cast("string"), F.lit("01"))
-    parsed = F.to_date(F.try_to_timestamp(text, F.lit("yyyyMMdd")))
-    if on_bad == "null":
-        return parsed
-    if on_bad != "fail":
-        raise ValueError("on_bad must be 'fail' or 'null'")
-    # explicit, so it fails whether or not the session runs in ANSI mode
+    return F.to_date(F.try_to_timestamp(text, F.lit("yyyyMMdd")))
+
+
+def require_months(df: DataFrame, column: str) -> DataFrame:
+    """``df``, failing when run if any ``column`` is no month key.
+
+    The check is a filter on every row.  Its last term is non-deterministic, so
+    the optimizer neither prunes it with an unused column nor moves other
+    filters below it, where they would hide a bad month.
+    """
+    c = F.col(column)
     bad = F.concat(F.lit("bad month key: "), F.coalesce(c.cast("string"), F.lit("NULL")))
-    return F.when(parsed.isNull(), F.raise_error(bad)).otherwise(parsed)
+    good = month_key(c, df.schema[column].dataType).isNotNull()
+    return df.filter(F.when(~good, F.raise_error(bad).cast("boolean")).otherwise(F.rand(0) >= 0))
 
 
 def month_label(c: Column) -> Column:

@@ -8,7 +8,6 @@ dimensions whose NULLs are shown as ``Unknown`` by testing the raw column.
 from __future__ import annotations
 
 import datetime as _dt
-import re
 from collections.abc import Iterable, Mapping, Sequence
 from functools import reduce
 
@@ -137,26 +136,10 @@ def _ci(pattern: str) -> str:
     return "(?iu)" + pattern
 
 
-_REGEX_META = re.compile(r"[.^$*+?{}\[\]\\|()]")
-
-
-def is_literal(pattern: str) -> bool:
-    """True when ``pattern`` has no regular-expression metacharacter."""
-    return not _REGEX_META.search(pattern)
-
-
 def matches_ci(column: str | Column, pattern: str) -> Column:
-    """Case-insensitive regular-expression containment; NULL counts as ``''``.
-
-    A pattern without metacharacters (the usual subject or host fragment) is
-    tested as a lower-cased substring, which gives the same answer without
-    running the regex engine on every row.
-    """
+    """Case-insensitive regular-expression containment; NULL counts as ``''``."""
     c = F.col(column) if isinstance(column, str) else column
-    text = F.coalesce(c.cast("string"), F.lit(""))
-    if is_literal(pattern):
-        return F.lower(text).contains(pattern.lower())
-    return text.rlike(_ci(pattern))
+    return F.coalesce(c.cast("string"), F.lit("")).rlike(_ci(pattern))
 
 
 def subject_scope(df: DataFrame, column: str, pattern: str) -> DataFrame:
@@ -176,14 +159,19 @@ def source_deny(column: str, fragments: Iterable[str]) -> Column:
     return ~F.lower(F.coalesce(F.col(column), F.lit(""))).rlike(alternation)
 
 
-def traffic_filter(df: DataFrame, rules: TrafficRules = TrafficRules()) -> DataFrame:
+def traffic_predicate(df: DataFrame, rules: TrafficRules = TrafficRules()) -> Column:
     """Shared GA4 traffic filters, each applied only when its column exists."""
-    preds = []
+    preds = [F.lit(True)]
     if "HOSTNAME" in df.columns:
         preds.append(host_allow("HOSTNAME", rules.host_allow))
     if "SESSIONSOURCE" in df.columns and rules.source_exclude:
         preds.append(source_deny("SESSIONSOURCE", rules.source_exclude))
-    return df.filter(reduce(lambda a, b: a & b, preds)) if preds else df
+    return reduce(lambda a, b: a & b, preds)
+
+
+def traffic_filter(df: DataFrame, rules: TrafficRules = TrafficRules()) -> DataFrame:
+    """Rows that pass :func:`traffic_predicate`."""
+    return df.filter(traffic_predicate(df, rules))
 
 
 def not_equal_keep_null(column: str, value: str) -> Column:
@@ -194,15 +182,12 @@ def not_equal_keep_null(column: str, value: str) -> Column:
 def search_rows(df: DataFrame, pattern: str) -> DataFrame:
     """Rows where any column, as text, contains ``pattern`` (regex, case-insensitive).
 
-    An empty pattern returns every row.  NULL cells never match.
+    An empty pattern returns every row.  NULL cells never match.  Maps are
+    searched in their text form, binary columns as UTF-8.
     """
     if not pattern:
         return df
-    preds = [
-        matches_ci(df[f"`{f.name}`"], pattern)
-        for f in df.schema.fields
-        if not isinstance(f.dataType, (T.MapType, T.BinaryType))
-    ]
+    preds = [df[f"`{name}`"].isNotNull() & matches_ci(df[f"`{name}`"], pattern) for name in df.columns]
     return df.filter(reduce(lambda a, b: a | b, preds))
 
 

@@ -1,10 +1,8 @@
 """Joins: dictionary lookups of the application expressed as Spark joins.
 
-A side is broadcast only behind a proven bound: either it is a fixed list
-built by the library (page catalogue, funnel steps), or its row count was
-checked against ``max_rows`` first.  Otherwise the join is left to Catalyst
-and adaptive execution (sort-merge, converted to broadcast at run time when
-the shuffled side turns out small).
+No side is hinted: the optimizer broadcasts a side whose size in bytes it knows
+to be small, and adaptive execution does so at run time from the bytes a
+shuffled side turned out to have.
 """
 
 from __future__ import annotations
@@ -12,31 +10,8 @@ from __future__ import annotations
 from collections.abc import Sequence
 
 from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
 
 
-def is_small(df: DataFrame, max_rows: int) -> bool:
-    """True when ``df`` has at most ``max_rows`` rows.
-
-    ``take`` scans partitions incrementally and stops as soon as it has
-    ``max_rows + 1`` rows, and the projection to a constant means no column
-    is read or shipped: the check stays cheap whatever the table size.
-    """
-    return len(df.select(F.lit(1)).take(max_rows + 1)) <= max_rows
-
-
-def bounded_broadcast(df: DataFrame, max_rows: int) -> DataFrame:
-    """Broadcast hint on ``df`` only if it has at most ``max_rows`` rows."""
-    return F.broadcast(df) if is_small(df, max_rows) else df
-
-
-def lookup_join(
-    left: DataFrame,
-    right: DataFrame,
-    on: str | Sequence[str],
-    how: str = "left",
-    max_broadcast_rows: int = 100_000,
-) -> DataFrame:
-    """Join a (possibly huge) fact side to a lookup side, broadcasting the lookup
-    only when its size is proven small."""
-    return left.join(bounded_broadcast(right, max_broadcast_rows), on=on, how=how)
+def lookup_join(left: DataFrame, right: DataFrame, on: str | Sequence[str], how: str = "left") -> DataFrame:
+    """Join a (possibly huge) fact side to a lookup side."""
+    return left.join(right, on=on, how=how)

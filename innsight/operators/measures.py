@@ -33,6 +33,18 @@ def money(c: Column, digits: int = 2) -> Column:
     return F.bround(c, digits)
 
 
+def exact_sum0(c: str | Column) -> Column:
+    """``sum`` of money as DOUBLE that does not depend on the order of the rows.
+
+    Values below 10**15 are added as decimals with 12 digits after the point
+    (as many as a double of that size shows), others as doubles.
+    """
+    col = (F.col(c) if isinstance(c, str) else c).cast("double")
+    fits = F.abs(col) < F.lit(1e15)
+    exact = F.sum(F.when(fits, col).cast("decimal(38,12)")).cast("double")
+    return F.coalesce(exact, F.lit(0.0)) + F.coalesce(F.sum(F.when(~fits, col)), F.lit(0.0))
+
+
 def keyed_sums(
     df: DataFrame,
     keys: Sequence[str],
@@ -77,12 +89,14 @@ def daily_series(
     )
 
 
-def top_k(df: DataFrame, order: Sequence[Column], k: int, by: Sequence[str] = ()) -> DataFrame:
-    """First ``k`` rows by ``order`` (planned as ``TakeOrderedAndProject``);
-    with ``by``, the first ``k`` of each group (see :func:`top_k_per_group`)."""
+def top_k(df: DataFrame, order: Sequence[Column], k: int, by: Sequence[str] = (), rank_col: str = "Rank") -> DataFrame:
+    """First ``k`` rows by ``order`` with their rank (planned as
+    ``TakeOrderedAndProject``; the rank numbers those k rows); with ``by``, the
+    first ``k`` of each group (see :func:`top_k_per_group`)."""
     if by:
-        return top_k_per_group(df, by, order, k).orderBy(*by, *order)
-    return df.orderBy(*order).limit(k)
+        return top_k_per_group(df, by, order, k, rank_col).orderBy(*by, rank_col)
+    top = df.orderBy(*order).limit(k)
+    return top.withColumn(rank_col, F.row_number().over(Window.orderBy(*order)))
 
 
 def top_k_per_group(df: DataFrame, groups: Sequence[str], order: Sequence[Column], k: int, rank_col: str | None = None) -> DataFrame:
@@ -102,8 +116,9 @@ def grand_total(df: DataFrame, columns: Sequence[str], digits: int | None = 2, b
     rounded half-even to ``digits``."""
     aggs = []
     for c in columns:
-        s = sum0(f"`{c}`")
-        if digits is not None and isinstance(df.schema[c].dataType, (T.FloatType, T.DoubleType, T.DecimalType)):
+        fractional = isinstance(df.schema[c].dataType, (T.FloatType, T.DoubleType, T.DecimalType))
+        s = exact_sum0(f"`{c}`") if fractional else sum0(f"`{c}`")
+        if digits is not None and fractional:
             s = F.bround(s, digits)
         aggs.append(s.alias(c))
     return df.groupBy(*by).agg(*aggs)
@@ -114,14 +129,17 @@ def with_total_row(
 ) -> DataFrame:
     """Detail rows followed by the total row (missing columns NULL), per ``by`` group.
 
+    ``is_total`` marks the total row, so that the order can be restored from
+    a written report.
+
     When ``total`` is computed from ``detail`` the two branches share one
     shuffle (Spark reuses the exchange), so the source is read once.
     """
-    marker = "__innsight_is_total"
-    d = detail.withColumn(marker, F.lit(0))
-    t = total.withColumn(marker, F.lit(1))
+    marker = "is_total"
+    d = detail.withColumn(marker, F.lit(False))
+    t = total.withColumn(marker, F.lit(True))
     both = d.unionByName(t, allowMissingColumns=True)
-    return both.orderBy(*by, F.col(marker), *order).drop(marker)
+    return both.orderBy(*by, F.col(marker), *order)
 
 
 def conditional_segments(

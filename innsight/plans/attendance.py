@@ -18,7 +18,7 @@ from pyspark.sql import types as T
 from innsight.config import UNKNOWN
 from innsight.functions.clean import fill_unknown, lenient_timestamp, to_number0, transaction_status, value_or
 from innsight.operators.filters import DateLike, closed_range, facet_filter, facet_options, facet_predicate
-from innsight.operators.measures import grand_total, money, sum0, with_total_row
+from innsight.operators.measures import exact_sum0, grand_total, sum0, with_total_row
 
 # Source column -> report column.
 RENAME = {
@@ -80,7 +80,7 @@ def attendance_grouped(raw: DataFrame, date_col: str, date_range: DateRange = No
 
 
 def summary_of(grouped: DataFrame, by: Sequence[str] = ()) -> DataFrame:
-    return grouped.withColumn("Net Value", money(F.col("Net Value"))).orderBy(*by, *_order())
+    return grouped.orderBy(*by, *_order())
 
 
 def total_of(grouped: DataFrame, by: Sequence[str] = ()) -> DataFrame:
@@ -88,14 +88,13 @@ def total_of(grouped: DataFrame, by: Sequence[str] = ()) -> DataFrame:
 
 
 def export_of(grouped: DataFrame, by: Sequence[str] = ()) -> DataFrame:
-    detail = grouped.withColumn("Net Value", money(F.col("Net Value")))
-    return with_total_row(detail, total_of(grouped, by), _order(), by)
+    return with_total_row(grouped, total_of(grouped, by), _order(), by)
 
 
 def _summary(rows: DataFrame, by: Sequence[str] = ()) -> DataFrame:
     return rows.groupBy(*by, "Item", "Department").agg(
         sum0("Net Attendance").alias("Net Attendance"),
-        sum0("Net Value").alias("Net Value"),
+        exact_sum0("Net Value").alias("Net Value"),
     )
 
 
@@ -136,7 +135,7 @@ def event_date(raw: DataFrame, date_range: DateRange = None, picks: Picks | None
 
 def attendance_export(raw: DataFrame, date_col: str, date_range: DateRange = None, picks: Picks | None = None,
                       by: Sequence[str] = ()) -> DataFrame:
-    """The CSV download: summary rows, then the grand-total row (blank labels).
+    """The CSV download: summary rows, then the grand-total row (blank labels, ``is_total``).
 
     The total is computed from the same grouped rows, so Spark reuses the one
     shuffle for both parts.

@@ -8,6 +8,7 @@ and last day) -> one conditional aggregate for every bucket and the total.
 
 from __future__ import annotations
 
+import json
 from collections.abc import Mapping, Sequence
 
 from pyspark.sql import DataFrame
@@ -18,7 +19,7 @@ from innsight.config import EMAIL_NUMERIC, EmailConfig
 from innsight.functions.clean import to_number0, truncate_int, wall_clock
 from innsight.functions.formats import pct
 from innsight.operators.dedup import keep_first
-from innsight.operators.filters import DateLike, half_open_range, matches_ci, subject_scope
+from innsight.operators.filters import DateLike, half_open_range, subject_scope
 from innsight.operators.measures import conditional_segments, group_sizes, ratio, sum0
 
 TS = "DATA_TS_DATE"
@@ -101,7 +102,7 @@ def _section_columns(seg: DataFrame, by: Sequence[str] = ()) -> DataFrame:
         ratio(clicks, sent).alias("Click Rate (CTR)"),
         ratio(opened, sent).alias("AVG Open Rate"),
     )
-    return out.orderBy(*by, "position").drop("position")
+    return out.orderBy(*by, "position")
 
 
 def _summary_columns(seg: DataFrame, by: Sequence[str] = ()) -> DataFrame:
@@ -121,7 +122,7 @@ def _summary_columns(seg: DataFrame, by: Sequence[str] = ()) -> DataFrame:
         pct(ratio(opened, sent)).alias("Open Rate"),
         pct(ratio(clicks, sent)).alias("CTR"),
     )
-    return out.orderBy(*by, "position").drop("position")
+    return out.orderBy(*by, "position")
 
 
 def email_sections(scoped: DataFrame, cfg: EmailConfig) -> DataFrame:
@@ -148,26 +149,39 @@ TAG = "__tag"
 
 
 def scope_tenants(base: DataFrame, cfgs: Mapping[str, EmailConfig], tenant_col: str = "tenant") -> DataFrame:
-    """Messages of every tenant reading ``base``, in one pass.
+    """Messages of every tenant reading ``base``.
 
     Each message gets one row per tenant whose subject pattern it matches (a
     message may belong to several, as when each tenant scopes the source on
-    its own), with that tenant's tag value.  Every pattern is a literal
-    expression, compiled once.  The default date range keeps every dated
-    message, as for one tenant.
+    its own), with that tenant's tag value.  Patterns are tested on the
+    distinct subjects only, and the matches joined back to the messages.  The
+    patterns travel as one constant, so the plan does not grow with the
+    tenants.  The default date range keeps every dated message, as for one
+    tenant.
     """
-    entries = []
+    dated = base.filter(F.col(TS).isNotNull())
+    by_field: dict[str, dict[str, EmailConfig]] = {}
     for tenant, cfg in cfgs.items():
-        match = matches_ci(cfg.subject_field, cfg.subject_match) if cfg.subject_match else F.lit(True)
-        tag = F.coalesce(F.col(cfg.tag_field).cast("string"), F.lit(""))
-        entries.append(F.when(match, F.struct(F.lit(tenant).alias(tenant_col), tag.alias(TAG))))
-    tagged = base.filter(F.col(TS).isNotNull()).withColumn("__scope", F.explode(F.array_compact(F.array(*entries))))
-    return tagged.select("*", f"__scope.{tenant_col}", f"__scope.{TAG}").drop("__scope")
+        by_field.setdefault(cfg.subject_field, {})[tenant] = cfg
+    tags = F.create_map(*[x for f in dict.fromkeys(c.tag_field for c in cfgs.values())
+                          for x in (F.lit(f), F.coalesce(F.col(f"`{f}`").cast("string"), F.lit("")))])
+    out = None
+    for field, some in by_field.items():
+        patterns = F.from_json(
+            F.lit(json.dumps([{"tenant": t, "pattern": c.subject_match, "tag": c.tag_field} for t, c in some.items()])),
+            "array<struct<tenant:string,pattern:string,tag:string>>")
+        subject = F.coalesce(F.col(f"`{field}`").cast("string"), F.lit(""))
+        hits = dated.select(subject.alias("__subject")).distinct().select("__subject", F.explode(F.filter(
+            patterns, lambda p: (p["pattern"] == "") | F.rlike(F.col("__subject"), F.concat(F.lit("(?iu)"), p["pattern"])))).alias("__p"))
+        scoped = dated.withColumn("__subject", subject).join(hits, "__subject").select(
+            *[F.col(f"`{c}`") for c in base.columns], F.col("__p.tenant").alias(tenant_col), F.element_at(tags, F.col("__p.tag")).alias(TAG))
+        out = scoped if out is None else out.unionByName(scoped)
+    return out
 
 
 def _tenant_segments(scoped: DataFrame, cfgs: Mapping[str, EmailConfig], total_label: str,
                      tenant_col: str) -> DataFrame:
-    """Bucket and total segments of every tenant.
+    """Bucket and total segments of every tenant, in order of ``position``.
 
     Sums per (tenant, tag) first (a few rows per tenant), then each tenant's
     configured buckets - a small table built from configuration - are joined
@@ -182,15 +196,14 @@ def _tenant_segments(scoped: DataFrame, cfgs: Mapping[str, EmailConfig], total_l
                            T.StructField("label", T.StringType()), T.StructField(TAG, T.StringType())])
     buckets = spark.createDataFrame(
         [(t, i, label, value) for t, c in cfgs.items() for i, (value, label) in enumerate(c.buckets)], schema)
-    present = per_tag.select(tenant_col).distinct()
+    ends = spark.createDataFrame([(t, len(c.buckets)) for t, c in cfgs.items()], T.StructType(schema.fields[:2]))
+    totals = per_tag.groupBy(tenant_col).agg(*[sum0(m).alias(m) for m in measures])
     bucket_rows = (
-        buckets.join(present, tenant_col, "inner")
+        buckets.join(totals.select(tenant_col), tenant_col, "inner")
         .join(per_tag, [tenant_col, TAG], "left")
         .select(tenant_col, "position", "label", *[F.coalesce(F.col(m), F.lit(0)).alias(m) for m in measures])
     )
-    totals = per_tag.groupBy(tenant_col).agg(*[sum0(m).alias(m) for m in measures]).select(
-        tenant_col, F.lit(1 << 30).alias("position"), F.lit(total_label).alias("label"), *measures)
-    return bucket_rows.unionByName(totals)
+    return bucket_rows.unionByName(totals.join(ends, tenant_col).select(tenant_col, "position", F.lit(total_label).alias("label"), *measures))
 
 
 def email_summary_by_tenant(scoped: DataFrame, cfgs: Mapping[str, EmailConfig], tenant_col: str = "tenant") -> DataFrame:

@@ -4,50 +4,79 @@ Replaces the application's per-request page rendering: for each tenant of the
 registry and each page it is entitled to, the page's reports are computed on
 Spark and written under ``{out}/{page}/{report}/tenant={customer}``.
 
-Each page reads its source once.  A report that feeds others is written
-first and the others are computed from what was written (a table in the
-shared output folder, which also cuts the lineage): the product total and
-CSV export come from the written detail, the attendance summary, total and
-export from one small grouped frame, the GA4 reports from one checkpointed
-DAILY grain, the email reports from one de-duplicated message table.
+Each page reads its source once.  What feeds several reports is cleaned,
+projected and written once as a Parquet table in the shared checkpoint folder
+(:class:`Silver`, dropped when the page is done): the cleaned DAILY grain, the
+product detail, the grouped attendance, the de-duplicated messages.
+
+Written reports keep their order as data: ``position``, ``Rank`` or
+``is_total`` (CSV files, which have the application's columns only, are written
+in that order).
 
 Two layouts:
 
 * :func:`build_marts` - one table per tenant (the application's layout).  The
-  loop runs over configuration (tenants x pages, a bounded control table);
-  with ``parallelism`` several tenants' jobs are submitted at once.
+  loop runs over configuration (tenants x pages, read in slices); with
+  ``parallelism`` several tenants' jobs are submitted at once.
 * :func:`build_shared_marts` - tenants share one table per source.  Each
   report is one job for every entitled tenant, grouped by tenant.
 
-A page that cannot load its source is recorded as failed and the job goes on,
-as the application shows an error for that page only.
+Whatever stops a page is recorded as its failure and the job goes on, as the
+application shows an error for that page only.  A report without rows replaces
+an earlier one.
 """
 
 from __future__ import annotations
 
-from collections.abc import Callable, Sequence
+import uuid
+from collections.abc import Callable, Iterable, Iterator, Mapping, Sequence
 from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass
+from itertools import islice
 
-from pyspark.errors import AnalysisException
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from innsight.config import PAGE_TITLES, TenantConfig
+from innsight.config import PAGE_TITLES, TenantConfig, TrafficRules
 from innsight.plans import attendance as att
 from innsight.plans import email as em
 from innsight.plans import ga4
 from innsight.plans import product as prod
-from innsight.session import cut_lineage
-from innsight.sinks.export import write_csv, write_parquet
-from innsight.sources.registry import tenant_configs
+from innsight.session import ensure_checkpoint_dir
+from innsight.sinks.export import partition_folder, write_csv, write_parquet
+from innsight.sources.registry import iter_tenant_configs
 from innsight.sources.tables import (
-    TableCatalog, UnknownTable, scan_email, scan_grain, scan_report_items, scan_transactions,
+    TableCatalog, scan_email, scan_grain, scan_report_items, scan_transactions,
 )
 
-# write(report, df) writes one report and returns it as written (for reuse).
-Write = Callable[[str, DataFrame], DataFrame]
+# write(report, df) writes one report; write(report, df, True) also returns it for reuse.
+Write = Callable[..., DataFrame]
 Source = Callable[[str], DataFrame]
+SLICE = 1000  # tenants whose configuration is held at once
+#: Reports that may be large; the others have a row per group, item or day at most and make one CSV file.
+LARGE = {("product_performance", "detail"), ("product_performance", "export")}
+
+
+class Silver:
+    """Intermediate Parquet tables of one page, in the shared checkpoint folder."""
+
+    def __init__(self, spark: SparkSession):
+        self._spark = spark
+        self._folder = f"{ensure_checkpoint_dir(spark).rstrip('/')}/silver-{uuid.uuid4().hex}"
+        self._n = 0
+
+    def __call__(self, df: DataFrame) -> DataFrame:
+        self._n += 1
+        path = f"{self._folder}/{self._n}"
+        df.write.parquet(path)
+        return self._spark.read.schema(df.schema).parquet(path)
+
+    def __enter__(self) -> "Silver":
+        return self
+
+    def __exit__(self, *_) -> None:
+        path = self._spark._jvm.org.apache.hadoop.fs.Path(self._folder)
+        path.getFileSystem(self._spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
 @dataclass(frozen=True, order=True)
@@ -60,40 +89,58 @@ class BuildResult:
 
 
 # ---------------------------------------------------------------- page builders
-def _product(src: Source, write: Write, by: Sequence[str] = ()) -> None:
-    # The written detail is unordered (Parquet keeps no order); the CSV export is ordered.
-    detail = write("detail", prod.product_performance(src("REPORT_ITEMS"), by=by, ordered=False))
-    total = write("total", prod.total_of(detail, by))
-    write("export", prod.export_of(detail, total, by))
+@dataclass
+class Page:
+    """What a page builder works with."""
+
+    src: Source
+    write: Write
+    silver: Silver
+    by: Sequence[str] = ()
+    rules: Mapping[str, TrafficRules] | TrafficRules = TrafficRules()  # per tenant when ``by`` is set
+
+    def traffic(self):
+        return ga4.tenant_rules(self.rules, self.by[0]) if self.by else self.rules
+
+
+def _product(p: Page) -> None:
+    detail = p.write("detail", prod.product_performance(p.src("REPORT_ITEMS"), by=p.by, ordered=False), True)
+    total = p.write("total", prod.total_of(detail, p.by), True)
+    p.write("export", prod.export_of(detail, total, p.by))
 
 
 def _attendance(date_col: str):
-    def build(src: Source, write: Write, by: Sequence[str] = ()) -> None:
-        grouped = cut_lineage(att.attendance_grouped(src("UVE_TRANSACTIONS_GROUPED"), date_col, by=by))
-        write("summary", att.summary_of(grouped, by))
-        write("total", att.total_of(grouped, by))
-        write("export", att.export_of(grouped, by))
+    def build(p: Page) -> None:
+        grouped = p.silver(att.attendance_grouped(p.src("UVE_TRANSACTIONS_GROUPED"), date_col, by=p.by))
+        p.write("summary", att.summary_of(grouped, p.by))
+        p.write("total", att.total_of(grouped, p.by))
+        p.write("export", att.export_of(grouped, p.by))
     return build
 
 
-def _guest_portal(src: Source, write: Write, by: Sequence[str] = ()) -> None:
-    f = ga4.page_frames(cut_lineage(src("GA4_DAILY")), {"EVENTS": src("GA4_EVENTS"), "ITEMS": src("GA4_ITEMS")},
-                        by=by)
-    write("kpis", ga4.guest_kpis(f["DAILY"], by))
-    write("sessions", ga4.sessions_over_time(f["DAILY"], by))
-    write("funnel", ga4.funnel(f["EVENTS"], by=by))
-    write("top_items", ga4.top_items(f["ITEMS"], by=by))
-    write("most_visited", ga4.most_visited(f["ITEMS"], by=by))
+def _frames(p: Page, *grains: str) -> dict[str, DataFrame]:
+    others = {g: p.src(f"GA4_{g}") for g in grains}
+    return ga4.page_frames(p.src("GA4_DAILY"), others, rules=p.traffic(), by=p.by, keep=p.silver)
+
 
+def _guest_portal(p: Page) -> None:
+    f = _frames(p, "EVENTS", "ITEMS")
+    groups = f.get(ga4.GROUPS)
+    p.write("kpis", ga4.guest_kpis(f["DAILY"], p.by, groups))
+    p.write("sessions", ga4.sessions_over_time(f["DAILY"], p.by))
+    p.write("funnel", ga4.funnel(f["EVENTS"], by=p.by, groups=groups))
+    viewed = p.silver(ga4.most_viewed(f["ITEMS"], by=p.by))
+    p.write("top_items", ga4.top_items_of(viewed, by=p.by))
+    p.write("most_visited", ga4.most_visited_of(viewed, by=p.by))
 
-def _audience(src: Source, write: Write, by: Sequence[str] = ()) -> None:
-    f = ga4.page_frames(cut_lineage(src("GA4_DAILY")), {"DEVICE": src("GA4_DEVICE"), "LOCATION": src("GA4_LOCATION")},
-                        by=by)
-    write("kpis", ga4.audience_kpis(f["DAILY"], by))
-    write("users", ga4.users_over_time(f["DAILY"], by))
-    write("devices", ga4.devices(f["DEVICE"], by))
-    write("acquisition", ga4.acquisition(f["DAILY"], by=by))
-    write("locations", ga4.top_locations(f["LOCATION"], by=by))
+
+def _audience(p: Page) -> None:
+    f = _frames(p, "DEVICE", "LOCATION")
+    p.write("kpis", ga4.audience_kpis(f["DAILY"], p.by, f.get(ga4.GROUPS)))
+    p.write("users", ga4.users_over_time(f["DAILY"], p.by))
+    p.write("devices", ga4.devices(f["DEVICE"], p.by))
+    p.write("acquisition", ga4.acquisition(f["DAILY"], by=p.by))
+    p.write("locations", ga4.top_locations(f["LOCATION"], p.rules, by=p.by))
 
 
 def _email_reports(base: DataFrame, cfg: TenantConfig, write: Write) -> None:
@@ -114,6 +161,10 @@ _DATA_PAGES = {
 _GA4_PAGES = ("guest_portal", "audience")
 
 
+def _why(e: Exception) -> str:
+    return f"{type(e).__name__}: {str(e).strip().splitlines()[0][:300] if str(e).strip() else ''}"
+
+
 # ---------------------------------------------------------------- one table per tenant
 def _tenant_source(catalog: TableCatalog, cfg: TenantConfig) -> Source:
     def src(name: str) -> DataFrame:
@@ -125,39 +176,46 @@ def _tenant_source(catalog: TableCatalog, cfg: TenantConfig) -> Source:
     return src
 
 
-def _tenant_writer(out: str, page: str, cfg: TenantConfig, fmt: str, results: list[BuildResult]) -> Write:
-    def write(report: str, df: DataFrame) -> DataFrame:
-        path = f"{out}/{page}/{report}"
+def _tenant_writer(out: str, page: str, cfg: TenantConfig, fmt: str, results: list[BuildResult], silver: Silver) -> Write:
+    def write(report: str, df: DataFrame, reuse: bool = False) -> DataFrame | None:
+        # The tenant's own folder is overwritten as a whole, so an empty report replaces an earlier one.
+        path = f"{out}/{page}/{report}/{partition_folder('tenant', cfg.customer)}"
         if fmt == "csv":
-            write_csv(df, f"{path}/tenant={cfg.customer}")
-            back = df
+            df = silver(df) if reuse else df
+            write_csv(df, path, single_file=(page, report) not in LARGE)
         else:
-            write_parquet(df.withColumn("tenant", F.lit(cfg.customer)), path)
-            back = df.sparkSession.read.parquet(path).filter(F.col("tenant") == cfg.customer).drop("tenant")
+            df.write.mode("overwrite").parquet(path)
+            df = df.sparkSession.read.schema(df.schema).parquet(path) if reuse else None
         results.append(BuildResult(cfg.customer, page, report, "ok"))
-        return back
+        return df
     return write
 
 
 def _build_page(catalog: TableCatalog, cfg: TenantConfig, page: str, out: str, fmt: str) -> list[BuildResult]:
     results: list[BuildResult] = []
-    write = _tenant_writer(out, page, cfg, fmt, results)
     try:
-        if page == "email_campaigns":
-            if cfg.email is not None:
-                base = em.email_base(scan_email(catalog, cfg), em.used_columns([cfg.email]))
-                _email_reports(cut_lineage(base), cfg, write)
-        elif page in _GA4_PAGES and cfg.ga4 is None:
-            pass  # not configured: nothing to build, not an error
-        elif page in _DATA_PAGES:
-            _DATA_PAGES[page](_tenant_source(catalog, cfg), write)
-        else:
-            results.append(BuildResult(cfg.customer, page, "", "skipped", "unknown page"))
-    except (UnknownTable, AnalysisException) as e:
-        results.append(BuildResult(cfg.customer, page, "", "failed", f"missing source: {e}"))
+        with Silver(catalog.spark) as silver:
+            write = _tenant_writer(out, page, cfg, fmt, results, silver)
+            if page == "email_campaigns":
+                if cfg.email is not None:
+                    _email_reports(silver(em.email_base(scan_email(catalog, cfg), em.used_columns([cfg.email]))), cfg, write)
+            elif page in _GA4_PAGES and cfg.ga4 is None:
+                pass  # not configured: nothing to build, not an error
+            elif page in _DATA_PAGES:
+                _DATA_PAGES[page](Page(_tenant_source(catalog, cfg), write, silver, rules=cfg.traffic))
+            else:
+                results.append(BuildResult(cfg.customer, page, "", "skipped", "unknown page"))
+    except Exception as e:  # whatever it is, it concerns this page of this tenant
+        results.append(BuildResult(cfg.customer, page, "", "failed", _why(e)))
     return results
 
 
+def _slices(items: Iterable, n: int) -> Iterator[list]:
+    it = iter(items)
+    while some := list(islice(it, n)):
+        yield some
+
+
 def build_marts(
     registry: DataFrame,
     catalog: TableCatalog,
@@ -168,39 +226,34 @@ def build_marts(
 ) -> list[BuildResult]:
     """Build and write every entitled report; returns one status line per report.
 
-    ``fmt`` is ``parquet`` (partitioned by ``tenant``) or ``csv`` (one
-    directory per tenant, the application's CSV conventions).  With
-    ``parallelism`` > 1, that many (tenant, page) units submit their Spark jobs
-    concurrently from driver threads, so many small tenants keep a large
-    cluster busy; each unit writes only its own tenant partition.
+    ``fmt`` is ``parquet`` or ``csv`` (the application's CSV conventions), one
+    folder per tenant.  With ``parallelism`` > 1, that many (tenant, page) units
+    submit their Spark jobs concurrently from driver threads, so many small
+    tenants keep a large cluster busy; each unit writes only its own folders.
     """
     out = out_dir.rstrip("/")
-    units = [
-        (cfg, page)
-        for cfg in tenant_configs(registry)
-        if tenants is None or cfg.customer in tenants
-        for page in cfg.pages
-    ]
     results: list[BuildResult] = []
-    if fmt == "parquet":
-        # Email sources are often shared by several properties (each scoped by
-        # subject): one de-duplication and one scoping pass per source table.
-        email_cfgs = [cfg for cfg, page in units if page == "email_campaigns" and cfg.email is not None]
-        tables = {}
-        for cfg in email_cfgs:
-            name = cfg.email.table
-            if name not in tables:
-                try:
-                    tables[name] = scan_email(catalog, cfg)
-                except (UnknownTable, AnalysisException):
-                    pass
-        results += _shared_email(email_cfgs, tables, out, "tenant")
-        units = [(cfg, page) for cfg, page in units if page != "email_campaigns"]
-    if parallelism <= 1:
-        return results + [r for cfg, page in units for r in _build_page(catalog, cfg, page, out, fmt)]
-    with ThreadPoolExecutor(max_workers=parallelism) as pool:
-        done = pool.map(lambda u: _build_page(catalog, u[0], u[1], out, fmt), units)
-        return results + [r for rs in done for r in rs]
+    for configs in _slices((c for c in iter_tenant_configs(registry) if tenants is None or c.customer in tenants), SLICE):
+        units = [(cfg, page) for cfg in configs for page in cfg.pages]
+        if fmt == "parquet":
+            # Email sources are often shared by several properties (each scoped by
+            # subject): one de-duplication and one scoping pass per source table.
+            email_cfgs = [cfg for cfg, page in units if page == "email_campaigns" and cfg.email is not None]
+            tables: dict[str, DataFrame] = {}
+            for cfg in email_cfgs:
+                if cfg.email.table not in tables:
+                    try:
+                        tables[cfg.email.table] = scan_email(catalog, cfg)
+                    except Exception:  # reported for each of its tenants
+                        pass
+            results += _shared_email(email_cfgs, tables, out, "tenant")
+            units = [(cfg, page) for cfg, page in units if page != "email_campaigns"]
+        if parallelism <= 1:
+            results += [r for cfg, page in units for r in _build_page(catalog, cfg, page, out, fmt)]
+        else:
+            with ThreadPoolExecutor(max_workers=parallelism) as pool:
+                results += [r for rs in pool.map(lambda u: _build_page(catalog, u[0], u[1], out, fmt), units) for r in rs]
+    return results
 
 
 # ---------------------------------------------------------------- shared tables
@@ -208,6 +261,22 @@ SHARED_SOURCES = ("REPORT_ITEMS", "UVE_TRANSACTIONS_GROUPED", "GA4_DAILY", "GA4_
                   "GA4_DEVICE", "GA4_LOCATION")
 
 
+def _shared_writer(out: str, page: str, keys: Sequence[str], tenant_col: str, results: list[BuildResult], silver: Silver) -> Write:
+    def write(report: str, df: DataFrame, reuse: bool = False) -> DataFrame:
+        path = f"{out}/{page}/{report}"
+        df = silver(df.withColumn(tenant_col, F.col(tenant_col).cast("string")))
+        write_parquet(df, path, (tenant_col,), rebalance=True)
+        # Entitled tenants without rows: their earlier report is replaced by an empty one.
+        some = {r[0] for r in df.select(tenant_col).distinct().toLocalIterator()}
+        empty = df.drop(tenant_col).limit(0)
+        for k in keys:
+            if k not in some:
+                empty.write.mode("overwrite").parquet(f"{path}/{partition_folder(tenant_col, k)}")
+        results.extend(BuildResult(k, page, report, "ok") for k in keys)
+        return df
+    return write
+
+
 def build_shared_marts(
     registry: DataFrame,
     tables: dict[str, DataFrame],
@@ -221,59 +290,75 @@ def build_shared_marts(
     whose ``tenant_col`` holds the customer key.  Each report is one Spark
     job over the tenants entitled to its page (an IN filter on the tenant
     column, pushed into the scan or its partition pruning), grouped by tenant.
+    A tenant with malformed months fails its own product page only.
     ``email_tables`` maps an email table name to its frame: its keyed
     de-duplication runs once per table, then each tenant applies its own
     subject scope and buckets.
     """
-    configs = tenant_configs(registry)
     results: list[BuildResult] = []
     out = out_dir.rstrip("/")
-    by = [tenant_col]
-    for page in PAGE_TITLES:
-        entitled = [c for c in configs if page in c.pages and (page not in _GA4_PAGES or c.ga4 is not None)]
-        if not entitled:
-            continue
-        if page == "email_campaigns":
-            results += _shared_email(entitled, email_tables or {}, out, tenant_col)
-            continue
-        keys = [c.customer for c in entitled]
+    for configs in _slices(iter_tenant_configs(registry), SLICE):
+        for page in PAGE_TITLES:
+            entitled = [c for c in configs if page in c.pages and (page not in _GA4_PAGES or c.ga4 is not None)]
+            if not entitled:
+                continue
+            if page == "email_campaigns":
+                results += _shared_email(entitled, email_tables or {}, out, tenant_col)
+                continue
+            built: list[BuildResult] = []
+            keys = [c.customer for c in entitled]
+            try:
+                if page == "product_performance":
+                    items = tables["REPORT_ITEMS"].filter(F.col(tenant_col).isin(keys))
+                    for r in prod.bad_months(items, [tenant_col]).toLocalIterator():
+                        built.append(BuildResult(r[0], page, "", "failed", f"{r[1]} rows with malformed months"))
+                        keys.remove(r[0])
+                if keys:
+                    _shared_page(tables, page, keys, {c.customer: c.traffic for c in entitled}, out, tenant_col, built)
+            except Exception as e:
+                built += [BuildResult(k, page, "", "failed", _why(e)) for k in keys]
+            results += built
+    return results
 
-        def src(name: str, keys=keys) -> DataFrame:
-            return tables[name].filter(F.col(tenant_col).isin(keys))
 
-        def write(report: str, df: DataFrame, page=page, keys=keys) -> DataFrame:
-            path = f"{out}/{page}/{report}"
-            write_parquet(df, path, (tenant_col,), rebalance=True)
-            results.extend(BuildResult(k, page, report, "ok") for k in keys)
-            return df.sparkSession.read.parquet(path).filter(F.col(tenant_col).isin(keys))
+def _shared_page(tables, page: str, keys: list[str], rules: Mapping[str, TrafficRules], out: str, tenant_col: str, built: list[BuildResult]) -> None:
+    def src(name: str) -> DataFrame:
+        return tables[name].filter(F.col(tenant_col).isin(keys))
 
-        _DATA_PAGES[page](src, write, by)
-    return results
+    spark = next(iter(tables.values())).sparkSession
+    with Silver(spark) as silver:
+        write = _shared_writer(out, page, keys, tenant_col, built, silver)
+        _DATA_PAGES[page](Page(src, write, silver, [tenant_col], {k: rules[k] for k in keys}))
 
 
 def _shared_email(configs: Sequence[TenantConfig], email_tables: dict[str, DataFrame], out: str,
                   tenant_col: str) -> list[BuildResult]:
     """Email reports of every tenant: per source table one de-duplication, one
-    pass that scopes every message to the tenants whose subject it matches, and
+    pass that scopes the messages to the tenants whose subject they match, and
     one job per report for all of them."""
     results: list[BuildResult] = []
     readers: dict[str, dict[str, object]] = {}
+    page = "email_campaigns"
     for cfg in configs:
         if cfg.email is None:
             continue
         if cfg.email.table not in email_tables:
-            results.append(BuildResult(cfg.customer, "email_campaigns", "", "failed",
-                                       f"missing source: {cfg.email.table}"))
+            results.append(BuildResult(cfg.customer, page, "", "failed", f"missing source: {cfg.email.table}"))
             continue
         readers.setdefault(cfg.email.table, {})[cfg.customer] = cfg.email
     for name, cfgs in readers.items():
-        base = cut_lineage(em.email_base(email_tables[name], em.used_columns(list(cfgs.values()))))
-        scoped = cut_lineage(em.scope_tenants(base, cfgs, tenant_col))
-        by = [tenant_col]
-        for report, df in (("summary", em.email_summary_by_tenant(scoped, cfgs, tenant_col)),
-                           ("sections", em.email_sections_by_tenant(scoped, cfgs, tenant_col)),
-                           ("by_state", em.email_by_state(scoped, by)),
-                           ("open_frequency", em.email_open_frequency(scoped, by))):
-            write_parquet(df, f"{out}/email_campaigns/{report}", (tenant_col,), rebalance=True)
-            results.extend(BuildResult(t, "email_campaigns", report, "ok") for t in cfgs)
+        built: list[BuildResult] = []
+        try:
+            with Silver(email_tables[name].sparkSession) as silver:
+                base = silver(em.email_base(email_tables[name], em.used_columns(list(cfgs.values()))))
+                scoped = silver(em.scope_tenants(base, cfgs, tenant_col))
+                write = _shared_writer(out, page, list(cfgs), tenant_col, built, silver)
+                by = [tenant_col]
+                write("summary", em.email_summary_by_tenant(scoped, cfgs, tenant_col))
+                write("sections", em.email_sections_by_tenant(scoped, cfgs, tenant_col))
+                write("by_state", em.email_by_state(scoped, by))
+                write("open_frequency", em.email_open_frequency(scoped, by))
+        except Exception as e:
+            built += [BuildResult(t, page, "", "failed", _why(e)) for t in cfgs]
+        results += built
     return results

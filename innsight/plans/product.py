@@ -16,10 +16,10 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from innsight.config import UNKNOWN
-from innsight.functions.clean import fill_unknown, month_key, month_label, value_or
+from innsight.functions.clean import fill_unknown, month_key, month_label, nan_to_null, require_months, value_or
 from innsight.operators.dedup import distinct_rows
 from innsight.operators.filters import facet_filter, facet_options, facet_predicate
-from innsight.operators.measures import ratio, sum0, with_total_row
+from innsight.operators.measures import exact_sum0, ratio, sum0, with_total_row
 
 # Source column -> report column, and the report's column order.
 RENAME = {
@@ -38,10 +38,11 @@ FACETS = ("Booked Year Month", "Item Name", "Department")
 Picks = Mapping[str, Sequence[str]]
 
 
-def clean_report_items(raw: DataFrame, on_bad_month: str = "fail") -> DataFrame:
-    df = distinct_rows(raw)
+def clean_report_items(raw: DataFrame) -> DataFrame:
+    """Cleaned rows; a malformed month is NULL."""
+    df = nan_to_null(distinct_rows(raw))
     df = fill_unknown(df, ["ITEM_NAME", "PRODUCT_CATEGORY"])
-    df = df.withColumn("BOOKED_MONTH", month_key(F.col("BOOKED_MONTH"), raw.schema["BOOKED_MONTH"].dataType, on_bad_month))
+    df = df.withColumn("BOOKED_MONTH", month_key(F.col("BOOKED_MONTH"), raw.schema["BOOKED_MONTH"].dataType))
     df = df.withColumn("VALUE", value_or(F.col("VALUE"), F.col("VALUE_ADDED")))
     df = df.withColumnsRenamed(RENAME)
     return df.withColumn("Booked Year Month", month_label(F.col("Booked Year Month")))
@@ -64,10 +65,24 @@ def _push_picks(raw: DataFrame, picks: Picks) -> tuple[DataFrame, dict]:
     return raw, rest
 
 
+def checked_months(raw: DataFrame, on_bad_month: str = "fail") -> DataFrame:
+    """``"fail"``: any malformed or NULL month fails the report, whatever is
+    picked, as the application fails its whole page; ``"null"``: it has no month."""
+    if on_bad_month not in ("fail", "null"):
+        raise ValueError("on_bad_month must be 'fail' or 'null'")
+    return require_months(raw, "BOOKED_MONTH") if on_bad_month == "fail" else raw
+
+
+def bad_months(raw: DataFrame, by: Sequence[str]) -> DataFrame:
+    """Groups with malformed months, and how many rows they have."""
+    month = month_key(F.col("BOOKED_MONTH"), raw.schema["BOOKED_MONTH"].dataType)
+    return raw.filter(month.isNull()).groupBy(*by).agg(F.count(F.lit(1)).alias("bad_months"))
+
+
 def product_rows(raw: DataFrame, picks: Picks | None = None, on_bad_month: str = "fail") -> DataFrame:
     picks = {k: v for k, v in (picks or {}).items() if v}
-    raw, rest = _push_picks(raw, picks)
-    return facet_filter(clean_report_items(raw, on_bad_month), rest)
+    raw, rest = _push_picks(checked_months(raw, on_bad_month), picks)
+    return facet_filter(clean_report_items(raw), rest)
 
 
 def _order() -> list:
@@ -95,37 +110,42 @@ def product_total(raw: DataFrame, picks: Picks | None = None, on_bad_month: str
 
 def total_of(rows: DataFrame, by: Sequence[str] = ()) -> DataFrame:
     """:func:`product_total` of already-cleaned rows, e.g. a written detail table."""
+
+    def fractional(c: str) -> bool:
+        return isinstance(rows.schema[c].dataType, (T.FloatType, T.DoubleType, T.DecimalType))
+
     sums = rows.groupBy(*by).agg(
-        sum0("View").alias("View"),
-        sum0("`Gross Booked`").alias("Gross Booked"),
-        sum0("`Net Attendance`").alias("Net Attendance"),
-        sum0(F.col("`Net Value`").cast("double")).alias("Net Value"),
-        sum0("Cancelled").alias("Cancelled"),
-        sum0("`Gross Quantity`").alias("Gross Quantity"),
+        *[(exact_sum0 if fractional(c) else sum0)(f"`{c}`").alias(c)
+          for c in ("View", "Gross Booked", "Net Attendance", "Cancelled", "Gross Quantity")],
+        exact_sum0("`Net Value`").alias("Net Value"),
     )
+
+    def rounded(c: str):
+        return (F.bround(F.col(f"`{c}`"), 2) if fractional(c) else F.col(f"`{c}`")).alias(c)
+
     return sums.select(
         *by,
-        "View",
-        "Gross Booked",
+        rounded("View"),
+        rounded("Gross Booked"),
         F.bround(ratio(F.col("`Gross Booked`"), F.col("View")) * F.lit(100.0), 2).alias("Overall Conversion"),
-        "Net Attendance",
+        rounded("Net Attendance"),
         F.bround(F.col("`Net Value`"), 2).alias("Net Value"),
-        "Cancelled",
-        "Gross Quantity",
+        rounded("Cancelled"),
+        rounded("Gross Quantity"),
     )
 
 
 def product_options(raw: DataFrame, picks: Picks | None = None, on_bad_month: str = "fail",
                     by: Sequence[str] = ()) -> DataFrame:
     """Cascading option lists of month, item and department."""
-    return facet_options(clean_report_items(raw, on_bad_month), FACETS, picks, by)
+    return facet_options(clean_report_items(checked_months(raw, on_bad_month)), FACETS, picks, by)
 
 
 def product_export(raw: DataFrame, picks: Picks | None = None, on_bad_month: str = "fail",
                    by: Sequence[str] = ()) -> DataFrame:
     """The CSV download: detail rows, then the total row.
 
-    As in the application's file, the total's labels are blank, its ratio sits
+    ``is_total`` marks the total row.  As in the application's file, the total's labels are blank, its ratio sits
     in an extra last column ``Overall Conversion`` and its ``Conversion`` is
     blank.
     """

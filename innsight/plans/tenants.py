@@ -1,8 +1,7 @@
 """Who sees what: users resolved to tenants, and each user's entitled pages.
 
 The application resolves one signed-in email at a time through two
-dictionaries; here the same lookups are joins over every user at once.  The
-registry side is broadcast only after its row count is checked.
+dictionaries; here the same lookups are joins over every user at once.
 """
 
 from __future__ import annotations
@@ -14,16 +13,14 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from innsight.config import PAGE_TITLES
-from innsight.operators.joins import bounded_broadcast, lookup_join
+from innsight.operators.joins import lookup_join
 
-MAX_BROADCAST_TENANTS = 100_000
 
-
-def resolve_tenants(users: DataFrame, registry: DataFrame, max_broadcast_rows: int = MAX_BROADCAST_TENANTS) -> DataFrame:
+def resolve_tenants(users: DataFrame, registry: DataFrame) -> DataFrame:
     """Every user with their tenant; ``authorized`` is false when the customer is
     unknown, inactive or missing (the application's "access denied")."""
     reg = registry.select("customer", "label", "prefix", F.lit(True).alias("authorized"))
-    joined = lookup_join(users, reg, "customer", "left", max_broadcast_rows)
+    joined = lookup_join(users, reg, "customer", "left")
     return joined.select(
         "email", "name", "customer", "label", "prefix",
         F.coalesce(F.col("authorized"), F.lit(False)).alias("authorized"),
@@ -46,12 +43,11 @@ def entitled_pages(
     resolved: DataFrame,
     registry: DataFrame,
     titles: Mapping[str, str] = PAGE_TITLES,
-    max_broadcast_rows: int = MAX_BROADCAST_TENANTS,
 ) -> DataFrame:
     """Per authorized user: the pages they see; ``position`` is the tenant's
     configured order.  No global sort: the output has one row per user and
     page (millions of rows for many users), and the order travels in
     ``position`` for whoever renders it."""
-    pages = bounded_broadcast(tenant_pages(registry, titles), max_broadcast_rows)
+    pages = tenant_pages(registry, titles)
     users = resolved.filter(F.col("authorized")).select("email", "customer")
     return users.join(pages, "customer", "inner").select("email", "customer", "position", "page", "title")

@@ -36,21 +36,19 @@ def local_session(cores: int | str = "*", shuffle_partitions: int = 8, app: str
 
 
 # SQL settings for a large cluster (hundreds of executors, ~100 TB of input).
-# Scans: 256 MB splits keep a 100 TB read near 400k tasks.  Shuffles: most
-# reports shuffle little (map-side partial aggregation), but the keyed email
-# de-duplication and the full-row product de-duplication move whole tables;
-# a high initial partition count lets adaptive execution coalesce small
-# shuffles to ~256 MB partitions and split skewed ones, so no partition
-# outgrows executor memory and nothing spills for long.
+# Scans: 256 MB splits keep a 100 TB read near 400k tasks.  Shuffles: reports
+# shuffle little (map-side partial aggregation), so a moderate partition count
+# serves them, and adaptive execution coalesces it further.  The keyed email and
+# the full-row product de-duplication move whole tables: for a job over those,
+# pass a higher spark.sql.shuffle.partitions (about input / 256 MB) in overrides.
 SCALE_CONF: dict[str, str] = {
     "spark.sql.adaptive.enabled": "true",
     "spark.sql.adaptive.coalescePartitions.enabled": "true",
-    "spark.sql.adaptive.coalescePartitions.initialPartitionNum": "40000",
     "spark.sql.adaptive.advisoryPartitionSizeInBytes": "256m",
     "spark.sql.adaptive.skewJoin.enabled": "true",
     "spark.sql.adaptive.skewJoin.skewedPartitionFactor": "4",
     "spark.sql.adaptive.skewJoin.skewedPartitionThresholdInBytes": "512m",
-    "spark.sql.shuffle.partitions": "4000",
+    "spark.sql.shuffle.partitions": "2000",
     "spark.sql.files.maxPartitionBytes": "256m",
     "spark.sql.autoBroadcastJoinThreshold": "64m",
     "spark.sql.parquet.filterPushdown": "true",

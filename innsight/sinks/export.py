@@ -10,6 +10,7 @@ to text first (``innsight.functions.formats``) where the exact text matters.
 from __future__ import annotations
 
 from collections.abc import Sequence
+from urllib.parse import quote
 
 from pyspark.sql import DataFrame
 
@@ -27,9 +28,19 @@ def csv_writer(df: DataFrame, single_file: bool = False):
     )
 
 
+# Columns that hold a report's order; the application's files have the order but not the columns.
+ORDER_COLUMNS = ("is_total", "position", "Rank")
+
+
+def partition_folder(column: str, value: str) -> str:
+    """``column=value`` as a folder name."""
+    return f"{column}={quote(value, safe=' !$&()+,-.;<>@[]_~')}"
+
+
 def write_csv(df: DataFrame, path: str, mode: str = "overwrite", single_file: bool = False,
               partition_by: Sequence[str] = ()) -> None:
-    """Write ``df`` as CSV with the application's conventions."""
+    """Write ``df`` as CSV with the application's conventions, in its order and without :data:`ORDER_COLUMNS`."""
+    df = df.drop(*ORDER_COLUMNS)
     w = csv_writer(df, single_file).mode(mode)
     if partition_by:
         w = w.partitionBy(*partition_by)
@@ -45,9 +56,10 @@ def write_parquet(df: DataFrame, path: str, partition_by: Sequence[str] = ("tena
     hold many tenants) groups rows by the partition columns before writing,
     so each task writes few tenant directories; adaptive execution splits a
     tenant too large for one task, so a hot tenant does not become one huge
-    task either.
+    task either.  Within a file rows follow the report's order columns.
     """
     if rebalance and partition_by:
-        df = df.hint("rebalance", *partition_by)
+        order = [c for c in ORDER_COLUMNS if c in df.columns]
+        df = df.hint("rebalance", *partition_by).sortWithinPartitions(*partition_by, *order)
     (df.write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
        .partitionBy(*partition_by).parquet(path))

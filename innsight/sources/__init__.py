@@ -1 +1 @@
-"""Sources: tenant-scoped table scans, the control tables and test fixtures."""
+"""Sources: tenant-scoped table scans and the control tables."""

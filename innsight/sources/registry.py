@@ -10,7 +10,7 @@ for the batch job.
 from __future__ import annotations
 
 import json
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -53,6 +53,12 @@ USERS_SCHEMA = T.StructType([
     T.StructField("CREATED_AT", T.TimestampNTZType()),
 ])
 
+TRAFFIC_TYPE = T.StructType([
+    T.StructField("host_allow", T.StringType()),
+    T.StructField("source_exclude", T.ArrayType(T.StringType())),
+    T.StructField("excluded_city", T.StringType()),
+])
+
 REGISTRY_TYPE = T.StructType([
     T.StructField("customer", T.StringType()),
     T.StructField("label", T.StringType()),
@@ -60,6 +66,7 @@ REGISTRY_TYPE = T.StructType([
     T.StructField("pages", PAGES_TYPE),
     T.StructField("email", EMAIL_TYPE),
     T.StructField("ga4", GA4_TYPE),
+    T.StructField("traffic", TRAFFIC_TYPE),
 ])
 
 
@@ -82,10 +89,11 @@ def decode_json(df: DataFrame, column: str, dtype: T.DataType) -> "F.Column":
 
 
 def load_registry(customers: DataFrame, check_unique: bool = True) -> DataFrame:
-    """Active tenants, one row each: customer, label, prefix, pages, email, ga4.
+    """Active tenants, one row each: customer, label, prefix, pages, email, ga4, traffic.
 
     NULL ``ACTIVE`` counts as active; a missing ``GA4_CONFIG`` column (an older
-    table) gives NULL ``ga4``.  Keys are trimmed and case-folded; the label
+    table) gives NULL ``ga4``; an optional ``TRAFFIC_CONFIG`` column holds a
+    tenant's own traffic rules.  Keys are trimmed and case-folded; the label
     defaults to the key.  Duplicate keys raise :class:`DuplicateTenant`: the
     table has no column that would say which one wins.
     """
@@ -98,6 +106,7 @@ def load_registry(customers: DataFrame, check_unique: bool = True) -> DataFrame:
         F.coalesce(decode_json(df, "PAGES", PAGES_TYPE), F.array().cast(PAGES_TYPE)).alias("pages"),
         decode_json(df, "EMAIL_CONFIG", EMAIL_TYPE).alias("email"),
         decode_json(df, "GA4_CONFIG", GA4_TYPE).alias("ga4"),
+        decode_json(df, "TRAFFIC_CONFIG", TRAFFIC_TYPE).alias("traffic"),
     )
     if check_unique:
         dup = out.groupBy("customer").count().filter(F.col("count") > 1).limit(1).collect()
@@ -126,7 +135,8 @@ def registry_frame(spark: SparkSession, tenants: Sequence[TenantConfig]) -> Data
             e = t.email
             email = (e.table, e.tag_field, e.subject_field, e.subject_match, [list(b) for b in e.buckets])
         ga4 = (t.ga4.database, t.ga4.schema, t.ga4.report) if t.ga4 is not None else None
-        rows.append((t.customer, t.label, t.prefix, list(t.pages), email, ga4))
+        rules = (t.traffic.host_allow, list(t.traffic.source_exclude), t.traffic.excluded_city)
+        rows.append((t.customer, t.label, t.prefix, list(t.pages), email, ga4, rules))
     return spark.createDataFrame(rows, REGISTRY_TYPE)
 
 
@@ -149,26 +159,23 @@ def seed_customers(spark: SparkSession, tenants: Sequence[TenantConfig], active:
     return spark.createDataFrame(rows, CUSTOMERS_SCHEMA)
 
 
-def tenant_configs(registry: DataFrame, max_tenants: int = 100_000) -> list[TenantConfig]:
-    """Config objects of the registry rows (a bounded control table)."""
-    rows = registry.limit(max_tenants + 1).collect()
-    if len(rows) > max_tenants:
-        raise ValueError(f"more than {max_tenants} tenants; run the job per registry slice")
-    return [TenantConfig.from_row(r) for r in rows]
+def iter_tenant_configs(registry: DataFrame) -> Iterator[TenantConfig]:
+    """Config objects of the registry rows, one partition in memory at a time."""
+    return (TenantConfig.from_row(r) for r in registry.toLocalIterator())
+
+
+def tenant_configs(registry: DataFrame) -> list[TenantConfig]:
+    """All config objects of a registry: as much memory as its JSON."""
+    return list(iter_tenant_configs(registry))
 
 
-def load_users(users: DataFrame, order_col: str | None = None) -> DataFrame:
+def load_users(users: DataFrame, order_col: str = "CREATED_AT") -> DataFrame:
     """Active users, one row per normalised email: email, name, customer.
 
     A blank email is skipped; the name defaults to the email; the customer key
     is trimmed and lower-cased (blank -> NULL).  When an email appears more
-    than once the latest row by ``order_col`` wins (``CREATED_AT`` by default,
-    else ``CREATED_SEQ``).
+    than once the latest row by ``order_col`` wins.
     """
-    if order_col is None:
-        order_col = next((c for c in ("CREATED_AT", "CREATED_SEQ") if c in users.columns), None)
-        if order_col is None:
-            raise ValueError("users table needs CREATED_AT (or an explicit order_col) to pick the latest row")
     df = active_only(users)
     email = norm_key_lower(F.col("EMAIL"))
     df = df.withColumn("email", email).filter(non_blank("email"))

@@ -35,7 +35,7 @@ b AS (
          q - r AS ATTENDANCE,
          CASE WHEN n % 5 = 0 THEN NULL WHEN n % 4 = 0 THEN CAST(0 AS DOUBLE)
               ELSE CAST(cents AS DOUBLE) / 100 END AS VALUE,
-         CAST(n AS DOUBLE) * 10 AS VALUE_ADDED, r AS CANCELLED
+         CASE WHEN n % 5 = 0 AND q % 3 = 0 THEN CAST('NaN' AS DOUBLE) ELSE CAST(n AS DOUBLE) * 10 END AS VALUE_ADDED, r AS CANCELLED
   FROM g)
 SELECT * FROM b UNION ALL SELECT * FROM b WHERE VIEWED % 5 = 0
 """, ("lineitem", "part")),
@@ -139,7 +139,7 @@ SELECT CASE WHEN c_custkey % 2 = 0 THEN ' User' ELSE 'user' END
          || CAST(c_custkey - c_custkey % 2 * CASE WHEN c_custkey % 10 = 1 THEN 1 ELSE 0 END AS STRING) || '@Example.com ' AS EMAIL,
        c_name AS NAME, CASE c_nationkey % 4 WHEN 0 THEN 'Aurora ' WHEN 1 THEN 'borealis' WHEN 2 THEN 'ghost' ELSE 'AURORA' END AS CUSTOMER,
        CASE WHEN c_custkey % 7 = 0 THEN FALSE WHEN c_custkey % 7 = 1 THEN NULL ELSE TRUE END AS ACTIVE,
-       c_custkey AS CREATED_SEQ
+       c_custkey AS CREATED_AT
 FROM {customer}
 """, ("customer",)),
     # The registry is configuration (three properties), not derived data.
@@ -179,14 +179,53 @@ FROM b GROUP BY TENANT, DATE, SESSIONSOURCE, HOSTNAME
 """, ("ga4_base",))
 FIXTURES["ga4_events_by_tenant"] = ("""
 WITH b AS (SELECT *, """ + _TENANT_OF_USER + """ AS TENANT,
-                  CASE event_type WHEN 'signup' THEN 'guest_portal_loaded' WHEN 'view' THEN 'view_item'
-                  WHEN 'click' THEN CASE WHEN k < 30 THEN 'add_to_cart' ELSE 'select_item' END
-                  WHEN 'purchase' THEN 'purchase' ELSE NULL END AS EVENTNAME FROM {ga4_base})
+                  CASE WHEN user_id % 4 = 3 THEN 'scroll' WHEN event_type = 'signup' THEN 'guest_portal_loaded'
+                  WHEN event_type = 'view' THEN 'view_item' WHEN event_type = 'purchase' THEN 'purchase'
+                  WHEN event_type = 'click' THEN CASE WHEN k < 30 THEN 'add_to_cart' ELSE 'select_item' END ELSE NULL END AS EVENTNAME
+           FROM {ga4_base})
 SELECT TENANT, DATE, EVENTNAME, SESSIONSOURCE, HOSTNAME, count(DISTINCT user_id) AS SESSIONS,
        count(*) AS EVENTCOUNT, '0' AS KEYEVENTS
 FROM b GROUP BY TENANT, DATE, EVENTNAME, SESSIONSOURCE, HOSTNAME
 """, ("ga4_base",))
 
+FIXTURES["ga4_device_by_tenant"] = ("""
+WITH b AS (SELECT *, """ + _TENANT_OF_USER + """ AS TENANT,
+                  CASE user_id % 3 WHEN 0 THEN 'mobile' WHEN 1 THEN 'desktop' ELSE 'tablet' END AS DEVICECATEGORY FROM {ga4_base})
+SELECT TENANT, DATE, DEVICECATEGORY, HOSTNAME, count(*) AS SESSIONS FROM b GROUP BY TENANT, DATE, DEVICECATEGORY, HOSTNAME
+""", ("ga4_base",))
+FIXTURES["ga4_location_by_tenant"] = ("""
+WITH b AS (SELECT g.*, """ + _TENANT_OF_USER + """ AS TENANT, CASE WHEN user_id % 25 = 4 THEN 'Morelia' WHEN user_id % 25 = 9 THEN NULL
+                ELSE 'City ' || CAST(user_id % 50 AS STRING) END AS CITY, n_name AS COUNTRY
+           FROM {ga4_base} g JOIN {nation} ON n_nationkey = user_id % 25)
+SELECT TENANT, DATE, CITY, COUNTRY, SESSIONSOURCE, HOSTNAME, count(*) AS SESSIONS
+FROM b GROUP BY TENANT, DATE, CITY, COUNTRY, SESSIONSOURCE, HOSTNAME
+""", ("ga4_base", "nation"))
+# DAILY with a time of day in DATE, as a connector may deliver it.
+FIXTURES["ga4_daily_timed"] = (
+    FIXTURES["ga4_daily"][0].replace("SELECT DATE,", "SELECT HOUR AS DATE,").replace("GROUP BY DATE,", "GROUP BY HOUR,").replace("{ga4_base}", "{ga4_timed}"),
+    ("ga4_timed",),
+)
+FIXTURES["ga4_timed"] = (
+    FIXTURES["ga4_base"][0].replace("SELECT CAST(ts AS DATE) AS DATE,", "SELECT CAST(date_trunc('hour', ts) AS TIMESTAMP) AS HOUR,"),
+    ("events",),
+)
+# Transactions whose booking date is text, some of it unreadable.
+FIXTURES["transactions_text_dates"] = (
+    FIXTURES["transactions_grouped"][0].replace(
+        "o_orderdate AS T_TRANSDATE", "CASE WHEN l_linenumber = 4 THEN 'soon' ELSE substr(CAST(o_orderdate AS STRING), 1, 10) END AS T_TRANSDATE"),
+    FIXTURES["transactions_grouped"][1],
+)
+# A registry as large as the customer table, its configuration as JSON text.
+FIXTURES["many_customers"] = ("""
+SELECT ' Hotel' || CAST(c_custkey AS STRING) || ' ' AS CUSTOMER, CASE WHEN c_custkey % 3 = 0 THEN '' ELSE c_name END AS LABEL,
+       ' h' || CAST(c_custkey AS STRING) AS PREFIX,
+       CASE WHEN c_custkey % 5 = 0 THEN NULL ELSE '["book_date","audience"]' END AS PAGES,
+       CASE WHEN c_custkey % 4 = 0 THEN '{{broken' ELSE '{{"table":"mail","subject_match":"' || c_mktsegment || '","buckets":[["a","A"]]}}' END AS EMAIL_CONFIG,
+       CASE WHEN c_custkey % 7 = 0 THEN NULL ELSE '{{"database":"d","schema":"s","report":"R' || CAST(c_custkey AS STRING) || '"}}' END AS GA4_CONFIG,
+       CASE WHEN c_custkey % 11 = 0 THEN FALSE WHEN c_custkey % 11 = 1 THEN NULL ELSE TRUE END AS ACTIVE
+FROM {customer}
+""", ("customer",))
+
 
 def read_base(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """One of the driver's Parquet tables."""

@@ -79,7 +79,7 @@ def test_active_only(spark):
 
 def test_facet_options_are_values_of_the_data(spark, sf_dir):
     from innsight.plans import attendance as att
-    from innsight.sources.fixtures import fixture
+    from report_fixtures import fixture
 
     tx = fixture(spark, sf_dir, "transactions_grouped")
     opts = att.attendance_options(tx, att.BOOK_DATE, None, {"Source": ["1-URGENT"]}).collect()
@@ -89,17 +89,21 @@ def test_facet_options_are_values_of_the_data(spark, sf_dir):
         assert {o.value for o in opts if o.facet == facet} <= have
 
 
-def test_literal_fast_path_equals_regex(spark):
-    from pyspark.sql import functions as F
+def test_text_match_folds_unicode_case(spark):
+    """What a case-insensitive regular expression matches, plain patterns included."""
+    from innsight.operators.filters import matches_ci
 
-    from innsight.operators.filters import _ci, is_literal, matches_ci
+    for text, pattern in [("ΟΔΟΣ", "οδοσ"), ("ſtay", "stay"), ("ÉTÉ", "été"), ("HOTEL AURORA", "hotel aurora"), ("www.Booketing.COM", "booketing")]:
+        df = spark.createDataFrame([(text,)], "s string")
+        assert df.select(matches_ci("s", pattern)).first()[0], (text, pattern)
+    df = spark.createDataFrame([("xyz",), (None,)], "s string")
+    assert [r[0] for r in df.select(matches_ci("s", "a|b")).collect()] == [False, False]
 
-    texts = ["Hotel Aurora", "HOTEL AURORA - reminder", "hôtel aurora", "Séjour ABBÉ", "", None,
-             "www.Booketing.COM", "x-y z", "ÉTÉ", "straße"]
-    df = spark.createDataFrame([(t,) for t in texts], "s string")
-    for pat in ["hotel aurora", "booketing", "abbé", "été", "x-y", "STRASSE", "straße"]:
-        assert is_literal(pat)
-        fast = [r[0] for r in df.select(matches_ci("s", pat)).collect()]
-        slow = [r[0] for r in df.select(F.coalesce(F.col("s"), F.lit("")).rlike(_ci(pat))).collect()]
-        assert fast == slow, pat
-    assert not is_literal("a|b") and not is_literal("s.jour")
+
+def test_search_reads_maps_and_binary(spark):
+    from innsight.operators.filters import search_rows
+
+    df = spark.createDataFrame([(1, {"k": "Needle"}, bytearray(b"x"), None), (2, {}, bytearray(b"a NEEDLE"), None), (3, None, None, None)],
+                               "i int, m map<string,string>, b binary, s string")
+    assert sorted(r.i for r in search_rows(df, "needle").collect()) == [1, 2]
+    assert search_rows(df, ".*").count() == 3 and search_rows(df, "").count() == 3

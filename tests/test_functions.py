@@ -45,13 +45,46 @@ def test_month_key_and_label(spark):
     assert [r.l for r in got] == ["2024-01", "1999-12"]
 
 
-def test_month_key_bad_fails_or_nulls(spark):
-    df = spark.createDataFrame([(202413,), (None,)], "m int")
-    assert [r[0] for r in df.select(month_key(F.col("m"), T.IntegerType(), "null")).collect()] == [None, None]
-    with pytest.raises(Exception):
-        df.filter(F.col("m").isNull()).select(month_key(F.col("m"), T.IntegerType())).collect()
-    with pytest.raises(Exception):
-        df.filter(F.col("m").isNotNull()).select(month_key(F.col("m"), T.IntegerType())).collect()
+def test_bad_months_are_null_and_fail_where_required(spark):
+    from innsight.functions.clean import require_months
+
+    df = spark.createDataFrame([(202413, 1), (None, 2), (202401, 3)], "m int, v int")
+    assert [r[0] is None for r in df.select(month_key(F.col("m"), T.IntegerType())).collect()] == [True, True, False]
+    for some in (df.filter("v = 1"), df.filter("v = 2")):
+        with pytest.raises(Exception, match="bad month key"):
+            require_months(some, "m").collect()
+    with pytest.raises(Exception, match="bad month key"):
+        require_months(df, "m").filter("v = 3").select("v").collect()  # neither the pick nor the pruned column hides it
+    assert require_months(df.filter("v = 3"), "m").count() == 1
+
+
+def test_product_months_and_nan(spark):
+    from innsight.plans import product as prod
+
+    nan = float("nan")
+    cols = ("BOOKED_MONTH int, ITEM_NAME string, PRODUCT_CATEGORY string, VIEWED double, TRANSACTIONS int, ITEMSPURCHASED int, "
+            "CONVERSION double, ATTENDANCE int, VALUE double, VALUE_ADDED double, CANCELLED int")
+    rows = [(202401, "a", "d", 4.0, 1, 1, 25.0, 2, None, nan, 0), (202401, "b", "d", nan, 1, 1, nan, 2, 1.5, 9.0, 0),
+            (202402, "c", "d", 2.0, 1, 1, 50.0, 2, 0.0, 7.25, 0)]
+    df = spark.createDataFrame(rows, cols)
+    total = prod.product_total(df).first()
+    assert (total["Net Value"], total.View) == (8.75, 6.0)
+    assert [r["Item Name"] for r in prod.product_performance(df).collect()] == ["a", "c", "b"]  # no views: last
+    bad = df.unionByName(spark.createDataFrame([(209913, "z", "d", 1.0, 1, 1, 1.0, 1, 1.0, 1.0, 0)], cols))
+    for report in (prod.product_total(bad), prod.product_total(bad, {"Item Name": ["a"]}), prod.product_performance(bad, {"Booked Year Month": ["2024-01"]})):
+        with pytest.raises(Exception, match="bad month key"):
+            report.collect()
+    assert prod.product_total(bad, on_bad_month="null").first().View == 7.0
+    assert [tuple(r) for r in prod.bad_months(bad.withColumn("t", F.lit("x")), ["t"]).collect()] == [("x", 1)]
+
+
+def test_exact_sums_do_not_depend_on_order(spark):
+    from innsight.operators.measures import exact_sum0
+
+    vals = [0.1] * 10 + [1e17, 49.125, None]
+    for order in (vals, vals[::-1]):
+        df = spark.createDataFrame([(v,) for v in order], "v double").repartition(3)
+        assert df.select(exact_sum0("v")).first()[0] == 1e17 + 50.125
 
 
 def test_lenient_timestamp_formats(spark):

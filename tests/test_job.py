@@ -5,7 +5,7 @@ from pyspark.sql import functions as F
 import __spark_entry__ as entry
 from innsight.plans.attendance import clean_transactions
 from innsight.plans.job import build_marts
-from innsight.sources.fixtures import fixture
+from report_fixtures import fixture
 from innsight.sinks.export import write_csv
 
 
@@ -104,3 +104,94 @@ def test_command_line_builds_marts(spark, sf_dir, scratch):
     assert code == 1  # aurora's other sources are not in this warehouse: reported as failed
     summary = spark.read.parquet(f"{out}/book_date/summary")
     assert summary.filter("tenant = 'aurora'").count() > 0
+
+
+# ---------------------------------------------------------------- failures, emptied sources, keys
+def _world(spark, sf_dir, keys):
+    """A registry of ``keys`` and a source table each, by key."""
+    from innsight.config import Ga4Config, TenantConfig, TrafficRules
+    from innsight.sources.registry import registry_frame
+    from innsight.sources.tables import TableCatalog
+
+    cfgs = [TenantConfig(k, k, f"T{k}", ("product_performance", "book_date", "guest_portal"), ga4=Ga4Config("", "", f"G{k}"),
+                         traffic=TrafficRules(host_allow="other") if k == "odd" else TrafficRules()) for k in keys]
+    tables = {}
+    for k in keys:
+        tables[f"T{k}_REPORT_ITEMS"] = fixture(spark, sf_dir, "report_items").limit(50)
+        tables[f"T{k}_UVE_TRANSACTIONS_GROUPED"] = fixture(spark, sf_dir, "transactions_grouped").limit(50)
+        for g in ("DAILY", "EVENTS", "ITEMS"):
+            tables[f"G{k}_GA4_{g}"] = fixture(spark, sf_dir, f"ga4_{g.lower()}")
+    return registry_frame(spark, cfgs), TableCatalog(spark, tables)
+
+
+def _states(results):
+    return {(r.tenant, r.page, r.report): r.status for r in results}
+
+
+def test_one_bad_tenant_does_not_stop_the_others(spark, sf_dir, scratch):
+    reg, cat = _world(spark, sf_dir, ["bad", "good"])
+    cat.register("Tbad_REPORT_ITEMS", cat.table("Tbad_REPORT_ITEMS").withColumn("BOOKED_MONTH", F.lit(209913)))
+    cat.register("Gbad_GA4_EVENTS", cat.table("Gbad_GA4_EVENTS").drop("EVENTCOUNT"))
+    got = _states(build_marts(reg, cat, f"{scratch}/one"))
+    assert got[("bad", "product_performance", "")] == "failed" and got[("bad", "guest_portal", "")] == "failed"
+    assert got[("bad", "book_date", "summary")] == "ok"
+    assert got[("good", "product_performance", "export")] == "ok" and got[("good", "guest_portal", "most_visited")] == "ok"
+
+
+def test_shared_layout_isolates_bad_months_and_replaces_emptied_reports(spark, sf_dir, scratch):
+    from innsight.plans.job import SHARED_SOURCES, build_shared_marts
+
+    reg, cat = _world(spark, sf_dir, ["bad", "007"])
+
+    def shared(name, k):
+        return cat.table(f"T{k}_{name}" if not name.startswith("GA4") else f"G{k}_{name}").withColumn("tenant", F.lit(k))
+
+    tables = {n: shared(n, "bad").unionByName(shared(n, "007")) for n in SHARED_SOURCES if n not in ("GA4_DEVICE", "GA4_LOCATION")}
+    tables["REPORT_ITEMS"] = tables["REPORT_ITEMS"].withColumn("BOOKED_MONTH", F.when(F.col("tenant") == "bad", 209913).otherwise(F.col("BOOKED_MONTH")))
+    out = f"{scratch}/shared"
+    got = _states(build_shared_marts(reg, tables, None, out))
+    assert got[("bad", "product_performance", "")] == "failed" and got[("007", "product_performance", "export")] == "ok"
+    assert got[("bad", "guest_portal", "funnel")] == "ok" and "failed" not in {v for (t, _, _), v in got.items() if t == "007"}
+    read = spark.read.schema("position int, Step string, Events bigint, tenant string")
+    funnel = read.parquet(f"{out}/guest_portal/funnel").filter("tenant = '007'")
+    assert [r.position for r in funnel.collect()] == list(range(6))  # order travels with the rows and within the file
+    totals = spark.read.option("basePath", f"{out}/product_performance/total").parquet(f"{out}/product_performance/total/tenant=007")
+    assert totals.count() == 1  # the key keeps its zeros
+    # one tenant's source is emptied: its reports are replaced by empty ones, the other's stay
+    tables = {n: t.filter("tenant <> '007'") if n == "UVE_TRANSACTIONS_GROUPED" else t for n, t in tables.items()}
+    build_shared_marts(reg, tables, None, out)
+    assert spark.read.parquet(f"{out}/book_date/summary/tenant=007").count() == 0
+    assert spark.read.parquet(f"{out}/book_date/summary/tenant=bad").count() > 0
+
+
+def test_emptied_source_and_first_empty_write(spark, sf_dir, scratch):
+    reg, cat = _world(spark, sf_dir, ["007"])
+    out = f"{scratch}/marts"
+    full = build_marts(reg, cat, out)
+    assert "failed" not in {r.status for r in full}
+    cat.register("T007_REPORT_ITEMS", cat.table("T007_REPORT_ITEMS").limit(0))
+    for where in (out, f"{scratch}/fresh"):
+        assert "failed" not in {r.status for r in build_marts(reg, cat, where)}
+        assert spark.read.parquet(f"{where}/product_performance/detail/tenant=007").count() == 0
+        assert spark.read.parquet(f"{where}/product_performance/total/tenant=007").first().View == 0
+
+
+def test_tenant_rules_reach_the_job(spark, sf_dir, scratch):
+    reg, cat = _world(spark, sf_dir, ["odd", "plain"])
+    build_marts(reg, cat, f"{scratch}/rules")
+    kpis = {k: spark.read.parquet(f"{scratch}/rules/guest_portal/kpis/tenant={k}").first().Sessions for k in ("odd", "plain")}
+    assert kpis["odd"] == 0 < kpis["plain"]
+
+
+def test_csv_files_have_the_application_columns_in_order(spark, sf_dir, scratch):
+    reg, cat = _world(spark, sf_dir, ["c"])
+    out = f"{scratch}/csv_job"
+    assert "failed" not in {r.status for r in build_marts(reg, cat, out, fmt="csv")}
+    folder = f"{out}/guest_portal/funnel/tenant=c"
+    parts = [f for f in os.listdir(folder) if f.endswith(".csv")]
+    lines = open(f"{folder}/{parts[0]}", encoding="utf-8").read().splitlines()
+    assert len(parts) == 1 and lines[0] == "Step,Events" and lines[1].startswith("Guest Portal Loaded,") and len(lines) == 7
+    folder = f"{out}/book_date/export/tenant=c"
+    parts = [f for f in os.listdir(folder) if f.endswith(".csv")]
+    lines = open(f"{folder}/{parts[0]}", encoding="utf-8").read().splitlines()
+    assert lines[0] == "Item,Department,Net Attendance,Net Value" and lines[-1].startswith(",,")  # the total comes last

@@ -23,13 +23,13 @@ def test_grand_total_equals_sum_of_detail(spark):
     total = grand_total(df, ["v"]).first()
     assert total.v == round(1.005 + 2.0, 2)
     both = with_total_row(df, grand_total(df, ["v"]), [F.col("k")]).collect()
-    assert len(both) == 4 and both[-1].k is None
+    assert len(both) == 4 and both[-1].k is None and [r.is_total for r in both] == [False] * 3 + [True]
 
 
 def test_top_k_tie_break(spark):
     df = spark.createDataFrame([("b", 5), ("a", 5), ("c", 9), ("d", 1)], "k string, v int")
     got = top_k(df, [F.desc("v"), F.asc("k")], 3).collect()
-    assert [r.k for r in got] == ["c", "a", "b"]
+    assert [(r.k, r.Rank) for r in got] == [("c", 1), ("a", 2), ("b", 3)]
 
 
 def test_top_k_per_group_isolated(spark):
@@ -94,6 +94,7 @@ def test_funnel_has_every_step_in_order(spark):
                                "EVENTNAME string, EVENTCOUNT bigint")
     got = ga4.funnel(df).collect()
     assert [r.Step for r in got] == [lbl for _, lbl in FUNNEL_STEPS]
+    assert [r.position for r in got] == list(range(6))
     assert dict((r.Step, r.Events) for r in got)["Viewed Item"] == 5
     assert dict((r.Step, r.Events) for r in got)["Checkout"] == 0
 

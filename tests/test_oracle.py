@@ -8,7 +8,7 @@ import duckdb
 import pytest
 
 import __spark_entry__ as entry
-from innsight.sources.fixtures import BASE_TABLES
+from report_fixtures import BASE_TABLES
 
 
 def _norm(v):

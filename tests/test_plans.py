@@ -7,7 +7,7 @@ from innsight.plans import attendance as att
 from innsight.plans import email as em
 from innsight.plans import ga4
 from innsight.plans.tenants import resolve_tenants
-from innsight.sources.fixtures import fixture
+from report_fixtures import fixture
 from innsight.sources.registry import load_registry, load_users
 
 from conftest import plan_text
@@ -40,7 +40,7 @@ def test_keyed_dedup_limits_before_shuffle(spark, sf_dir, scratch):
 
 
 def test_per_tenant_top_k_is_partial(spark, sf_dir):
-    df = ga4.top_items_by_tenant(fixture(spark, sf_dir, "ga4_items_by_tenant"))
+    df = ga4.top_items(fixture(spark, sf_dir, "ga4_items_by_tenant"), by=["TENANT"])
     plan = plan_text(df)
     assert plan.count("WindowGroupLimit") >= 2 and "Partial" in plan
 
@@ -68,7 +68,32 @@ def test_long_view_prunes_branches(spark, sf_dir, scratch):
 def test_tenant_resolution_broadcasts_small_registry(spark, sf_dir):
     users = load_users(fixture(spark, sf_dir, "dashboard_users"))
     reg = load_registry(fixture(spark, sf_dir, "dashboard_customers"))
-    assert "BroadcastHashJoin" in plan_text(resolve_tenants(users, reg))
+    df = resolve_tenants(users, reg)
+    df.collect()
+    assert "BroadcastHashJoin" in plan_text(df)  # chosen by size, without a hint
+
+
+def test_daily_is_cleaned_and_pruned_before_it_is_kept(spark, sf_dir, scratch):
+    daily = _landed(spark, sf_dir, scratch, "ga4_daily").withColumn("BODY", F.lit("x"))
+    kept = []
+    ga4.page_frames(daily, keep=lambda df: kept.append(df) or df)
+    assert len(kept) == 1 and not {"BODY", "HOSTNAME"} & set(kept[0].columns)
+    assert "rlike" in plan_text(kept[0]).lower()  # traffic filters come before
+
+
+def test_many_tenants_scope_messages_by_distinct_subjects(spark, sf_dir, scratch):
+    mail = _landed(spark, sf_dir, scratch, "mail_notifications")
+    cfgs = {f"t{i}": EmailConfig("m", subject_match=f"hotel {i}x", buckets=(("days:15", "15"),)) for i in range(1998)}
+    cfgs |= {"aurora": EmailConfig("m", subject_match="hotel aurora", buckets=(("days:15", "15"),)),
+             "borealis": EmailConfig("m", subject_match="Hotel (Borealis|None)", buckets=(("days:30", "30"),))}
+    base = em.email_base(mail, em.used_columns(list(cfgs.values())))
+    scoped = em.scope_tenants(base, cfgs)
+    assert len(plan_text(scoped)) < 100_000
+    summary = em.email_summary_by_tenant(scoped, cfgs).cache()
+    assert {r.tenant for r in summary.collect()} == {"aurora", "borealis"}
+    for t in ("aurora", "borealis"):
+        alone = em.email_summary(em.email_in_scope(base, cfgs[t]), cfgs[t]).collect()
+        assert summary.filter(F.col("tenant") == t).drop("tenant").orderBy("position").collect() == alone
 
 
 def test_detail_and_total_one_scan(spark, sf_dir, scratch):

@@ -59,7 +59,7 @@ def _users(spark):
         ("carl@x.com", "Carl", "aurora", False, 4),  # inactive
         ("  ", "Blank", "aurora", True, 5),  # blank email skipped
     ]
-    return spark.createDataFrame(rows, "EMAIL string, NAME string, CUSTOMER string, ACTIVE boolean, CREATED_SEQ bigint")
+    return spark.createDataFrame(rows, "EMAIL string, NAME string, CUSTOMER string, ACTIVE boolean, CREATED_AT bigint")
 
 
 def test_users_and_resolution(spark):

@@ -8,7 +8,7 @@ from innsight.plans import attendance as att
 from innsight.plans import ga4
 from innsight.plans import product as prod
 from innsight.plans.job import build_shared_marts
-from innsight.sources.fixtures import fixture
+from report_fixtures import fixture
 
 
 def _rows(df):
@@ -47,9 +47,12 @@ def test_ga4_by_tenant_uses_each_tenants_range(spark, sf_dir):
     assert _rows(got.filter("tenant = 'aurora'").drop("tenant")) == _rows(ga4.top_items(single["ITEMS"]))
     other = ga4.page_frames(daily.filter("DATE < DATE'2024-01-05'"), {"ITEMS": items})
     assert _rows(got.filter("tenant = 'borealis'").drop("tenant")) == _rows(ga4.top_items(other["ITEMS"]))
-    fun = ga4.funnel(f["DAILY"].limit(0).select("DATE").withColumn("EVENTNAME", F.lit("x"))
-                     .withColumn("EVENTCOUNT", F.lit(1)).withColumn("tenant", F.lit("t")), by=["tenant"])
-    assert fun.count() == 0  # no events, no tenant rows
+    none = f["DAILY"].limit(0).select("DATE", "tenant").withColumn("EVENTNAME", F.lit("x")).withColumn("EVENTCOUNT", F.lit(1))
+    fun = ga4.funnel(none, by=["tenant"], groups=f[ga4.GROUPS]).collect()
+    assert [(r.tenant, r.position, r.Events) for r in fun] == [(t, i, 0) for t in ("aurora", "borealis") for i in range(6)]
+    far = ga4.page_frames(d_shared, date_range=("1999-01-01", "1999-01-02"), by=["tenant"])
+    kpis = ga4.guest_kpis(far["DAILY"], ["tenant"], far[ga4.GROUPS]).collect()
+    assert sorted((r.tenant, r.Sessions, r["Conversion Rate"]) for r in kpis) == [("aurora", 0, 0.0), ("borealis", 0, 0.0)]
     k = ga4.guest_kpis(f["DAILY"], by=["tenant"]).filter("tenant = 'aurora'").drop("tenant")
     assert _rows(k) == _rows(ga4.guest_kpis(single["DAILY"]))
 
@@ -67,6 +70,7 @@ def test_build_shared_marts(spark, sf_dir, scratch):
     ok = {(r.tenant, r.page, r.report) for r in res if r.status == "ok"}
     assert ("aurora", "guest_portal", "funnel") in ok and ("borealis", "book_date", "summary") in ok
     assert ("borealis", "guest_portal", "funnel") not in ok  # not entitled
+    assert not [r for r in res if r.status == "failed"], res
     funnel = spark.read.parquet(f"{out}/guest_portal/funnel")
     assert funnel.select("tenant").distinct().collect()[0].tenant == "aurora" and funnel.count() == 6
     summ = spark.read.parquet(f"{out}/email_campaigns/summary")
@@ -95,3 +99,22 @@ def test_email_all_tenants_in_one_pass(spark, sf_dir):
         assert summary.filter(F.col("tenant") == t).drop("tenant").collect() == em.email_summary(alone, cfgs[t]).collect()
         assert sections.filter(F.col("tenant") == t).drop("tenant").collect() == em.email_sections(alone, cfgs[t]).collect()
         assert _rows(states.filter(F.col("tenant") == t).drop("tenant")) == _rows(em.email_by_state(alone))
+
+
+def test_default_range_ends_at_midnight_of_the_last_day(spark):
+    rows = [("2024-01-01 00:00:00", 1), ("2024-01-02 15:00:00", 2), ("2024-01-03 00:00:00", 4), ("2024-01-03 09:30:00", 8)]
+    daily = spark.createDataFrame(rows, "d string, SESSIONS bigint").select(F.col("d").cast("timestamp_ntz").alias("DATE"), "SESSIONS")
+    items = daily.select("DATE", F.lit("i").alias("ITEMNAME"), F.col("SESSIONS").alias("ITEMSVIEWED"), F.lit(0).alias("ITEMSPURCHASED"))
+    one = ga4.page_frames(daily, {"ITEMS": items})
+    shared = ga4.page_frames(daily.withColumn("tenant", F.lit("t")), {"ITEMS": items.withColumn("tenant", F.lit("t"))}, by=["tenant"])
+    assert one["DAILY"].agg(F.sum("SESSIONS")).first()[0] == 7 == shared["DAILY"].agg(F.sum("SESSIONS")).first()[0]
+    assert ga4.top_items(one["ITEMS"]).first().Viewed == 7 == ga4.top_items(shared["ITEMS"], by=["tenant"]).first().Viewed
+
+
+def test_tenants_with_their_own_traffic_rules(spark):
+    from innsight.config import TrafficRules
+
+    df = spark.createDataFrame([("a", "x.booketing.com", "g"), ("a", "x.other.com", "g"), ("b", "x.booketing.com", "g"), ("b", "x.other.com", "uat")],
+                               "tenant string, HOSTNAME string, SESSIONSOURCE string")
+    clean = ga4.tenant_rules({"a": TrafficRules(), "b": TrafficRules(host_allow="other", source_exclude=())}, "tenant")
+    assert sorted((r.tenant, r.HOSTNAME) for r in clean(df).collect()) == [("a", "x.booketing.com"), ("b", "x.other.com")]
