@@ -5,8 +5,9 @@ Documents become sets of hashed five-word shingles; equal sets are one class
 or more are linked, and linked documents share a component.
 
 1. *Blocks.*  Under one global order of shingles, two linked sets share a
-   shingle among the first ``n - ceil(0.8 n) + 1`` of each.  Those shingles are
-   the block keys of a class, so no link is lost.  The order puts frequent
+   shingle among the first ``n - ceil(0.8 n) + 1`` of each, and of the smaller
+   set among the first ``n - ceil(8 n / 9) + 1`` (it is *early* there).  Those
+   shingles are the block keys of a class, so no link is lost.  The order puts frequent
    shingles last (by the logarithm of a partial count over all documents, then
    by hash): a passage that a third of all documents share hardly ever makes a
    block.  The counts only steer the order.
@@ -17,7 +18,9 @@ or more are linked, and linked documents share a component.
    A group of thousands of near copies is connected by a link a copy, never by
    all of its pairs.
 3. *Signature trees.*  Blocks that still hold several components (any two of
-   which may hold a link yet) are searched completely.  The classes of a block,
+   which may hold a link yet) are searched completely.  One of at most ``LEAF``
+   classes is a leaf by itself: its pairs that fit in size and cross components
+   are compared by bitmap, once however many blocks they share.  The classes of a larger block,
    ordered by size, become the leaves of a tree whose nodes hold the OR of their
    token bitmaps and their range of sizes.  A dual traversal descends into a
    pair of nodes only if the largest overlap that bitmaps and sizes allow
@@ -96,13 +99,14 @@ def _postings(ranges: int, order):
                 at = np.minimum(np.searchsorted(frequent, shingle), len(frequent) - 1)
                 late = np.where(frequent[at] == shingle, level[at], 0)
                 shingle = shingle[np.lexsort((shingle, late, row))]
-            keep = size - -(-size * 4 // 5) + 1
-            inside = np.arange(len(shingle)) - first[row] < keep[row]
+            place = np.arange(len(shingle)) - first[row]
+            inside = place < (size - -(-size * 4 // 5) + 1)[row]
+            early = (place < (size - -(-size * 8 // 9) + 1)[row])[inside]
             row, shingle = row[inside], shingle[inside]
             key, cls = shingle.view(np.int64), name[row]
             part = (shingle % np.uint64(ranges)).astype(np.int64)
             by = np.lexsort((cls, key, part))
-            key, cls, part, n = key[by], cls[by], part[by], size[row][by]
+            key, cls, part, n = key[by], cls[by], part[by], np.where(early, size[row], -size[row])[by]
             new = np.ones(len(key), bool)
             new[1:] = (key[1:] != key[:-1]) | (cls[1:] != cls[:-1])
             key, cls, part, n = key[new], cls[new], part[new], n[new]
@@ -114,7 +118,12 @@ def _postings(ranges: int, order):
 
 
 def _blocks(batches: Iterator) -> Iterator:
-    """Keys that several classes share: one row per block."""
+    """Keys that several classes share: one row per block.
+
+    A negative size marks a class whose key is not early.  It only concerns
+    early ones that are no larger and within 80 % of its size; without any it
+    leaves the block.
+    """
     import pyarrow as pa
 
     keys, classes, sizes = [], [], []
@@ -132,6 +141,14 @@ def _blocks(batches: Iterator) -> Iterator:
     key, cls, n = key[new], cls[new], n[new]
     start = np.concatenate([[0], np.flatnonzero(np.diff(key)) + 1])
     length = np.diff(np.append(start, len(key)))
+    least = np.repeat(np.minimum.reduceat(np.where(n > 0, n, 1 << 30), start), length)
+    most = np.repeat(np.maximum.reduceat(n, start), length)
+    stays = (n > 0) | (-n >= least) & (-n.astype(np.int64) * 4 <= 5 * most.astype(np.int64))
+    key, cls, n = key[stays], cls[stays], n[stays]
+    if not len(key):
+        return
+    start = np.concatenate([[0], np.flatnonzero(np.diff(key)) + 1])
+    length = np.diff(np.append(start, len(key)))
     shared = np.repeat(length > 1, length)
     start, length = start[length > 1], length[length > 1]
     key, cls, n = key[shared], cls[shared], n[shared]
@@ -156,8 +173,8 @@ def _centres(key: np.ndarray, cls: np.ndarray, at: np.ndarray) -> np.ndarray:
 
 
 def _width(n: int) -> int:
-    """Bits of the bitmap of a set of ``n`` shingles: a power of two of 2n or more, 64 at least."""
-    return max(64, 1 << int(2 * n - 1).bit_length())
+    """Bits of the bitmap of a set of ``n`` shingles: a power of two of n or more, 64 at least."""
+    return max(64, 1 << int(n - 1).bit_length())
 
 
 def _bitmap(shingle: np.ndarray) -> bytes:
@@ -350,7 +367,7 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     one = written(one.join(shared, "class").select("class", F.col("_one.i").alias("_one")), "shared")
 
     star = blocks.select("centre", "centre_size", F.explode(F.arrays_zip("classes", "sizes")).alias("o")).where("centre <> o.classes")
-    star = star.where((F.col("centre_size") * 5 >= F.col("o.sizes") * 4) & (F.col("o.sizes") * 5 >= F.col("centre_size") * 4))
+    star = star.where(_sizes_fit(F.col("centre_size"), F.col("o.sizes")) | _sizes_fit(F.col("o.sizes"), F.col("centre_size")))
     star = written(star.select(F.col("o.classes").alias("a"), F.col("centre").alias("b")).distinct(), "stars")
     star = written(_verified(source, one, star, bitmaps=True), "possible")
     first = star.groupBy("a").agg(F.min_by("b", F.xxhash64("a", "b")).alias("b"))
@@ -427,17 +444,33 @@ def _apart(pairs: DataFrame, roots: DataFrame) -> DataFrame:
     return pairs.where(F.coalesce("_a", "a") != F.coalesce("_b", "b")).select("a", "b")
 
 
+def _sizes_fit(small, large):
+    """Whether a class of (signed) size ``small`` is early, no larger than the other and within 80 % of its size."""
+    return (small > 0) & (small <= F.abs(large)) & (small * 5 >= F.abs(large) * 4)
+
+
 def _tree_pairs(source: DataFrame, one: DataFrame, blocks: DataFrame, roots: DataFrame) -> DataFrame:
     """Pairs of classes in a block, of different components, that may link."""
-    members = blocks.where(F.size("classes") > 2).select("key", F.explode("classes").alias("class"))  # a pair is its star
-    members = members.join(roots, F.col("class") == F.col("node"), "left").select("key", "class", F.coalesce("root", "class").alias("root"))
+    members = blocks.where(F.size("classes") > 2).select("key", F.explode(F.arrays_zip("classes", "sizes")).alias("m"))  # a pair is its star
+    members = members.select("key", F.col("m.classes").alias("class"), F.col("m.sizes").alias("size"))
+    members = members.join(roots, F.col("class") == F.col("node"), "left").select("key", "class", "size", F.coalesce("root", "class").alias("root"))
     open_keys = members.groupBy("key").agg(F.min("root").alias("lo"), F.max("root").alias("hi"), F.count(F.lit(1)).alias("n")).where("lo <> hi").select("key", "n")
-    members = members.join(open_keys, "key").withColumn("chunk", F.pmod(F.xxhash64("class"), F.ceil(F.col("n") / CHUNK)))
-    needed = members.groupBy("class").agg(F.collect_list(F.struct("key", "chunk", "root")).alias("at"))
-    members = _fetched(source, one, needed, bitmaps=True).select("class", "size", F.col("content").alias("bitmap"), F.explode("at").alias("at"))
-    members = members.select("at.key", "at.chunk", "class", "size", "at.root", "bitmap")
-    chunks = written(members.groupBy("key", "chunk").agg(F.collect_list(F.struct("class", "size", "root", "bitmap")).alias("rows")), "chunks")
-    alone = chunks.select("rows", F.lit(None).cast(chunks.schema["rows"].dataType).alias("other"))
-    left, right = chunks.select("key", "chunk", "rows"), chunks.select(F.col("key").alias("k"), F.col("chunk").alias("c"), F.col("rows").alias("other"))
+    members = written(members.join(open_keys, "key"), "open")
+
+    leaves = members.where(F.col("n") <= LEAF).groupBy("key").agg(F.collect_list(F.struct("class", "size", "root")).alias("rows"))
+    leaves = leaves.select("rows", F.explode("rows").alias("x")).select("x", F.explode(F.filter("rows", lambda y: (
+        y["root"] != F.col("x.root")) & (y["class"] != F.col("x.class")) & _sizes_fit(F.col("x.size"), y["size"]))).alias("y"))
+    leaves = leaves.select(F.least("x.class", "y.class").alias("a"), F.greatest("x.class", "y.class").alias("b")).distinct()
+    pairs = _verified(source, one, written(leaves, "leaves"), bitmaps=True)
+
+    large = members.where(F.col("n") > LEAF).withColumn("chunk", F.pmod(F.xxhash64("class"), F.ceil(F.col("n") / CHUNK)))
+    needed = large.groupBy("class").agg(F.collect_list(F.struct("key", "chunk", "root", "n")).alias("at"))
+    found = _fetched(source, one, needed, bitmaps=True).select("class", "size", F.col("content").alias("bitmap"), F.explode("at").alias("at"))
+    found = found.groupBy("at.key", "at.chunk", "at.n").agg(F.collect_list(F.struct("class", "size", "at.root", "bitmap")).alias("rows"))
+    alone = found.select("rows", F.lit(None).cast(found.schema["rows"].dataType).alias("other"))
+    several = found.where(F.col("n") > CHUNK)
+    left, right = several.select("key", "chunk", "rows"), several.select(F.col("key").alias("k"), F.col("chunk").alias("c"), F.col("rows").alias("other"))
     across = left.join(right, (F.col("key") == F.col("k")) & (F.col("chunk") < F.col("c"))).select("rows", "other")
-    return alone.unionAll(across).mapInArrow(_search, "a long, b long").distinct()
+    for some in (alone, across):
+        pairs = pairs.unionAll(some.mapInArrow(_search, "a long, b long"))
+    return pairs.distinct()
