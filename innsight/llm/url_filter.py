@@ -4,9 +4,10 @@ Per host the paths form a tree of segments.  Level by level (:func:`templates`)
 
 * a node whose children are many and mostly seen once is variable: its children
   become one wildcard branch ``*``;
-* a child whose labelled share of bad pages does not differ significantly from
-  its siblings' (two-proportion z test) joins them in one branch ``~``;
-* any other child keeps its own branch.
+* children whose labelled share of bad pages does not differ significantly from
+  their siblings' (two-proportion z test) merge into one branch ``~``;
+* those that do differ merge by their smoothed share, in steps of 1 /
+  ``LEVELS``: a branch ``=0`` of the clean ones, ``=9`` of the bad ones, and so on.
 
 What lies deeper than ``MAX_DEPTH`` segments is one branch ``**``.  A template
 (host and branches) is rejected when its labelled purity, smoothed towards the
@@ -39,6 +40,7 @@ MAX_DEPTH = 8
 FANOUT = 8  # a variable node has more children than this ...
 SPREAD = 0.3  # ... and more than this share of them to its URLs
 Z = 1.96
+LEVELS = 10
 PRIOR = 4.0
 REJECT = 0.5
 
@@ -87,8 +89,9 @@ def templates(urls: DataFrame) -> DataFrame:
         spread = F.sqrt(pooled * (1 - pooled) * (1 / F.col("l") + 1 / others))
         apart = F.abs(F.col("b") / F.col("l") - (F.col("nb") - F.col("b")) / others)
         differs = F.when((F.col("l") > 0) & (others > 0), apart > Z * spread).otherwise(False)
-        # one row per variable node (segment null) and per branch of its own; all else merges into ~
-        own = fixed.where(differs).select("_host", "_template", F.col("_segment").alias("_own"), F.concat(F.lit("="), "_segment").alias("_branch"))
+        # Those that differ merge by the level of their smoothed share, all others into ~.
+        level = F.round(LEVELS * (F.col("b") + PRIOR * pooled) / (F.col("l") + PRIOR)).cast("int")
+        own = fixed.where(differs).select("_host", "_template", F.col("_segment").alias("_own"), F.concat(F.lit("="), level.cast("string")).alias("_branch"))
         wild = nodes.where("_variable").select(F.col("_host"), F.col("_template"), F.lit("*").alias("_wild"))
         step = below.join(wild, ["_host", "_template"], "left")
         step = step.join(own, (step["_host"] == own["_host"]) & (step["_template"] == own["_template"]) & (step["_segment"] == own["_own"]), "left").select(
