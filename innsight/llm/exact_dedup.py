@@ -35,6 +35,7 @@ SEGMENT_BITS = 1 << 20
 BITS_PER_ROW = 24
 PROBES = 3
 BLOCK_BYTES = 64 << 20
+HOT_GROUPS = 1000
 
 
 def normalised_sha256(text: Column) -> Column:
@@ -145,11 +146,18 @@ def flag_repeats(frame: DataFrame, hashes: DataFrame, rows: int) -> DataFrame:
 def exact_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per document: ``id_col``, keep_id, group_size, kept, text_sha256."""
     prints = written(docs.select(F.col(id_col).alias("_id"), normalised_sha256(F.col(text_col)).alias("_sha"), F.monotonically_increasing_id().alias("_row")), "prints")
-    flagged = flag_repeats(prints, prints, prints.count())
+    rows = prints.count()
+    flagged = flag_repeats(prints, prints, rows)
     repeated = flagged.where("_maybe")
     groups = repeated.groupBy("_sha").agg(
         F.min(F.struct(F.col("_id").isNull().alias("n"), F.col("_id").alias("id"), F.col("_row").alias("row"))).alias("_keep"), F.count(F.lit(1)).alias("_n"))
-    resolved = repeated.join(groups, "_sha").select(
+    groups = written(groups, "groups")
+    # Large groups (at most HOT_GROUPS hold a share of 1 / HOT_GROUPS each) are broadcast, so that none meets in one task.
+    large = F.col("_n") >= max(2, -(-rows // HOT_GROUPS))
+    near = repeated.join(F.broadcast(groups.where(large)), "_sha", "left")
+    hot = near.where("_n IS NOT NULL")
+    cold = near.where("_n IS NULL").drop("_keep", "_n").join(groups.where(~large), "_sha")
+    resolved = hot.unionByName(cold).select(
         F.col("_id").alias(id_col), F.col("_keep.id").alias("keep_id"), F.col("_n").alias("group_size"), (F.col("_row") == F.col("_keep.row")).alias("kept"), F.col("_sha").alias("text_sha256"))
     single = flagged.where(~F.col("_maybe")).select(
         F.col("_id").alias(id_col), F.col("_id").alias("keep_id"), F.lit(1).cast("long").alias("group_size"), F.lit(True).alias("kept"), F.col("_sha").alias("text_sha256"))
