@@ -189,7 +189,7 @@ def _contents(bitmaps: bool):
     def run(batches: Iterator) -> Iterator:
         import pyarrow as pa
 
-        for b in batches_of_bytes(batches, "_text", 4 << 20):
+        for b in batches_of_bytes(batches, "_text", 2 << 20):
             _, shingle, first, size, name = _sets(b)
             same = name == b.column(0).to_numpy()  # other rows of the same id may have come along
             spans = list(zip(first[same].tolist(), size[same].tolist()))

@@ -103,6 +103,18 @@ def concat_text(column) -> tuple[np.ndarray, np.ndarray]:
     return data[offsets[0]:offsets[-1]], offsets - offsets[0]
 
 
+def _word_hashes(data: np.ndarray, start: np.ndarray, end: np.ndarray, part: int = 2 << 20) -> np.ndarray:
+    """Hashes of the words, taken in parts of about ``part`` bytes (the 64-bit prefixes take eight times that)."""
+    out = np.zeros(len(start), np.uint64)
+    lo = 0
+    while lo < len(start):
+        hi = max(lo + 1, int(np.searchsorted(end, start[lo] + part, "right")))
+        first = start[lo]
+        out[lo:hi] = span_hashes(prefix_hashes(data[first:end[hi - 1]]), start[lo:hi] - first, end[lo:hi] - first)
+        lo = hi
+    return out
+
+
 def shingle_rows(data: np.ndarray, offsets: np.ndarray, n: int = 5) -> tuple[np.ndarray, np.ndarray]:
     """Distinct ``n``-word shingle hashes of every row: (row of each shingle, hash), sorted by row and hash.
 
@@ -122,7 +134,7 @@ def shingle_rows(data: np.ndarray, offsets: np.ndarray, n: int = 5) -> tuple[np.
     begins[edge] = inside[edge]
     ends[edge - 1] = inside[edge - 1]
     start, end = np.flatnonzero(begins), np.flatnonzero(ends) + 1
-    words = span_hashes(prefix_hashes(data), start, end)
+    words = _word_hashes(data, start, end)
     first = np.searchsorted(start, offsets)  # first word of each row
     count = np.diff(first)
     row = np.repeat(np.arange(rows), count)
@@ -141,7 +153,7 @@ def shingle_rows(data: np.ndarray, offsets: np.ndarray, n: int = 5) -> tuple[np.
     return row[new], seq[new]
 
 
-def batches_of_bytes(batches: Iterator, text: str, limit: int = 8 << 20) -> Iterator:
+def batches_of_bytes(batches: Iterator, text: str, limit: int = 4 << 20) -> Iterator:
     """The same rows in batches of about ``limit`` text bytes (one row at least)."""
     import pyarrow.compute as pc
 

@@ -119,6 +119,15 @@ def test_shingles_of_a_batch():
     assert seq[row == 3].tolist() == lower.tolist()
 
 
+def test_word_hashes_do_not_depend_on_the_parts():
+    from innsight.llm.util import _word_hashes
+
+    data = np.frombuffer(b"ab cd ab " + b"x" * 50 + b" ab", np.uint8)
+    start, end = np.array([0, 3, 6, 9, 60]), np.array([2, 5, 8, 59, 62])
+    whole, parts = _word_hashes(data, start, end), _word_hashes(data, start, end, part=4)
+    assert whole.tolist() == parts.tolist() and len(set(whole.tolist())) == 3
+
+
 def test_components_of_a_long_chain(spark):
     links = spark.createDataFrame([(i, i + 1) for i in range(0, 60) if i != 30] + [(5, 5)], "a long, b long")
     got = {r.node: r.root for r in components(links).collect()}
