@@ -44,9 +44,14 @@ def fit_dictionaries(labelled: DataFrame, id_col: str = "doc_id", text_col: str
     from pyspark.sql import Window
 
     rows = labelled.select(F.col(id_col).alias("_id"), F.col(lang_col).alias("_lang"), F.col(text_col).alias("_text")).where("_lang IS NOT NULL AND _text IS NOT NULL")
-    order = Window.partitionBy("_lang").orderBy(F.xxhash64("_id"), F.col("_id"), F.xxhash64("_text"))
-    sample = rows.select("_lang", "_id", F.substring("_text", 1, SAMPLE_CHARS).alias("_text")).withColumn("_n", F.row_number().over(order)).where(F.col("_n") <= SAMPLE_ROWS)
     often = {r["_lang"]: r["count"] for r in rows.groupBy("_lang").count().collect()}
+    if not often:
+        return {}
+    # Hashes below these bounds belong to twice the sample's rows at least (about): only they meet in a window.
+    bounds = F.create_map(*[F.lit(x) for lang, n in often.items() for x in (lang, min((1 << 63) - 1, -(1 << 63) + (SAMPLE_ROWS << 65) // n))])
+    few = rows.where(F.xxhash64("_id") <= F.element_at(bounds, F.col("_lang")))
+    order = Window.partitionBy("_lang").orderBy(F.xxhash64("_id"), F.col("_id"), F.xxhash64("_text"))
+    sample = few.select("_lang", "_id", F.substring("_text", 1, SAMPLE_CHARS).alias("_text")).withColumn("_n", F.row_number().over(order)).where(F.col("_n") <= SAMPLE_ROWS)
     texts: dict[str, list[bytes]] = {}
     for r in sorted(sample.collect(), key=lambda r: (-often[r["_lang"]], r["_lang"], r["_n"])):  # at most SAMPLE_ROWS x SAMPLE_CHARS a language
         texts.setdefault(r["_lang"], []).append(_letters(r["_text"]))
