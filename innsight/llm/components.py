@@ -21,8 +21,7 @@ def components(links: DataFrame) -> DataFrame:
     while True:
         both = edges.select(F.col("a").alias("u"), F.col("b").alias("v")).unionAll(edges.select(F.col("b").alias("u"), F.col("a").alias("v")))
         low = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
-        large = both.join(low, "u").where("v > u").select(F.col("v").alias("a"), F.col("m").alias("b"))
-        large = _pairs(large)  # a < b
+        large = both.join(low, "u").where("v > u").select(F.col("m").alias("a"), F.col("v").alias("b"))  # a < b
         down = large.groupBy("b").agg(F.min("a").alias("m"))
         small = large.join(down, "b").select("b", "a", "m")
         edges = _pairs(small.select(F.col("a"), F.col("m").alias("b")).unionAll(small.select(F.col("b").alias("a"), F.col("m").alias("b"))))

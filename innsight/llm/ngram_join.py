@@ -13,9 +13,8 @@ or more are linked, and linked documents share a component.
    block.  The counts only steer the order.
 2. *Stars.*  Each block names one of its classes, by a hash of block and class,
    its centre; a class and its centres are candidates, unless their bitmaps rule
-   a link out.  First one star link of each class is verified, then those that
-   still connect different components.
-   A group of thousands of near copies is connected by a link a copy, never by
+   a link out.  Two of them, picked by hash, are verified for each class, so a
+   group of thousands of near copies is connected by two links a copy, never by
    all of its pairs.
 3. *Signature trees.*  Blocks that still hold several components (any two of
    which may hold a link yet) are searched completely.  One of at most ``LEAF``
@@ -24,7 +23,8 @@ or more are linked, and linked documents share a component.
    ordered by size, become the leaves of a tree whose nodes hold the OR of their
    token bitmaps and their range of sizes.  A dual traversal descends into a
    pair of nodes only if the largest overlap that bitmaps and sizes allow
-   reaches 80 %, and if they are not of one component.  Blocks of more than
+   reaches 80 %, and if they are not of one component; of the blocks that two
+   classes share, the one with the smallest key gives their pair.  Blocks of more than
    ``CHUNK`` classes are cut into chunks whose pairs are separate rows.
 
 Every candidate is verified exactly on the sets.  Postings travel as arrays per
@@ -304,8 +304,27 @@ def _fold(bits: np.ndarray, width: int) -> np.ndarray:
     return bits
 
 
-def tree_candidates(left, right=None) -> list[tuple[int, int]]:
-    """Pairs of classes that may link, within ``left`` or between ``left`` and ``right`` (class, size, root, bitmap each)."""
+def _meet_before(a: list[dict], b: list[dict], i: np.ndarray, j: np.ndarray, key: int) -> np.ndarray:
+    """Which pairs (a[i], b[j]) also share a block of smaller key, where they are compared."""
+    column: dict[int, int] = {}
+    for x in (*a, *b):
+        for k in x["keys"]:
+            if k < key:
+                column.setdefault(k, len(column))
+    packed = []
+    for rows in (a, b):
+        bits = np.zeros((len(rows), max(1, len(column))), bool)
+        for r, x in enumerate(rows):
+            bits[r, [column[k] for k in x["keys"] if k < key]] = True
+        packed.append(np.packbits(bits, axis=1))
+    return np.concatenate([np.zeros(0, bool)] + [(packed[0][i[n:n + 65536]] & packed[1][j[n:n + 65536]]).any(1) for n in range(0, len(i), 65536)])
+
+
+def tree_candidates(left, right=None, key: int | None = None) -> list[tuple[int, int]]:
+    """Pairs of classes that may link, within ``left`` or between ``left`` and ``right`` (class, size, root, bitmap each).
+
+    ``key``, the block's own, leaves out pairs that share a block of smaller key (``keys`` of each class).
+    """
     groups = []
     for side in (left,) if right is None else (left, right):
         by: dict[int, list] = {}
@@ -324,6 +343,9 @@ def tree_candidates(left, right=None) -> list[tuple[int, int]]:
                 bits = _fold(np.frombuffer(b"".join(x["bitmap"] for x in rows), np.uint8).reshape(len(rows), -1), width).copy().view(np.uint64)
                 trees.append(SignatureTree(np.array([x["size"] for x in rows], np.int64), bits, np.array([x["root"] for x in rows], np.int64)))
             i, j = dual_traversal(*trees, same=right is None and wa == wb)
+            if key is not None:
+                alone = ~_meet_before(a[wa], b[wb], i, j, key)
+                i, j = i[alone], j[alone]
             found += [(a[wa][x]["class"], b[wb][y]["class"]) for x, y in zip(i.tolist(), j.tolist())]
     return found
 
@@ -333,9 +355,8 @@ def _search(batches: Iterator) -> Iterator:
 
     for b in batches:
         pairs = set()
-        for left, right in zip(b.column(0), b.column(1)):
-            other = None if right.as_py() is None else right.as_py()
-            pairs.update((min(p), max(p)) for p in tree_candidates(left.as_py(), other))
+        for key, left, right in zip(*b.columns):
+            pairs.update((min(p), max(p)) for p in tree_candidates(left.as_py(), right.as_py(), key.as_py()))
         if pairs:
             yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*sorted(pairs))], ["a", "b"])
 
@@ -370,10 +391,9 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     star = star.where(_sizes_fit(F.col("centre_size"), F.col("o.sizes")) | _sizes_fit(F.col("o.sizes"), F.col("centre_size")))
     star = written(star.select(F.col("o.classes").alias("a"), F.col("centre").alias("b")).distinct(), "stars")
     star = written(_verified(source, one, star, bitmaps=True), "possible")
-    first = star.groupBy("a").agg(F.min_by("b", F.xxhash64("a", "b")).alias("b"))
-    links = written(_verified(source, one, first), "verified")
-    roots = components(links)
-    links = links.unionAll(written(_verified(source, one, _apart(star, roots)), "verified"))
+    h = F.xxhash64("a", "b")
+    two = star.groupBy("a").agg(F.array(F.min_by("b", h), F.max_by("b", h)).alias("b")).select("a", F.explode(F.array_distinct("b")).alias("b"))
+    links = written(_verified(source, one, two), "verified")
     roots = components(links)
     pairs = written(_tree_pairs(source, one, blocks, roots), "tree")
     links = links.unionAll(written(_verified(source, one, pairs), "verified"))
@@ -436,14 +456,6 @@ def _verified(source: DataFrame, one: DataFrame, pairs: DataFrame, bitmaps: bool
     return met.select("class", "meeting", "size", "content").mapInArrow(_meet(bitmaps), "a long, b long").distinct()
 
 
-def _apart(pairs: DataFrame, roots: DataFrame) -> DataFrame:
-    """The pairs whose ends are in different components."""
-    for x in "ab":
-        side = roots.select(F.col("node").alias("_n"), F.col("root").alias(f"_{x}"))
-        pairs = pairs.join(side, F.col(x) == F.col("_n"), "left").drop("_n")
-    return pairs.where(F.coalesce("_a", "a") != F.coalesce("_b", "b")).select("a", "b")
-
-
 def _sizes_fit(small, large):
     """Whether a class of (signed) size ``small`` is early, no larger than the other and within 80 % of its size."""
     return (small > 0) & (small <= F.abs(large)) & (small * 5 >= F.abs(large) * 4)
@@ -465,12 +477,12 @@ def _tree_pairs(source: DataFrame, one: DataFrame, blocks: DataFrame, roots: Dat
 
     large = members.where(F.col("n") > LEAF).withColumn("chunk", F.pmod(F.xxhash64("class"), F.ceil(F.col("n") / CHUNK)))
     needed = large.groupBy("class").agg(F.collect_list(F.struct("key", "chunk", "root", "n")).alias("at"))
-    found = _fetched(source, one, needed, bitmaps=True).select("class", "size", F.col("content").alias("bitmap"), F.explode("at").alias("at"))
-    found = found.groupBy("at.key", "at.chunk", "at.n").agg(F.collect_list(F.struct("class", "size", "at.root", "bitmap")).alias("rows"))
-    alone = found.select("rows", F.lit(None).cast(found.schema["rows"].dataType).alias("other"))
+    found = _fetched(source, one, needed, bitmaps=True).select("class", "size", F.col("content").alias("bitmap"), F.transform("at", lambda x: x["key"]).alias("keys"), F.explode("at").alias("at"))
+    found = found.groupBy("at.key", "at.chunk", "at.n").agg(F.collect_list(F.struct("class", "size", "at.root", "bitmap", "keys")).alias("rows"))
+    alone = found.select("key", "rows", F.lit(None).cast(found.schema["rows"].dataType).alias("other"))
     several = found.where(F.col("n") > CHUNK)
     left, right = several.select("key", "chunk", "rows"), several.select(F.col("key").alias("k"), F.col("chunk").alias("c"), F.col("rows").alias("other"))
-    across = left.join(right, (F.col("key") == F.col("k")) & (F.col("chunk") < F.col("c"))).select("rows", "other")
+    across = left.join(right, (F.col("key") == F.col("k")) & (F.col("chunk") < F.col("c"))).select("key", "rows", "other")
     for some in (alone, across):
         pairs = pairs.unionAll(some.mapInArrow(_search, "a long, b long"))
     return pairs.distinct()

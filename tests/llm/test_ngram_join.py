@@ -104,6 +104,9 @@ def test_tree_finds_every_pair_that_links():
     assert links <= found and len(found) < len(sets) ** 2 / 8
     split = nj.tree_candidates(rows[:90], rows[90:])
     assert {p for p in links if p[0] < 90 <= p[1]} <= {(min(p), max(p)) for p in split}
+    keyed = [{**r, "keys": [3, 5, 9] if r["class"] % 2 else [5, 9]} for r in rows]
+    per_key = {k: {(min(p), max(p)) for p in nj.tree_candidates([r for r in keyed if k in r["keys"]], key=k)} for k in (3, 5, 9)}
+    assert per_key[3] | per_key[5] == found and not per_key[3] & per_key[5] and not per_key[9]
     same = [{**r, "root": 1} for r in rows]
     assert nj.tree_candidates(same) == []  # one component: nothing to look for
 
