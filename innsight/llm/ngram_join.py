@@ -15,8 +15,9 @@ or more are linked, and linked documents share a component.
    its centre; a class and its centres are candidates, unless their bitmaps rule
    a link out.  Two of them, picked by hash, are verified for each class, so a
    group of thousands of near copies is connected by two links a copy, never by
-   all of its pairs.
-3. *Signature trees.*  Blocks that still hold several components (any two of
+   all of its pairs.  Stars that then still connect different components are
+   verified with the next step's pairs: blocks of two classes have no others.
+3. *Signature trees.*  Larger blocks that still hold several components (any two of
    which may hold a link yet) are searched completely.  One of at most ``LEAF``
    classes is a leaf by itself: its pairs that fit in size and cross components
    are compared by bitmap, once however many blocks they share.  The classes of a larger block,
@@ -395,7 +396,7 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     two = star.groupBy("a").agg(F.array(F.min_by("b", h), F.max_by("b", h)).alias("b")).select("a", F.explode(F.array_distinct("b")).alias("b"))
     links = written(_verified(source, one, two), "verified")
     roots = components(links)
-    pairs = written(_tree_pairs(source, one, blocks, roots), "tree")
+    pairs = written(_tree_pairs(source, one, blocks, roots).unionAll(_apart(star, roots)).distinct(), "tree")
     links = links.unionAll(written(_verified(source, one, pairs), "verified"))
     roots = components(links)
 
@@ -456,6 +457,15 @@ def _verified(source: DataFrame, one: DataFrame, pairs: DataFrame, bitmaps: bool
     return met.select("class", "meeting", "size", "content").mapInArrow(_meet(bitmaps), "a long, b long").distinct()
 
 
+def _apart(pairs: DataFrame, roots: DataFrame) -> DataFrame:
+    """The pairs whose ends are in different components."""
+    for x in "ab":
+        side = roots.select(F.col("node").alias("_n"), F.col("root").alias(f"_{x}"))
+        pairs = pairs.join(side, F.col(x) == F.col("_n"), "left").drop("_n")
+    pairs = pairs.where(F.coalesce("_a", "a") != F.coalesce("_b", "b"))
+    return pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
+
+
 def _sizes_fit(small, large):
     """Whether a class of (signed) size ``small`` is early, no larger than the other and within 80 % of its size."""
     return (small > 0) & (small <= F.abs(large)) & (small * 5 >= F.abs(large) * 4)
@@ -463,7 +473,7 @@ def _sizes_fit(small, large):
 
 def _tree_pairs(source: DataFrame, one: DataFrame, blocks: DataFrame, roots: DataFrame) -> DataFrame:
     """Pairs of classes in a block, of different components, that may link."""
-    members = blocks.where(F.size("classes") > 2).select("key", F.explode(F.arrays_zip("classes", "sizes")).alias("m"))  # a pair is its star
+    members = blocks.where(F.size("classes") > 2).select("key", F.explode(F.arrays_zip("classes", "sizes")).alias("m"))  # two: the pair is a star, see _apart
     members = members.select("key", F.col("m.classes").alias("class"), F.col("m.sizes").alias("size"))
     members = members.join(roots, F.col("class") == F.col("node"), "left").select("key", "class", "size", F.coalesce("root", "class").alias("root"))
     open_keys = members.groupBy("key").agg(F.min("root").alias("lo"), F.max("root").alias("hi"), F.count(F.lit(1)).alias("n")).where("lo <> hi").select("key", "n")

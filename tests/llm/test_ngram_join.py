@@ -71,6 +71,43 @@ def test_components_equal_brute_force(docs_of, seed, monkeypatch):
     assert sorted(map(tuple, got), key=str) == brute(rows)
 
 
+def linked_in_pairs_of_classes():
+    """Families of 14 copies that are too far apart to link but whose bitmaps may pass, each with one linked pair.
+
+    Words at multiples of five are edited, so an edit changes five shingles.  The copies ``a`` and ``b`` share rare
+    shingles with nobody else; ``a`` has so many rare ones that it meets no other in a frequent one, and shares
+    each edit that ``b`` lacks with one of the others.
+    """
+    rng = random.Random(5)
+    rows = []
+    for f in range(3):
+        words = [f"f{f}w{i}" for i in range(516)]
+        slots = rng.sample(range(100), 100)
+        a, b = list(words), list(words)
+        for k in slots[:21]:
+            a[5 * k + 4] = f"f{f}a{k}"
+        for k in slots[9:21]:
+            b[5 * k + 4] = f"f{f}a{k}"
+        copies = [a, b]
+        for i in range(12):
+            own = list(words)
+            for k in rng.sample(slots[21:], 8):
+                own[5 * k + 4] = f"f{f}x{i}k{k}"
+            if i < 9:
+                own[5 * slots[i] + 4] = f"f{f}a{slots[i]}"
+            copies.append(own)
+        rows += [(len(rows) + i, " ".join(c)) for i, c in enumerate(copies)]
+    return rows
+
+
+def test_links_of_blocks_of_two_classes_are_kept(docs_of):
+    rows = linked_in_pairs_of_classes()
+    want = brute(rows)
+    assert len({c for _, _, c in want}) == 3 * 13  # only a and b link
+    got = nj.jaccard_components(docs_of(rows, parts=1)).select("doc_id", "n_shingles", "component_id").collect()
+    assert sorted(map(tuple, got), key=str) == want
+
+
 def test_odd_documents(docs_of, odd_docs):
     got = nj.jaccard_components(docs_of(odd_docs)).select("doc_id", "n_shingles", "component_id").collect()
     want = [(i, n, c if n else i) for i, n, c in brute(odd_docs)]
