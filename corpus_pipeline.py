@@ -43,7 +43,7 @@ def decontamination_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) ->
 
 def packing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Token pieces in sequences of 1024."""
-    packed = pack(token_pieces(docs, public_tokenizers.path("byte_bpe_50k.json")))
+    packed = pack(token_pieces(docs, public_tokenizers.path("byte_bpe_50k.json"), added_tokens=True))
     return packed.select("doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset")
 
 

@@ -36,7 +36,7 @@ def op1_token_counts(spark, sf_dir):
 
 
 def op2_packing(spark, sf_dir):
-    packed = pack(token_pieces(table(spark, sf_dir, "documents"), TOKENIZER))
+    packed = pack(token_pieces(table(spark, sf_dir, "documents"), TOKENIZER, added_tokens=True))
     return packed.select("doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset")
 
 

@@ -67,6 +67,22 @@ def test_pieces_are_those_of_the_tokenizers_library(packed, odd_docs):
     assert sorted((tuple(r)[:5] for r in packed), key=str) == reference_pieces(rows)
 
 
+def test_registered_query_takes_added_tokens_as_the_library_does(spark, scratch):
+    from innsight.llm.queries import op2_packing
+
+    texts = ["a <|endoftext|> b", "<|endoftext|>", "x  <|endoftext|><|endoftext|>\n y", "<|endoftext|", "naïve <|endoftext|>日本語  ", "", "word " * 3000 + "<|endoftext|> end"]
+    spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").write.parquet(f"{scratch}/documents.parquet")
+    t = Tokenizer.from_file(PATH)
+    assert t.encode(texts[0], add_special_tokens=False).ids == [64, 220, 50256, 275]
+    want = []
+    for doc, text in enumerate(texts):
+        ids = [*t.encode(text, add_special_tokens=False).ids, 2]
+        first = len(ids) % 1024 or 1024
+        cuts = [0, *range(first, len(ids) + 1, 1024)]
+        want += [(doc, k, a, b - a, zlib.crc32(np.array(ids[a:b], "<u4").tobytes())) for k, (a, b) in enumerate(zip(cuts, cuts[1:]))]
+    assert sorted(tuple(r)[:5] for r in op2_packing(spark, scratch).collect()) == want
+
+
 def test_sequences_are_gapless(packed):
     by = {}
     for r in packed:
