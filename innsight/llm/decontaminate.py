@@ -2,12 +2,12 @@
 
 Native DataFrame functions only.  Texts become lower-case words (runs of
 letters and digits) and hashed five-word shingles.  Jaccard MinHash fails here,
-as an item's few shingles drown in a long document, so the search is one-sided:
-items are partitioned by size, and an item of ``m`` distinct shingles gets a
-bottom-k MinHash signature, its ``k = m - ceil(0.8 m) + 1`` smallest shingle
-hashes.  A document that contains 80 % of an item's shingles must hold one of
-any ``k`` of them, so probing every shingle of every document against the
-signatures misses nothing.  Candidate pairs are then verified by the exact
+as an item's few shingles drown in a long document, so the search is one-sided.
+In place of size-partitioned MinHash, which would miss some items near the
+threshold, a lossless prefix filter is used: an item of ``m`` distinct shingles
+is keyed by its ``k = m - ceil(0.8 m) + 1`` smallest shingle hashes.  A document that contains 80 % of an item's shingles must hold one of
+any ``k`` of them, so probing every shingle of every document against
+those misses nothing.  Candidate pairs are then verified by the exact
 containment of the item's shingles in the document.
 
 The item side is broadcast when its counted rows are at most ``BROADCAST_ROWS``
