@@ -56,10 +56,11 @@ def facet_options(
     """Cascading option lists: distinct non-NULL values of each facet, after the
     picks of the facets before it.
 
-    One scan for all facets: every row emits one ``(position, facet, value)``
-    entry per facet it is eligible for, then a single distinct (partially
-    aggregated map-side) collapses them.  Result is long, ordered by facet
-    position then value (within each ``by`` group).
+    One scan for all facets, two levels: the distinct combinations of all facet
+    values first (partially aggregated map-side, so rows fall to combinations
+    before anything is multiplied), then each combination emits one
+    ``(position, facet, value)`` entry per facet it is eligible for.  Result is
+    long, ordered by facet position then value (within each ``by`` group).
     """
     picks = picks or {}
     entries = []
@@ -75,8 +76,9 @@ def facet_options(
         )
         if picks.get(facet):
             passed = passed & facet_predicate(facet, picks[facet])
+    combinations = df.select(*by, *[F.col(f"`{f}`") for f in facets]).distinct()
     return (
-        df.select(*by, F.inline(F.array(*entries)))
+        combinations.select(*by, F.inline(F.array(*entries)))
         .filter(F.col("eligible") & F.col("value").isNotNull())
         .select(*by, "position", "facet", "value")
         .distinct()

@@ -21,6 +21,7 @@ from innsight.functions.formats import pct
 from innsight.operators.dedup import keep_first
 from innsight.operators.filters import DateLike, half_open_range, subject_scope
 from innsight.operators.measures import conditional_segments, group_sizes, ratio, sum0
+from innsight.operators.pattern_index import matching_patterns
 
 TS = "DATA_TS_DATE"
 SUMMARY_COLUMNS = (
@@ -153,11 +154,11 @@ def scope_tenants(base: DataFrame, cfgs: Mapping[str, EmailConfig], tenant_col:
 
     Each message gets one row per tenant whose subject pattern it matches (a
     message may belong to several, as when each tenant scopes the source on
-    its own), with that tenant's tag value.  Patterns are tested on the
-    distinct subjects only, and the matches joined back to the messages.  The
-    patterns travel as one constant, so the plan does not grow with the
-    tenants.  The default date range keeps every dated message, as for one
-    tenant.
+    its own), with that tenant's tag value.  Patterns are looked up in an index
+    of the distinct subjects (see :mod:`innsight.operators.pattern_index`), and
+    the matches joined back to the messages.  The patterns travel as one
+    constant, so the plan does not grow with the tenants.  The default date
+    range keeps every dated message, as for one tenant.
     """
     dated = base.filter(F.col(TS).isNotNull())
     by_field: dict[str, dict[str, EmailConfig]] = {}
@@ -167,13 +168,13 @@ def scope_tenants(base: DataFrame, cfgs: Mapping[str, EmailConfig], tenant_col:
                           for x in (F.lit(f), F.coalesce(F.col(f"`{f}`").cast("string"), F.lit("")))])
     out = None
     for field, some in by_field.items():
-        patterns = F.from_json(
-            F.lit(json.dumps([{"tenant": t, "pattern": c.subject_match, "tag": c.tag_field} for t, c in some.items()])),
-            "array<struct<tenant:string,pattern:string,tag:string>>")
-        subject = F.coalesce(F.col(f"`{field}`").cast("string"), F.lit(""))
-        hits = dated.select(subject.alias("__subject")).distinct().select("__subject", F.explode(F.filter(
-            patterns, lambda p: (p["pattern"] == "") | F.rlike(F.col("__subject"), F.concat(F.lit("(?iu)"), p["pattern"])))).alias("__p"))
-        scoped = dated.withColumn("__subject", subject).join(hits, "__subject").select(
+        dealt = dated.withColumn("__subject", F.coalesce(F.col(f"`{field}`").cast("string"), F.lit("")))
+        found = matching_patterns(dealt, "__subject", [c.subject_match for c in some.values()])
+        readers = dated.sparkSession.range(1).select(F.inline(F.from_json(
+            F.lit(json.dumps([{"pattern": c.subject_match, "tenant": t, "tag": c.tag_field} for t, c in some.items()])),
+            "array<struct<pattern:string,tenant:string,tag:string>>")))
+        hits = found.join(readers, "pattern").select("text", F.struct("tenant", "tag").alias("__p"))
+        scoped = dealt.join(hits, F.col("__subject") == F.col("text")).select(
             *[F.col(f"`{c}`") for c in base.columns], F.col("__p.tenant").alias(tenant_col), F.element_at(tags, F.col("__p.tag")).alias(TAG))
         out = scoped if out is None else out.unionByName(scoped)
     return out

@@ -19,7 +19,10 @@ Two layouts:
   loop runs over configuration (tenants x pages, read in slices); with
   ``parallelism`` several tenants' jobs are submitted at once.
 * :func:`build_shared_marts` - tenants share one table per source.  Each
-  report is one job for every entitled tenant, grouped by tenant.
+  report is one job for every entitled tenant, grouped by tenant.  Sources are
+  semi-joined with the entitlement table, so a source partitioned by tenant is
+  read for the entitled tenants only (dynamic partition pruning) and once a page,
+  however many tenants there are.
 
 Whatever stops a page is recorded as its failure and the job goes on, as the
 application shows an error for that page only.  A report without rows replaces
@@ -34,22 +37,22 @@ from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass
 from itertools import islice
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from innsight.config import PAGE_TITLES, TenantConfig, TrafficRules
+from innsight.config import PAGE_TITLES, EmailConfig, TenantConfig, TrafficRules
 from innsight.plans import attendance as att
 from innsight.plans import email as em
 from innsight.plans import ga4
 from innsight.plans import product as prod
 from innsight.session import ensure_checkpoint_dir
-from innsight.sinks.export import partition_folder, write_csv, write_parquet
+from innsight.sinks.export import partition_folder, write_csv, write_empty, write_parquet
 from innsight.sources.registry import iter_tenant_configs
 from innsight.sources.tables import (
     TableCatalog, scan_email, scan_grain, scan_report_items, scan_transactions,
 )
 
-# write(report, df) writes one report; write(report, df, True) also returns it for reuse.
+# write(report, df) writes one report; write(report, df, True) also returns it for reuse; order: a large report's in CSV.
 Write = Callable[..., DataFrame]
 Source = Callable[[str], DataFrame]
 SLICE = 1000  # tenants whose configuration is held at once
@@ -65,9 +68,13 @@ class Silver:
         self._folder = f"{ensure_checkpoint_dir(spark).rstrip('/')}/silver-{uuid.uuid4().hex}"
         self._n = 0
 
-    def __call__(self, df: DataFrame) -> DataFrame:
+    def path(self) -> str:
+        """A new folder name, deleted with the others."""
         self._n += 1
-        path = f"{self._folder}/{self._n}"
+        return f"{self._folder}/{self._n}"
+
+    def __call__(self, df: DataFrame) -> DataFrame:
+        path = self.path()
         df.write.parquet(path)
         return self._spark.read.schema(df.schema).parquet(path)
 
@@ -104,8 +111,21 @@ class Page:
 
 
 def _product(p: Page) -> None:
-    detail = p.write("detail", prod.product_performance(p.src("REPORT_ITEMS"), by=p.by, ordered=False), True)
-    total = p.write("total", prod.total_of(detail, p.by), True)
+    rows, total = prod.observed_total(prod.product_performance(p.src("REPORT_ITEMS"), ordered=False))
+    detail = p.write("detail", rows, True, prod.report_order())
+    p.write("export", prod.export_of(detail, p.write("total", total(), True)))
+
+
+def _shared_product(p: Page, fail: Callable[[DataFrame], None]) -> None:
+    """The page of all tenants; ``fail`` is given the tenants with malformed months, which get no reports."""
+    rows = p.silver(prod.product_performance(p.src("REPORT_ITEMS"), on_bad_month="null", by=p.by, ordered=False))
+    bad = rows.filter(F.col("`Booked Year Month`").isNull()).groupBy(*p.by).agg(F.count(F.lit(1)).alias("bad_months"))
+    if not bad.isEmpty():
+        bad = p.silver(bad)
+        fail(bad)
+        rows = rows.join(bad.select(*p.by), list(p.by), "left_anti")
+    detail = p.write("detail", rows, landed=True)
+    total = p.write("total", prod.total_of(detail, p.by))
     p.write("export", prod.export_of(detail, total, p.by))
 
 
@@ -177,12 +197,12 @@ def _tenant_source(catalog: TableCatalog, cfg: TenantConfig) -> Source:
 
 
 def _tenant_writer(out: str, page: str, cfg: TenantConfig, fmt: str, results: list[BuildResult], silver: Silver) -> Write:
-    def write(report: str, df: DataFrame, reuse: bool = False) -> DataFrame | None:
+    def write(report: str, df: DataFrame, reuse: bool = False, order: Sequence[Column] = ()) -> DataFrame | None:
         # The tenant's own folder is overwritten as a whole, so an empty report replaces an earlier one.
         path = f"{out}/{page}/{report}/{partition_folder('tenant', cfg.customer)}"
         if fmt == "csv":
             df = silver(df) if reuse else df
-            write_csv(df, path, single_file=(page, report) not in LARGE)
+            write_csv(df, path, single_file=(page, report) not in LARGE, order=order)
         else:
             df.write.mode("overwrite").parquet(path)
             df = df.sparkSession.read.schema(df.schema).parquet(path) if reuse else None
@@ -233,21 +253,23 @@ def build_marts(
     """
     out = out_dir.rstrip("/")
     results: list[BuildResult] = []
-    for configs in _slices((c for c in iter_tenant_configs(registry) if tenants is None or c.customer in tenants), SLICE):
-        units = [(cfg, page) for cfg in configs for page in cfg.pages]
-        if fmt == "parquet":
-            # Email sources are often shared by several properties (each scoped by
-            # subject): one de-duplication and one scoping pass per source table.
-            email_cfgs = [cfg for cfg, page in units if page == "email_campaigns" and cfg.email is not None]
-            tables: dict[str, DataFrame] = {}
-            for cfg in email_cfgs:
-                if cfg.email.table not in tables:
-                    try:
-                        tables[cfg.email.table] = scan_email(catalog, cfg)
-                    except Exception:  # reported for each of its tenants
-                        pass
-            results += _shared_email(email_cfgs, tables, out, "tenant")
-            units = [(cfg, page) for cfg, page in units if page != "email_campaigns"]
+
+    def configured() -> Iterator[TenantConfig]:
+        return (c for c in iter_tenant_configs(registry) if tenants is None or c.customer in tenants)
+
+    if fmt == "parquet":
+        # Email sources are often shared by several properties (each scoped by
+        # subject): one de-duplication and one scoping pass per source table.
+        readers = {c.customer: c.email for c in configured() if "email_campaigns" in c.pages and c.email is not None}
+        tables: dict[str, DataFrame | str] = {}
+        for name in dict.fromkeys(e.table for e in readers.values()):
+            try:
+                tables[name] = catalog.table(name)
+            except Exception as e:  # reported for each of its tenants
+                tables[name] = _why(e)
+        results += _shared_email(readers, tables, out, "tenant")
+    for configs in _slices(configured(), SLICE):
+        units = [(cfg, page) for cfg in configs for page in cfg.pages if fmt != "parquet" or page != "email_campaigns"]
         if parallelism <= 1:
             results += [r for cfg, page in units for r in _build_page(catalog, cfg, page, out, fmt)]
         else:
@@ -261,17 +283,37 @@ SHARED_SOURCES = ("REPORT_ITEMS", "UVE_TRANSACTIONS_GROUPED", "GA4_DAILY", "GA4_
                   "GA4_DEVICE", "GA4_LOCATION")
 
 
-def _shared_writer(out: str, page: str, keys: Sequence[str], tenant_col: str, results: list[BuildResult], silver: Silver) -> Write:
-    def write(report: str, df: DataFrame, reuse: bool = False) -> DataFrame:
+def entitlements(registry: DataFrame) -> DataFrame:
+    """(tenant, page): the pages of each active tenant that are known and configured."""
+    def has(c: str) -> Column:
+        return F.coalesce(F.col(c), F.lit("")) != ""
+
+    units = registry.select(F.col("customer").alias("tenant"), F.explode(F.array_distinct("pages")).alias("page"), "email", "ga4")
+    page = F.col("page")
+    configured = (~page.isin(*_GA4_PAGES) | has("ga4.report")) & ((page != "email_campaigns") | has("email.table"))
+    return units.filter(page.isin(*PAGE_TITLES) & configured).select("tenant", "page")
+
+
+def entitled_rows(table: DataFrame, entitled: DataFrame, page: str, tenant_col: str = "tenant") -> DataFrame:
+    """Rows of the tenants entitled to ``page``.
+
+    A semi-join: where ``table`` is partitioned by ``tenant_col``, the entitlement
+    table's filter on ``page`` makes Spark prune the partitions at run time.
+    """
+    who = entitled.filter(F.col("page") == page).select(F.col("tenant").alias(tenant_col))
+    return table.join(who, tenant_col, "left_semi")
+
+
+def _shared_writer(out: str, page: str, keys: list[str], tenant_col: str, results: list[BuildResult], silver: Silver) -> Write:
+    """``keys``: the tenants whose reports are written (configuration; a page may take out some that failed)."""
+    def write(report: str, df: DataFrame, reuse: bool = False, order: Sequence[Column] = (), landed: bool = False) -> DataFrame:
         path = f"{out}/{page}/{report}"
-        df = silver(df.withColumn(tenant_col, F.col(tenant_col).cast("string")))
+        df = df.withColumn(tenant_col, F.col(tenant_col).cast("string"))
+        df = df if landed else silver(df)
         write_parquet(df, path, (tenant_col,), rebalance=True)
         # Entitled tenants without rows: their earlier report is replaced by an empty one.
         some = {r[0] for r in df.select(tenant_col).distinct().toLocalIterator()}
-        empty = df.drop(tenant_col).limit(0)
-        for k in keys:
-            if k not in some:
-                empty.write.mode("overwrite").parquet(f"{path}/{partition_folder(tenant_col, k)}")
+        write_empty(df.drop(tenant_col), [f"{path}/{partition_folder(tenant_col, k)}" for k in keys if k not in some], silver.path())
         results.extend(BuildResult(k, page, report, "ok") for k in keys)
         return df
     return write
@@ -288,64 +330,69 @@ def build_shared_marts(
 
     ``tables`` maps a source suffix (``SHARED_SOURCES``) to the shared table,
     whose ``tenant_col`` holds the customer key.  Each report is one Spark
-    job over the tenants entitled to its page (an IN filter on the tenant
-    column, pushed into the scan or its partition pruning), grouped by tenant.
-    A tenant with malformed months fails its own product page only.
+    job over the tenants entitled to its page (:func:`entitled_rows`), grouped
+    by tenant; a page scans each of its sources once, whatever the number of
+    tenants.  A tenant with malformed months fails its own product page only.
     ``email_tables`` maps an email table name to its frame: its keyed
     de-duplication runs once per table, then each tenant applies its own
     subject scope and buckets.
     """
     results: list[BuildResult] = []
     out = out_dir.rstrip("/")
-    for configs in _slices(iter_tenant_configs(registry), SLICE):
+    with Silver(registry.sparkSession) as kept:
+        entitled = kept(entitlements(registry))
+        own_rules = registry.filter(F.col("traffic").isNotNull()).select("customer", "traffic")
+        rules = {r["customer"]: TrafficRules.from_dict(r["traffic"].asDict(recursive=True)) for r in own_rules.toLocalIterator()}
         for page in PAGE_TITLES:
-            entitled = [c for c in configs if page in c.pages and (page not in _GA4_PAGES or c.ga4 is not None)]
-            if not entitled:
-                continue
             if page == "email_campaigns":
-                results += _shared_email(entitled, email_tables or {}, out, tenant_col)
+                readers = {c.customer: c.email for c in iter_tenant_configs(registry) if page in c.pages and c.email is not None}
+                results += _shared_email(readers, email_tables or {}, out, tenant_col)
+                continue
+            keys = [r[0] for r in entitled.filter(F.col("page") == page).select("tenant").toLocalIterator()]
+            if not keys:
                 continue
             built: list[BuildResult] = []
-            keys = [c.customer for c in entitled]
             try:
-                if page == "product_performance":
-                    items = tables["REPORT_ITEMS"].filter(F.col(tenant_col).isin(keys))
-                    for r in prod.bad_months(items, [tenant_col]).toLocalIterator():
-                        built.append(BuildResult(r[0], page, "", "failed", f"{r[1]} rows with malformed months"))
-                        keys.remove(r[0])
-                if keys:
-                    _shared_page(tables, page, keys, {c.customer: c.traffic for c in entitled}, out, tenant_col, built)
+                _shared_page(tables, page, entitled, keys, rules, out, tenant_col, built)
             except Exception as e:
                 built += [BuildResult(k, page, "", "failed", _why(e)) for k in keys]
             results += built
     return results
 
 
-def _shared_page(tables, page: str, keys: list[str], rules: Mapping[str, TrafficRules], out: str, tenant_col: str, built: list[BuildResult]) -> None:
+def _shared_page(tables, page: str, entitled: DataFrame, keys: list[str], rules: Mapping[str, TrafficRules], out: str, tenant_col: str,
+                 built: list[BuildResult]) -> None:
     def src(name: str) -> DataFrame:
-        return tables[name].filter(F.col(tenant_col).isin(keys))
+        return entitled_rows(tables[name], entitled, page, tenant_col)
 
-    spark = next(iter(tables.values())).sparkSession
-    with Silver(spark) as silver:
-        write = _shared_writer(out, page, keys, tenant_col, built, silver)
-        _DATA_PAGES[page](Page(src, write, silver, [tenant_col], {k: rules[k] for k in keys}))
+    with Silver(entitled.sparkSession) as silver:
+        p = Page(src, _shared_writer(out, page, keys, tenant_col, built, silver), silver, [tenant_col], rules)
 
+        def fail(bad: DataFrame) -> None:
+            for r in bad.toLocalIterator():
+                built.append(BuildResult(r[0], page, "", "failed", f"{r[1]} rows with malformed months"))
+                keys.remove(r[0])
 
-def _shared_email(configs: Sequence[TenantConfig], email_tables: dict[str, DataFrame], out: str,
-                  tenant_col: str) -> list[BuildResult]:
+        if page == "product_performance":
+            _shared_product(p, fail)
+        else:
+            _DATA_PAGES[page](p)
+
+
+def _shared_email(configs: Mapping[str, EmailConfig], email_tables: Mapping[str, DataFrame | str], out: str, tenant_col: str) -> list[BuildResult]:
     """Email reports of every tenant: per source table one de-duplication, one
     pass that scopes the messages to the tenants whose subject they match, and
-    one job per report for all of them."""
+    one job per report for all of them.  A table given as text is the reason why
+    it could not be read."""
     results: list[BuildResult] = []
-    readers: dict[str, dict[str, object]] = {}
+    readers: dict[str, dict[str, EmailConfig]] = {}
     page = "email_campaigns"
-    for cfg in configs:
-        if cfg.email is None:
-            continue
-        if cfg.email.table not in email_tables:
-            results.append(BuildResult(cfg.customer, page, "", "failed", f"missing source: {cfg.email.table}"))
-            continue
-        readers.setdefault(cfg.email.table, {})[cfg.customer] = cfg.email
+    for tenant, cfg in configs.items():
+        table = email_tables.get(cfg.table, f"missing source: {cfg.table}")
+        if isinstance(table, str):
+            results.append(BuildResult(tenant, page, "", "failed", table))
+        else:
+            readers.setdefault(cfg.table, {})[tenant] = cfg
     for name, cfgs in readers.items():
         built: list[BuildResult] = []
         try:

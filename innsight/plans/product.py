@@ -9,9 +9,9 @@ conversion with the ratio of sums.
 from __future__ import annotations
 
 import re
-from collections.abc import Mapping, Sequence
+from collections.abc import Callable, Mapping, Sequence
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Observation
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -32,6 +32,7 @@ COLUMNS = (
     "Booked Year Month", "Item Name", "Department", "View", "Gross Booked",
     "Conversion", "Net Attendance", "Net Value", "Cancelled", "Gross Quantity",
 )
+SUMMED = ("View", "Gross Booked", "Net Attendance", "Cancelled", "Gross Quantity", "Net Value")
 TOTAL_COLUMNS = ("View", "Gross Booked", "Overall Conversion", "Net Attendance", "Net Value", "Cancelled", "Gross Quantity")
 FACETS = ("Booked Year Month", "Item Name", "Department")
 
@@ -85,7 +86,8 @@ def product_rows(raw: DataFrame, picks: Picks | None = None, on_bad_month: str =
     return facet_filter(clean_report_items(raw), rest)
 
 
-def _order() -> list:
+def report_order() -> list:
+    """Most-viewed first; ties by month, item and department."""
     return [F.desc_nulls_last("View"), F.col("`Booked Year Month`"), F.col("`Item Name`"), F.col("Department")]
 
 
@@ -97,7 +99,7 @@ def product_performance(raw: DataFrame, picks: Picks | None = None, on_bad_month
     table) where the order is not kept anyway, e.g. when written as Parquet.
     """
     rows = product_rows(raw, picks, on_bad_month).select(*by, *[F.col(f"`{c}`") for c in COLUMNS])
-    return rows.orderBy(*by, *_order()) if ordered else rows
+    return rows.orderBy(*by, *report_order()) if ordered else rows
 
 
 def product_total(raw: DataFrame, picks: Picks | None = None, on_bad_month: str = "fail",
@@ -108,31 +110,46 @@ def product_total(raw: DataFrame, picks: Picks | None = None, on_bad_month: str
     return total_of(product_rows(raw, picks, on_bad_month), by)
 
 
+def _sums(rows: DataFrame) -> list:
+    """The total's sums, money and other fractions exactly."""
+    return [(exact_sum0 if _fractional(rows, c) or c == "Net Value" else sum0)(f"`{c}`").alias(c) for c in SUMMED]
+
+
+def _fractional(rows: DataFrame, c: str) -> bool:
+    return isinstance(rows.schema[c].dataType, (T.FloatType, T.DoubleType, T.DecimalType))
+
+
+def _rounded_total(sums: DataFrame, rows: DataFrame, by: Sequence[str]) -> DataFrame:
+    """The total's columns from its sums."""
+
+    def rounded(c: str):
+        return (F.bround(F.col(f"`{c}`"), 2) if _fractional(rows, c) or c == "Net Value" else F.col(f"`{c}`")).alias(c)
+
+    overall = F.bround(ratio(F.col("`Gross Booked`"), F.col("View")) * F.lit(100.0), 2).alias("Overall Conversion")
+    return sums.select(*by, *[overall if c == "Overall Conversion" else rounded(c) for c in TOTAL_COLUMNS])
+
+
 def total_of(rows: DataFrame, by: Sequence[str] = ()) -> DataFrame:
     """:func:`product_total` of already-cleaned rows, e.g. a written detail table."""
+    return _rounded_total(rows.groupBy(*by).agg(*_sums(rows)), rows, by)
 
-    def fractional(c: str) -> bool:
-        return isinstance(rows.schema[c].dataType, (T.FloatType, T.DoubleType, T.DecimalType))
 
-    sums = rows.groupBy(*by).agg(
-        *[(exact_sum0 if fractional(c) else sum0)(f"`{c}`").alias(c)
-          for c in ("View", "Gross Booked", "Net Attendance", "Cancelled", "Gross Quantity")],
-        exact_sum0("`Net Value`").alias("Net Value"),
-    )
+def observed_total(detail: DataFrame) -> tuple[DataFrame, Callable[[], DataFrame]]:
+    """``detail`` that takes its total while it is written, and the total (to be called after the write).
 
-    def rounded(c: str):
-        return (F.bround(F.col(f"`{c}`"), 2) if fractional(c) else F.col(f"`{c}`")).alias(c)
+    The sums are collected by the tasks that write the rows, so the total needs
+    no pass and no shuffle of its own.  Write the returned frame as it is: its
+    last operation must be in the job's result tasks, whose metrics count once
+    even if tasks are repeated.
+    """
+    seen = Observation()
+    sums = detail.agg(*_sums(detail)).schema
+
+    def total() -> DataFrame:
+        row = detail.sparkSession.createDataFrame([tuple(seen.get[f.name] for f in sums.fields)], sums)
+        return _rounded_total(row, detail, ())
 
-    return sums.select(
-        *by,
-        rounded("View"),
-        rounded("Gross Booked"),
-        F.bround(ratio(F.col("`Gross Booked`"), F.col("View")) * F.lit(100.0), 2).alias("Overall Conversion"),
-        rounded("Net Attendance"),
-        F.bround(F.col("`Net Value`"), 2).alias("Net Value"),
-        rounded("Cancelled"),
-        rounded("Gross Quantity"),
-    )
+    return detail.observe(seen, *_sums(detail)), total
 
 
 def product_options(raw: DataFrame, picks: Picks | None = None, on_bad_month: str = "fail",
@@ -149,10 +166,10 @@ def product_export(raw: DataFrame, picks: Picks | None = None, on_bad_month: str
     in an extra last column ``Overall Conversion`` and its ``Conversion`` is
     blank.
     """
-    detail = product_performance(raw, picks, on_bad_month, by)
+    detail = product_performance(raw, picks, on_bad_month, by, ordered=False)  # sorted once, with its total
     return export_of(detail, product_total(raw, picks, on_bad_month, by), by)
 
 
 def export_of(detail: DataFrame, total: DataFrame, by: Sequence[str] = ()) -> DataFrame:
     """Detail rows then the total row, as in the CSV download."""
-    return with_total_row(detail, total, _order(), by)
+    return with_total_row(detail, total, report_order(), by)
