@@ -15,6 +15,7 @@ from __future__ import annotations
 
 import functools
 import importlib
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -26,10 +27,15 @@ from innsight.plans import attendance as att
 from innsight.plans import email as em
 from innsight.plans import ga4
 from innsight.plans import product as prod
+from innsight.operators.union import union_all_by_name
+from innsight.plans.job import SHARED_SOURCES, build_shared_marts
 from innsight.plans.tenants import entitled_pages, resolve_tenants
+from innsight.session import ensure_checkpoint_dir
+from innsight.sinks.export import read_ordered_csv, write_csv
 from report_fixtures import fixture, fixture_ctes
-from innsight.sources.registry import load_registry, load_users, tenant_configs
-from innsight.sources.tables import TableCatalog, scan_email, scan_grain, scan_report_items, scan_transactions
+from innsight.sources.registry import load_registry, load_registry_or_fallback, load_users, seed_customers, tenant_configs
+from innsight.sources.silver import land_messages, land_partitioned, land_report_items
+from innsight.sources.tables import TableCatalog, scan_email, scan_grain, scan_report_items, scan_shared, scan_transactions
 
 SMOKE_DIR = "/root/testdata/sf0.001"
 TENANT = "aurora"
@@ -56,6 +62,7 @@ SOURCE_TABLES = {
     "DASHBOARD_USERS": "dashboard_users",
     "DASHBOARD_CUSTOMERS": "dashboard_customers",
     # the same sources shared by all tenants (leading TENANT column)
+    "SHARED_REPORT_ITEMS": "report_items_by_tenant",
     "SHARED_UVE_TRANSACTIONS_GROUPED": "transactions_by_tenant",
     "SHARED_GA4_DAILY": "ga4_daily_by_tenant",
     "SHARED_GA4_EVENTS": "ga4_events_by_tenant",
@@ -182,6 +189,77 @@ def _email_by_tenant(spark, sf):
     return em.email_summary_by_tenant(em.scope_tenants(base, cfgs, "TENANT"), cfgs, "TENANT")
 
 
+def _new_table(spark: SparkSession) -> tuple[str, str]:
+    """Name and folder (shared) of a table of its own for one call."""
+    name = f"landed_{uuid.uuid4().hex}"
+    return name, f"{ensure_checkpoint_dir(spark).rstrip('/')}/{name}"
+
+
+def _email_silver(spark, sf):
+    """Email summary over messages landed in two overlapping batches, bucketed by id."""
+    cfg, raw = tenant(spark, sf), catalog(spark, sf).table("mail_notifications")
+    name, path = _new_table(spark)
+    for batch in ("SENT = '1' OR DATA_STATE IS NULL", "coalesce(DATA_STATE, '') <> 'sent' OR SENT <> '1'"):
+        land_messages(raw.filter(batch), name, 8, path)
+    return em.email_summary(em.email_scope(spark.table(name), cfg.email), cfg.email)
+
+
+def _product_silver(spark, sf):
+    """Product total over report items landed in two overlapping batches, bucketed by month and item."""
+    raw = _items(spark, sf)
+    name, path = _new_table(spark)
+    for batch in ("VIEWED % 2 = 0", "VIEWED % 3 = 0 OR VIEWED % 2 = 1"):
+        land_report_items(raw.filter(batch), name, 8, path)
+    return prod.product_total(spark.table(name))
+
+
+def _book_date_partitioned(spark, sf):
+    """Book Date of one tenant of a table partitioned by tenant."""
+    name, path = _new_table(spark)
+    land_partitioned(catalog(spark, sf).table("SHARED_UVE_TRANSACTIONS_GROUPED"), name, "TENANT", path)
+    return att.book_date(scan_shared(TableCatalog(spark), name, [TENANT], "TENANT"))
+
+
+def _product_csv(spark, sf):
+    """The product detail as CSV files in the report's order, read back with each row's position."""
+    detail = prod.product_performance(_items(spark, sf), ordered=False)
+    _, path = _new_table(spark)
+    write_csv(detail, path, order=prod.report_order(), rows_per_file=5000)
+    return read_ordered_csv(spark, path, detail.schema)
+
+
+def _job_reports(spark, sf):
+    """The batch job over the shared tables of all tenants; four of its written reports, read back."""
+    cat = catalog(spark, sf)
+    _, out = _new_table(spark)
+    tables = {s: cat.table(f"SHARED_{s}") for s in SHARED_SOURCES}
+    results = build_shared_marts(registry(spark, sf), tables, {"mail_notifications": cat.table("mail_notifications")}, out, "TENANT")
+    failed = [r for r in results if r.status == "failed"]
+    if failed:
+        raise RuntimeError(str(failed[0]))
+    parts = [("book_date/summary", F.concat_ws("/", "Item", "Department"), "Net Attendance", "Net Value"), ("guest_portal/funnel", F.col("Step"), "Events", "position"),
+             ("email_campaigns/summary", F.col("Segment"), "Emails Sent", "Delivered"), ("product_performance/total", F.lit("Total"), "View", "Net Value")]
+    rows = [spark.read.parquet(f"{out}/{r}").select(F.col("TENANT").cast("string").alias("TENANT"), F.lit(r).alias("report"), label.alias("label"),
+                                                    F.col(a).cast("double").alias("a"), F.col(b).cast("double").alias("b")) for r, label, a, b in parts]
+    return union_all_by_name(rows)
+
+
+def _registry_fallback(spark, sf):
+    """The registry from a control table of seeded and appended tenants, and the fallback where it is missing or has no active row."""
+    fallback = list(_tenants(spark, sf).values())
+    many = catalog(spark, sf).table("MANY_CUSTOMERS")
+    seeded = seed_customers(spark, fallback).unionByName(many.filter("length(CUSTOMER) % 2 = 0"), allowMissingColumns=True)
+    name, path = _new_table(spark)
+    seeded.write.option("path", path).saveAsTable(name)
+    many.filter("length(CUSTOMER) % 2 = 1").write.mode("append").option("path", path).saveAsTable(name)
+    closed, closed_path = _new_table(spark)
+    many.withColumn("ACTIVE", F.lit(False)).write.option("path", closed_path).saveAsTable(closed)
+    cases = {"table": name, "no active row": closed, "missing": "landed_missing"}
+    return union_all_by_name([load_registry_or_fallback(spark, table, fallback).select(
+        F.lit(case).alias("case"), "customer", "label", "prefix", F.array_join("pages", ",").alias("pages"), F.col("email.subject_match").alias("subject_match"))
+        for case, table in cases.items()])
+
+
 def entry(spark: SparkSession) -> DataFrame:
     """Flagship: Book Date attendance summary on sf0.001."""
     return att.book_date(_tx(spark, SMOKE_DIR))
@@ -262,6 +340,13 @@ def report_queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "devices_by_tenant": lambda s, d: ga4.devices(_shared(s, d, "DEVICE")["DEVICE"], ["TENANT"]),
         "top_locations_by_tenant": lambda s, d: ga4.top_locations(_shared(s, d, "LOCATION")["LOCATION"], by=["TENANT"]),
         "email_summary_by_tenant": _email_by_tenant,
+        # landed tables and written reports, read back
+        "email_summary_bucketed": _email_silver,
+        "product_total_bucketed": _product_silver,
+        "book_date_partitioned": _book_date_partitioned,
+        "product_csv": _product_csv,
+        "job_reports": _job_reports,
+        "registry_fallback": _registry_fallback,
     }
 
 
@@ -589,6 +674,26 @@ def _by_tenant(kpis: str) -> str:
     return kpis.replace("SELECT ", "SELECT TENANT, ", 1).replace("FROM d", "FROM k GROUP BY TENANT")
 
 
+def _job_sql() -> str:
+    """The four written reports of the entitled tenants, from the reports' own SQL."""
+    parts = [("book_date/summary", _att_sql(shared=True), "Item || '/' || Department", "Net Attendance", "Net Value", "TENANT IN ('aurora', 'borealis')"),
+             ("guest_portal/funnel", _shared_funnel_sql(), "Step", "Events", "position", "TENANT = 'aurora'"),
+             ("email_campaigns/summary", _email_summary_by_tenant_sql(), "Segment", "Emails Sent", "Delivered", "TRUE")]
+    for t in ("aurora", "borealis"):
+        own = _PRODUCT.replace("FROM report_items", f"FROM (SELECT * EXCLUDE (TENANT) FROM report_items_by_tenant WHERE TENANT = '{t}')")
+        total = fixture_ctes(["report_items_by_tenant"]) + own + _PRODUCT_TOTAL.replace("SELECT ", f"SELECT '{t}' AS TENANT, ", 1)
+        parts.append(("product_performance/total", total, "'Total'", "View", "Net Value", "TRUE"))
+    return " UNION ALL ".join(f"""SELECT TENANT, '{r}' AS report, {label} AS label, CAST("{a}" AS DOUBLE) AS a, CAST("{b}" AS DOUBLE) AS b FROM ({sql}) WHERE {where}"""
+                              for r, sql, label, a, b, where in parts)
+
+
+def _registry_columns(table: str) -> str:
+    return f"""SELECT lower(trim(CUSTOMER)) AS customer, coalesce(nullif(LABEL, ''), lower(trim(CUSTOMER))) AS label, upper(trim(PREFIX)) AS prefix,
+       coalesce(array_to_string(from_json(PAGES, '["VARCHAR"]'), ','), '') AS pages,
+       CASE WHEN json_valid(EMAIL_CONFIG) THEN json_extract_string(CASE WHEN json_valid(EMAIL_CONFIG) THEN EMAIL_CONFIG END, '$.subject_match') END AS subject_match
+FROM {table} WHERE coalesce(ACTIVE, TRUE)"""
+
+
 def report_sql() -> dict[str, str]:
     funnel_values = ", ".join(f"({i}, '{k}', '{lbl}')" for i, (k, lbl) in enumerate(FUNNEL_STEPS))
     search_pred = " OR ".join(
@@ -677,6 +782,16 @@ SELECT *, FALSE AS is_total FROM a UNION ALL
 SELECT NULL, NULL, round_even(sum("Net Attendance"), 2), round_even(CAST(sum(CAST("Net Value" AS DECIMAL(38, 4))) AS DOUBLE), 2), TRUE FROM a""",
         "product_export": fixture_ctes(["report_items"]) + _PRODUCT + ", g AS (" + _PRODUCT_TOTAL + """)
 SELECT *, FALSE AS is_total FROM c UNION ALL BY NAME SELECT *, TRUE AS is_total FROM g""",
+        "email_summary_bucketed": _email_summary_sql(),
+        "product_total_bucketed": fixture_ctes(["report_items"]) + _PRODUCT + _PRODUCT_TOTAL,
+        "book_date_partitioned": "SELECT * EXCLUDE (TENANT) FROM (" + _att_sql(shared=True) + ") WHERE TENANT = 'aurora'",
+        "product_csv": fixture_ctes(["report_items"]) + _PRODUCT + """SELECT row_number() OVER (ORDER BY "View" DESC NULLS LAST,
+  "Booked Year Month" NULLS FIRST, "Item Name" NULLS FIRST, Department NULLS FIRST, "Gross Booked" NULLS FIRST, Conversion NULLS FIRST, "Net Attendance" NULLS FIRST,
+  "Net Value" NULLS FIRST, Cancelled NULLS FIRST, "Gross Quantity" NULLS FIRST) - 1 AS position, * FROM c""",
+        "job_reports": _job_sql(),
+        "registry_fallback": fixture_ctes(["dashboard_customers", "many_customers"]) + f""", own AS ({_registry_columns("dashboard_customers")}),
+many AS ({_registry_columns("many_customers")})
+SELECT 'table' AS "case", * FROM own UNION ALL SELECT 'table', * FROM many UNION ALL SELECT 'no active row', * FROM own UNION ALL SELECT 'missing', * FROM own""",
         "registry_rows": fixture_ctes(["many_customers"]) + """
 SELECT lower(trim(CUSTOMER)) AS customer, coalesce(nullif(LABEL, ''), lower(trim(CUSTOMER))) AS label, upper(trim(PREFIX)) AS prefix,
        coalesce(array_to_string(from_json(PAGES, '["VARCHAR"]'), ','), '') AS pages,

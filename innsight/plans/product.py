@@ -87,8 +87,10 @@ def product_rows(raw: DataFrame, picks: Picks | None = None, on_bad_month: str =
 
 
 def report_order() -> list:
-    """Most-viewed first; ties by month, item and department."""
-    return [F.desc_nulls_last("View"), F.col("`Booked Year Month`"), F.col("`Item Name`"), F.col("Department")]
+    """Most-viewed first; ties by month, item, department, then the other columns."""
+    ties = [c for c in COLUMNS if c != "View"]
+    ties.sort(key=lambda c: c not in ("Booked Year Month", "Item Name", "Department"))
+    return [F.desc_nulls_last("View"), *[F.col(f"`{c}`") for c in ties]]
 
 
 def product_performance(raw: DataFrame, picks: Picks | None = None, on_bad_month: str = "fail",

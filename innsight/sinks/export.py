@@ -67,13 +67,14 @@ def read_ordered_csv(spark: SparkSession, path: str, schema: T.StructType) -> Da
     fields must hold no line breaks.  Files are numbered by their line counts, a
     table of one row a file; the rows themselves are not sorted.
     """
-    files = spark.read.option("wholetext", True).text(path, pathGlobFilter="*.csv").select(F.col("_metadata.file_name").alias("file"), "value")
+    files = spark.read.text(path, wholetext=True, pathGlobFilter="*.csv").select(F.col("_metadata.file_name").alias("file"), "value")
     lines = F.split(F.regexp_replace("value", "\n$", ""), "\n")
     sizes = files.groupBy("file").agg(F.sum(F.size(lines) - 1).alias("n"))  # without the header
     starts = sizes.select("file", (F.sum("n").over(Window.orderBy("file")) - F.col("n")).alias("start"))
     rows = files.select("file", F.posexplode(lines).alias("line", "text")).where("line > 0").join(starts, "file")
+    ddl = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in schema.fields)
     options = {"escape": '"', "quote": '"', "nullValue": ""}
-    parsed = rows.select((F.col("start") + F.col("line") - 1).alias("position"), F.from_csv("text", schema.simpleString()[7:-1].replace(":", " "), options).alias("r"))
+    parsed = rows.select((F.col("start") + F.col("line") - 1).alias("position"), F.from_csv("text", ddl, options).alias("r"))
     return parsed.select("position", "r.*")
 
 

@@ -9,9 +9,10 @@ explicitly registered frames or paths first, else from the session catalog.
 from __future__ import annotations
 
 import re
-from collections.abc import Callable, Mapping
+from collections.abc import Callable, Mapping, Sequence
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from innsight.config import REPORT_ITEMS_SUFFIX, TRANSACTIONS_SUFFIX, TenantConfig
 
@@ -101,3 +102,13 @@ def grain_table_name(cfg: TenantConfig, grain: str) -> str:
 def scan_grain(catalog: TableCatalog, cfg: TenantConfig, grain: str) -> DataFrame:
     """``{database}.{schema}.{report}_GA4_{grain}`` of the tenant."""
     return catalog.table(grain_table_name(cfg, grain))
+
+
+def scan_shared(catalog: TableCatalog, name: str, tenants: Sequence[str], tenant_col: str = "tenant") -> DataFrame:
+    """Rows of ``tenants`` in a table that all tenants share.
+
+    The filter is on the plain column, so a table partitioned by it lists and
+    reads those partitions only.  ``tenants`` comes from the registry, never
+    from a user's choice.
+    """
+    return catalog.table(name).filter(F.col(tenant_col).isin(list(tenants)))

@@ -161,6 +161,9 @@ SELECT * FROM (VALUES
 # TENANT column; one tenant holds half of the rows (skew).
 _TENANT_OF_CUSTOMER = "CASE WHEN c_custkey % 2 = 0 THEN 'aurora' WHEN c_custkey % 4 = 1 THEN 'borealis' ELSE 'closed' END"
 _TENANT_OF_USER = "CASE WHEN user_id % 2 = 0 THEN 'aurora' WHEN user_id % 4 = 1 THEN 'borealis' ELSE 'closed' END"
+FIXTURES["report_items_by_tenant"] = ("""
+SELECT 'aurora' AS TENANT, * FROM {report_items} UNION ALL SELECT 'borealis', * FROM {report_items} WHERE VIEWED % 2 = 0
+""", ("report_items",))
 FIXTURES["transactions_by_tenant"] = (
     FIXTURES["transactions_grouped"][0].replace(
         "SELECT CASE WHEN l_partkey % 29", f"SELECT {_TENANT_OF_CUSTOMER} AS TENANT,\n       CASE WHEN l_partkey % 29", 1),
