@@ -7,8 +7,10 @@ best-fit decreasing and computes a lower bound of its bin count from
 dual-feasible functions; a partition whose bin count equals its bound is
 certified optimal and done.  The others keep their full bins, put the pieces of
 all other bins into a common pool, exchange them with one another and run
-best-fit decreasing again, in half as many partitions, until none has a gap or
-a round wins nothing (then the round before stands).
+best-fit decreasing again, in as many partitions as the pool needs, until none
+has a gap, a round wins nothing (then the round before stands), the pool fits
+one partition or ``MAX_ROUNDS`` have run.  What the last round leaves is packed,
+only not certified; no piece is lost.
 
 Defined results: a null or empty text is the end id alone; repeated rows are
 packed as rows of their own; ties in length go by id and piece; an empty table
@@ -27,7 +29,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from innsight.llm.util import written
+from innsight.llm.util import batches_of_bytes, written
 
 CAPACITY = 1024
 END_ID = 2
@@ -41,7 +43,7 @@ def byte_level_encoder(path: str):
     """Encoder of a byte-level BPE vocabulary (a ``tokenizers`` JSON file).
 
     The ids are those of the ``tokenizers`` library (tested): by ``encode`` with
-    the file's added tokens allowed those of its default, by ``encode_ordinary``
+    the file's added tokens allowed those of its default, without them
     those with added tokens taken as ordinary text.  The tiktoken engine
     computes them about four times as fast.
     """
@@ -58,6 +60,16 @@ def byte_level_encoder(path: str):
     return tiktoken.Encoding("byte_bpe", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens=added)
 
 
+@lru_cache(maxsize=4)
+def library_encoder(path: str, added_tokens: bool):
+    """The same ids by the ``tokenizers`` library, for texts beyond the other engine's stack (white space by the megabyte)."""
+    from tokenizers import Tokenizer
+
+    tokenizer = Tokenizer.from_file(path)
+    tokenizer.encode_special_tokens = not added_tokens
+    return tokenizer
+
+
 def token_pieces(docs: DataFrame, tokenizer_path: str, capacity: int = CAPACITY, end_id: int = END_ID,
                  id_col: str = "doc_id", text_col: str = "text", added_tokens: bool = False) -> DataFrame:
     """One row per piece: id, piece, start, length, ids_crc32 (of its little-endian ids).
@@ -70,8 +82,15 @@ def token_pieces(docs: DataFrame, tokenizer_path: str, capacity: int = CAPACITY,
         import pyarrow as pa
 
         encoder = byte_level_encoder(tokenizer_path)
-        encode = partial(encoder.encode, allowed_special="all") if added_tokens else encoder.encode_ordinary
-        for b in batches:
+        fast = partial(encoder.encode, allowed_special="all" if added_tokens else set(), disallowed_special=())
+
+        def encode(text: str) -> list[int]:
+            try:
+                return fast(text)
+            except ValueError:  # its regular expressions run out of stack
+                return library_encoder(tokenizer_path, added_tokens).encode(text, add_special_tokens=False).ids
+
+        for b in batches_of_bytes(batches, "_text"):
             ids_col, piece, start, length, crc = [], [], [], [], []
             for doc, text in zip(b.column(0).to_pylist(), b.column(1)):
                 ids = np.array([*encode(text.as_py() or ""), end_id], "<u4")
@@ -87,7 +106,7 @@ def token_pieces(docs: DataFrame, tokenizer_path: str, capacity: int = CAPACITY,
                 [pa.array(ids_col, b.schema.field(0).type), pa.array(piece, pa.int32()), *(pa.array(x, pa.int64()) for x in (start, length, crc))],
                 ["_id", "piece", "start", "length", "ids_crc32"])
 
-    source = docs.select(F.col(id_col).alias("_id"), F.col(text_col).alias("_text"))
+    source = docs.select(F.col(id_col).alias("_id"), F.col(text_col).cast("string").alias("_text"))
     schema = T.StructType([source.schema["_id"], *(T.StructField(n, t) for n, t in (
         ("piece", T.IntegerType()), ("start", T.LongType()), ("length", T.LongType()), ("ids_crc32", T.LongType())))])
     return source.mapInArrow(run, schema).withColumnRenamed("_id", id_col)

@@ -109,3 +109,9 @@ def test_partitions_with_gaps_exchange_pieces(spark, monkeypatch):
 
 def test_empty_table(docs_of):
     assert pack(token_pieces(docs_of([]), PATH)).collect() == []
+
+
+def test_long_white_space_runs(docs_of):
+    """A megabyte of blanks or line breaks is encoded as the library encodes it."""
+    rows = [(1, " " * 1_000_000), (2, "\n" * 1_000_000), (3, "a" + " " * 300_000 + "b <|endoftext|>"), (4, "." * 300_000), (5, None)]
+    assert sorted(map(tuple, token_pieces(docs_of(rows), PATH).collect()), key=str) == reference_pieces(rows)
