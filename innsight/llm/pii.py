@@ -12,14 +12,19 @@ it is.
 kind       domain permuted                         kept
 =========  ======================================  =========================================
 card       all digits but the check digit          separators; the new check digit is valid
-phone      the ten national digits                 country code, separators
+phone      the last ten digits                     digits before them, separators
 ip         all 2**32 addresses                     dotted form
 ssn        all issued (area, group, serial)        separators
-date       73,000 days from 1900-01-01             notation (others stay as they are)
+date       73,000 days from 1900-01-01             notation; time of day of a time stamp
 email      no finite domain: keyed 64-bit digests  the top-level domain
 =========  ======================================  =========================================
 
-Round function: SHA-256 of key, kind, round and half.  Eight rounds alternate
+Day-first slash dates (those that cannot be month-first) are permuted among
+themselves, by repeating the permutation until a day over 12 comes up, so no two
+dates of a notation meet.  Phones are 3-3-4 groups with separators, or E.164
+numbers of 10 to 15 digits with their plus sign.
+
+Round function: SHA-256 of the kind's key, round and half.  Eight rounds alternate
 ``left = (left + f(right)) mod a`` and ``right = (right + f(left)) mod b`` on a
 value ``left * b + right`` below ``a * b``.
 
@@ -30,27 +35,38 @@ empty tables give empty results; other columns pass through.
 
 from __future__ import annotations
 
+import hashlib
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 ROUNDS = 8
 KINDS = ("email", "card", "ip", "phone", "ssn", "date")
-_EMAIL = r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]++@(?:[A-Za-z0-9-]++\.)+[A-Za-z]{2,}+"
+# A host has 126 labels at most; the bound also keeps the regular expression's stack small.
+_EMAIL = r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]++@(?:[A-Za-z0-9-]++\.){1,126}[A-Za-z]{2,}+"
 _CARD = r"(?<![A-Za-z0-9])(?:\d{13,19}|\d{4}(?: \d{4}){3}|\d{4}(?:-\d{4}){3}|\d{4} \d{6} \d{5}|\d{4}-\d{6}-\d{5})(?![A-Za-z0-9])"
 _IP = r"(?<![\w.])\d{1,3}(?:\.\d{1,3}){3}(?!\w|\.\d)"
-_PHONE = r"(?<![\w+])(?:\+\d{1,3}[ .-]?)?(?:\(\d{3}\) ?|\d{3}[ .-])\d{3}[ .-]\d{4}(?![\w-])"
+_PHONE = (r"(?<![\w+])(?:(?:\+\d{1,3}[ .-]?)?(?:\(\d{3}\) ?|\d{3}[ .-])\d{3}[ .-]\d{4}"
+          r"|\+[1-9]\d{9,14}|\+[1-9]\d{0,2}(?: \d{2,8}){2,4})(?![\w-])")
 _SSN = r"(?<![\w-])\d{3}-\d{2}-\d{4}(?![\w-])"
-_DATE = r"(?<![\w/.-])(?:\d{4}-\d{2}-\d{2}|\d{2}/\d{2}/\d{4}|\d{2}\.\d{2}\.\d{4})(?![\w/-]|\.\d)"
+_DATE = r"(?<![\w/.-])(?:\d{4}-\d{2}-\d{2}|\d{2}/\d{2}/\d{4}|\d{2}\.\d{2}\.\d{4})(?:(?![\w/-]|\.\d)|(?=T\d{2}:\d{2}))"
 CANDIDATE = "|".join((_EMAIL, _CARD, _IP, _PHONE, _SSN, _DATE))
 FIRST_DAY, DAY_A, DAY_B = "1900-01-01", 365, 200
 
 
+def subkey(key: str, kind: str) -> str:
+    """A kind's own key; plans and event logs show only these, never the secret."""
+    return hashlib.sha256(f"{key}|{kind}".encode()).hexdigest()
+
+
 def feistel(value: Column, a, b, key: str, kind: str) -> Column:
     """Keyed permutation of ``0 .. a * b - 1`` (long columns or numbers)."""
     a, b = (x if isinstance(x, Column) else F.lit(x).cast("long") for x in (a, b))
 
+    own = F.lit(subkey(key, kind))
+
     def f(r: Column, half: Column) -> Column:
-        return F.conv(F.substring(F.sha2(F.concat_ws("|", F.lit(key), F.lit(kind), r, half), 256), 1, 15), 16, 10).cast("long")
+        return F.conv(F.substring(F.sha2(F.concat_ws("|", own, r, half), 256), 1, 15), 16, 10).cast("long")
 
     def step(acc: Column, r: Column) -> Column:
         left, right = acc["l"], acc["r"]
@@ -117,8 +133,8 @@ def kind_of(m: Column) -> Column:
         .when(m.rlike(r"^(\d{4}-\d{2}-\d{2}|\d{2}/\d{2}/\d{4}|\d{2}\.\d{2}\.\d{4})$"),
               F.when(F.date_diff(_date(m)[0], F.lit(FIRST_DAY).cast("date")).between(0, DAY_A * DAY_B - 1), "date"))
         .when(m.rlike(r"^\d{4}[ -]?\d{4}") & (F.length(d) >= 13), F.when(card, "card"))
-        .when(F.length(d) >= 13, F.when(m.rlike(r"^\d{4}[ -]\d{6}|^\d+$"), F.when(card, "card")).otherwise("phone"))
-        .otherwise("phone")
+        .when(F.length(d) >= 13, F.when(m.rlike(r"^\d{4}[ -]\d{6}|^\d+$"), F.when(card, "card")).otherwise(F.when(F.length(d) <= 15, "phone")))
+        .otherwise(F.when(F.length(d).between(10, 15), "phone"))
     )
 
 
@@ -145,12 +161,23 @@ def pseudonym(m: Column, kind: Column, key: str) -> Column:
 
     ssn = F.transform(F.array(feistel(number, 898 * 99, 9999, key, "ssn")), ssn_text)[0]
     day, notation = _date(m)
-    moved = F.date_add(F.lit(FIRST_DAY).cast("date"), feistel(F.date_diff(day, F.lit(FIRST_DAY).cast("date")).cast("long"), DAY_A, DAY_B, key, "date").cast("int"))
+    first = F.lit(FIRST_DAY).cast("date")
+
+    def day_of(v: Column) -> Column:
+        return F.date_add(first, v.cast("int"))
+
+    def walk(acc: Column, _: Column) -> Column:
+        """Day-first slash dates have days over 12, and so do their pseudonyms: permuted on until one has."""
+        again = acc["n"].isNull() | ((notation == "dd/MM/yyyy") & (F.dayofmonth(day_of(acc["n"])) <= 12))
+        return F.when(again, F.struct(feistel(F.coalesce(acc["n"], acc["v"]), DAY_A, DAY_B, key, "date").alias("n"), acc["v"].alias("v"))).otherwise(acc)
+
+    start = F.struct(F.lit(None).cast("long").alias("n"), F.date_diff(day, first).cast("long").alias("v"))
+    moved = day_of(F.aggregate(F.sequence(F.lit(1), F.when(notation == "dd/MM/yyyy", 200).otherwise(1)), start, walk, lambda acc: acc["n"]))
     date = F.when(notation == "yyyy-MM-dd", F.date_format(moved, "yyyy-MM-dd")).when(notation == "dd.MM.yyyy", F.date_format(moved, "dd.MM.yyyy")).when(
         notation == "MM/dd/yyyy", F.date_format(moved, "MM/dd/yyyy")).otherwise(F.date_format(moved, "dd/MM/yyyy"))
 
     def digest(label: str, part: Column) -> Column:
-        return F.substring(F.sha2(F.concat_ws("|", F.lit(key), F.lit(label), F.lower(part)), 256), 1, 16)
+        return F.substring(F.sha2(F.concat_ws("|", F.lit(subkey(key, label)), F.lower(part)), 256), 1, 16)
 
     email = F.concat(F.lit("u"), digest("user", m), F.lit("@d"), digest("domain", F.substring_index(m, "@", -1)), F.lit("."), F.substring_index(m, ".", -1))
     return F.when(kind.isNull(), m).when(kind == "email", email).when(kind == "card", card).when(kind == "ip", ip).when(kind == "ssn", ssn).when(

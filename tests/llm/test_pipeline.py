@@ -40,6 +40,6 @@ def test_run_and_entry(spark):
     import __spark_entry__ as entry
 
     names = set(entry.queries())
-    assert "pipeline" in names and {int(m[1]) for n in names if (m := re.match(r"op(\d+)_", n))} == set(range(1, 11))
+    assert "pipeline" in names and {int(m[1]) for n in names if (m := re.match(r"op(\d+)_", n))} == set(range(1, 14))
     assert set(entry.oracle_sql()) <= names
     assert cp.run(spark, SF).columns == ["doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset"]
