@@ -18,15 +18,17 @@ or more are linked, and linked documents share a component.
    all of its pairs.  Stars that then still connect different components are
    verified with the next step's pairs: blocks of two classes have no others.
 3. *Signature trees.*  Larger blocks that still hold several components (any two of
-   which may hold a link yet) are searched completely.  One of at most ``LEAF``
-   classes is a leaf by itself: its pairs that fit in size and cross components
-   are compared by bitmap, once however many blocks they share.  The classes of a larger block,
+   which may hold a link yet) are searched completely.  The classes of a block,
    ordered by size, become the leaves of a tree whose nodes hold the OR of their
    token bitmaps and their range of sizes.  A dual traversal descends into a
    pair of nodes only if the largest overlap that bitmaps and sizes allow
    reaches 80 %, and if they are not of one component; of the blocks that two
-   classes share, the one with the smallest key gives their pair.  Blocks of more than
-   ``CHUNK`` classes are cut into chunks whose pairs are separate rows.
+   classes share, the one with the smallest key gives their pair (blocks of at most
+   ``LEAF`` classes, one leaf each, may repeat it).  Blocks of more than ``CHUNK`` classes are cut into chunks whose pairs are separate rows.
+4. *Rounds.*  ``FOREST_ROUNDS`` searches hand on only a spanning forest of each
+   block's candidates, fewer than its classes, so a family of copies is joined
+   without its pairs.  A last search hands on every candidate between the
+   components that are left, so no link is lost.
 
 Every candidate is verified exactly on the sets.  Postings travel as arrays per
 (batch, key range); memory of a task is bounded by the key ranges, whose number
@@ -58,6 +60,9 @@ MAX_FREQUENT = 500_000  # of the counted shingles, the most frequent: a bound on
 RANGE_POSTINGS = 500_000
 CHUNK = 2048
 LEAF = 32
+STAR_BITS, TREE_BITS = 1, 8  # bits a shingle of the bitmaps, at least
+FOREST_ROUNDS = 2
+COMPARED_BYTES = 16 << 20  # of bitmaps held at once
 BROADCAST_ROWS = 1_000_000
 
 
@@ -165,27 +170,27 @@ def _blocks(batches: Iterator) -> Iterator:
 
 
 def _centres(key: np.ndarray, cls: np.ndarray, at: np.ndarray) -> np.ndarray:
-    """Index of each block's centre: the class with the smallest hash of block and class."""
+    """Index of each block's centre: the class with the smallest hash, so that blocks of the same classes agree on few centres."""
     if not len(key):
         return np.zeros(0, np.int64)
-    h = mix(mix(key.view(np.uint64)) ^ cls.view(np.uint64))
+    h = mix(cls.view(np.uint64))
     block = np.repeat(np.arange(len(at) - 1), np.diff(at))
     return np.lexsort((h, block))[at[:-1]]
 
 
-def _width(n: int) -> int:
-    """Bits of the bitmap of a set of ``n`` shingles: a power of two of n or more, 64 at least."""
-    return max(64, 1 << int(n - 1).bit_length())
+def _width(n: int, density: int = TREE_BITS) -> int:
+    """Bits of the bitmap of a set of ``n`` shingles: a power of two, one to two times ``density`` a shingle, 64 at least."""
+    return max(64, density << int(n - 1).bit_length())
 
 
-def _bitmap(shingle: np.ndarray) -> bytes:
-    bits = np.zeros(_width(len(shingle)), bool)
+def _bitmap(shingle: np.ndarray, density: int = TREE_BITS) -> bytes:
+    bits = np.zeros(_width(len(shingle), density), bool)
     bits[(shingle % np.uint64(len(bits))).astype(np.int64)] = True
     return np.packbits(bits).tobytes()
 
 
-def _contents(bitmaps: bool):
-    """Rows (class, where it is needed, text) -> (class, size, bitmap or shingles, where)."""
+def _contents(density: int):
+    """Rows (class, where it is needed, text) -> (class, size, bitmap of ``density`` bits a shingle or, at 0, the shingles, where)."""
 
     def run(batches: Iterator) -> Iterator:
         import pyarrow as pa
@@ -194,8 +199,8 @@ def _contents(bitmaps: bool):
             _, shingle, first, size, name = _sets(b)
             same = name == b.column(0).to_numpy()  # other rows of the same id may have come along
             spans = list(zip(first[same].tolist(), size[same].tolist()))
-            if bitmaps:
-                content = pa.array([_bitmap(shingle[f:f + n]) for f, n in spans], pa.binary())
+            if density:
+                content = pa.array([_bitmap(shingle[f:f + n], density) for f, n in spans], pa.binary())
             else:
                 content = pa.array([shingle[f:f + n].tobytes() for f, n in spans], pa.binary())
             keep = pa.array(same)
@@ -268,13 +273,14 @@ def _may_link(common, slack_a, slack_b, low_a, low_b, high_a, high_b):
 def dual_traversal(a: SignatureTree, b: SignatureTree, same: bool) -> tuple[np.ndarray, np.ndarray]:
     """Indices (into the trees' input) of the pairs of different roots that may link."""
     top = max(len(a.levels), len(b.levels)) - 1
+    some = max(1, COMPARED_BYTES // (8 * a.bits.shape[1]))
     i, j = np.zeros(1, np.int64), np.zeros(1, np.int64)
     for level in range(top, -1, -1):
         la, lb = a.levels[min(level, len(a.levels) - 1)], b.levels[min(level, len(b.levels) - 1)]
         ok = np.concatenate([
             _may_link(_count(la[0][x] & lb[0][y]), la[3][x], lb[3][y], la[1][x], lb[1][y], la[2][x], lb[2][y])
             & ~((la[4][x] == la[5][x]) & (lb[4][y] == lb[5][y]) & (la[4][x] == lb[4][y]))
-            for x, y in ((i[k:k + 65536], j[k:k + 65536]) for k in range(0, len(i), 65536))]) if len(i) else np.zeros(0, bool)
+            for x, y in ((i[k:k + some], j[k:k + some]) for k in range(0, len(i), some))]) if len(i) else np.zeros(0, bool)
         i, j = i[ok], j[ok]
         if level:
             split_a, split_b = level < len(a.levels), level < len(b.levels)
@@ -351,15 +357,42 @@ def tree_candidates(left, right=None, key: int | None = None) -> list[tuple[int,
     return found
 
 
-def _search(batches: Iterator) -> Iterator:
-    import pyarrow as pa
+def spanning(pairs: list[tuple[int, int]], root: dict[int, int]) -> list[tuple[int, int]]:
+    """A forest of the pairs: they join the same components as all of them, if all of them link."""
+    up: dict[int, int] = {}
 
-    for b in batches:
-        pairs = set()
-        for key, left, right in zip(*b.columns):
-            pairs.update((min(p), max(p)) for p in tree_candidates(left.as_py(), right.as_py(), key.as_py()))
-        if pairs:
-            yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*sorted(pairs))], ["a", "b"])
+    def top(x: int) -> int:
+        while (y := up.get(x, x)) != x:
+            up[x] = up.get(y, y)
+            x = y
+        return x
+
+    out = []
+    for a, b in pairs:
+        p, q = top(root[a]), top(root[b])
+        if p != q:
+            up[p] = q
+            out.append((a, b))
+    return out
+
+
+def _search(forest: int | None):
+    def run(batches: Iterator) -> Iterator:
+        import pyarrow as pa
+
+        for b in batches:
+            pairs = set()
+            for key, left, right in zip(*b.columns):
+                left, right = left.as_py(), right.as_py()
+                found = [(min(p), max(p)) for p in tree_candidates(left, right, key.as_py())]
+                if forest is not None:
+                    odd = 0x9E3779B97F4A7C15 + 2 * forest  # blocks that share pairs prefer the same ones
+                    found = spanning(sorted(found, key=lambda p: ((p[0] ^ p[1] * odd) * odd >> 20) % (1 << 61)), {x["class"]: x["root"] for x in (*left, *(right or ()))})
+                pairs.update(found)
+            if pairs:
+                yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*sorted(pairs))], ["a", "b"])
+
+    return run
 
 
 # ------------------------------------------------------------------ the join
@@ -396,9 +429,18 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     two = star.groupBy("a").agg(F.array(F.min_by("b", h), F.max_by("b", h)).alias("b")).select("a", F.explode(F.array_distinct("b")).alias("b"))
     links = written(_verified(source, one, two), "verified")
     roots = components(links)
-    pairs = written(_tree_pairs(source, one, blocks, roots).unionAll(_apart(star, roots)).distinct(), "tree")
-    links = links.unionAll(written(_verified(source, one, pairs), "verified"))
-    roots = components(links)
+    signatures = None
+    for number in range(FOREST_ROUNDS + 1):
+        last = number == FOREST_ROUNDS
+        members = _open_members(blocks, roots)
+        if signatures is None:  # later rounds need no others
+            needed = members.select("class").distinct().withColumn("at", F.lit(0))
+            signatures = written(_fetched(source, one, needed, TREE_BITS).select("class", "size", F.col("content").alias("bitmap")), "signatures")
+        pairs = _tree_pairs(signatures, members, None if last else number)
+        pairs = written(pairs.unionAll(_apart(star, roots)).distinct() if last else pairs, "tree")
+        if not pairs.isEmpty():
+            links = links.unionAll(written(_verified(source, one, pairs), "verified"))
+            roots = components(links)
 
     degree = links.distinct().select(F.explode(F.array("a", "b")).alias("class")).groupBy("class").agg(F.count(F.lit(1)).alias("spanning_links"))
     named = rows.join(roots, rows["class"] == roots["node"], "left").join(degree, "class", "left")
@@ -430,14 +472,14 @@ def keep_one_of_each_group(docs: DataFrame, id_col: str = "doc_id", text_col: st
     return once.select(*[F.col(f"c{i}").alias(c) for i, c in enumerate(names)])
 
 
-def _fetched(source: DataFrame, one: DataFrame, needed: DataFrame, bitmaps: bool) -> DataFrame:
+def _fetched(source: DataFrame, one: DataFrame, needed: DataFrame, density: int) -> DataFrame:
     """(class, size, content, at) for the classes of ``needed`` (class, at: an array), from one document each."""
     rows = written(needed.join(one, "class").select("class", "at", "_one"), "needed")
     rows = F.broadcast(rows) if rows.count() <= BROADCAST_ROWS else rows
     texts = source.join(rows, F.col("_id").eqNullSafe(F.col("_one"))).select("class", "at", "_text")
     at = next(f for f in texts.schema.fields if f.name == "at")
     schema = T.StructType([T.StructField("class", T.LongType()), T.StructField("size", T.LongType()), T.StructField("content", T.BinaryType()), at])
-    return texts.mapInArrow(_contents(bitmaps), schema)
+    return texts.mapInArrow(_contents(density), schema)
 
 
 def _verified(source: DataFrame, one: DataFrame, pairs: DataFrame, bitmaps: bool = False) -> DataFrame:
@@ -451,7 +493,7 @@ def _verified(source: DataFrame, one: DataFrame, pairs: DataFrame, bitmaps: bool
     members = pairs.join(sizes, "b").select(F.col("a").alias("class"), F.col("b").alias("meeting"), F.pmod(F.xxhash64("a"), F.col("meetings")).alias("room"))
     centres = sizes.select(F.col("b").alias("class"), F.col("b").alias("meeting"), F.explode(F.sequence(F.lit(0).cast("long"), F.col("meetings") - 1)).alias("room"))
     needed = members.unionAll(centres).groupBy("class").agg(F.collect_list(F.struct("meeting", "room")).alias("at"))
-    sent = _fetched(source, one, needed, bitmaps).select("class", "size", "content", F.explode("at").alias("at"))
+    sent = _fetched(source, one, needed, STAR_BITS if bitmaps else 0).select("class", "size", "content", F.explode("at").alias("at"))
     sent = sent.select("class", F.col("at.meeting").alias("meeting"), F.col("at.room").alias("room"), "size", "content")
     met = sent.repartition("meeting", "room").sortWithinPartitions("meeting", "room", F.col("class") != F.col("meeting"))
     return met.select("class", "meeting", "size", "content").mapInArrow(_meet(bitmaps), "a long, b long").distinct()
@@ -471,28 +513,29 @@ def _sizes_fit(small, large):
     return (small > 0) & (small <= F.abs(large)) & (small * 5 >= F.abs(large) * 4)
 
 
-def _tree_pairs(source: DataFrame, one: DataFrame, blocks: DataFrame, roots: DataFrame) -> DataFrame:
-    """Pairs of classes in a block, of different components, that may link."""
-    members = blocks.where(F.size("classes") > 2).select("key", F.explode(F.arrays_zip("classes", "sizes")).alias("m"))  # two: the pair is a star, see _apart
-    members = members.select("key", F.col("m.classes").alias("class"), F.col("m.sizes").alias("size"))
-    members = members.join(roots, F.col("class") == F.col("node"), "left").select("key", "class", "size", F.coalesce("root", "class").alias("root"))
+def _open_members(blocks: DataFrame, roots: DataFrame) -> DataFrame:
+    """(key, class, root, n): the classes of blocks that hold several components, ``n`` of them."""
+    members = blocks.where(F.size("classes") > 2).select("key", F.explode("classes").alias("class"))  # two: the pair is a star, see _apart
+    members = members.join(roots, F.col("class") == F.col("node"), "left").select("key", "class", F.coalesce("root", "class").alias("root"))
     open_keys = members.groupBy("key").agg(F.min("root").alias("lo"), F.max("root").alias("hi"), F.count(F.lit(1)).alias("n")).where("lo <> hi").select("key", "n")
-    members = written(members.join(open_keys, "key"), "open")
+    return written(members.join(open_keys, "key"), "open")
+
 
-    leaves = members.where(F.col("n") <= LEAF).groupBy("key").agg(F.collect_list(F.struct("class", "size", "root")).alias("rows"))
-    leaves = leaves.select("rows", F.explode("rows").alias("x")).select("x", F.explode(F.filter("rows", lambda y: (
-        y["root"] != F.col("x.root")) & (y["class"] != F.col("x.class")) & _sizes_fit(F.col("x.size"), y["size"]))).alias("y"))
-    leaves = leaves.select(F.least("x.class", "y.class").alias("a"), F.greatest("x.class", "y.class").alias("b")).distinct()
-    pairs = _verified(source, one, written(leaves, "leaves"), bitmaps=True)
+def _tree_pairs(signatures: DataFrame, members: DataFrame, forest: int | None) -> DataFrame:
+    """Pairs of classes in an open block, of different components, that may link.
 
-    large = members.where(F.col("n") > LEAF).withColumn("chunk", F.pmod(F.xxhash64("class"), F.ceil(F.col("n") / CHUNK)))
-    needed = large.groupBy("class").agg(F.collect_list(F.struct("key", "chunk", "root", "n")).alias("at"))
-    found = _fetched(source, one, needed, bitmaps=True).select("class", "size", F.col("content").alias("bitmap"), F.transform("at", lambda x: x["key"]).alias("keys"), F.explode("at").alias("at"))
+    ``forest``, a round's number: no more than could join the block's components, others each round.
+    """
+    # A class's bitmap travels once per open block; pairs are made inside the tasks and leave them only if their bitmaps allow a link.
+    large = F.col("n") > LEAF
+    members = members.withColumn("chunk", F.pmod(F.xxhash64("class"), F.ceil(F.col("n") / CHUNK)))
+    needed = members.groupBy("class").agg(F.collect_list(F.struct("key", "chunk", "root", "n")).alias("at"))
+    keys = F.transform(F.filter("at", lambda x: x["n"] > LEAF), lambda x: x["key"])
+    found = signatures.join(needed, "class").select("class", "size", "bitmap", F.explode("at").alias("at"), keys.alias("keys"))
+    found = found.select("class", "size", "bitmap", "at", F.when(F.col("at.n") > LEAF, F.col("keys")).alias("keys"))
     found = found.groupBy("at.key", "at.chunk", "at.n").agg(F.collect_list(F.struct("class", "size", "at.root", "bitmap", "keys")).alias("rows"))
-    alone = found.select("key", "rows", F.lit(None).cast(found.schema["rows"].dataType).alias("other"))
+    alone = found.select(F.when(large, F.col("key")).alias("key"), "rows", F.lit(None).cast(found.schema["rows"].dataType).alias("other"))
     several = found.where(F.col("n") > CHUNK)
     left, right = several.select("key", "chunk", "rows"), several.select(F.col("key").alias("k"), F.col("chunk").alias("c"), F.col("rows").alias("other"))
     across = left.join(right, (F.col("key") == F.col("k")) & (F.col("chunk") < F.col("c"))).select("key", "rows", "other")
-    for some in (alone, across):
-        pairs = pairs.unionAll(some.mapInArrow(_search, "a long, b long"))
-    return pairs.distinct()
+    return alone.unionAll(across).mapInArrow(_search(forest), "a long, b long").distinct()
