@@ -9,8 +9,12 @@ Per host the paths form a tree of segments.  Level by level (:func:`templates`)
 * those that do differ merge by their smoothed share, in steps of 1 /
   ``LEVELS``: a branch ``=0`` of the clean ones, ``=9`` of the bad ones, and so on.
 
-What lies deeper than ``MAX_DEPTH`` segments is one branch ``**``.  A template
-(host and branches) is rejected when its labelled purity, smoothed towards the
+The first ``ALWAYS`` levels are built for every URL.  Further down a node goes on
+while its labelled pages are unlike; where they are all clean, all bad or none,
+labels give no reason to part it, and what lies below is one branch ``**``.
+There is no greatest depth: segments that all URLs of a node share are passed in
+one step, so the number of steps is that of the branchings, not of the segments.
+A template (host and branches) is rejected when its labelled purity, smoothed towards the
 corpus' share of bad pages with ``PRIOR`` pseudo-pages, falls short:
 ``(bad + PRIOR * base) / (labelled + PRIOR) >= REJECT``.  Every URL counts in the
 tree; labels only decide verdicts.
@@ -36,7 +40,7 @@ from pyspark.sql import functions as F
 
 from innsight.llm.util import written
 
-MAX_DEPTH = 8
+ALWAYS = 8  # levels that every URL goes through
 FANOUT = 8  # a variable node has more children than this ...
 SPREAD = 0.3  # ... and more than this share of them to its URLs
 Z = 1.96
@@ -69,38 +73,68 @@ def rule_of(host: Column, path: Column, rules: Sequence[Rule]) -> tuple[Column,
     return (none, none) if name is None else (name, verdict)
 
 
+def _branch(rows: DataFrame, at: int | Column) -> DataFrame:
+    """``rows`` with the branch of segment ``at`` (0-based) added to _template; those without that segment unchanged."""
+    below = rows.withColumn("_segment", F.get("_segments", F.lit(at) if isinstance(at, int) else at))
+    children = below.where("_segment IS NOT NULL").groupBy("_host", "_template", "_segment").agg(
+        F.count(F.lit(1)).alias("n"), F.sum("_labelled").alias("l"), F.sum("_bad").alias("b"))
+    nodes = children.groupBy("_host", "_template").agg(
+        F.sum("n").alias("nn"), F.sum("l").alias("nl"), F.sum("b").alias("nb"), F.count(F.lit(1)).alias("fan"))
+    nodes = nodes.withColumn("_variable", (F.col("fan") > FANOUT) & (F.col("fan") > SPREAD * F.col("nn")))
+    fixed = children.join(nodes.where("NOT _variable"), ["_host", "_template"])
+    others = F.col("nl") - F.col("l")
+    pooled = F.col("nb") / F.col("nl")
+    spread = F.sqrt(pooled * (1 - pooled) * (1 / F.col("l") + 1 / others))
+    apart = F.abs(F.col("b") / F.col("l") - (F.col("nb") - F.col("b")) / others)
+    differs = F.when((F.col("l") > 0) & (others > 0), apart > Z * spread).otherwise(False)
+    # Those that differ merge by the level of their smoothed share, all others into ~.
+    level = F.round(LEVELS * (F.col("b") + PRIOR * pooled) / (F.col("l") + PRIOR)).cast("int")
+    own = fixed.where(differs).select("_host", "_template", F.col("_segment").alias("_own"), F.concat(F.lit("="), level.cast("string")).alias("_branch"))
+    wild = nodes.where("_variable").select(F.col("_host"), F.col("_template"), F.lit("*").alias("_wild"))
+    step = below.join(wild, ["_host", "_template"], "left")
+    step = step.join(own, (step["_host"] == own["_host"]) & (step["_template"] == own["_template"]) & (step["_segment"] == own["_own"]), "left").select(
+        *[step[c] for c in step.columns], own["_branch"])
+    branch = F.coalesce("_wild", "_branch", F.lit("~"))
+    moved = F.when(F.col("_segment").isNull(), F.col("_template")).otherwise(F.concat("_template", branch, F.lit("/")))
+    return step.withColumn("_template", moved).select(*rows.columns)
+
+
+def _open(rows: DataFrame) -> DataFrame:
+    """``rows`` (segments from ``_at`` on are left) plus _shared: how many segments all URLs of the node share; null where it is closed."""
+    rest = F.slice("_segments", F.col("_at") + 1, F.size("_segments") - F.col("_at"))
+    nodes = rows.groupBy("_host", "_template").agg(F.sum("_labelled").alias("l"), F.sum("_bad").alias("b"), F.min(rest).alias("lo"), F.max(rest).alias("hi"))
+    # What the least and the greatest array share, all between them share.
+    unlike = F.array_position(F.zip_with("lo", "hi", lambda x, y: x.eqNullSafe(y)), False)
+    shared = F.when(unlike == 0, F.size("lo").cast("long")).otherwise(unlike - 1).cast("int")
+    nodes = nodes.where("b > 0 AND b < l").select("_host", "_template", shared.alias("_shared"))
+    return rows.join(nodes, ["_host", "_template"], "left")
+
+
 def templates(urls: DataFrame) -> DataFrame:
     """``urls`` (_host, _path, _labelled 0/1, _bad 0/1, more) plus _template, the branches below the host."""
     segments = F.array_remove(F.split("_path", "/"), "")
     rows = urls.withColumn("_segments", segments).withColumn("_template", F.lit("/"))
     rows = written(rows, "urls")
     deepest = rows.agg(F.max(F.size("_segments"))).first()[0] or 0
-    for depth in range(min(deepest, MAX_DEPTH)):
-        segment = F.get("_segments", F.lit(depth))
-        below = rows.withColumn("_segment", segment)
-        children = below.where("_segment IS NOT NULL").groupBy("_host", "_template", "_segment").agg(
-            F.count(F.lit(1)).alias("n"), F.sum("_labelled").alias("l"), F.sum("_bad").alias("b"))
-        nodes = children.groupBy("_host", "_template").agg(
-            F.sum("n").alias("nn"), F.sum("l").alias("nl"), F.sum("b").alias("nb"), F.count(F.lit(1)).alias("fan"))
-        nodes = nodes.withColumn("_variable", (F.col("fan") > FANOUT) & (F.col("fan") > SPREAD * F.col("nn")))
-        fixed = children.join(nodes.where("NOT _variable"), ["_host", "_template"])
-        others = F.col("nl") - F.col("l")
-        pooled = F.col("nb") / F.col("nl")
-        spread = F.sqrt(pooled * (1 - pooled) * (1 / F.col("l") + 1 / others))
-        apart = F.abs(F.col("b") / F.col("l") - (F.col("nb") - F.col("b")) / others)
-        differs = F.when((F.col("l") > 0) & (others > 0), apart > Z * spread).otherwise(False)
-        # Those that differ merge by the level of their smoothed share, all others into ~.
-        level = F.round(LEVELS * (F.col("b") + PRIOR * pooled) / (F.col("l") + PRIOR)).cast("int")
-        own = fixed.where(differs).select("_host", "_template", F.col("_segment").alias("_own"), F.concat(F.lit("="), level.cast("string")).alias("_branch"))
-        wild = nodes.where("_variable").select(F.col("_host"), F.col("_template"), F.lit("*").alias("_wild"))
-        step = below.join(wild, ["_host", "_template"], "left")
-        step = step.join(own, (step["_host"] == own["_host"]) & (step["_template"] == own["_template"]) & (step["_segment"] == own["_own"]), "left").select(
-            *[step[c] for c in step.columns], own["_branch"])
-        branch = F.coalesce("_wild", "_branch", F.lit("~"))
-        moved = F.when(F.col("_segment").isNull(), F.col("_template")).otherwise(F.concat("_template", branch, F.lit("/")))
-        rows = written(step.withColumn("_template", moved).select(*rows.columns), f"templates{depth}")
-    deeper = F.size("_segments") > MAX_DEPTH
-    return rows.withColumn("_template", F.when(deeper, F.concat("_template", F.lit("**"))).otherwise(F.col("_template"))).drop("_segments")
+    for depth in range(min(deepest, ALWAYS)):
+        rows = written(_branch(rows, depth), f"templates{depth}")
+    left = F.size("_segments") > ALWAYS
+    done, rows = [rows.where(~left)], rows.where(left).withColumn("_at", F.lit(ALWAYS))
+    while deepest > ALWAYS:
+        rows = written(_open(rows), "open")
+        closed = rows.where("_shared IS NULL").withColumn("_template", F.concat("_template", F.lit("**")))
+        rows = rows.where("_shared IS NOT NULL").withColumn("_template", F.concat("_template", F.repeat(F.lit("~/"), F.col("_shared"))))
+        rows = rows.withColumn("_at", F.col("_at") + F.col("_shared")).drop("_shared")
+        rows = _branch(rows, F.col("_at")).withColumn("_at", F.col("_at") + 1)
+        rows = written(rows, "deeper")
+        done += [f.select(*done[0].columns) for f in (closed, rows.where(F.size("_segments") <= F.col("_at")))]
+        rows = rows.where(F.size("_segments") > F.col("_at"))
+        if rows.isEmpty():
+            break
+    out = done[0]
+    for more in done[1:]:
+        out = out.unionAll(more)
+    return out.drop("_segments")
 
 
 def filter_urls(pages: DataFrame, rules: Sequence[Rule], bad: DataFrame | None = None, id_col: str = "page_id", url_col: str = "url", label_key: Column | None = None) -> DataFrame:
