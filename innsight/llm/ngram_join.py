@@ -18,7 +18,9 @@ or more are linked, and linked documents share a component.
    all of its pairs.  Stars that then still connect different components are
    verified with the next step's pairs: blocks of two classes have no others.
 3. *Signature trees.*  Larger blocks that still hold several components (any two of
-   which may hold a link yet) are searched completely.  The classes of a block,
+   which may hold a link yet) are searched completely: first by narrow bitmaps, which
+   only say which classes have a candidate there at all, then those classes by wide
+   ones.  The classes of a block,
    ordered by size, become the leaves of a tree whose nodes hold the OR of their
    token bitmaps and their range of sizes.  A dual traversal descends into a
    pair of nodes only if the largest overlap that bitmaps and sizes allow
@@ -27,8 +29,9 @@ or more are linked, and linked documents share a component.
    ``LEAF`` classes, one leaf each, may repeat it).  Blocks of more than ``CHUNK`` classes are cut into chunks whose pairs are separate rows.
 4. *Rounds.*  ``FOREST_ROUNDS`` searches hand on only a spanning forest of each
    block's candidates, fewer than its classes, so a family of copies is joined
-   without its pairs.  A last search hands on every candidate between the
-   components that are left, so no link is lost.
+   without its pairs.  A block whose forest holds all its candidates is finished;
+   the others are searched again, and a last search hands on every candidate
+   between the components that are left, so no link is lost.
 
 Every candidate is verified exactly on the sets.  Postings travel as arrays per
 (batch, key range); memory of a task is bounded by the key ranges, whose number
@@ -60,10 +63,11 @@ MAX_FREQUENT = 500_000  # of the counted shingles, the most frequent: a bound on
 RANGE_POSTINGS = 500_000
 CHUNK = 2048
 LEAF = 32
-STAR_BITS, TREE_BITS = 1, 8  # bits a shingle of the bitmaps, at least
+NARROW_BITS, WIDE_BITS = 1, 8  # bits a shingle of the bitmaps, at least
 FOREST_ROUNDS = 2
 COMPARED_BYTES = 16 << 20  # of bitmaps held at once
 BROADCAST_ROWS = 1_000_000
+BROADCAST_BYTES = 64 << 20
 
 
 def _sets(batch) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
@@ -178,17 +182,26 @@ def _centres(key: np.ndarray, cls: np.ndarray, at: np.ndarray) -> np.ndarray:
     return np.lexsort((h, block))[at[:-1]]
 
 
-def _width(n: int, density: int = TREE_BITS) -> int:
+def _width(n: int, density: int = WIDE_BITS) -> int:
     """Bits of the bitmap of a set of ``n`` shingles: a power of two, one to two times ``density`` a shingle, 64 at least."""
     return max(64, density << int(n - 1).bit_length())
 
 
-def _bitmap(shingle: np.ndarray, density: int = TREE_BITS) -> bytes:
+def _bitmap(shingle: np.ndarray, density: int = WIDE_BITS) -> bytes:
     bits = np.zeros(_width(len(shingle), density), bool)
     bits[(shingle % np.uint64(len(bits))).astype(np.int64)] = True
     return np.packbits(bits).tobytes()
 
 
+def _add_narrow(batches: Iterator) -> Iterator:
+    """Rows (class, size, wide bitmap) with the narrow bitmap: the wide one folded."""
+    import pyarrow as pa
+
+    for b in batches:
+        narrow = [_fold(np.frombuffer(wide, np.uint8)[None], _width(n, NARROW_BITS) // 8).tobytes() for n, wide in zip(b.column(1).to_pylist(), b.column(2).to_pylist())]
+        yield pa.RecordBatch.from_arrays([*b.columns, pa.array(narrow, pa.binary())], ["class", "size", "wide", "narrow"])
+
+
 def _contents(density: int):
     """Rows (class, where it is needed, text) -> (class, size, bitmap of ``density`` bits a shingle or, at 0, the shingles, where)."""
 
@@ -327,11 +340,8 @@ def _meet_before(a: list[dict], b: list[dict], i: np.ndarray, j: np.ndarray, key
     return np.concatenate([np.zeros(0, bool)] + [(packed[0][i[n:n + 65536]] & packed[1][j[n:n + 65536]]).any(1) for n in range(0, len(i), 65536)])
 
 
-def tree_candidates(left, right=None, key: int | None = None) -> list[tuple[int, int]]:
-    """Pairs of classes that may link, within ``left`` or between ``left`` and ``right`` (class, size, root, bitmap each).
-
-    ``key``, the block's own, leaves out pairs that share a block of smaller key (``keys`` of each class).
-    """
+def _matches(left, right=None) -> Iterator[tuple[list, list, np.ndarray, np.ndarray]]:
+    """Rows ``a`` and ``b`` of a bitmap width each and the indices of their pairs that may link, by the trees of both."""
     groups = []
     for side in (left,) if right is None else (left, right):
         by: dict[int, list] = {}
@@ -339,7 +349,6 @@ def tree_candidates(left, right=None, key: int | None = None) -> list[tuple[int,
             by.setdefault(len(x["bitmap"]), []).append(x)
         groups.append(by)
     a, b = groups[0], groups[-1]
-    found: list[tuple[int, int]] = []
     for wa in sorted(a):
         for wb in (wa, 2 * wa) if right is None else (wa // 2, wa, 2 * wa):  # 80 % leaves at most one power of two between
             if wb not in b:
@@ -349,14 +358,41 @@ def tree_candidates(left, right=None, key: int | None = None) -> list[tuple[int,
             for rows in (a[wa], b[wb]):
                 bits = _fold(np.frombuffer(b"".join(x["bitmap"] for x in rows), np.uint8).reshape(len(rows), -1), width).copy().view(np.uint64)
                 trees.append(SignatureTree(np.array([x["size"] for x in rows], np.int64), bits, np.array([x["root"] for x in rows], np.int64)))
-            i, j = dual_traversal(*trees, same=right is None and wa == wb)
-            if key is not None:
-                alone = ~_meet_before(a[wa], b[wb], i, j, key)
-                i, j = i[alone], j[alone]
-            found += [(a[wa][x]["class"], b[wb][y]["class"]) for x, y in zip(i.tolist(), j.tolist())]
+            yield a[wa], b[wb], *dual_traversal(*trees, same=right is None and wa == wb)
+
+
+def tree_candidates(left, right=None, key: int | None = None) -> list[tuple[int, int]]:
+    """Pairs of classes that may link, within ``left`` or between ``left`` and ``right`` (class, size, root, bitmap each).
+
+    ``key``, the block's own, leaves out pairs that share a block of smaller key (``keys`` of each class).
+    """
+    found: list[tuple[int, int]] = []
+    for a, b, i, j in _matches(left, right):
+        if key is not None:
+            alone = ~_meet_before(a, b, i, j, key)
+            i, j = i[alone], j[alone]
+        found += [(a[x]["class"], b[y]["class"]) for x, y in zip(i.tolist(), j.tolist())]
     return found
 
 
+def _with_candidates(batches: Iterator) -> Iterator:
+    """(key, classes): the classes of a block, or of two of its chunks, that have any candidate there."""
+    import pyarrow as pa
+
+    for batch in batches:
+        keys, classes = [], []
+        for key, left, right in zip(*batch.columns):
+            some: set[int] = set()
+            for a, b, i, j in _matches(left.as_py(), right.as_py()):
+                some.update(a[x]["class"] for x in np.unique(i).tolist())
+                some.update(b[y]["class"] for y in np.unique(j).tolist())
+            if some:
+                keys.append(key.as_py())
+                classes.append(sorted(some))
+        if keys:
+            yield pa.RecordBatch.from_arrays([pa.array(keys, pa.int64()), pa.array(classes, pa.list_(pa.int64()))], ["key", "classes"])
+
+
 def spanning(pairs: list[tuple[int, int]], root: dict[int, int]) -> list[tuple[int, int]]:
     """A forest of the pairs: they join the same components as all of them, if all of them link."""
     up: dict[int, int] = {}
@@ -381,16 +417,19 @@ def _search(forest: int | None):
         import pyarrow as pa
 
         for b in batches:
-            pairs = set()
-            for key, left, right in zip(*b.columns):
-                left, right = left.as_py(), right.as_py()
-                found = [(min(p), max(p)) for p in tree_candidates(left, right, key.as_py())]
+            rows = set()
+            for block, large, left, right in zip(*b.columns):
+                block, left, right = block.as_py(), left.as_py(), right.as_py()
+                found = [(min(p), max(p)) for p in tree_candidates(left, right, block if large.as_py() else None)]
                 if forest is not None:
                     odd = 0x9E3779B97F4A7C15 + 2 * forest  # blocks that share pairs prefer the same ones
-                    found = spanning(sorted(found, key=lambda p: ((p[0] ^ p[1] * odd) * odd >> 20) % (1 << 61)), {x["class"]: x["root"] for x in (*left, *(right or ()))})
-                pairs.update(found)
-            if pairs:
-                yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*sorted(pairs))], ["a", "b"])
+                    some = spanning(sorted(found, key=lambda p: ((p[0] ^ p[1] * odd) * odd >> 20) % (1 << 61)), {x["class"]: x["root"] for x in (*left, *(right or ()))})
+                    if len(some) < len(found):
+                        rows.add((0, 0, block))
+                    found = some
+                rows.update((*p, None) for p in found)
+            if rows:
+                yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*rows)], ["a", "b", "unfinished"])
 
     return run
 
@@ -429,15 +468,21 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     two = star.groupBy("a").agg(F.array(F.min_by("b", h), F.max_by("b", h)).alias("b")).select("a", F.explode(F.array_distinct("b")).alias("b"))
     links = written(_verified(source, one, two), "verified")
     roots = components(links)
-    signatures = None
+    order.destroy()  # the blocks are written
+    blocks = blocks.where(F.size("classes") > 2).select("key", F.explode("classes").alias("class"))  # two: the pair is a star, see _apart
+    members = _open_members(blocks, roots)
+    needed = members.select("class").distinct().withColumn("at", F.lit(0))
+    signatures = _fetched(source, one, needed, WIDE_BITS).select("class", "size", F.col("content").alias("wide"))
+    signatures = written(signatures.mapInArrow(_add_narrow, "class long, size long, wide binary, narrow binary"), "signatures")
+    blocks = written(_tree_members(signatures, members), "blocks")
     for number in range(FOREST_ROUNDS + 1):
         last = number == FOREST_ROUNDS
         members = _open_members(blocks, roots)
-        if signatures is None:  # later rounds need no others
-            needed = members.select("class").distinct().withColumn("at", F.lit(0))
-            signatures = written(_fetched(source, one, needed, TREE_BITS).select("class", "size", F.col("content").alias("bitmap")), "signatures")
-        pairs = _tree_pairs(signatures, members, None if last else number)
-        pairs = written(pairs.unionAll(_apart(star, roots)).distinct() if last else pairs, "tree")
+        found = written(_tree_pairs(signatures, members, None if last else number), "tree")
+        pairs = found.where("unfinished IS NULL").select("a", "b")
+        # A finished block has handed on its candidates; of those it left to a block of smaller key, that one answers.
+        blocks = blocks.join(found.where("unfinished IS NOT NULL").select(F.col("unfinished").alias("key")).distinct(), "key", "left_semi")
+        pairs = written(pairs.unionAll(_apart(star, roots)).distinct(), "apart") if last else pairs
         if not pairs.isEmpty():
             links = links.unionAll(written(_verified(source, one, pairs), "verified"))
             roots = components(links)
@@ -475,7 +520,9 @@ def keep_one_of_each_group(docs: DataFrame, id_col: str = "doc_id", text_col: st
 def _fetched(source: DataFrame, one: DataFrame, needed: DataFrame, density: int) -> DataFrame:
     """(class, size, content, at) for the classes of ``needed`` (class, at: an array), from one document each."""
     rows = written(needed.join(one, "class").select("class", "at", "_one"), "needed")
-    rows = F.broadcast(rows) if rows.count() <= BROADCAST_ROWS else rows
+    places = F.size("at") if isinstance(rows.schema["at"].dataType, T.ArrayType) else F.lit(1)
+    size = rows.agg(F.coalesce(F.sum(32 + 32 * places), F.lit(0))).first()[0]
+    rows = F.broadcast(rows) if size <= BROADCAST_BYTES else rows
     texts = source.join(rows, F.col("_id").eqNullSafe(F.col("_one"))).select("class", "at", "_text")
     at = next(f for f in texts.schema.fields if f.name == "at")
     schema = T.StructType([T.StructField("class", T.LongType()), T.StructField("size", T.LongType()), T.StructField("content", T.BinaryType()), at])
@@ -493,7 +540,7 @@ def _verified(source: DataFrame, one: DataFrame, pairs: DataFrame, bitmaps: bool
     members = pairs.join(sizes, "b").select(F.col("a").alias("class"), F.col("b").alias("meeting"), F.pmod(F.xxhash64("a"), F.col("meetings")).alias("room"))
     centres = sizes.select(F.col("b").alias("class"), F.col("b").alias("meeting"), F.explode(F.sequence(F.lit(0).cast("long"), F.col("meetings") - 1)).alias("room"))
     needed = members.unionAll(centres).groupBy("class").agg(F.collect_list(F.struct("meeting", "room")).alias("at"))
-    sent = _fetched(source, one, needed, STAR_BITS if bitmaps else 0).select("class", "size", "content", F.explode("at").alias("at"))
+    sent = _fetched(source, one, needed, NARROW_BITS if bitmaps else 0).select("class", "size", "content", F.explode("at").alias("at"))
     sent = sent.select("class", F.col("at.meeting").alias("meeting"), F.col("at.room").alias("room"), "size", "content")
     met = sent.repartition("meeting", "room").sortWithinPartitions("meeting", "room", F.col("class") != F.col("meeting"))
     return met.select("class", "meeting", "size", "content").mapInArrow(_meet(bitmaps), "a long, b long").distinct()
@@ -515,27 +562,41 @@ def _sizes_fit(small, large):
 
 def _open_members(blocks: DataFrame, roots: DataFrame) -> DataFrame:
     """(key, class, root, n): the classes of blocks that hold several components, ``n`` of them."""
-    members = blocks.where(F.size("classes") > 2).select("key", F.explode("classes").alias("class"))  # two: the pair is a star, see _apart
-    members = members.join(roots, F.col("class") == F.col("node"), "left").select("key", "class", F.coalesce("root", "class").alias("root"))
+    members = blocks.join(roots, F.col("class") == F.col("node"), "left").select("key", "class", F.coalesce("root", "class").alias("root"))
     open_keys = members.groupBy("key").agg(F.min("root").alias("lo"), F.max("root").alias("hi"), F.count(F.lit(1)).alias("n")).where("lo <> hi").select("key", "n")
     return written(members.join(open_keys, "key"), "open")
 
 
-def _tree_pairs(signatures: DataFrame, members: DataFrame, forest: int | None) -> DataFrame:
-    """Pairs of classes in an open block, of different components, that may link.
+def _in_chunks(signatures: DataFrame, bitmap: str, members: DataFrame, keys: bool) -> tuple[DataFrame, DataFrame]:
+    """The classes of each chunk of a block with their bitmaps: rows (key, large, rows, other) of single chunks, and of pairs of them.
 
-    ``forest``, a round's number: no more than could join the block's components, others each round.
+    ``keys``: a class of a block of more than ``LEAF`` carries the keys of all such blocks it is in.
     """
     # A class's bitmap travels once per open block; pairs are made inside the tasks and leave them only if their bitmaps allow a link.
-    large = F.col("n") > LEAF
     members = members.withColumn("chunk", F.pmod(F.xxhash64("class"), F.ceil(F.col("n") / CHUNK)))
     needed = members.groupBy("class").agg(F.collect_list(F.struct("key", "chunk", "root", "n")).alias("at"))
-    keys = F.transform(F.filter("at", lambda x: x["n"] > LEAF), lambda x: x["key"])
-    found = signatures.join(needed, "class").select("class", "size", "bitmap", F.explode("at").alias("at"), keys.alias("keys"))
+    other = F.transform(F.filter("at", lambda x: x["n"] > LEAF), lambda x: x["key"]) if keys else F.lit(None).cast("array<long>")
+    found = signatures.join(needed, "class").select("class", "size", F.col(bitmap).alias("bitmap"), F.explode("at").alias("at"), other.alias("keys"))
     found = found.select("class", "size", "bitmap", "at", F.when(F.col("at.n") > LEAF, F.col("keys")).alias("keys"))
     found = found.groupBy("at.key", "at.chunk", "at.n").agg(F.collect_list(F.struct("class", "size", "at.root", "bitmap", "keys")).alias("rows"))
-    alone = found.select(F.when(large, F.col("key")).alias("key"), "rows", F.lit(None).cast(found.schema["rows"].dataType).alias("other"))
+    alone = found.select("key", (F.col("n") > LEAF).alias("large"), "rows", F.lit(None).cast(found.schema["rows"].dataType).alias("other"))
     several = found.where(F.col("n") > CHUNK)
     left, right = several.select("key", "chunk", "rows"), several.select(F.col("key").alias("k"), F.col("chunk").alias("c"), F.col("rows").alias("other"))
-    across = left.join(right, (F.col("key") == F.col("k")) & (F.col("chunk") < F.col("c"))).select("key", "rows", "other")
-    return alone.unionAll(across).mapInArrow(_search(forest), "a long, b long").distinct()
+    return alone, left.join(right, (F.col("key") == F.col("k")) & (F.col("chunk") < F.col("c"))).select("key", F.lit(True).alias("large"), "rows", "other")
+
+
+def _tree_members(signatures: DataFrame, members: DataFrame) -> DataFrame:
+    """(key, class): the members that have a candidate of another component in their block, by narrow bitmaps."""
+    alone, across = _in_chunks(signatures, "narrow", members, keys=False)
+    found = alone.unionAll(across).select("key", "rows", "other").mapInArrow(_with_candidates, "key long, classes array<long>")
+    return found.select("key", F.explode("classes").alias("class")).distinct()
+
+
+def _tree_pairs(signatures: DataFrame, members: DataFrame, forest: int | None) -> DataFrame:
+    """Pairs (a, b) of classes in an open block, of different components, that may link.
+
+    ``forest``, a round's number: no more than could join the block's components, others each round;
+    a block that has more gives a row with its key as ``unfinished``.
+    """
+    alone, across = _in_chunks(signatures, "wide", members, keys=True)
+    return alone.unionAll(across).mapInArrow(_search(forest), "a long, b long, unfinished long").distinct()

@@ -172,3 +172,44 @@ def test_components_of_a_long_chain(spark):
     links = spark.createDataFrame([(i, i + 1) for i in range(0, 60) if i != 30] + [(5, 5)], "a long, b long")
     got = {r.node: r.root for r in components(links).collect()}
     assert got == {i: 0 if i <= 30 else 31 for i in range(61)}
+
+
+def test_a_block_is_finished_when_its_forest_holds_all_candidates():
+    import pyarrow as pa
+
+    def rows(sets, first):
+        return [{"class": first + i, "size": len(s), "root": first + i, "bitmap": nj._bitmap(np.array(sorted(s), np.uint64)), "keys": None} for i, s in enumerate(sets)]
+
+    base = [[mine * 1000 + k for k in range(50)] for mine in range(3)]
+    near = [base[0], base[0][1:], base[0][2:]]  # three candidates, two of them a forest
+    blocks = {7: rows(near, 10), 8: rows([*base, base[1][1:]], 20), 9: rows(base, 30)}
+    kind = pa.list_(pa.struct([("class", pa.int64()), ("size", pa.int64()), ("root", pa.int64()), ("bitmap", pa.binary()), ("keys", pa.list_(pa.int64()))]))
+    batch = pa.RecordBatch.from_arrays([pa.array(list(blocks)), pa.array([False] * 3), pa.array(list(blocks.values()), kind), pa.nulls(3, kind)], ["key", "large", "rows", "other"])
+
+    def found(forest):
+        return [r for b in nj._search(forest)([batch]) for r in b.to_pylist()]
+
+    assert [r["unfinished"] for r in found(0) if r["unfinished"] is not None] == [7]
+    pairs = [(r["a"], r["b"]) for r in found(0) if r["unfinished"] is None]
+    assert len(pairs) == 3 and (21, 23) in pairs
+    every = found(None)
+    assert len(every) == 4 and all(r["unfinished"] is None for r in every)
+
+
+def test_narrow_bitmaps_keep_every_class_that_links():
+    import pyarrow as pa
+
+    rng = random.Random(3)
+    base = [[rng.getrandbits(60) for _ in range(n)] for n in (1, 5, 30, 120, 130, 700)]
+    sets = [set(b) for b in base] + [{*b[: len(b) - len(b) // 12], *(rng.getrandbits(60) for _ in range(len(b) // 14))} for b in base[2:]]
+    wide = pa.RecordBatch.from_arrays([pa.array(range(len(sets))), pa.array([len(s) for s in sets]), pa.array([nj._bitmap(np.array(sorted(s), np.uint64)) for s in sets], pa.binary())], ["class", "size", "wide"])
+    both = next(nj._add_narrow([wide]))
+    assert both.column(3).to_pylist() == [nj._bitmap(np.array(sorted(s), np.uint64), nj.NARROW_BITS) for s in sets]
+    rows = [{"class": i, "size": len(s), "root": i, "bitmap": both.column(3)[i].as_py(), "keys": None} for i, s in enumerate(sets)]
+    kind = pa.list_(pa.struct([("class", pa.int64()), ("size", pa.int64()), ("root", pa.int64()), ("bitmap", pa.binary()), ("keys", pa.list_(pa.int64()))]))
+    batch = pa.RecordBatch.from_arrays([pa.array([4, 5]), pa.array([rows, rows[:5]], kind), pa.array([None, rows[5:]], kind)], ["key", "rows", "other"])
+    links = {(i, j) for j in range(len(sets)) for i in range(j) if 100 * len(sets[i] & sets[j]) >= 80 * len(sets[i] | sets[j])}
+    assert len(links) == 4
+    got = {r["key"]: set(r["classes"]) for r in next(nj._with_candidates([batch])).to_pylist()}
+    assert got[4] >= {x for p in links for x in p} and 0 not in got[4] and 1 not in got[4]
+    assert got[5] >= {x for p in links if p[0] < 5 <= p[1] for x in p}
