@@ -55,7 +55,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from innsight.llm.components import components
-from innsight.llm.util import batches_of_bytes, concat_text, mix, shingle_rows, written
+from innsight.llm.util import batches_of_bytes, concat_text, mix, release_memory, shingle_rows, written
 
 WORDS = 5
 FREQUENT_SHARE = 0.0005  # of all documents: the least count that moves a shingle back in the order
@@ -198,7 +198,7 @@ def _add_narrow(batches: Iterator) -> Iterator:
     import pyarrow as pa
 
     for b in batches:
-        narrow = [_fold(np.frombuffer(wide, np.uint8)[None], _width(n, NARROW_BITS) // 8).tobytes() for n, wide in zip(b.column(1).to_pylist(), b.column(2).to_pylist())]
+        narrow = [_fold(np.frombuffer(wide, np.uint8)[None], _width(n, NARROW_BITS) // 8).tobytes() for n, wide in zip(b.column(1).to_pylist(), (x.as_py() for x in b.column(2)))]
         yield pa.RecordBatch.from_arrays([*b.columns, pa.array(narrow, pa.binary())], ["class", "size", "wide", "narrow"])
 
 
@@ -231,7 +231,8 @@ def _meet(bitmaps: bool):
         centre = None
         for b in batches:
             members, centres = [], []
-            for cls, meeting, n, content in zip(*(c.to_pylist() for c in b.columns)):
+            for cls, meeting, n, cell in zip(*(c.to_pylist() for c in b.columns[:3]), b.column(3)):
+                content = cell.as_py()
                 if cls == meeting:
                     centre = (cls, n, content, None if bitmaps else np.frombuffer(content, np.uint64))
                 elif centre is not None and centre[0] == meeting:
@@ -248,6 +249,7 @@ def _meet(bitmaps: bool):
                         centres.append(meeting)
             if members:
                 yield pa.RecordBatch.from_arrays([pa.array(members, pa.int64()), pa.array(centres, pa.int64())], ["a", "b"])
+        release_memory()
 
     return run
 
@@ -305,7 +307,9 @@ def dual_traversal(a: SignatureTree, b: SignatureTree, same: bool) -> tuple[np.n
     out_a, out_b = [], []
     for x, y in zip(i.tolist(), j.tolist()):
         p, q = np.arange(x * LEAF, min(len(a.size), (x + 1) * LEAF)), np.arange(y * LEAF, min(len(b.size), (y + 1) * LEAF))
-        ok = _may_link(_count(a.bits[p][:, None] & b.bits[q][None]), a.slack[p][:, None], b.slack[q][None], a.size[p][:, None], b.size[q][None],
+        some = max(1, COMPARED_BYTES // (8 * a.bits.shape[1] * len(q)))
+        common = np.concatenate([_count(a.bits[p[k:k + some]][:, None] & b.bits[q][None]) for k in range(0, len(p), some)])
+        ok = _may_link(common, a.slack[p][:, None], b.slack[q][None], a.size[p][:, None], b.size[q][None],
                        a.size[p][:, None], b.size[q][None]) & (a.root[p][:, None] != b.root[q][None])
         if same:
             ok &= p[:, None] < q[None]
@@ -391,6 +395,7 @@ def _with_candidates(batches: Iterator) -> Iterator:
                 classes.append(sorted(some))
         if keys:
             yield pa.RecordBatch.from_arrays([pa.array(keys, pa.int64()), pa.array(classes, pa.list_(pa.int64()))], ["key", "classes"])
+    release_memory()
 
 
 def spanning(pairs: list[tuple[int, int]], root: dict[int, int]) -> list[tuple[int, int]]:
@@ -430,6 +435,7 @@ def _search(forest: int | None):
                 rows.update((*p, None) for p in found)
             if rows:
                 yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*rows)], ["a", "b", "unfinished"])
+        release_memory()
 
     return run
 

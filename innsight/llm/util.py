@@ -166,3 +166,16 @@ def batches_of_bytes(batches: Iterator, text: str, limit: int = 4 << 20) -> Iter
             hi = max(lo + 1, int(np.searchsorted(size, (size[lo - 1] if lo else 0) + limit, "right")))
             yield b.slice(lo, hi - lo)
             lo = hi
+    release_memory()
+
+
+def release_memory() -> None:
+    """Free memory of the Python worker goes back to the system, as the next task's worker is the same (no effect where the C library can't)."""
+    import ctypes
+
+    import pyarrow as pa
+
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+    if trim is not None:
+        trim(0)
