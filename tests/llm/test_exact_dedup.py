@@ -63,7 +63,7 @@ def test_kept_rows_pass_with_all_columns(docs_of, odd_docs):
 def test_query_matches_sql(spark, key):
     sf = "/root/testdata/sf0.001"
     con = duckdb.connect()
-    for t in ("documents", "pages", "benchmark"):
+    for t in ("documents", "pages", "benchmark", "embeddings", "labels", "conversations"):
         con.execute(f"CREATE VIEW {t} AS SELECT * FROM read_parquet('{sf}/{t}.parquet')")
     rel = con.sql(oracle_sql()[key])
     df = queries()[key](spark, sf)
