@@ -21,7 +21,7 @@ import json
 import re
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 GRAM = 3
@@ -119,9 +119,11 @@ def _grams(c: Column) -> Column:
     return F.array_distinct(F.filter(F.transform(at, lambda i: c.substr(i, F.lit(GRAM))), lambda g: F.length(g) == GRAM))
 
 
-def _table(texts: DataFrame, rows: Sequence[dict], schema: str) -> DataFrame:
-    """A small table as one constant, so that the plan does not grow with its rows."""
-    return texts.sparkSession.range(1).select(F.inline(F.from_json(F.lit(json.dumps(list(rows))), f"array<struct<{schema}>>")))
+def constant_table(spark: SparkSession, rows: Sequence[dict], schema: dict[str, str]) -> DataFrame:
+    """A small table as one local relation (Arrow type names by column), so that neither the plan nor its text grows with its rows."""
+    import pyarrow as pa
+
+    return spark.createDataFrame(pa.Table.from_pylist(list(rows), schema=pa.schema(list(schema.items()))))
 
 
 def candidates(texts: DataFrame, text_col: str, patterns: Sequence[str]) -> DataFrame:
@@ -131,7 +133,7 @@ def candidates(texts: DataFrame, text_col: str, patterns: Sequence[str]) -> Data
     patterns with required literals take part.
     """
     rows = [{"pattern": p, "literal": x, "exact": bool(_PLAIN.fullmatch(p)) and p.isascii()} for p in dict.fromkeys(patterns) for x in dict.fromkeys(required_literals(p) or ())]
-    index = _table(texts, rows, "pattern:string,literal:string,exact:boolean")
+    index = constant_table(texts.sparkSession, rows, {"pattern": "string", "literal": "string", "exact": "bool"})
     wanted = index.select("literal").distinct().select("literal", F.explode(_grams(F.col("literal"))).alias("gram"))
     distinct = texts.select(F.col(text_col).alias("text")).distinct()
     held = distinct.select("text", F.explode(_grams(fold(F.col("text")))).alias("gram")).join(wanted.select("gram").distinct(), "gram", "left_semi")

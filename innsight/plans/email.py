@@ -8,7 +8,6 @@ and last day) -> one conditional aggregate for every bucket and the total.
 
 from __future__ import annotations
 
-import json
 from collections.abc import Mapping, Sequence
 
 from pyspark.sql import DataFrame
@@ -21,7 +20,7 @@ from innsight.functions.formats import pct
 from innsight.operators.dedup import keep_first
 from innsight.operators.filters import DateLike, half_open_range, subject_scope
 from innsight.operators.measures import conditional_segments, group_sizes, ratio, sum0
-from innsight.operators.pattern_index import matching_patterns
+from innsight.operators.pattern_index import constant_table, matching_patterns
 
 TS = "DATA_TS_DATE"
 SUMMARY_COLUMNS = (
@@ -170,9 +169,8 @@ def scope_tenants(base: DataFrame, cfgs: Mapping[str, EmailConfig], tenant_col:
     for field, some in by_field.items():
         dealt = dated.withColumn("__subject", F.coalesce(F.col(f"`{field}`").cast("string"), F.lit("")))
         found = matching_patterns(dealt, "__subject", [c.subject_match for c in some.values()])
-        readers = dated.sparkSession.range(1).select(F.inline(F.from_json(
-            F.lit(json.dumps([{"pattern": c.subject_match, "tenant": t, "tag": c.tag_field} for t, c in some.items()])),
-            "array<struct<pattern:string,tenant:string,tag:string>>")))
+        readers = constant_table(dated.sparkSession, [{"pattern": c.subject_match, "tenant": t, "tag": c.tag_field} for t, c in some.items()],
+                                 {"pattern": "string", "tenant": "string", "tag": "string"})
         hits = found.join(readers, "pattern").select("text", F.struct("tenant", "tag").alias("__p"))
         scoped = dealt.join(hits, F.col("__subject") == F.col("text")).select(
             *[F.col(f"`{c}`") for c in base.columns], F.col("__p.tenant").alias(tenant_col), F.element_at(tags, F.col("__p.tag")).alias(TAG))
