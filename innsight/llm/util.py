@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import uuid
 from collections.abc import Iterator
+from contextlib import contextmanager
 
 import numpy as np
 from pyspark.sql import DataFrame, SparkSession
@@ -16,6 +17,22 @@ def scratch_path(spark: SparkSession, name: str) -> str:
     return f"{ensure_checkpoint_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
 
 
+#: Bytes of an Arrow batch between Spark and a Python worker; 10,000 rows (Spark's other limit) of long texts are many times that.
+ARROW_BYTES = 4 << 20
+
+
+@contextmanager
+def small_batches(spark: SparkSession, limit: int = ARROW_BYTES) -> Iterator[None]:
+    """What is planned inside sends Arrow batches of about ``limit`` bytes (one row at least); the session's own setting comes back."""
+    key = "spark.sql.execution.arrow.maxBytesPerBatch"
+    before = spark.conf.get(key, None)
+    spark.conf.set(key, limit)
+    try:
+        yield
+    finally:
+        spark.conf.unset(key) if before is None else spark.conf.set(key, before)
+
+
 def written(df: DataFrame, name: str) -> DataFrame:
     """``df`` written as Parquet to the shared checkpoint directory and read back.
 
@@ -23,7 +40,8 @@ def written(df: DataFrame, name: str) -> DataFrame:
     it later survives the loss of any executor.
     """
     path = scratch_path(df.sparkSession, name)
-    df.write.parquet(path)
+    with small_batches(df.sparkSession):
+        df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
@@ -103,8 +121,8 @@ def concat_text(column) -> tuple[np.ndarray, np.ndarray]:
     return data[offsets[0]:offsets[-1]], offsets - offsets[0]
 
 
-def _word_hashes(data: np.ndarray, start: np.ndarray, end: np.ndarray, part: int = 2 << 20) -> np.ndarray:
-    """Hashes of the words, taken in parts of about ``part`` bytes (the 64-bit prefixes take eight times that)."""
+def _word_hashes(data: np.ndarray, start: np.ndarray, end: np.ndarray, part: int = 256 << 10) -> np.ndarray:
+    """Hashes of the words, taken in parts of about ``part`` bytes (the prefixes, and the powers that a worker keeps, take eight to sixteen times that)."""
     out = np.zeros(len(start), np.uint64)
     lo = 0
     while lo < len(start):

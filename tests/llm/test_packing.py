@@ -8,8 +8,9 @@ from hypothesis import strategies as st
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
-from innsight.llm import packing
+from innsight.llm import packing, util
 from innsight.llm.packing import best_fit_decreasing, lower_bound, pack, token_pieces
+from innsight.llm.util import ARROW_BYTES, small_batches, written
 
 PATH = public_tokenizers.path("byte_bpe_50k.json")
 
@@ -115,3 +116,39 @@ def test_long_white_space_runs(docs_of):
     """A megabyte of blanks or line breaks is encoded as the library encodes it."""
     rows = [(1, " " * 1_000_000), (2, "\n" * 1_000_000), (3, "a" + " " * 300_000 + "b <|endoftext|>"), (4, "." * 300_000), (5, None)]
     assert sorted(map(tuple, token_pieces(docs_of(rows), PATH).collect()), key=str) == reference_pieces(rows)
+
+
+def test_long_rows_reach_the_workers_in_small_batches(spark):
+    """Batches are bounded by bytes, not by rows alone (one of 20 MB before), and the session's setting comes back."""
+
+    def sizes(batches):
+        import pyarrow as pa
+
+        for b in batches:
+            yield pa.RecordBatch.from_arrays([pa.array([b.num_rows]), pa.array([b.nbytes])], ["n", "bytes"])
+
+    key = "spark.sql.execution.arrow.maxBytesPerBatch"
+    before = spark.conf.get(key)
+    rows = spark.range(0, 9000, 1, 1).select("id", F.repeat(F.lit("x"), 2000).alias("t"))
+    n, size = written(rows.mapInArrow(sizes, "n long, bytes long"), "batches").agg(F.sum("n"), F.max("bytes")).first()
+    assert n == 9000 and size < 1.1 * ARROW_BYTES and spark.conf.get(key) == before
+
+
+def test_setting_comes_back_after_a_failure(spark):
+    key = "spark.sql.execution.arrow.maxBytesPerBatch"
+    spark.conf.set(key, "9m")
+    with pytest.raises(ZeroDivisionError), small_batches(spark):
+        assert spark.conf.get(key) == str(ARROW_BYTES)
+        1 / 0
+    assert spark.conf.get(key) == "9m"
+    spark.conf.unset(key)
+
+
+def test_workers_keep_small_tables_of_powers(monkeypatch):
+    """After a batch of 3 MB a worker keeps under 8 MB of powers (48 MB before); it stays for the stages that follow."""
+    import pyarrow as pa
+
+    for name, base in (("POWERS", util._BASE), ("INVERSE", pow(util._BASE, -1, 1 << 64))):
+        monkeypatch.setattr(util, name, util.Powers(base))
+    util.shingle_rows(*util.concat_text(pa.array(["some words of a text " * 150_000])))
+    assert 0 < util.POWERS._p.nbytes + util.INVERSE._p.nbytes < 8 << 20
