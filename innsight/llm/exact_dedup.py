@@ -29,7 +29,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from innsight.llm.util import written
+from innsight.llm.util import release_memory, written
 
 SEGMENT_BITS = 1 << 20
 BITS_PER_ROW = 24
@@ -83,6 +83,8 @@ def _pass_one(segments: int):
                 yield pa.RecordBatch.from_arrays(
                     [pa.array([int(p[0] // SEGMENT_BITS) for p in some], pa.int64()), pa.array([flag] * len(some), pa.int32()),
                      pa.array([(p % SEGMENT_BITS).astype(np.uint32).tobytes() for p in some], pa.binary())], ["segment", "times", "bits"])
+        del once, twice, every, parts
+        release_memory()
 
     return run
 
@@ -109,6 +111,7 @@ def _pass_two(bits, lo: int):
             at = (seg - lo)[:, None] * SEGMENT_BITS + _positions(h)
             hit = ((every[at >> 3] >> (7 - (at & 7))) & 1).all(1)
             yield pa.RecordBatch.from_arrays([*b.columns, pa.array(hit)], [*b.schema.names, "_maybe"])
+        release_memory()
 
     return run
 

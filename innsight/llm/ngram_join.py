@@ -171,6 +171,8 @@ def _blocks(batches: Iterator) -> Iterator:
         lists = [pa.ListArray.from_arrays(cut, pa.array(v[span])) for v in (cls, n)]
         yield pa.RecordBatch.from_arrays([pa.array(key[at[lo:hi]]), pa.array(cls[centre_of[lo:hi]]), pa.array(n[centre_of[lo:hi]]), *lists],
                                          ["key", "centre", "centre_size", "classes", "sizes"])
+    del key, cls, n, stays, shared, start, length, least, most, by, new, at, centre_of
+    release_memory()
 
 
 def _centres(key: np.ndarray, cls: np.ndarray, at: np.ndarray) -> np.ndarray:
@@ -222,6 +224,11 @@ def _contents(density: int):
     return run
 
 
+def _signatures(batches: Iterator) -> Iterator:
+    """Rows (class, where it is needed, text) -> (class, size, wide bitmap, narrow bitmap), in one function: two would take two workers a task."""
+    return _add_narrow(b.select(["class", "size", "content"]) for b in _contents(WIDE_BITS)(batches))
+
+
 def _meet(bitmaps: bool):
     """Members against the centre of their meeting (rows sorted by meeting, the centre first): the pairs that (may) link."""
 
@@ -478,8 +485,7 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     blocks = blocks.where(F.size("classes") > 2).select("key", F.explode("classes").alias("class"))  # two: the pair is a star, see _apart
     members = _open_members(blocks, roots)
     needed = members.select("class").distinct().withColumn("at", F.lit(0))
-    signatures = _fetched(source, one, needed, WIDE_BITS).select("class", "size", F.col("content").alias("wide"))
-    signatures = written(signatures.mapInArrow(_add_narrow, "class long, size long, wide binary, narrow binary"), "signatures")
+    signatures = written(_texts(source, one, needed).mapInArrow(_signatures, "class long, size long, wide binary, narrow binary"), "signatures")
     blocks = written(_tree_members(signatures, members), "blocks")
     for number in range(FOREST_ROUNDS + 1):
         last = number == FOREST_ROUNDS
@@ -523,13 +529,18 @@ def keep_one_of_each_group(docs: DataFrame, id_col: str = "doc_id", text_col: st
     return once.select(*[F.col(f"c{i}").alias(c) for i, c in enumerate(names)])
 
 
-def _fetched(source: DataFrame, one: DataFrame, needed: DataFrame, density: int) -> DataFrame:
-    """(class, size, content, at) for the classes of ``needed`` (class, at: an array), from one document each."""
+def _texts(source: DataFrame, one: DataFrame, needed: DataFrame) -> DataFrame:
+    """(class, at, _text) for the classes of ``needed`` (class, at), from one document each."""
     rows = written(needed.join(one, "class").select("class", "at", "_one"), "needed")
     places = F.size("at") if isinstance(rows.schema["at"].dataType, T.ArrayType) else F.lit(1)
     size = rows.agg(F.coalesce(F.sum(32 + 32 * places), F.lit(0))).first()[0]
     rows = F.broadcast(rows) if size <= BROADCAST_BYTES else rows
-    texts = source.join(rows, F.col("_id").eqNullSafe(F.col("_one"))).select("class", "at", "_text")
+    return source.join(rows, F.col("_id").eqNullSafe(F.col("_one"))).select("class", "at", "_text")
+
+
+def _fetched(source: DataFrame, one: DataFrame, needed: DataFrame, density: int) -> DataFrame:
+    """(class, size, content, at) for the classes of ``needed`` (class, at: an array), from one document each."""
+    texts = _texts(source, one, needed)
     at = next(f for f in texts.schema.fields if f.name == "at")
     schema = T.StructType([T.StructField("class", T.LongType()), T.StructField("size", T.LongType()), T.StructField("content", T.BinaryType()), at])
     return texts.mapInArrow(_contents(density), schema)

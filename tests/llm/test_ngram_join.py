@@ -213,3 +213,37 @@ def test_narrow_bitmaps_keep_every_class_that_links():
     got = {r["key"]: set(r["classes"]) for r in next(nj._with_candidates([batch])).to_pylist()}
     assert got[4] >= {x for p in links for x in p} and 0 not in got[4] and 1 not in got[4]
     assert got[5] >= {x for p in links if p[0] < 5 <= p[1] for x in p}
+
+
+def chained(plan):
+    """Whether a plan (a text with a node a line) has two Python functions in one stage."""
+    above = []  # of each node from the top to the line's: whether a Python function stands at or over it in its stage
+    for line in plan.splitlines():
+        if not (m := re.match(r"([ :|+*()0-9-]*)([A-Z]\w*)", line)):
+            continue
+        depth, node = len(re.match(r"[ :|+-]*", line)[0]) // 3, m[2]
+        python = bool(re.search("InArrow|InPandas|Python", node))
+        over = above[depth - 1] if depth and "Exchange" not in node else False
+        if python and over:
+            return True
+        above[depth:] = [python or over]
+    return False
+
+
+def test_tasks_have_one_python_worker(spark, docs_of, monkeypatch):
+    """No stage of the join has two Python functions: each would keep a worker of its own, which stays for the stages that follow."""
+    plans = []
+
+    def kept(df, name):
+        plans.append((name, df._jdf.queryExecution().sparkPlan().toString()))
+        return written(df, name)
+
+    written = nj.written
+    monkeypatch.setattr(nj, "written", kept)
+    rows = family_rows(3)[:60]
+    assert sorted(((r[0], r[1], r[2]) for r in nj.jaccard_components(docs_of(rows)).collect()), key=str) == brute(rows)
+    assert {"signatures", "verified", "tree"} <= {name for name, _ in plans}
+    assert sum("MapInArrow" in plan for _, plan in plans) >= 8
+    assert not [name for name, plan in plans if chained(plan)]
+    twice = spark.range(9).mapInArrow(lambda b: b, "id long").mapInArrow(lambda b: b, "id long")
+    assert chained(twice._jdf.queryExecution().sparkPlan().toString())
